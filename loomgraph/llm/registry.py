@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from loomgraph.llm import chat, exact_dedup, sharding, url_filter, warc
+from loomgraph.llm import chat, exact_dedup, quality, sharding, url_filter, warc
 
 QUERIES = {
     "op1_url_filter": url_filter.op1_url_filter,
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
+    "op5_quality": quality.op5_quality,
     "op6_warc": warc.op6_warc,
     "op8_chat_format": chat.op8_chat_format,
     "op9_sharding": sharding.op9_sharding,
