@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from loomgraph.llm import chat, exact_dedup, quality, sharding, url_filter, warc
+from loomgraph.llm import chat, exact_dedup, quality, sharding, toxicity, url_filter, warc
 
 QUERIES = {
     "op1_url_filter": url_filter.op1_url_filter,
+    "op2_toxicity": toxicity.op2_toxicity,
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
     "op5_quality": quality.op5_quality,
     "op6_warc": warc.op6_warc,
