@@ -5,8 +5,8 @@
 * Compaction: all runs merge into one level, a row for each digest with the
   identifier to keep and the number of rows.
 * Hits: rows of digests with more than one row. Their texts are read again and
-  compared, byte by byte, with the text of the row to keep; texts that only share
-  a digest are grouped by the text itself.
+  compared byte by byte; texts that only share a digest are grouped by the text
+  itself.
 """
 
 from __future__ import annotations
@@ -57,19 +57,20 @@ class DigestIndex:
         return level
 
 
-def _hits(index: DigestIndex, docs: DataFrame) -> DataFrame:
-    """Rows of the digests that occur more than once, each with whether its bytes equal those of the row to keep."""
-    many = index.level.where("size > 1").select("digest", "keep")
-    rows = index.runs[0].select("digest", "id").distinct().join(many, "digest")
-    rows = written(rows, "hits")
-    keys = rows.select(F.coalesce(F.col("id").cast("string"), F.lit("null")).alias("k")).distinct()
-    table, blocks = bloom.build(keys, "k")
-    # only texts that may be hits are moved: the filter is probed in the scan
-    texts = bloom.possible(docs, F.coalesce(docs["_id"].cast("string"), F.lit("null")), table, blocks)
-    texts = texts.withColumn("digest", index.digest(F.col("_text")))
-    found = texts.join(rows.withColumnRenamed("id", "_rid"), F.col("_id").eqNullSafe(F.col("_rid")) & (texts["digest"] == rows["digest"])).select("_id", "_text", texts["digest"].alias("digest"), "keep")
-    keepers = found.where(F.col("_id").eqNullSafe(F.col("keep"))).groupBy("digest").agg(F.max("_text").alias("_kept_text"))
-    return found.join(keepers, "digest").select("digest", F.col("_id").alias("id"), "_text", (F.col("_text") == F.col("_kept_text")).alias("same"))
+def _unequal(index: DigestIndex, docs: DataFrame) -> DataFrame:
+    """Digests of hits whose texts are not all the same bytes.
+
+    Texts are equal if their smallest and their largest are, which each task can
+    tell of its own rows first: a large group is not gathered anywhere.
+    """
+    many = index.level.where("size > 1").select("digest")
+    name = lambda c: F.coalesce(c.cast("string"), F.lit("null"))
+    rows = index.runs[0].join(many, "digest", "left_semi").select(name(F.col("id")).alias("k")).distinct()
+    # only texts that may be hits are moved: the filter of their identifiers is probed in the scan
+    table, blocks = bloom.build(written(rows, "hits"), "k")
+    texts = bloom.possible(docs, name(docs["_id"]), table, blocks)
+    ends = texts.groupBy(index.digest(F.col("_text")).alias("digest")).agg(F.min("_text").alias("a"), F.max("_text").alias("b"))
+    return ends.where("a <> b").select("digest")
 
 
 def resolve(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "smallest", digest: Callable[[Column], Column] = sha256) -> DataFrame:
@@ -87,7 +88,7 @@ def resolve(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", kee
     each = run.groupBy("digest", "id").agg(F.count("*").alias("n"))
     bad = None
     if level.where("size > 1").head(1):
-        checked = written(_hits(index, docs).groupBy("digest").agg(F.bool_and("same").alias("same")).where("not same").select("digest"), "unequal")
+        checked = written(_unequal(index, docs), "unequal")
         bad = checked if checked.head(1) else None
     many = level.where("size > 1").select("digest", "keep", "size")
     if bad is not None:
