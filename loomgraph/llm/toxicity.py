@@ -26,8 +26,12 @@ THRESHOLD = 0.7
 #: The lexicon holds at most this many entries, so it can go to every task.
 LEXICON_ROWS = 4_000
 #: Documents of each class that an entry must occur in, at least, to be listed.
-LEAST_DOCS = 2
+LEAST_DOCS = 3
 LEAST_WEIGHT = 1.5
+#: How surprising (in nats) an entry's share of toxic documents must be, so that chance among very many words lists few.
+LEAST_SURPRISE = 9.0
+#: Lengths of word beginnings.
+BEGINNINGS = (4, 5, 6, 7)
 
 FEATURES = ("heaviest", "second", "weight_density", "hits", "hit_density", "distinct_hits", "near_you", "you_density", "capitals", "shouted_hits", "punctuation", "mark_runs", "obfuscated", "obfuscated_hits", "log_words")
 
@@ -54,7 +58,7 @@ def words_of(text: str) -> Iterator[tuple[str, str, bool]]:
 
 def entries(word: str) -> list[str]:
     """What the lexicon knows of a word: itself, and its beginnings (an asterisk marks those)."""
-    return [word, *(f"{word[:n]}*" for n in (4, 5) if len(word) > n)]
+    return [word, *(f"{word[:n]}*" for n in BEGINNINGS if len(word) > n)]
 
 
 def features(text: str, weights: dict[str, float]) -> list[float]:
@@ -64,7 +68,7 @@ def features(text: str, weights: dict[str, float]) -> list[float]:
     shouted = odd = odd_hits = n = 0
     get = weights.get
     for n, (raw, word, obfuscated) in enumerate(words_of(text), 1):  # noqa: B007
-        w = max(get(word, 0.0), get(word[:4] + "*", 0.0) if len(word) > 4 else 0.0, get(word[:5] + "*", 0.0) if len(word) > 5 else 0.0)
+        w = max(get(e, 0.0) for e in entries(word))
         odd += obfuscated
         if w > 0:
             hits.append((n, word, w))
@@ -120,7 +124,10 @@ def build_lexicon(sample: DataFrame) -> tuple[dict[str, tuple[int, int]], int, i
     toxic, clean = int(total["t"]), int(total["n"] - total["t"])
     counted = sample.mapInPandas(explode, "entry string, label int").groupBy("entry").agg(F.sum("label").alias("t"), F.sum(1 - F.col("label")).alias("c"))
     weight = F.log((F.col("t") + 0.5) / (toxic + 1.0)) - F.log((F.col("c") + 0.5) / (clean + 1.0))
+    base, held = max(toxic, 0.5) / max(toxic + clean, 1), F.col("t") + F.col("c")
+    surprise = F.col("t") * F.log(F.col("t") / held / base) + F.when(F.col("c") > 0, F.col("c") * F.log(F.col("c") / held / (1 - base))).otherwise(0.0)
     top = counted.where(F.col("t") >= LEAST_DOCS).withColumn("w", weight).where(F.col("w") >= LEAST_WEIGHT)
+    top = top.where(surprise >= LEAST_SURPRISE) if toxic and clean else top.limit(0)
     top = top.orderBy((F.col("w") * F.log1p("t")).desc(), "entry").limit(LEXICON_ROWS).collect()
     return {r["entry"]: (int(r["t"]), int(r["c"])) for r in top}, toxic, clean
 
