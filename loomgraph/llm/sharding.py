@@ -28,17 +28,19 @@ def propagate(nodes: DataFrame, shards: int, rounds: int = 6, slack: float = 0.2
     """Rounds of label propagation over nodes (row, key, linked), with column shard added.
 
     Shards may hold up to ``1 + slack`` of the mean while rounds last; the last step
-    takes back what is over, nodes without links first. Nodes move
+    takes back what is over, nodes without links first. Only linked nodes take part. Nodes move
     towards the shard with room that holds most nodes with their key (ties: by hash).
     """
-    placed = written(nodes.withColumn("shard", F.pmod(F.xxhash64(F.lit("start"), "row"), F.lit(shards)).cast("int")), "shards")
+    start = nodes.withColumn("shard", F.pmod(F.xxhash64(F.lit("start"), "row"), F.lit(shards)).cast("int"))
+    alone, placed = written(start.where("not linked"), "alone"), written(start.where("linked"), "linked")
+    fixed = _loads(alone, shards)
     for turn in range(rounds):
-        loads = _loads(placed, shards)
+        loads = [a + b for a, b in zip(fixed, _loads(placed, shards), strict=True)]
         quota = [max(0, int(sum(loads) / shards * (1 + slack)) - n) for n in loads]
-        votes = placed.where("linked").groupBy("key", "shard").agg(F.count("*").alias("n"))
+        votes = placed.groupBy("key", "shard").agg(F.count("*").alias("n"))
         open_ = F.col("shard").isin([s for s in range(shards) if quota[s] > 0])
         wish = votes.groupBy("key").agg(F.max_by("shard", F.struct(open_, "n", F.xxhash64("key", "shard"))).alias("to"), (F.sum("n") - F.max("n")).alias("away"))
-        asks = placed.where("linked").join(wish, "key").where("to <> shard").select("row", "key", "to", "away")
+        asks = placed.join(wish, "key").where("to <> shard").select("row", "key", "to", "away")
         asked = {r["to"]: r["n"] for r in asks.groupBy("to").agg(F.count("*").alias("n")).collect()}
         if not asked:
             break
@@ -49,10 +51,10 @@ def propagate(nodes: DataFrame, shards: int, rounds: int = 6, slack: float = 0.2
         drawn = F.when(F.col("away") <= F.element_at(rooms, F.col("to")), F.xxhash64(F.lit(turn), "key")).otherwise(F.xxhash64(F.lit(turn), "row"))
         taken = asks.where(F.pmod(drawn, F.lit(1 << 20)) < F.element_at(shares, F.col("to"))).select("row", "to")
         after = placed.join(taken, "row", "left").withColumn("shard", F.coalesce("to", "shard")).drop("to")
-        after = written(after, "shards")
+        after = written(after.select(*alone.columns), "linked")
         release(placed)
         placed = after
-    return placed
+    return alone.unionByName(placed)
 
 
 def _numbered(placed: DataFrame, n: int) -> DataFrame:
