@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from loomgraph.llm import chat, exact_dedup, quality, sharding, toxicity, url_filter, warc
+from loomgraph.llm import chat, decontaminate, exact_dedup, quality, sharding, toxicity, url_filter, warc
 
 QUERIES = {
     "op1_url_filter": url_filter.op1_url_filter,
     "op2_toxicity": toxicity.op2_toxicity,
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
+    "op4_decontaminate": decontaminate.op4_decontaminate,
     "op5_quality": quality.op5_quality,
     "op6_warc": warc.op6_warc,
     "op8_chat_format": chat.op8_chat_format,
@@ -17,5 +18,6 @@ SQL = {
     "op1_url_filter": url_filter.OP1_SQL,
     "op3_exact_dedup": exact_dedup.OP3_SQL,
     "op6_warc": warc.OP6_SQL,
+    "op4_decontaminate": decontaminate.OP4_SQL,
     "op8_chat_format": chat.OP8_SQL,
 }
