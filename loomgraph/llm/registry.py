@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loomgraph.llm import chat, decontaminate, exact_dedup, quality, sharding, toxicity, url_filter, warc
+from loomgraph.llm import chat, decontaminate, exact_dedup, jaccard, pieces, quality, sharding, toxicity, url_filter, warc
 
 QUERIES = {
     "op1_url_filter": url_filter.op1_url_filter,
@@ -11,8 +11,10 @@ QUERIES = {
     "op4_decontaminate": decontaminate.op4_decontaminate,
     "op5_quality": quality.op5_quality,
     "op6_warc": warc.op6_warc,
+    "op7_jaccard": jaccard.op7_jaccard,
     "op8_chat_format": chat.op8_chat_format,
     "op9_sharding": sharding.op9_sharding,
+    "op10_pieces": pieces.op10_pieces,
 }
 SQL = {
     "op1_url_filter": url_filter.OP1_SQL,
