@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomgraph.operators.relational import top_samples
 from loomgraph.schema import GraphTables, page
 from loomgraph.session import release, written
 
@@ -73,5 +74,7 @@ def communities(g: GraphTables, rounds: int = 30) -> DataFrame:
 
 
 def community_sizes(labels: DataFrame, min_size: int = 2, samples: int = 5) -> DataFrame:
-    groups = labels.groupBy("community").agg(F.count("*").alias("n"), F.slice(F.array_sort(F.collect_list("id")), 1, samples).alias("samples"))
-    return groups.where(F.col("n") >= min_size).orderBy(F.desc("n"), "community")
+    """Communities of at least ``min_size`` symbols, with the first few of each."""
+    sizes = labels.groupBy("community").agg(F.count("*").alias("n")).where(F.col("n") >= min_size)
+    few = top_samples(labels, "community", ["id"], samples).groupBy("community").agg(F.array_join(F.array_sort(F.collect_list("id")), " ").alias("samples"))
+    return sizes.join(few, "community").orderBy(F.desc("n"), "community")
