@@ -30,10 +30,14 @@ from loomgraph.llm.common import read
 from loomgraph.session import written
 
 SPACE = "▁"
-#: Words longer than this are folded by ``merge_long``: the fold's work grows with the square of the length.
-LONG = 64
+#: The fold keeps the places where pieces meet as bits of a long, so longer words are folded by ``merge_long``.
+LONG = 60
+#: Words that one task folds.
+WORDS_PER_TASK = 20_000
 #: Words that a task looks up at most (about 25 bytes each); corpora with more are taken in blocks of documents.
 MAX_WORDS = 8_000_000
+#: Documents that a task encodes at once, which bounds its memory.
+DOCS_AT_ONCE = 256
 UNKNOWN_PENALTY = 10.0
 
 
@@ -102,16 +106,28 @@ def _spelled(char: Column, pieces: Pieces) -> Column:
     return F.transform(at, lambda k: F.get(table, F.conv(F.substr(code, k * 2 + 1, F.lit(2)), 16, 10).cast("int")))
 
 
-def _merged(scores: Column, n: Column) -> Column:
-    """Starts of the final pieces (and the end) of a word: best-scored neighbours merged until none is a piece."""
+def _bit(at: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("long"), at)
 
-    def step(starts: Column, _: Column) -> Column:
-        score = lambda j: F.try_element_at(scores, F.get(starts, j) * 1024 + F.get(starts, j + 2) - F.get(starts, j))
-        pairs = F.when(F.size(starts) > 2, F.transform(F.sequence(F.lit(0), F.size(starts) - 3), lambda j: F.struct(score(j).alias("score"), (-j).alias("left"), F.get(starts, j + 1).alias("mid"))))
-        best = F.array_max(F.filter(pairs, lambda p: p["score"].isNotNull()))
-        return F.array_remove(starts, F.coalesce(best["mid"], F.lit(-1)))
 
-    return F.aggregate(F.sequence(F.lit(1), n), F.sequence(F.lit(1), n + 1), step)
+def _merged(longer: Column, n: Column) -> Column:
+    """Starts of the final pieces (and the end) of a word: best-scored neighbours merged until none is a piece.
+
+    ``longer`` holds the pieces of two characters or more, best first (the leftmost of
+    equals), each with the bits of its two ends and of the places inside. Two
+    neighbours can become a piece if its ends are places where pieces meet, and
+    exactly one such place is inside.
+    """
+    all_places = _bit(n + 2) - 2
+
+    def step(places: Column, _: Column) -> Column:
+        can = F.filter(longer, lambda e: (places.bitwiseAND(e["ends"]) == e["ends"]) & (F.bit_count(places.bitwiseAND(e["inside"])) == 1))
+        return places.bitwiseAND(F.bitwise_not(F.coalesce(F.get(can, F.lit(0))["inside"], F.lit(0).cast("long"))))
+
+    # a word of n characters is merged n - 1 times at most, and no more often than it has longer pieces
+    times = F.least(n - 1, F.size(longer))
+    merged = F.when(times > 0, F.aggregate(F.sequence(F.lit(1), F.greatest(times, F.lit(1))), all_places, step)).otherwise(all_places)
+    return F.filter(F.sequence(F.lit(1), n + 1), lambda p: merged.bitwiseAND(_bit(p)) != 0)
 
 
 def _best_path(edges: Column, n: Column, least: float) -> Column:
@@ -190,8 +206,13 @@ def spell(piece: str, pieces: Pieces) -> list[int]:
 
 
 def lattice(words: DataFrame, pieces: Pieces) -> DataFrame:
-    """(word, ids) of distinct words: substrings joined with the piece table, edges grouped and folded."""
+    """(word, ids) of distinct words: substrings joined with the piece table, edges grouped and folded.
+
+    Words are dealt out once; exploding and joining with the broadcast table leaves
+    them where they are, so grouping the edges moves nothing.
+    """
     table = F.broadcast(pieces.frame(words.sparkSession))  # as large as the model
+    words = words.repartition(words.count() // WORDS_PER_TASK + 1, "word")
     short = words.where(F.length("word") <= LONG)
     at = short.select("word", F.explode(F.sequence(F.lit(1), F.length("word"))).alias("at"))
     cut = at.select("word", "at", F.explode(F.sequence(F.lit(1), F.least(F.lit(pieces.longest), F.length("word") - F.col("at") + 1))).alias("len"))
@@ -201,10 +222,16 @@ def lattice(words: DataFrame, pieces: Pieces) -> DataFrame:
     edge = F.when(F.col("id").isNotNull(), F.struct("at", "len", "score", "id"))
     grouped = edges.groupBy("word").agg(F.collect_list(edge).alias("edges")).withColumn("n", F.length("word"))
     place = F.transform("edges", lambda e: e["at"] * 1024 + e["len"])
-    # the maps are columns of their own, used and passed on, so that they are made once for a word
-    grouped = grouped.withColumns({"scores": F.map_from_arrays(place, F.transform("edges", lambda e: e["score"])), "known": F.map_from_arrays(place, F.transform("edges", lambda e: e["id"]))})
-    starts = _merged(F.col("scores"), F.col("n")) if pieces.kind == "bpe" else _best_path(F.col("edges"), F.col("n"), pieces.least)
-    folded = grouped.select("word", "scores", "known", starts.alias("starts"))
+    # these are columns of their own, used and passed on, so that they are made once for a word
+    known = F.map_from_arrays(place, F.transform("edges", lambda e: e["id"]))
+    inside = lambda e: _bit(e["at"] + e["len"]) - _bit(e["at"] + 1)
+    longer = F.array_sort(F.transform(F.filter("edges", lambda e: e["len"] > 1), lambda e: F.struct((-e["score"]).alias("rank"), e["at"].alias("at"), _bit(e["at"]).bitwiseOR(_bit(e["at"] + e["len"])).alias("ends"), inside(e).alias("inside"))))
+    grouped = grouped.withColumns({"known": known, "longer": longer})
+    if pieces.kind == "bpe":
+        merged = grouped.select("word", "known", "longer", _merged(F.col("longer"), F.col("n")).alias("starts"))
+    else:
+        merged = grouped.select("word", "known", "longer", _best_path(F.col("edges"), F.col("n"), pieces.least).alias("starts"))
+    folded = merged.select("word", "known", "starts")
     known = F.col("known")
 
     def ids(j: Column) -> Column:
@@ -251,7 +278,7 @@ def _gather(starts: np.ndarray, sizes: np.ndarray, values: np.ndarray) -> np.nda
 
 
 def encode(docs: DataFrame, pieces: Pieces, id_col: str = "doc_id", text_col: str = "text", max_words: int = MAX_WORDS) -> DataFrame:
-    """One row per document: id, text, ids.
+    """One row per document: id, ids, decoded (the text that the identifiers stand for), exact (whether it is the document's).
 
     The identifiers are those of the whole text, as the model's own library gives
     them. A null or empty text has none. Repeated rows are encoded alike, null
@@ -263,6 +290,7 @@ def encode(docs: DataFrame, pieces: Pieces, id_col: str = "doc_id", text_col: st
 def _encoded(docs: DataFrame, pieces: Pieces, max_words: int) -> DataFrame:
     pattern = pieces.cuts()
     words = docs.select(F.explode(F.split(prepared(F.col("text")), pattern)).alias("word")).where("word <> ''").distinct()
+    words = written(words, "vocabulary")
     table = written(lattice(words, pieces).select(F.xxhash64("word").alias("h"), "ids"), "words")
     n, names = table.agg(F.count("*"), F.count_distinct("h")).first()
     if n != names:
@@ -280,7 +308,7 @@ def _encoded(docs: DataFrame, pieces: Pieces, max_words: int) -> DataFrame:
     def look_up(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import xxhash
 
-        cut = re.compile(pattern)
+        cut, spelled = re.compile(pattern), _spelling(pieces)
         hashes, spans, values = _words_at(path)
 
         class Codes(dict):
@@ -288,7 +316,8 @@ def _encoded(docs: DataFrame, pieces: Pieces, max_words: int) -> DataFrame:
                 self[word] = n = len(self)
                 return n
 
-        for batch in batches:
+        for whole, lo in ((b, i) for b in batches for i in range(0, len(b), DOCS_AT_ONCE)):
+            batch = whole.iloc[lo : lo + DOCS_AT_ONCE]
             codes = Codes()
             lists = []
             for text in batch["text"]:
@@ -302,9 +331,25 @@ def _encoded(docs: DataFrame, pieces: Pieces, max_words: int) -> DataFrame:
                 raise RuntimeError("a word was not encoded")
             starts, sizes = spans[0][at] if len(at) else at, (spans[1][at] - spans[0][at]) if len(at) else at
             sizes = np.where(missing, 0, sizes)
-            yield pd.DataFrame({"id": batch["id"].astype("Int64"), "text": batch["text"], "ids": [_gather(starts[c], sizes[c], values) for c in lists]})
+            ids = [_gather(starts[c], sizes[c], values) for c in lists]
+            decoded = [_text_of(x, spelled) for x in ids]
+            exact = [d == (t or "") for d, t in zip(decoded, batch["text"], strict=True)]
+            yield pd.DataFrame({"id": batch["id"].astype("Int64").array, "ids": ids, "decoded": decoded, "exact": exact})
 
-    return docs.mapInPandas(look_up, "id long, text string, ids array<int>")
+    return docs.mapInPandas(look_up, "id long, ids array<int>, decoded string, exact boolean")
+
+
+def _spelling(pieces: Pieces) -> list[bytes]:
+    """What each identifier adds to a decoded text."""
+    spelled = [n.replace(SPACE, " ").encode() for n in pieces.names]
+    for b, i in enumerate(pieces.byte_ids):
+        spelled[i] = bytes([b])
+    plain = set(pieces.ids.values()) | set(pieces.byte_ids)
+    return [s if i in plain else " ⁇ ".encode() if i == pieces.unknown else b"" for i, s in enumerate(spelled)]
+
+
+def _text_of(ids: np.ndarray, spelled: list[bytes]) -> str:
+    return b"".join(map(spelled.__getitem__, ids.tolist())).decode("utf-8", "replace").removeprefix(" ")
 
 
 def decode(rows: DataFrame, pieces: Pieces, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
@@ -312,15 +357,11 @@ def decode(rows: DataFrame, pieces: Pieces, ids_col: str = "ids", out_col: str =
 
     Null or empty identifiers give an empty text; unknown pieces give `` ⁇ ``.
     """
-    spelled: list[bytes] = [n.replace(SPACE, " ").encode() for n in pieces.names]
-    for b, i in enumerate(pieces.byte_ids):
-        spelled[i] = bytes([b])
-    plain = set(pieces.ids.values()) | set(pieces.byte_ids)
-    spelled = [s if i in plain else " ⁇ ".encode() if i == pieces.unknown else b"" for i, s in enumerate(spelled)]
+    spelled = _spelling(pieces)
 
     @F.pandas_udf("string")
     def text(col: pd.Series) -> pd.Series:
-        return pd.Series(["" if x is None else b"".join(map(spelled.__getitem__, x.tolist())).decode("utf-8", "replace").removeprefix(" ") for x in col])
+        return pd.Series(["" if x is None else _text_of(x, spelled) for x in col])
 
     return rows.withColumn(out_col, text(F.col(ids_col)))
 
@@ -328,5 +369,5 @@ def decode(rows: DataFrame, pieces: Pieces, ids_col: str = "ids", out_col: str =
 def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents encoded and decoded again: doc_id, n_tokens, ids_sha256, decoded_sha256, exact."""
     pieces = load()
-    rows = decode(encode(read(spark, sf_dir, "documents"), pieces), pieces)
-    return rows.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"), (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("exact"))
+    rows = encode(read(spark, sf_dir, "documents"), pieces)
+    return rows.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"), "exact")

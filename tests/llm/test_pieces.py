@@ -22,11 +22,12 @@ def test_like_the_library(spark, model):
 
     sp = sentencepiece.SentencePieceProcessor(model_file=P.default_model())
     docs = spark.createDataFrame(rows(spark), "doc_id long, text string, ids array<int>")
-    got = P.decode(P.encode(docs, model), model).collect()
+    got = P.decode(P.encode(docs, model), model, out_col="again").collect()
     assert len(got) == len(TEXTS) + 2
-    for r in got:
-        assert list(r.ids) == sp.encode(r.text or ""), r.text
-        assert r.decoded == sp.decode(sp.encode(r.text or ""))
+    want = sorted((i if i is not None else -1, sp.encode(t or ""), sp.decode(sp.encode(t or ""))) for i, t, _ in rows(spark))
+    assert sorted((r.doc_id if r.doc_id is not None else -1, list(r.ids), r.decoded) for r in got) == want
+    assert all(r.again == r.decoded for r in got)
+    assert [r.exact for r in got if r.doc_id == 9] == [False]  # a mark for a space in the text itself
 
 
 def test_documents_like_the_library(spark, model, sf):
@@ -34,15 +35,16 @@ def test_documents_like_the_library(spark, model, sf):
 
     sp = sentencepiece.SentencePieceProcessor(model_file=P.default_model())
     docs = spark.read.parquet(f"{sf}/documents.parquet")
-    got = P.decode(P.encode(docs, model), model).collect()
-    assert len(got) == docs.count()
-    assert all(list(r.ids) == sp.encode(r.text) and r.decoded == r.text for r in got)
+    got = {r.doc_id: r for r in P.encode(docs, model).collect()}
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    assert set(got) == set(texts)
+    assert all(list(got[i].ids) == sp.encode(t) and got[i].decoded == t and got[i].exact for i, t in texts.items())
 
 
 def test_blocks_give_the_same(spark, model):
     docs = spark.createDataFrame(rows(spark), "doc_id long, text string, ids array<int>")
-    one = sorted((r.text or "", list(r.ids)) for r in P.encode(docs, model).collect())
-    many = sorted((r.text or "", list(r.ids)) for r in P.encode(docs, model, max_words=20).collect())
+    one = sorted((r.decoded, list(r.ids)) for r in P.encode(docs, model).collect())
+    many = sorted((r.decoded, list(r.ids)) for r in P.encode(docs, model, max_words=20).collect())
     assert one == many
     assert P.encode(docs.limit(0), model).count() == 0
 
