@@ -42,6 +42,7 @@ NEAR = 3
 LOOKALIKES = str.maketrans("013457@$!", "oieastasi")
 _WORD = re.compile(r"[^\W_]+(?:[0-9@$!*.\-_]+[^\W_]+)*")
 _ODD = re.compile(r"[^\W\d_][0-9@$!*.\-_]+[^\W\d_]")
+_LETTER = re.compile(r"[^\W\d_]")
 _INNER = re.compile(r"[*.\-_]")
 
 
@@ -61,21 +62,42 @@ def entries(word: str) -> list[str]:
     return [word, *(f"{word[:n]}*" for n in BEGINNINGS if len(word) > n)]
 
 
-def features(text: str, weights: dict[str, float]) -> list[float]:
+class Known(dict):
+    """What a lexicon makes of words as written, remembered: None for plain words, else (word, weight, obfuscated, second person)."""
+
+    def __init__(self, weights: dict[str, float]) -> None:
+        super().__init__()
+        self.weights = weights
+
+    def __missing__(self, raw: str) -> tuple[str, float, bool, bool] | None:
+        if len(self) > 500_000:
+            self.clear()
+        _, word, obfuscated = next(words_of(raw))
+        weight = max(self.weights.get(e, 0.0) for e in entries(word))
+        you = word in SECOND_PERSON
+        out = self[raw] = (word, weight, obfuscated, you) if weight > 0 or obfuscated or you else None
+        return out
+
+
+def features(text: str, weights: dict[str, float] | Known) -> list[float]:
     """All are 0 for a text without words."""
+    known = weights if isinstance(weights, Known) else Known(weights)
     hits: list[tuple[int, str, float]] = []
     you: list[int] = []
-    shouted = odd = odd_hits = n = 0
-    get = weights.get
-    for n, (raw, word, obfuscated) in enumerate(words_of(text), 1):  # noqa: B007
-        w = max(get(e, 0.0) for e in entries(word))
+    shouted = odd = odd_hits = 0
+    raws = _WORD.findall(text)
+    n = len(raws)
+    for i, found in enumerate(map(known.__getitem__, raws), 1):
+        if found is None:
+            continue
+        word, w, obfuscated, second = found
         odd += obfuscated
         if w > 0:
-            hits.append((n, word, w))
+            hits.append((i, word, w))
             odd_hits += obfuscated
-            shouted += raw.isupper() and len(raw) > 1
-        if word in SECOND_PERSON:
-            you.append(n)
+            shouted += raws[i - 1].isupper() and len(raws[i - 1]) > 1
+        if second:
+            you.append(i)
     if not n:
         return [0.0] * len(FEATURES)
     near = 0
@@ -85,7 +107,7 @@ def features(text: str, weights: dict[str, float]) -> list[float]:
             at += 1
         near += at < len(you) and you[at] <= i + NEAR
     best = sorted((w for _, _, w in hits), reverse=True)
-    letters = sum(map(str.isalpha, text)) if len(text) < 2000 else len(re.findall(r"[^\W\d_]", text))
+    letters = len(_LETTER.findall(text))
     return [
         best[0] if best else 0.0,
         best[1] if len(best) > 1 else 0.0,
@@ -219,8 +241,9 @@ def score(docs: DataFrame, model: Toxicity, threshold: float = THRESHOLD, id_col
         weights = model.weights
 
         def measure(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            known = Known(weights)
             for batch in batches:
-                yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "x": [features(t, weights) for t in batch["text"]]})
+                yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "x": [features(t, known) for t in batch["text"]]})
 
         scored = model.raw(rows.mapInPandas(measure, "doc_id long, x array<double>")).select("doc_id", model.calibrated(F.col("raw")).alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
