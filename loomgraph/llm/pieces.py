@@ -67,7 +67,14 @@ class Pieces:
         return min(self.scores.values(), default=0.0)
 
     def frame(self, spark: SparkSession) -> DataFrame:
-        return spark.createDataFrame([(p, i, float(self.scores[p])) for p, i in self.ids.items()], "piece string, id int, score double")
+        return spark.createDataFrame([(p, i, float(self.scores[p]), self.late(p)) for p, i in self.ids.items()], "piece string, id int, score double, late boolean")
+
+    def late(self, piece: str) -> bool:
+        """Whether the piece can be made of two symbols of which one has a worse score than the piece itself."""
+        own = self.scores[piece]
+        halves = ((piece[:k], piece[k:]) for k in range(1, len(piece)))
+        whole = lambda h: len(h) == 1 or h in self.scores
+        return any(whole(a) and whole(b) and any(len(h) > 1 and self.scores[h] <= own for h in (a, b)) for a, b in halves)
 
     def cuts(self) -> str:
         """A pattern of places where words end: before a run of spaces, and around white space that is in no longer piece."""
@@ -110,24 +117,42 @@ def _bit(at: Column) -> Column:
     return F.call_function("shiftleft", F.lit(1).cast("long"), at)
 
 
-def _merged(longer: Column, n: Column) -> Column:
+def _can(places: Column, e: Column) -> Column:
+    """Whether two neighbours can become this piece: its ends are places where pieces meet, and one such place is inside."""
+    return (places.bitwiseAND(e["ends"]) == e["ends"]) & (F.bit_count(places.bitwiseAND(e["inside"])) == 1)
+
+
+def _without(places: Column, inside: Column) -> Column:
+    return places.bitwiseAND(F.bitwise_not(inside))
+
+
+def _merged(longer: Column, late: Column, n: Column) -> Column:
     """Starts of the final pieces (and the end) of a word: best-scored neighbours merged until none is a piece.
 
     ``longer`` holds the pieces of two characters or more, best first (the leftmost of
-    equals), each with the bits of its two ends and of the places inside. Two
-    neighbours can become a piece if its ends are places where pieces meet, and
-    exactly one such place is inside.
+    equals), each with the bits of its two ends and of the places inside; ``late``
+    those of them that have a half of a worse score. One pass over the pieces, best
+    first, is right unless a merge makes a better piece possible that was passed by.
+    That piece must be a late one; then bit 0 is set, and such a word is folded anew,
+    looking for the best piece at every merge.
     """
-    all_places = _bit(n + 2) - 2
+    start = _bit(n + 2) - 2
+
+    def once(places: Column, e: Column) -> Column:
+        after = _without(places, e["inside"])
+        doubt = F.exists(late, lambda f: (f["rank"] < e["rank"]) & _can(after, f))
+        return F.when(_can(places, e), F.when(doubt, after.bitwiseOR(F.lit(1).cast("long"))).otherwise(after)).otherwise(places)
+
+    def slowly(places: Column, _: Column) -> Column:
+        best = F.get(F.filter(longer, lambda e: _can(places, e)), F.lit(0))
+        return _without(places, F.coalesce(best["inside"], F.lit(0).cast("long")))
+
+    quick = F.aggregate(longer, start, once)
+    return F.when(quick.bitwiseAND(F.lit(1).cast("long")) == 0, quick).otherwise(F.aggregate(F.sequence(F.lit(1), n), start, slowly))
 
-    def step(places: Column, _: Column) -> Column:
-        can = F.filter(longer, lambda e: (places.bitwiseAND(e["ends"]) == e["ends"]) & (F.bit_count(places.bitwiseAND(e["inside"])) == 1))
-        return places.bitwiseAND(F.bitwise_not(F.coalesce(F.get(can, F.lit(0))["inside"], F.lit(0).cast("long"))))
 
-    # a word of n characters is merged n - 1 times at most, and no more often than it has longer pieces
-    times = F.least(n - 1, F.size(longer))
-    merged = F.when(times > 0, F.aggregate(F.sequence(F.lit(1), F.greatest(times, F.lit(1))), all_places, step)).otherwise(all_places)
-    return F.filter(F.sequence(F.lit(1), n + 1), lambda p: merged.bitwiseAND(_bit(p)) != 0)
+def _places(bits: Column, n: Column) -> Column:
+    return F.filter(F.sequence(F.lit(1), n + 1), lambda p: bits.bitwiseAND(_bit(p)) != 0)
 
 
 def _best_path(edges: Column, n: Column, least: float) -> Column:
@@ -219,16 +244,18 @@ def lattice(words: DataFrame, pieces: Pieces) -> DataFrame:
     cut = cut.withColumn("piece", F.substr("word", "at", "len"))
     # the first character stays even if it is no piece, so that no word is lost
     edges = cut.join(table, "piece", "left").where("id is not null or (at = 1 and len = 1)")
-    edge = F.when(F.col("id").isNotNull(), F.struct("at", "len", "score", "id"))
+    edge = F.when(F.col("id").isNotNull(), F.struct("at", "len", "score", "id", "late"))
     grouped = edges.groupBy("word").agg(F.collect_list(edge).alias("edges")).withColumn("n", F.length("word"))
     place = F.transform("edges", lambda e: e["at"] * 1024 + e["len"])
     # these are columns of their own, used and passed on, so that they are made once for a word
     known = F.map_from_arrays(place, F.transform("edges", lambda e: e["id"]))
     inside = lambda e: _bit(e["at"] + e["len"]) - _bit(e["at"] + 1)
-    longer = F.array_sort(F.transform(F.filter("edges", lambda e: e["len"] > 1), lambda e: F.struct((-e["score"]).alias("rank"), e["at"].alias("at"), _bit(e["at"]).bitwiseOR(_bit(e["at"] + e["len"])).alias("ends"), inside(e).alias("inside"))))
+    longer = F.array_sort(F.transform(F.filter("edges", lambda e: e["len"] > 1), lambda e: F.struct((-e["score"]).alias("rank"), e["at"].alias("at"), _bit(e["at"]).bitwiseOR(_bit(e["at"] + e["len"])).alias("ends"), inside(e).alias("inside"), e["late"].alias("late"))))
     grouped = grouped.withColumns({"known": known, "longer": longer})
     if pieces.kind == "bpe":
-        merged = grouped.select("word", "known", "longer", _merged(F.col("longer"), F.col("n")).alias("starts"))
+        late = F.filter("longer", lambda e: e["late"])
+        bits = grouped.select("word", "known", "longer", "n", late.alias("late")).select("word", "known", "longer", "late", "n", _merged(F.col("longer"), F.col("late"), F.col("n")).alias("bits"))
+        merged = bits.select("word", "known", "bits", _places(F.col("bits"), F.col("n")).alias("starts"))
     else:
         merged = grouped.select("word", "known", "longer", _best_path(F.col("edges"), F.col("n"), pieces.least).alias("starts"))
     folded = merged.select("word", "known", "starts")

@@ -68,3 +68,25 @@ def test_best_path_against_all_paths(spark):
     assert len(got) == len(words)
     for w in words:
         assert got[w] == max(paths(w))[1] == P.best_long(w, toy)
+
+
+def test_merges_that_make_a_better_piece_possible(spark):
+    """Tables in no order of training: pieces become possible after worse ones were made."""
+    rng = random.Random(8)
+    words = ["▁" + "".join(w) for w in itertools.product("abc", repeat=5)]
+    for _ in range(4):
+        names = ["▁", "a", "b", "c", *rng.sample(["".join(w) for n in (2, 3, 4) for w in itertools.product("abc", repeat=n)], 40)]
+        table = {p: -float(i) for i, p in enumerate(rng.sample(names, len(names)))}
+        toy = P.Pieces("bpe", {p: i for i, p in enumerate(table)}, table, (), 99, tuple(table))
+
+        def plain(w):
+            parts = list(w)
+            while True:
+                able = [(-table[parts[i] + parts[i + 1]], i) for i in range(len(parts) - 1) if parts[i] + parts[i + 1] in table]
+                if not able:
+                    return [toy.ids.get(p, 99) for p in parts]
+                i = min(able)[1]
+                parts[i : i + 2] = [parts[i] + parts[i + 1]]
+
+        got = {r.word: list(r.ids) for r in P.lattice(spark.createDataFrame([(w,) for w in words], "word string"), toy).collect()}
+        assert got == {w: plain(w) for w in words} == {w: P.merge_long(w, toy) for w in words}
