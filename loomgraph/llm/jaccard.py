@@ -20,7 +20,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from loomgraph.llm.common import maybe_broadcast, read, small
+from loomgraph.llm import bloom
+from loomgraph.llm.common import maybe_broadcast, read
 from loomgraph.operators.components import connected_components
 from loomgraph.session import release, written
 
@@ -43,7 +44,7 @@ class _Hashes(dict):
         return h
 
 
-def shingles(text: str, k: int, known: _Hashes, seed: int = 0) -> np.ndarray:
+def shingles(text: str, k: int, known: _Hashes) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the k-word shingles of a whole text.
 
     A-Z is lower-cased and words are parted by ASCII white space, as bytes do both.
@@ -54,8 +55,6 @@ def shingles(text: str, k: int, known: _Hashes, seed: int = 0) -> np.ndarray:
     if not n:
         return np.zeros(0, np.uint64)
     h = np.fromiter(map(known.__getitem__, w), np.uint64, n)
-    if seed:
-        h = h * np.uint64(2 * seed + 1) + np.uint64(seed)
     if n < k:
         s = np.array([n], np.uint64)
         for x in h:
@@ -162,55 +161,60 @@ def tile_links(nodes: np.ndarray, groups: np.ndarray, sets: list[np.ndarray], le
     return out
 
 
-def _profiles(docs: DataFrame, k: int, percent: int, seed: int) -> DataFrame:
-    def profile(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import xxhash
+def _profiles(docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """row, id, n, a 128-bit name of the set (k1, k2) and the signatures of its parts, for each document."""
 
+    def profile(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = _Hashes()
         for batch in batches:
             out = []
             for text in batch["text"]:
-                s = shingles(text, k, known, seed)
-                d = xxhash.xxh3_128_digest(s.tobytes())
-                node, check = np.frombuffer(d, np.int64)
-                out.append((len(s), int(node), int(check), signatures(s, percent).view(np.int64)))
-            frame = pd.DataFrame(out, columns=["n", "node", "check", "signatures"])
-            frame.insert(0, "id", batch["id"].astype("Int64").to_numpy(dtype=object))
-            frame["id"] = pd.array(frame["id"], "Int64")
-            yield frame
-
-    return docs.mapInPandas(profile, "id long, n long, node long, check long, signatures array<long>")
-
-
-def _families(profiles: DataFrame) -> DataFrame:
-    """(node, family) of the sets that agree with another in a part."""
-    tiles = profiles.select("node", F.explode("signatures").alias("signature"))
-    half = lambda seed: F.sum(F.pmod(F.xxhash64(F.lit(seed), "node"), F.lit(1 << 32)))
-    heads = tiles.groupBy("signature").agg(F.min("node").alias("a"), F.max("node").alias("b"), F.count("*").alias("c"), half(1).alias("x"), half(2).alias("y")).where("a < b")
-    # signatures with the same members say the same: one of them is enough
-    heads = written(heads.groupBy("a", "b", "c", "x", "y").agg(F.min("signature").alias("signature")), "heads")
+                s = shingles(text, k, known)
+                out.append((len(s), *_name(s), signatures(s, percent).view(np.int64)))
+            frame = pd.DataFrame(out, columns=["n", "k1", "k2", "signatures"])
+            frame["id"] = batch["id"].astype("Int64").array
+            yield frame[["id", "n", "k1", "k2", "signatures"]]
+
+    return docs.mapInPandas(profile, "id long, n long, k1 long, k2 long, signatures array<long>").withColumn("row", F.monotonically_increasing_id())
+
+
+def _name(s: np.ndarray) -> tuple[int, int]:
+    import xxhash
+
+    k1, k2 = np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), np.int64)
+    return int(k1), int(k2)
+
+
+def _families(profiles: DataFrame, copies: DataFrame) -> DataFrame:
+    """(node, family) of the sets that agree with another in a part; ``copies`` (row) of an equal set are left out.
+
+    Rows of one document follow each other and rows are numbered in order, so what is
+    shuffled is little more than the signatures.
+    """
+    own = profiles.where("size(signatures) > 0").select(F.col("row").alias("node"), "signatures").join(maybe_broadcast(copies.withColumnRenamed("row", "node")), "node", "left_anti")
+    tiles = own.select("node", F.explode("signatures").alias("signature"))
+    heads = tiles.groupBy("signature").agg(F.min("node").alias("a"), F.max("node").alias("b"), F.count("*").alias("c")).where("a < b")
+    heads = written(heads, "heads")
+    pairs = heads.select("a", "b").distinct()
+    # members of larger tiles are found by a join; a filter of the tiles' signatures keeps all others out of its shuffle
     more = heads.where("c > 2").select("signature", "a")
-    members = tiles.join(maybe_broadcast(more), "signature").where("node <> a").select("a", F.col("node").alias("b"))
-    edges = heads.select("a", "b").unionByName(members).distinct()
-    return connected_components(edges, "a", "b").select("node", F.col("component").alias("family"))
+    table, blocks = bloom.build(more, "signature")
+    members = bloom.possible(tiles, F.col("signature"), table, blocks).join(more, "signature").where("node <> a").select("a", F.col("node").alias("b")).distinct()
+    return connected_components(pairs.unionByName(members), "a", "b").select("node", F.col("component").alias("family"))
 
 
-def _sets(docs: DataFrame, profiles: DataFrame, families: DataFrame, k: int, seed: int) -> DataFrame:
+def _sets(docs: DataFrame, classes: DataFrame, families: DataFrame, k: int) -> DataFrame:
     """node, family, n, set (bytes) of each member of a family, from the text of one document."""
-    reps = profiles.where("n > 0").groupBy("node").agg(F.min("id").alias("rep"))
-    reps = written(reps.join(families, "node"), "members")
-    few = small(reps)
-    texts = docs.join(F.broadcast(reps) if few else reps, docs["id"].eqNullSafe(reps["rep"])).select("node", "family", "text")
+    reps = written(classes.join(families, "node").select("node", "family", "rep", "k1", "k2"), "members")
+    texts = docs.join(maybe_broadcast(reps), docs["id"].eqNullSafe(reps["rep"])).select("node", "family", "k1", "k2", "text")
 
     def cut(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import xxhash
-
         known = _Hashes()
         for batch in batches:
             out = []
-            for node, family, text in zip(batch["node"], batch["family"], batch["text"], strict=True):
-                s = shingles(text, k, known, seed)
-                if np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), np.int64)[0] == node:  # not another text of that identifier
+            for node, family, k1, k2, text in zip(batch["node"], batch["family"], batch["k1"], batch["k2"], batch["text"], strict=True):
+                s = shingles(text, k, known)
+                if _name(s) == (k1, k2):  # not another text of that identifier
                     out.append((node, family, len(s), s.tobytes()))
             yield pd.DataFrame(out, columns=["node", "family", "n", "set"])
 
@@ -279,20 +283,17 @@ def join(docs: DataFrame, k: int = 4, percent: int = 85, id_col: str = "doc_id",
     are not read.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    for seed in range(10):  # two sets with one 64-bit name are so rare that starting anew is right
-        profiles = written(_profiles(docs, k, percent, seed), "profiles")
-        twice = profiles.groupBy("node").agg(F.min("check").alias("x"), F.max("check").alias("y")).where("x <> y")
-        if not twice.head(1):
-            break
-    families = written(_families(profiles), "families")
-    rows = written(profiles.select("id", "n", "node"), "rows")
-    sets = _sets(docs, profiles, families, k, seed)
+    profiles = written(_profiles(docs, k, percent), "profiles")
+    some = profiles.where("n > 0").select("row", "id", "k1", "k2")
+    classes = written(some.groupBy("k1", "k2").agg(F.min("row").alias("node"), F.min("id").alias("low"), F.min_by("id", "row").alias("rep")), "classes")
+    rows = written(profiles.select("row", "id", "n", "k1", "k2").join(classes.select("k1", "k2", "node"), ["k1", "k2"], "left").select("row", "id", "n", F.when(F.col("n") > 0, F.col("node")).alias("node")), "rows")
+    families = written(_families(profiles, rows.where("row <> node").select("row")), "families")
     release(profiles)
+    sets = _sets(docs, classes, families, k)
     parts = connected_components(_links(sets, percent), "a", "b")
-    named = rows.where("n > 0").select("node", "id").join(parts, "node", "left").withColumn("part", F.coalesce("component", "node"))
-    nodes = named.groupBy("node").agg(F.min("part").alias("part"), F.min("id").alias("low"))
-    names = nodes.groupBy("part").agg(F.min("low").alias("component_id"))
-    out = rows.join(nodes.join(names, "part").select("node", "component_id"), "node", "left")
+    named = classes.select("node", "low").join(parts, "node", "left").withColumn("part", F.coalesce("component", "node"))
+    names = named.groupBy("part").agg(F.min("low").alias("component_id"))
+    out = rows.join(named.join(names, "part").select("node", "component_id"), "node", "left")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"), "node")
 
 
