@@ -139,6 +139,7 @@ class Grammar:
     block: str = "brace"
     skip: frozenset[str] = frozenset()
     call: str = r"(?<![\w.])([A-Za-z_][\w.]*)\s*\("
+    inline: bool = False  # a call may stand on the line that begins its function
 
 
 _WORDS = frozenset("if for while switch return catch function func fn def match sizeof new throw else elif until unless when case do super".split())
@@ -157,9 +158,9 @@ GRAMMARS: dict[str, Grammar] = {
     ".php": Grammar("php", (("interface", r"\binterface\s+(?P<name>\w+)"), ("class", r"\b(?:class|trait)\s+(?P<name>\w+)"), ("function", r"\bfunction\s+&?(?P<name>\w+)"), ("constant", r"\bconst\s+(?P<name>\w+)")), r"^\s*use\s+([\w\\]+)", r"\bclass\s+(\w+)\s+extends\s+([\w\\]+)"),
     ".scala .sc": Grammar("scala", (("interface", r"\btrait\s+(?P<name>\w+)"), ("class", r"\b(?:class|object)\s+(?P<name>\w+)"), ("function", r"\bdef\s+(?P<name>\w+)"), ("variable", r"^\s*va[lr]\s+(?P<name>\w+)")), r"^\s*import\s+([\w.{}, ]+)", r"\b(?:class|object)\s+(\w+)[^{]*?\bextends\s+(\w+)"),
     ".swift": Grammar("swift", (("class", r"\b(?:class|struct|actor)\s+(?P<name>\w+)"), ("enum", r"\benum\s+(?P<name>\w+)"), ("interface", r"\bprotocol\s+(?P<name>\w+)"), ("function", r"\bfunc\s+(?P<name>\w+)"), ("type_alias", r"\btypealias\s+(?P<name>\w+)")), r"^import\s+(\w+)", r"\b(?:class|struct)\s+(\w+)\s*:\s*(\w+)"),
-    ".hs .lhs": Grammar("haskell", (("class", r"^(?:data|newtype)\s+(?P<name>\w+)"), ("type_alias", r"^type\s+(?P<name>\w+)"), ("interface", r"^class\s+(?:[^=]*=>\s*)?(?P<name>\w+)"), ("function", r"^(?P<name>[a-z]\w*)\s*::")), r"^import\s+(?:qualified\s+)?([\w.]+)", comment=r"--[^\n]*|\{-.*?-\}", block="line"),
+    ".hs .lhs": Grammar("haskell", (("class", r"^(?:data|newtype)\s+(?P<name>\w+)"), ("type_alias", r"^type\s+(?P<name>\w+)"), ("interface", r"^class\s+(?:[^=]*=>\s*)?(?P<name>\w+)"), ("function", r"^(?P<name>[a-z]\w*)\s*::")), r"^import\s+(?:qualified\s+)?([\w.]+)", comment=r"--[^\n]*|\{-.*?-\}", block="name", call=r"(?<=[=(])\s*([a-z]\w*)(?=\s+\w)"),
     ".jl": Grammar("julia", (("module", r"\bmodule\s+(?P<name>\w+)"), ("class", r"\bstruct\s+(?P<name>\w+)"), ("interface", r"\babstract\s+type\s+(?P<name>\w+)"), ("function", r"\bfunction\s+(?P<name>[\w!]+)"), ("constant", r"\bconst\s+(?P<name>\w+)")), r"^\s*(?:using|import)\s+([\w.]+)", comment=r"#[^\n]*", block="end"),
-    ".ml .mli": Grammar("ocaml", (("module", r"\bmodule\s+(?P<name>\w+)"), ("class", r"\b(?:class|type)\s+(?P<name>\w+)"), ("function", r"\blet\s+(?:rec\s+)?(?P<name>[a-z_]\w*)"), ("method", r"\bmethod\s+(?P<name>\w+)")), r"^open\s+([\w.]+)", comment=r"\(\*.*?\*\)", block="line"),
+    ".ml .mli": Grammar("ocaml", (("module", r"\bmodule\s+(?P<name>\w+)"), ("class", r"\b(?:class|type)\s+(?P<name>\w+)"), ("function", r"\blet\s+(?:rec\s+)?(?P<name>[a-z_]\w*)"), ("method", r"\bmethod\s+(?P<name>\w+)")), r"^open\s+([\w.]+)", comment=r"\(\*.*?\*\)", block="line", call=r"(?<=[=(])\s*([a-z_]\w*)(?=\s+\w)", inline=True),
     ".ex .exs": Grammar("elixir", (("module", r"\bdefmodule\s+(?P<name>[\w.]+)"), ("interface", r"\bdefprotocol\s+(?P<name>[\w.]+)"), ("function", r"\bdefp?\s+(?P<name>\w+[?!]?)")), r"^\s*(?:import|alias|use|require)\s+([\w.]+)", comment=r"#[^\n]*", block="end", skip=frozenset("def defp defmodule defprotocol".split())),
     ".lua": Grammar("lua", (("function", r"\bfunction\s+(?P<name>[\w.:]+)"), ("variable", r"^local\s+(?P<name>\w+)\s*=")), r"""\brequire\s*\(?\s*['"]([^'"]+)['"]""", comment=r"--[^\n]*", block="end"),
     ".sh .bash": Grammar("bash", (("function", r"^\s*(?:function\s+)?(?P<name>[A-Za-z_]\w*)\s*\(\)"), ("constant", r"^(?:readonly\s+|export\s+)?(?P<name>[A-Z][A-Z0-9_]+)=")), comment=r"#[^\n]*", skip=frozenset("echo cd exit export local set printf test".split()), call=r"^\s*([A-Za-z_]\w*)\b(?!\s*[=(])"),
@@ -184,8 +185,9 @@ def _end_of(lines: list[str], start: int, block: str) -> int:
             if re.match(rf"\s{{0,{indent}}}(end|fi|done)\b", lines[k]):
                 return k
         return start
+    own = re.match(r"\w+", lines[start])
     for k in range(start + 1, len(lines)):
-        if lines[k].strip() and not lines[k][0].isspace():
+        if lines[k].strip() and not lines[k][0].isspace() and not (block == "name" and own and lines[k].startswith(own[0] + " ")):
             return k - 1
     return len(lines) - 1
 
@@ -227,7 +229,7 @@ def by_grammar(g: Grammar) -> Extractor:
                     out.edge(f"{path}::{m[1]}", UNRESOLVED + m[2], kind, blank.count("\n", 0, m.start()))
         for m in call.finditer(blank):
             line = blank.count("\n", 0, m.start())
-            inside = [s for s in spans if s[0] < line <= s[1] or s[0] == line == s[1]]
+            inside = [s for s in spans if s[0] < line <= s[1] or s[0] == line and (g.inline or line == s[1])]
             if inside and m[1] not in g.skip and m[1] not in _WORDS:
                 out.edge(inside[-1][2], UNRESOLVED + m[1], "calls", line)
         return out

@@ -20,7 +20,7 @@ def _ignored(rel: Column, rules: tuple[str, ...]) -> Column:
     def hit(rule: str) -> Column:
         pattern = glob_regex(rule.strip("/"))
         parts = F.split(rel, "/")
-        ends = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "/"))
+        ends = F.transform(parts, lambda _, i: F.array_join(F.slice(parts, i + 1, F.size(parts)), "/"))
         return rel.rlike(pattern) | F.exists(parts, lambda p: p.rlike(pattern)) | F.exists(ends, lambda p: p.rlike(pattern))
 
     rules = tuple(r.strip() for r in rules if r.strip() and not r.strip().startswith("#"))
