@@ -20,6 +20,7 @@ import re
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -76,9 +77,18 @@ class Pieces:
         whole = lambda h: len(h) == 1 or h in self.scores
         return any(whole(a) and whole(b) and any(len(h) > 1 and self.scores[h] <= own for h in (a, b)) for a, b in halves)
 
+    def alone(self) -> str:
+        """White space that is in no longer piece."""
+        return "".join(c for c in "\n\r\t\x0b\x0c" if not any(c in p for p in self.ids if len(p) > 1))
+
+    def words(self) -> str:
+        """A pattern of the words that ``cuts`` leaves."""
+        alone = self.alone()
+        return f"{SPACE}+[^{SPACE}{alone}]*|[^{SPACE}{alone}]+" + (f"|[{alone}]" if alone else "")
+
     def cuts(self) -> str:
-        """A pattern of places where words end: before a run of spaces, and around white space that is in no longer piece."""
-        alone = "".join(c for c in "\n\r\t\x0b\x0c" if not any(c in p for p in self.ids if len(p) > 1))
+        """A pattern of places where words end: before a run of spaces, and around white space that stands alone."""
+        alone = self.alone()
         around = f"|(?<=[{alone}])|(?=[{alone}])" if alone else ""
         return f"(?<=[^{SPACE}])(?={SPACE}){around}"
 
@@ -126,29 +136,32 @@ def _without(places: Column, inside: Column) -> Column:
     return places.bitwiseAND(F.bitwise_not(inside))
 
 
-def _merged(longer: Column, late: Column, n: Column) -> Column:
-    """Starts of the final pieces (and the end) of a word: best-scored neighbours merged until none is a piece.
+def _merged_once(longer: Column, late: Column, n: Column) -> Column:
+    """Places where the pieces of a word meet: best-scored neighbours merged until none is a piece.
 
     ``longer`` holds the pieces of two characters or more, best first (the leftmost of
     equals), each with the bits of its two ends and of the places inside; ``late``
     those of them that have a half of a worse score. One pass over the pieces, best
     first, is right unless a merge makes a better piece possible that was passed by.
-    That piece must be a late one; then bit 0 is set, and such a word is folded anew,
-    looking for the best piece at every merge.
+    That piece must be a late one; then bit 0 is set.
     """
-    start = _bit(n + 2) - 2
 
     def once(places: Column, e: Column) -> Column:
         after = _without(places, e["inside"])
         doubt = F.exists(late, lambda f: (f["rank"] < e["rank"]) & _can(after, f))
         return F.when(_can(places, e), F.when(doubt, after.bitwiseOR(F.lit(1).cast("long"))).otherwise(after)).otherwise(places)
 
+    return F.aggregate(longer, _bit(n + 2) - 2, once)
+
+
+def _settled(quick: Column, longer: Column, n: Column) -> Column:
+    """The same places, found anew for a word in doubt: the best piece is looked for at every merge."""
+
     def slowly(places: Column, _: Column) -> Column:
         best = F.get(F.filter(longer, lambda e: _can(places, e)), F.lit(0))
         return _without(places, F.coalesce(best["inside"], F.lit(0).cast("long")))
 
-    quick = F.aggregate(longer, start, once)
-    return F.when(quick.bitwiseAND(F.lit(1).cast("long")) == 0, quick).otherwise(F.aggregate(F.sequence(F.lit(1), n), start, slowly))
+    return F.when(quick.bitwiseAND(F.lit(1).cast("long")) == 0, quick).otherwise(F.aggregate(F.sequence(F.lit(1), n), _bit(n + 2) - 2, slowly))
 
 
 def _places(bits: Column, n: Column) -> Column:
@@ -250,12 +263,13 @@ def lattice(words: DataFrame, pieces: Pieces) -> DataFrame:
     # these are columns of their own, used and passed on, so that they are made once for a word
     known = F.map_from_arrays(place, F.transform("edges", lambda e: e["id"]))
     inside = lambda e: _bit(e["at"] + e["len"]) - _bit(e["at"] + 1)
-    longer = F.array_sort(F.transform(F.filter("edges", lambda e: e["len"] > 1), lambda e: F.struct((-e["score"]).alias("rank"), e["at"].alias("at"), _bit(e["at"]).bitwiseOR(_bit(e["at"] + e["len"])).alias("ends"), inside(e).alias("inside"), e["late"].alias("late"))))
+    longer = F.sort_array(F.transform(F.filter("edges", lambda e: e["len"] > 1), lambda e: F.struct((-e["score"]).alias("rank"), e["at"].alias("at"), _bit(e["at"]).bitwiseOR(_bit(e["at"] + e["len"])).alias("ends"), inside(e).alias("inside"), e["late"].alias("late"))))
     grouped = grouped.withColumns({"known": known, "longer": longer})
     if pieces.kind == "bpe":
         late = F.filter("longer", lambda e: e["late"])
-        bits = grouped.select("word", "known", "longer", "n", late.alias("late")).select("word", "known", "longer", "late", "n", _merged(F.col("longer"), F.col("late"), F.col("n")).alias("bits"))
-        merged = bits.select("word", "known", "bits", _places(F.col("bits"), F.col("n")).alias("starts"))
+        quick = grouped.select("word", "known", "longer", "n", _merged_once(F.col("longer"), late, F.col("n")).alias("quick"))
+        bits = quick.select("word", "known", "n", _settled(F.col("quick"), F.col("longer"), F.col("n")).alias("bits"))
+        merged = bits.select("word", "known", _places(F.col("bits"), F.col("n")).alias("starts"))
     else:
         merged = grouped.select("word", "known", "longer", _best_path(F.col("edges"), F.col("n"), pieces.least).alias("starts"))
     folded = merged.select("word", "known", "starts")
@@ -335,7 +349,7 @@ def _encoded(docs: DataFrame, pieces: Pieces, max_words: int) -> DataFrame:
     def look_up(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import xxhash
 
-        cut, spelled = re.compile(pattern), _spelling(pieces)
+        find, spelled = re.compile(pieces.words()).findall, _spelling(pieces)
         hashes, spans, values = _words_at(path)
 
         class Codes(dict):
@@ -343,21 +357,22 @@ def _encoded(docs: DataFrame, pieces: Pieces, max_words: int) -> DataFrame:
                 self[word] = n = len(self)
                 return n
 
+        codes, starts, sizes = Codes(), np.zeros(0, np.int64), np.zeros(0, np.int64)
         for whole, lo in ((b, i) for b in batches for i in range(0, len(b), DOCS_AT_ONCE)):
             batch = whole.iloc[lo : lo + DOCS_AT_ONCE]
-            codes = Codes()
+            if len(codes) > 200_000:
+                codes, starts, sizes = Codes(), starts[:0], sizes[:0]
+            old = len(codes)
             lists = []
             for text in batch["text"]:
-                parts = cut.split(SPACE + text.replace(" ", SPACE)) if text else []
+                parts = find(SPACE + text.replace(" ", SPACE)) if text else []
                 lists.append(np.fromiter(map(codes.__getitem__, parts), np.int64, len(parts)))
-            h = np.fromiter((xxhash.xxh64_intdigest(w.encode(), 42) for w in codes), np.uint64, len(codes)).view(np.int64)
-            at = np.searchsorted(hashes, h)
-            missing = np.fromiter((w == "" for w in codes), bool, len(codes))
-            at[missing] = 0
-            if len(h) and not (hashes[np.minimum(at, len(hashes) - 1)] == h)[~missing].all():
-                raise RuntimeError("a word was not encoded")
-            starts, sizes = spans[0][at] if len(at) else at, (spans[1][at] - spans[0][at]) if len(at) else at
-            sizes = np.where(missing, 0, sizes)
+            h = np.fromiter((xxhash.xxh64_intdigest(w.encode(), 42) for w in islice(codes, old, None)), np.uint64, len(codes) - old).view(np.int64)
+            if len(h):
+                at = np.searchsorted(hashes, h)
+                if not (hashes[np.minimum(at, len(hashes) - 1)] == h).all():
+                    raise RuntimeError("a word was not encoded")
+                starts, sizes = np.concatenate([starts, spans[0][at]]), np.concatenate([sizes, spans[1][at] - spans[0][at]])
             ids = [_gather(starts[c], sizes[c], values) for c in lists]
             decoded = [_text_of(x, spelled) for x in ids]
             exact = [d == (t or "") for d, t in zip(decoded, batch["text"], strict=True)]
