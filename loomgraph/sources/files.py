@@ -46,7 +46,7 @@ def discover(spark: SparkSession, root: str, rules: tuple[str, ...] = (), larges
     """(path, text) of the source files below a root; the content is read only of files that are chosen."""
     found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     base = root if ":" in root else "file:" + root
-    return choose(found, base, rules, largest_kb).select("path", F.decode(F.col("content"), F.lit("UTF-8")).alias("text"))
+    return choose(found, base, rules, largest_kb).select("path", F.decode(F.col("content"), "UTF-8").alias("text"))
 
 
 def changed(files: DataFrame, indexed: DataFrame) -> DataFrame:
