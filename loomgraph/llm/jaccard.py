@@ -12,7 +12,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -137,6 +138,18 @@ def tile_links(nodes: np.ndarray, groups: np.ndarray, sets: list[np.ndarray], le
     """Links that join what is not joined yet, between members of the left and of the right tile (positions)."""
     n = np.array([len(s) for s in sets])
     maps = np.stack([bitmap(s) for s in sets]) if len(sets) else np.zeros((0, BITMAP_WORDS), np.uint64)
+
+    def linked(i: int, j: int) -> bool:
+        a, b = (sets[i], sets[j]) if n[i] <= n[j] else (sets[j], sets[i])
+        at = np.searchsorted(b, a)
+        both = int((b[np.minimum(at, len(b) - 1)] == a).sum())
+        return 100 * both >= percent * (len(a) + len(b) - both)
+
+    return _tile_pairs(nodes, groups, n, maps, left, right, percent, linked)
+
+
+def _tile_pairs(nodes: np.ndarray, groups: np.ndarray, n: np.ndarray, maps: np.ndarray, left: np.ndarray, right: np.ndarray, percent: int, linked: Callable[[int, int], bool]) -> list[tuple[int, int]]:
+    """The same for pairs that sizes and bitmaps let pass and for which ``linked`` holds."""
     roots = _Roots(len(nodes))
     first: dict[int, int] = {}
     for i, g in enumerate(groups):
@@ -152,10 +165,7 @@ def tile_links(nodes: np.ndarray, groups: np.ndarray, sets: list[np.ndarray], le
         for j in js[100 * bound >= percent * (n[i] + n[js] - bound)]:
             if roots.root(i) == roots.root(j):
                 continue
-            a, b = (sets[i], sets[j]) if n[i] <= n[j] else (sets[j], sets[i])
-            at = np.searchsorted(b, a)
-            both = int((b[np.minimum(at, len(b) - 1)] == a).sum())
-            if 100 * both >= percent * (len(a) + len(b) - both):
+            if linked(int(i), int(j)):
                 roots.join(i, j)
                 out.append((int(nodes[i]), int(nodes[j])))
     return out
@@ -224,35 +234,27 @@ def _sets(docs: DataFrame, classes: DataFrame, families: DataFrame, k: int) -> D
 LINKS = "a long, b long"
 
 
-def _links(sets: DataFrame, percent: int) -> DataFrame:
-    """Links that connect all linked members of each family."""
-    counted = sets.groupBy("family").agg(F.count("*").alias("size"))
-    large = counted.where(F.col("size") > TILE)
-    large = maybe_broadcast(written(large, "large"))
-    rest = sets.join(large.drop("size"), "family", "left_anti")
+def _whole(percent: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """Links within one group of rows (node, n, set)."""
 
-    def whole(frame: pd.DataFrame) -> pd.DataFrame:
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.drop_duplicates("node").sort_values(["n", "node"])
         nodes, every = frame["node"].to_numpy(), np.arange(len(frame))
         return pd.DataFrame(tile_links(nodes, nodes, [np.frombuffer(x, np.uint64) for x in frame["set"]], every, every, percent), columns=["a", "b"])
 
-    found = written(rest.groupBy("family").applyInPandas(whole, LINKS), "links")
-    if not large.head(1):
-        return found
+    return run
+
 
-    # Large families: first each tile within itself, to join what is alike ...
-    many = sets.join(large, "family").dropDuplicates(["node"])
+def _tiled(rows: DataFrame) -> DataFrame:
+    """Add slice (of similar sizes) and tile (of at most ``TILE`` rows) within each family."""
+    slices = rows.withColumn("slice", F.floor(F.log(F.col("n").cast("double")) * 8).cast("int"))
     place = Window.partitionBy("family", "slice").orderBy("n", "node")
-    slices = many.withColumn("slice", F.floor(F.log(F.col("n").cast("double")) * 8).cast("int"))
-    sliced = slices.withColumn("tile", F.floor((F.row_number().over(place) - 1) / TILE).cast("int")).drop("size")
-    sliced = written(sliced, "tiles")
-    own = sliced.groupBy("family", "slice", "tile").applyInPandas(lambda f: whole(f), LINKS)
-    own = written(own, "links")
-    joined = connected_components(own, "a", "b")
-    tiles = sliced.join(joined, "node", "left").select("node", "family", "n", "set", "slice", "tile", F.coalesce("component", "node").alias("group"))
-    tiles = written(tiles, "tiles")
-    # ... then pairs of tiles whose sizes allow a link; members already in one group are not compared again
-    spans = tiles.groupBy("family", "slice", "tile").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.min("group").alias("g1"), F.max("group").alias("g2"))
+    return slices.withColumn("tile", F.floor((F.row_number().over(place) - 1) / TILE).cast("int"))
+
+
+def _meetings(tiles: DataFrame, percent: int) -> DataFrame:
+    """Rows of pairs of tiles whose sizes allow a link, each with its side; pairs all in one group are left out."""
+    spans = written(tiles.groupBy("family", "slice", "tile").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.min("group").alias("g1"), F.max("group").alias("g2")), "spans")
     l, r = spans.alias("l"), spans.alias("r")
     after = (F.col("l.slice") < F.col("r.slice")) | ((F.col("l.slice") == F.col("r.slice")) & (F.col("l.tile") < F.col("r.tile")))
     meets = (100 * F.least("l.hi", "r.hi") >= percent * F.greatest("l.lo", "r.lo")) & ~((F.col("l.g1") == F.col("l.g2")) & (F.col("r.g1") == F.col("r.g2")) & (F.col("l.g1") == F.col("r.g1")))
@@ -260,15 +262,78 @@ def _links(sets: DataFrame, percent: int) -> DataFrame:
     pairs = pairs.select(F.col("l.family").alias("family"), F.struct("l.slice", "l.tile").alias("left"), F.struct("r.slice", "r.tile").alias("right"))
     sides = pairs.select("family", "left", "right", F.explode(F.array(F.struct("left.*", F.lit(0).alias("side")), F.struct("right.*", F.lit(1).alias("side")))).alias("s"))
     sides = sides.select("family", "left", "right", F.col("s.slice").alias("slice"), F.col("s.tile").alias("tile"), F.col("s.side").alias("side"))
+    return tiles.join(sides, ["family", "slice", "tile"])
+
+
+def _closer(sets: DataFrame, percent: int) -> DataFrame:
+    """(node, family) with large families parted where no bitmap lets a pair pass: linked sets stay together.
+
+    Only sizes and bitmaps are moved. Sets that met through a common passage alone
+    part here, so what is left of a family are near copies.
+    """
+
+    def draw(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame({"node": batch["node"], "family": batch["family"], "n": batch["n"], "bits": [bitmap(np.frombuffer(x, np.uint64)).tobytes() for x in batch["set"]]})
+
+    maps = sets.mapInPandas(draw, "node long, family long, n long, bits binary").dropDuplicates(["node"])
+    tiles = written(_tiled(maps).withColumn("group", F.col("node")), "maps")
+
+    def pairs(frame: pd.DataFrame, left: np.ndarray, right: np.ndarray) -> pd.DataFrame:
+        nodes = frame["node"].to_numpy()
+        bits = np.frombuffer(b"".join(frame["bits"]), np.uint64).reshape(len(frame), BITMAP_WORDS)
+        return pd.DataFrame(_tile_pairs(nodes, nodes, frame["n"].to_numpy(), bits, left, right, percent, lambda i, j: True), columns=["a", "b"])
+
+    def within(frame: pd.DataFrame) -> pd.DataFrame:
+        every = np.arange(len(frame))
+        return pairs(frame, every, every)
+
+    def across(frame: pd.DataFrame) -> pd.DataFrame:
+        side = frame["side"].to_numpy()
+        return pairs(frame, np.flatnonzero(side == 0), np.flatnonzero(side == 1))
+
+    own = tiles.groupBy("family", "slice", "tile").applyInPandas(within, LINKS)
+    crossed = _meetings(tiles, percent).groupBy("family", "left", "right").applyInPandas(across, LINKS)
+    joined = connected_components(own.unionByName(crossed), "a", "b")
+    return tiles.select("node").join(joined, "node", "left").select("node", F.coalesce("component", "node").alias("family"))
+
+
+def _links(sets: DataFrame, percent: int) -> DataFrame:
+    """Links that connect all linked members of each family."""
+
+    def sized(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+        large = rows.groupBy("family").agg(F.count("*").alias("size")).where(F.col("size") > TILE).select("family")
+        large = maybe_broadcast(written(large, "large"))
+        return rows.join(large, "family", "left_anti"), rows.join(large, "family", "left_semi")
+
+    small, large = sized(sets)
+    found = [written(small.groupBy("family").applyInPandas(_whole(percent), LINKS), "links")]
+    if not large.head(1):
+        return found[0]
+    parted = written(_closer(large, percent), "parted")
+    # what parted from all others is linked with nothing
+    together = parted.groupBy("family").agg(F.count("*").alias("size")).where("size > 1").select("family")
+    parted = written(parted.join(together, "family", "left_semi"), "together")
+    small, large = sized(large.drop("family").join(maybe_broadcast(parted), "node").dropDuplicates(["node"]))
+    found.append(written(small.groupBy("family").applyInPandas(_whole(percent), LINKS), "links"))
+    if large.head(1):
+        found += _across_tiles(large, percent)
+    return reduce(DataFrame.unionByName, found)
+
+
+def _across_tiles(sets: DataFrame, percent: int) -> list[DataFrame]:
+    """Links of families too large for one task: within each tile, then between tiles that are not yet in one group."""
+    tiles = written(_tiled(sets), "tiles")
+    own = written(tiles.groupBy("family", "slice", "tile").applyInPandas(_whole(percent), LINKS), "links")
+    grouped = tiles.join(connected_components(own, "a", "b"), "node", "left").withColumn("group", F.coalesce("component", "node")).drop("component")
 
     def across(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.reset_index(drop=True)
         side = frame["side"].to_numpy()
         found = tile_links(frame["node"].to_numpy(), frame["group"].to_numpy(), [np.frombuffer(x, np.uint64) for x in frame["set"]], np.flatnonzero(side == 0), np.flatnonzero(side == 1), percent)
         return pd.DataFrame(found, columns=["a", "b"])
 
-    crossed = tiles.join(sides, ["family", "slice", "tile"]).groupBy("family", "left", "right").applyInPandas(across, LINKS)
-    return found.unionByName(own).unionByName(written(crossed, "links"))
+    crossed = _meetings(grouped, percent).groupBy("family", "left", "right").applyInPandas(across, LINKS)
+    return [own, written(crossed, "links")]
 
 
 def join(docs: DataFrame, k: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
