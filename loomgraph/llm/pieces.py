@@ -291,8 +291,8 @@ def lattice(words: DataFrame, pieces: Pieces) -> DataFrame:
 
 
 @lru_cache(maxsize=1)
-def _words_at(path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes (sorted), offsets and identifiers of the encoded words in a shared folder; kept by a worker."""
+def _words_at(path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes (sorted), starts, sizes and identifiers of the encoded words in a shared folder; kept by a worker, so in small types."""
     import pyarrow.dataset as ds
     from pyarrow import fs
 
@@ -304,9 +304,12 @@ def _words_at(path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         import pyarrow as pa
 
         ids = pa.concat_arrays(ids.chunks) if ids.num_chunks else pa.array([], pa.list_(pa.int32()))
-    order = np.argsort(h, kind="stable")
+    del table
+    values = ids.values.to_numpy(zero_copy_only=False)
+    values = values.astype(np.uint16 if not len(values) or values.max() < 1 << 16 else np.int32)
     offsets = ids.offsets.to_numpy()
-    return h[order], np.stack([offsets[:-1][order], offsets[1:][order]]), ids.values.to_numpy(zero_copy_only=False).astype(np.int32)
+    order = np.argsort(h, kind="stable")
+    return h[order], offsets[:-1][order], np.diff(offsets)[order].astype(np.int32), values
 
 
 def _gather(starts: np.ndarray, sizes: np.ndarray, values: np.ndarray) -> np.ndarray:
@@ -350,7 +353,7 @@ def _encoded(docs: DataFrame, pieces: Pieces, max_words: int) -> DataFrame:
         import xxhash
 
         find, spelled = re.compile(pieces.words()).findall, _spelling(pieces)
-        hashes, spans, values = _words_at(path)
+        hashes, first, length, values = _words_at(path)
 
         class Codes(dict):
             def __missing__(self, word: str) -> int:
@@ -372,8 +375,8 @@ def _encoded(docs: DataFrame, pieces: Pieces, max_words: int) -> DataFrame:
                 at = np.searchsorted(hashes, h)
                 if not (hashes[np.minimum(at, len(hashes) - 1)] == h).all():
                     raise RuntimeError("a word was not encoded")
-                starts, sizes = np.concatenate([starts, spans[0][at]]), np.concatenate([sizes, spans[1][at] - spans[0][at]])
-            ids = [_gather(starts[c], sizes[c], values) for c in lists]
+                starts, sizes = np.concatenate([starts, first[at]]), np.concatenate([sizes, length[at]])
+            ids = [_gather(starts[c], sizes[c], values).astype(np.int32) for c in lists]
             decoded = [_text_of(x, spelled) for x in ids]
             exact = [d == (t or "") for d, t in zip(decoded, batch["text"], strict=True)]
             yield pd.DataFrame({"id": batch["id"].astype("Int64").array, "ids": ids, "decoded": decoded, "exact": exact})
