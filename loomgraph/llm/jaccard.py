@@ -30,6 +30,8 @@ BAND = 1.5
 SPARE_PARTS = 2
 BITMAP_WORDS = 32
 TILE = 512
+#: Documents that a task works on at once, which bounds its memory.
+DOCS_AT_ONCE = 256
 _MULTIPLY = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], np.uint64)
 
 
@@ -39,7 +41,7 @@ class _Hashes(dict):
     def __missing__(self, word: bytes) -> int:
         import xxhash
 
-        if len(self) > 500_000:
+        if len(self) > 100_000:
             self.clear()
         h = self[word] = xxhash.xxh3_64_intdigest(word)
         return h
@@ -171,12 +173,16 @@ def _tile_pairs(nodes: np.ndarray, groups: np.ndarray, n: np.ndarray, maps: np.n
     return out
 
 
+def _slices(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    return (b.iloc[i : i + DOCS_AT_ONCE] for b in batches for i in range(0, len(b), DOCS_AT_ONCE))
+
+
 def _profiles(docs: DataFrame, k: int, percent: int) -> DataFrame:
     """row, id, n, a 128-bit name of the set (k1, k2) and the signatures of its parts, for each document."""
 
     def profile(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = _Hashes()
-        for batch in batches:
+        for batch in _slices(batches):
             out = []
             for text in batch["text"]:
                 s = shingles(text, k, known)
@@ -220,7 +226,7 @@ def _sets(docs: DataFrame, classes: DataFrame, families: DataFrame, k: int) -> D
 
     def cut(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = _Hashes()
-        for batch in batches:
+        for batch in _slices(batches):
             out = []
             for node, family, k1, k2, text in zip(batch["node"], batch["family"], batch["k1"], batch["k2"], batch["text"], strict=True):
                 s = shingles(text, k, known)
@@ -273,8 +279,8 @@ def _closer(sets: DataFrame, percent: int) -> DataFrame:
     """
 
     def draw(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield pd.DataFrame({"node": batch["node"], "family": batch["family"], "n": batch["n"], "bits": [bitmap(np.frombuffer(x, np.uint64)).tobytes() for x in batch["set"]]})
+        for batch in _slices(batches):
+            yield pd.DataFrame({"node": batch["node"].array, "family": batch["family"].array, "n": batch["n"].array, "bits": [bitmap(np.frombuffer(x, np.uint64)).tobytes() for x in batch["set"]]})
 
     maps = sets.mapInPandas(draw, "node long, family long, n long, bits binary").dropDuplicates(["node"])
     tiles = written(_tiled(maps).withColumn("group", F.col("node")), "maps")
