@@ -10,6 +10,7 @@ from pyspark.sql import Window
 
 from loomgraph.functions.text import glob_regex, token_estimate
 from loomgraph.schema import GraphTables
+from loomgraph.session import written
 
 #: Rules (id, severity, message, pattern), paths and replacement.
 INJECTION = "Context contains prompt-injection-like instructions"
@@ -71,19 +72,27 @@ def rank_candidates(found: DataFrame, g: GraphTables, queries: DataFrame, ranks:
 
 
 def greedy_fill(entries: DataFrame, budget: int, limit: int) -> DataFrame:
-    """(query_id, used, kept, baseline) for ranked entries (query_id, rank, id, tokens).
+    """(query_id, used, kept, baseline) for ranked entries (query_id, rank, id, tokens), tokens not negative.
 
     In order of rank: the first entry always enters; one that would exceed the
     budget is skipped, and smaller ones after it may still enter, up to ``limit``.
+    An entry behind ``limit`` others of its size never enters: each of those fits
+    whenever it does, so the pack is full before. Only the first ``limit`` entries
+    of each size within the budget are gathered, whatever the size of a group.
     """
-    rows = F.array_sort(F.collect_list(F.struct("rank", "id", F.col("tokens").cast("long").alias("tokens"))))
+    rows = entries.select("query_id", F.struct("rank", "id", F.col("tokens").cast("long").alias("tokens")).alias("row"), F.col("tokens"))
+    heads = rows.groupBy("query_id").agg(F.min("row").alias("row"), F.sum("tokens").alias("baseline"))
+    heads = heads.withColumn("row", F.when(F.col("row.tokens") > budget, F.col("row")))  # others are among the few
+    place = F.row_number().over(Window.partitionBy("query_id", "tokens").orderBy("row"))
+    few = rows.where(F.col("tokens") <= budget).withColumn("place", place).where(F.col("place") <= limit)
+    few = few.select("query_id", "row", F.lit(None).cast(heads.schema["baseline"].dataType).alias("baseline"))
+    packed = heads.unionByName(few).groupBy("query_id").agg(F.array_sort(F.collect_list("row")).alias("rows"), F.max("baseline").alias("baseline"))
     start = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast("array<string>").alias("kept"))
 
     def step(acc: Column, e: Column) -> Column:
         fits = (F.size(acc["kept"]) < limit) & ((F.size(acc["kept"]) == 0) | (acc["used"] + e["tokens"] <= budget))
         return F.when(fits, F.struct((acc["used"] + e["tokens"]).alias("used"), F.array_append(acc["kept"], e["id"]).alias("kept"))).otherwise(acc)
 
-    packed = entries.groupBy("query_id").agg(rows.alias("rows"), F.sum("tokens").alias("baseline"))
     return packed.withColumn("fill", F.aggregate("rows", start, step)).select("query_id", "fill.used", "fill.kept", "baseline")
 
 
@@ -119,7 +128,8 @@ def context_pack(g: GraphTables, candidates: DataFrame, budget: int = 2000, limi
             rows = rows.withColumns({c: redacted(F.col(c)) for c in ("docstring", "signature")})
         gone = rows.where("denied").groupBy("query_id").agg(F.count_distinct("file_path").alias("excluded"))
         rows = rows.where("not denied")
-    filled = greedy_fill(entry_text(g, rows, relations).select("query_id", "rank", "id", "tokens"), budget, limit)
+    entries = written(entry_text(g, rows, relations).select("query_id", "rank", "id", "tokens"), "entries")
+    filled = greedy_fill(entries, budget, limit)
     filled = filled.withColumn("savings", savings(F.col("used"), F.col("baseline")))
     return filled.join(gone, "query_id", "left").na.fill(0, ["excluded"]) if policy is not None else filled
 

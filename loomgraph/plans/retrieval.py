@@ -158,9 +158,8 @@ SELECT query_id, used::BIGINT AS used, kept, baseline, round(1 - used / greatest
 )
 def context_pack_greedy(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = graph(spark, sf_dir).symbols
-    numbered = relational.top_samples(s, "file_path", ["start_line", "id"], 1_000_000)
     size = F.floor((F.length(F.coalesce("docstring", F.lit(""))) + F.length("qualified_name") * 4 + 3) / 4)
-    filled = context.greedy_fill(numbered.select(F.col("file_path").alias("query_id"), "rank", "id", size.alias("tokens")), 150, 6)
+    filled = context.greedy_fill(s.select(F.col("file_path").alias("query_id"), F.struct("start_line", "id").alias("rank"), "id", size.alias("tokens")), 150, 6)
     return filled.withColumns({"kept": F.array_join("kept", " "), "savings": context.savings(F.col("used"), F.col("baseline"))})
 
 

@@ -1,9 +1,12 @@
 """Small graphs whose answers are known."""
 
+import random
+
 import pytest
 from loomgraph import schema
 from loomgraph.operators import changes, context, feeds, ranking, relational, resolve, search, traversal
 from loomgraph.operators.components import connected_components
+from loomgraph.plans import retrieval
 from pyspark.sql import functions as F
 
 
@@ -136,3 +139,26 @@ def test_token_bucket_never_exceeds_its_capacity(spark):
     rows = spark.createDataFrame([(i, "k", f"2024-01-01 00:00:0{i}") for i in range(6)], "event_id int, user string, ts string").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
     got = feeds.token_bucket(rows, "user", 2, 0.5).orderBy("event_id").collect()
     assert [r.allowed for r in got] == [True, True, True, False, True, False] and all(0 <= r.left <= 2 for r in got)
+
+
+def test_greedy_fill_equals_brute_force(spark):
+    rng = random.Random(3)
+    rows = [(q, k, f"{q}-{k}", rng.choice([0, 3, 10, 40, 120, 200])) for q in range(6) for k in range(1, 400)]
+    got = {r.query_id: (r.used, r.kept, r.baseline) for r in context.greedy_fill(spark.createDataFrame(rows, "query_id int, rank int, id string, tokens int"), 150, 6).collect()}
+    for q in range(6):
+        used, kept, own = 0, [], [r for r in rows if r[0] == q]
+        for _, _, name, n in own:
+            if len(kept) < 6 and (not kept or used + n <= 150):
+                used, kept = used + n, [*kept, name]
+        assert got[q] == (used, kept, sum(r[3] for r in own))
+
+
+def test_packs_look_beyond_the_millionth_symbol(spark, tmp_path):
+    n = 1_000_002
+    last = F.col("id") == n - 1
+    part = spark.range(n).select(F.col("id").alias("p_partkey"), F.when(last, "x").otherwise("y" * 100).alias("p_name"), F.lit("Brand#1").alias("p_brand"), F.lit("LARGE").alias("p_type"), F.when(last, 2).otherwise(1).alias("p_size"))
+    part.write.parquet(f"{tmp_path}/part.parquet")
+    spark.createDataFrame([], "l_orderkey long, l_linenumber int, l_partkey long, l_returnflag string, l_linestatus string").write.parquet(f"{tmp_path}/lineitem.parquet")
+    [got] = retrieval.context_pack_greedy(spark, str(tmp_path)).collect()
+    assert got.kept.split(" ") == ["part::0", f"part::{n - 1}"]
+    assert got.baseline > 100 * (n - 1)
