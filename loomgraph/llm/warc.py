@@ -28,8 +28,10 @@ REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-dig
 #: An archive is closed when its records reach this size; a larger record has an archive of its own.
 ARCHIVE_BYTES = 8 << 20
 DICTIONARY_BYTES = 32 << 10
-#: The dictionary is built from at most this much of an archive's records, spread evenly.
+LEAST_DICTIONARY = 256
+#: The dictionary is built from at most this much of an archive's records, in slices spread evenly over their bytes.
 TRAINING_BYTES = 1 << 20
+SLICE_BYTES = 2048
 REVISIT_LEAST = 100
 
 
@@ -55,17 +57,17 @@ def parse_record(data: bytes) -> tuple[dict[str, str], bytes]:
 
 
 def train_dictionary(records: list[bytes], size: int = DICTIONARY_BYTES) -> bytes:
-    """A dictionary from samples spread evenly over the records; empty if they are too few to train from."""
+    """A dictionary from slices spread evenly over the bytes of all records; smaller if those are few, empty without any."""
     import zstandard
 
-    total = sum(map(len, records))
-    step = max(1, -(-total // TRAINING_BYTES))
-    samples = [x[:16384] for x in records[::step]]
-    if len(samples) < 8 or sum(map(len, samples)) < 4 * size:
-        return b""
+    data = b"".join(records)
+    length = max(8, min(SLICE_BYTES, len(data) // 16))
+    n = min(-(-len(data) // length), TRAINING_BYTES // length)
+    samples = [data[at : at + length] for at in (i * len(data) // n for i in range(n))]
+    size = min(size, max(LEAST_DICTIONARY, sum(map(len, samples)) // 16))
     try:
         return zstandard.train_dictionary(size, samples, k=256, d=8).as_bytes()
-    except zstandard.ZstdError:
+    except zstandard.ZstdError:  # of some tens of bytes
         return b""
 
 
@@ -106,13 +108,15 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
     empty for null. Of pages with equal payloads of at least 100 bytes the one with
     the smallest identifier is the response (so are rows that repeat it), and the
     others are revisits without a payload; a null identifier is a revisit wherever
-    another page has one. An archive counts only if the manifest lists it, so those
+    another page has one. Small partitions are packed together, so that a task has
+    an archive's bytes on average. An archive counts only if the manifest lists it, so those
     of failed task attempts are ignored. Other columns are not read.
     """
     text = F.coalesce(F.col(payload_col), F.lit(""))
     base = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), text.alias("payload"), F.sha2(text, 256).alias("digest"), F.octet_length(text).alias("size"))
     first = base.where(F.col("size") >= REVISIT_LEAST).groupBy("digest").agg(F.min("id").alias("first"), F.count("*").alias("n"), F.max("id").alias("last")).where("n > 1").select("digest", "first")
     first = maybe_broadcast(written(first, "firsts"))
+    tasks = max(1, (base.agg(F.sum("size")).first()[0] or 0) // ARCHIVE_BYTES)
     judged = base.join(first, "digest", "left").withColumn("refers_to", F.when(F.col("first").isNotNull() & ~F.col("id").eqNullSafe(F.col("first")), F.col("first")))
 
     def write(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -144,7 +148,7 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
         if held:
             yield close()
 
-    return written(judged.select("id", "url", "payload", "digest", "size", "refers_to").mapInPandas(write, MANIFEST), "manifest")
+    return written(judged.select("id", "url", "payload", "digest", "size", "refers_to").coalesce(tasks).mapInPandas(write, MANIFEST), "manifest")
 
 
 RECORDS = "page_id long, url string, payload binary, payload_bytes long, payload_digest string, record_type string, refers_to long"

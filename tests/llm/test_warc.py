@@ -40,3 +40,22 @@ def test_pages(spark):
 def test_no_pages(spark):
     none = spark.createDataFrame([], "page_id long, url string, html string")
     assert write_archives(none, new_path(spark, "warc-test")).count() == 0
+
+
+def test_every_archive_has_a_dictionary():
+    rng = random.Random(2)
+    page = lambda n: " ".join(str(rng.random()) for _ in range(n // 19)).encode()
+    for count, size in ((40, 200_000), (1, 9_000_000), (1, 100), (1, 0), (20, 1000), (300, 500)):
+        records = [warc_record("response", i, "", "d", size, page(size)) for i in range(count)]
+        data = pack(records)
+        assert 0 < int.from_bytes(data[4:8], "little") <= 32 << 10
+        assert list(unpack(data)) == records
+
+
+def test_small_partitions_share_archives(spark):
+    rows = [(i, "u", f"page {i} " * 20) for i in range(64)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(16)
+    folder = new_path(spark, "warc-test")
+    manifest = write_archives(pages, folder)
+    assert [r.records for r in manifest.collect()] == [64]
+    assert {(r.page_id, bytes(r.payload).decode()) for r in read_archives(spark, folder, manifest).collect()} == {(i, html) for i, _, html in rows}
