@@ -89,14 +89,11 @@ def differing(n: int, percent: int) -> int:
 
 
 def signatures(s: np.ndarray, percent: int) -> np.ndarray:
-    """Signatures of the parts of a set, in its own band and, if it can be linked into it, in the next."""
+    """Signatures of the parts of a set, in its own band and in all larger ones that it can be linked into."""
     n = len(s)
     out = []
     if n:
-        own = _band(n)
-        for band in (own, own + 1):
-            if band > own and 100 * n < percent * (_top(own) + 1):
-                continue
+        for band in range(_band(n), _band(100 * n // percent) + 1):
             most = differing(_top(band), percent)
             if most < 1:
                 continue  # only equal sets are linked
@@ -345,7 +342,8 @@ def _across_tiles(sets: DataFrame, percent: int) -> list[DataFrame]:
 def join(docs: DataFrame, k: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id, n_shingles, component_id, node.
 
-    Sets a and b of k-word shingles link when 100 |a & b| >= percent |a | b|.
+    Sets a and b of k-word shingles link when 100 |a & b| >= percent |a | b|, for
+    any percent from 1 to 100; low ones have more signatures and larger families.
     ``component_id`` is the smallest identifier reachable by links, itself included.
     Null and empty texts, and those without words, have no shingles and link with
     nothing; a text with fewer than k words is one shingle. Repeated rows are linked
@@ -353,6 +351,8 @@ def join(docs: DataFrame, k: int = 4, percent: int = 85, id_col: str = "doc_id",
     other. ``node`` stands for the set itself. No documents: no rows. Other columns
     are not read.
     """
+    if not 1 <= percent <= 100:
+        raise ValueError("percent is from 1 to 100")
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     profiles = written(_profiles(docs, k, percent), "profiles")
     some = profiles.where("n > 0").select("row", "id", "k1", "k2")

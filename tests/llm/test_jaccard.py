@@ -86,3 +86,28 @@ def test_none_and_documents_that_stay(spark):
     assert kept.columns == docs.columns
     want = {c for _, n, c in brute(corpus(), 5, 80) if n}
     assert want - {None} <= {r.doc_id for r in kept.collect()}
+
+
+@pytest.mark.parametrize(("percent", "others"), [(60, []), (50, []), (50, corpus()[::4])])
+def test_low_percents_against_brute_force(spark, percent, others):
+    words = [f"v{i}" for i in range(21)]
+    docs = [*others, (1001, " ".join(words)), (1002, " ".join(words[:14])), (1003, " ".join(w + "x" for w in words)), (1004, " ".join([w + "x" for w in words][:13]))]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    got = sorted([(r.doc_id, r.n_shingles, r.component_id) for r in join(frame, 4, percent).collect()], key=repr)
+    assert got == brute(docs, 4, percent)
+    assert {d: c for d, _, c in got}[1002] == 1001
+
+
+def test_linked_sizes_share_a_band():
+    rng = np.random.default_rng(5)
+    for percent in (1, 10, 33, 50, 60, 70, 85):
+        for n in (1, 2, 3, 5, 11, 40):
+            b = np.unique(rng.integers(0, 2**64, 100 * n // percent, dtype=np.uint64))
+            a = np.sort(rng.choice(b, n, replace=False))
+            assert np.array_equal(a, b) or len(np.intersect1d(signatures(a, percent), signatures(b, percent)))
+
+
+def test_percents_out_of_range(spark):
+    for percent in (0, 101):
+        with pytest.raises(ValueError):
+            join(spark.createDataFrame([(1, "a")], "doc_id long, text string"), 4, percent)
