@@ -39,3 +39,12 @@ def possible(df: DataFrame, key: Column, bloom: DataFrame, blocks: int) -> DataF
     for w in range(WORDS):
         hit = hit.where(F.col(f"_w{w}").bitwiseAND(_mask(key, w)) != 0)
     return hit.select(*df.columns)
+
+
+def flagged(df: DataFrame, key: Column, bloom: DataFrame, blocks: int, name: str) -> DataFrame:
+    """All rows, with a column that says whether their key may be listed."""
+    probe = df.withColumn("_block", _block(key, blocks)).join(F.broadcast(bloom), "_block", "left")
+    hit = F.lit(True)
+    for w in range(WORDS):
+        hit = hit & (F.col(f"_w{w}").bitwiseAND(_mask(key, w)) != 0)
+    return probe.select(*df.columns, F.coalesce(hit, F.lit(False)).alias(name))

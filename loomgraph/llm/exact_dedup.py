@@ -1,17 +1,19 @@
 """Exact dedup (operator 3): a log-structured merge index of text digests, in DataFrame functions only.
 
 * Memtable: each scan task digests its rows, sorts them by digest and flushes them
-  as a run: a Parquet file with a Bloom filter of its digests in the footer.
-* Compaction: all runs merge into one level, a row for each digest with the
-  identifier to keep and the number of rows.
-* Hits: rows of digests with more than one row. Their texts are read again and
-  compared byte by byte; texts that only share a digest are grouped by the text
-  itself.
+  as a run. There may be any number of memtables.
+* Compaction: the level and the runs since merge into one level, a row for each
+  digest with the identifier to keep and the number of rows.
+* Hits: rows of digests with more than one row. The rows of all runs are probed with
+  a Bloom filter of those digests; what may be a hit meets the level in an exact
+  join. Texts of hits are read again and compared byte by byte; texts that only
+  share a digest are grouped by the text itself.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,39 +35,44 @@ class DigestIndex:
             raise ValueError("keep is smallest or largest")
         self.digest, self.pick = digest, F.min if keep == "smallest" else F.max
         self.runs: list[DataFrame] = []
+        self.fresh: list[DataFrame] = []
         self.level: DataFrame | None = None
 
     def flush(self, docs: DataFrame) -> DataFrame:
         """Write one sorted run for each scan task; nothing is shuffled."""
         rows = docs.select(self.digest(docs["_text"]).alias("digest"), docs["_id"].alias("id"))
-        options = {"parquet.bloom.filter.enabled#digest": "true", "parquet.bloom.filter.expected.ndv#digest": "1000000", "parquet.bloom.filter.adaptive.enabled#digest": "true"}
-        run = written(rows.sortWithinPartitions("digest"), "run", **options)
+        run = written(rows.sortWithinPartitions("digest"), "run")
         self.runs.append(run)
+        self.fresh.append(run)
         return run
 
+    def rows(self) -> DataFrame:
+        """The rows of all runs."""
+        return reduce(DataFrame.unionByName, self.runs)
+
     def compact(self) -> DataFrame:
-        """Merge all runs into one level: digest, id (to keep), rows, and copies (rows of that id)."""
-        rows = self.runs[0]
-        for run in self.runs[1:]:
-            rows = rows.unionByName(run)
-        each = rows.groupBy("digest", "id").agg(F.count("*").alias("n"))
-        merged = each.groupBy("digest").agg(self.pick("id").alias("keep"), F.sum("n").alias("size"), F.max("n").alias("most"))
-        level = written(merged.sortWithinPartitions("digest"), "level", **{"parquet.bloom.filter.enabled#digest": "true", "parquet.bloom.filter.adaptive.enabled#digest": "true"})
+        """Merge the level and the runs flushed since into one level: digest, keep (identifier) and size (rows)."""
+        parts = [run.groupBy("digest").agg(self.pick("id").alias("keep"), F.count("*").alias("size")) for run in self.fresh]
+        rows = reduce(DataFrame.unionByName, parts if self.level is None else [self.level, *parts])
+        if len(parts) > 1 or self.level is not None:
+            rows = rows.groupBy("digest").agg(self.pick("keep").alias("keep"), F.sum("size").alias("size"))
+        level = written(rows.sortWithinPartitions("digest"), "level")
+        self.fresh = []
         if self.level is not None:
             release(self.level)
         self.level = level
         return level
 
 
-def _unequal(index: DigestIndex, docs: DataFrame) -> DataFrame:
-    """Digests of hits whose texts are not all the same bytes.
+def _unequal(index: DigestIndex, docs: DataFrame, hits: DataFrame) -> DataFrame:
+    """Digests of hits whose texts are not all the same bytes; ``hits`` are the rows that may be some.
 
     Texts are equal if their smallest and their largest are, which each task can
     tell of its own rows first: a large group is not gathered anywhere.
     """
     many = index.level.where("size > 1").select("digest")
     name = lambda c: F.coalesce(c.cast("string"), F.lit("null"))
-    rows = index.runs[0].join(many, "digest", "left_semi").select(name(F.col("id")).alias("k")).distinct()
+    rows = hits.join(many, "digest", "left_semi").select(name(F.col("id")).alias("k")).distinct()
     # only texts that may be hits are moved: the filter of their identifiers is probed in the scan
     table, blocks = bloom.build(written(rows, "hits"), "k")
     texts = bloom.possible(docs, name(docs["_id"]), table, blocks)
@@ -73,29 +80,38 @@ def _unequal(index: DigestIndex, docs: DataFrame) -> DataFrame:
     return ends.where("a <> b").select("digest")
 
 
-def resolve(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "smallest", digest: Callable[[Column], Column] = sha256) -> DataFrame:
+def resolve(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "smallest", digest: Callable[[Column], Column] = sha256, later: Sequence[DataFrame] = ()) -> DataFrame:
     """One row per document: id, keep_id, group_size, kept, digest.
 
     Texts are equal when identical after lower-casing A-Z only; null counts as
     empty. ``keep`` says whether the smallest or the largest identifier stays; a
     null identifier stays only in groups without any other. Rows that repeat both
     identifier and text are a group too, and one of them stays. An empty table
-    gives no rows. Columns other than the two named are not read.
+    gives no rows. Columns other than the two named are not read. Documents that
+    came ``later`` are further memtables, each flushed and merged into the level.
     """
-    docs = docs.select(F.col(id_col).alias("_id"), lower_az(F.col(text_col)).alias("_text"))
+    memtables = [d.select(F.col(id_col).alias("_id"), lower_az(F.col(text_col)).alias("_text")) for d in (docs, *later)]
+    docs = reduce(DataFrame.unionByName, memtables)
     index = DigestIndex(digest, keep)
-    run, level = index.flush(docs), index.compact()
-    each = run.groupBy("digest", "id").agg(F.count("*").alias("n"))
+    for memtable in memtables:
+        index.flush(memtable)
+        level = index.compact()
+    # rows that the filter of the level's hits does not pass are alone with their digest, and are not moved
+    table, blocks = bloom.build(level.where("size > 1"), "digest")
+    probed = bloom.flagged(index.rows(), F.col("digest"), table, blocks, "_maybe")
+    hits = probed.where("_maybe").drop("_maybe")
+    each = hits.groupBy("digest", "id").agg(F.count("*").alias("n"))
     bad = None
     if level.where("size > 1").head(1):
-        checked = written(_unequal(index, docs), "unequal")
+        checked = written(_unequal(index, docs, hits), "unequal")
         bad = checked if checked.head(1) else None
     many = level.where("size > 1").select("digest", "keep", "size")
     if bad is not None:
         many = many.join(bad, "digest", "left_anti")
         each = each.join(bad, "digest", "left_anti")
     rows = each.join(many, "digest", "left")
-    same = rows.select("id", F.when(F.col("size").isNull(), F.col("id")).otherwise(F.col("keep")).alias("keep_id"), F.coalesce("size", "n").alias("group_size"), "n", "digest")
+    single = probed.where("not _maybe").select("id", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(1).cast("long").alias("n"), "digest")
+    same = rows.select("id", F.when(F.col("size").isNull(), F.col("id")).otherwise(F.col("keep")).alias("keep_id"), F.coalesce("size", "n").alias("group_size"), "n", "digest").unionByName(single)
     if bad is not None:
         # texts that share a digest without being equal: the text itself is the key
         texts = docs.withColumn("digest", digest(docs["_text"])).join(bad, "digest", "left_semi")

@@ -1,7 +1,8 @@
 import hashlib
 from collections import defaultdict
 
-from loomgraph.llm.exact_dedup import deduplicate, resolve
+from loomgraph.llm import bloom
+from loomgraph.llm.exact_dedup import DigestIndex, deduplicate, resolve
 from pyspark.sql import functions as F
 
 ROWS = [(1, "Abc", "a"), (2, "aBC", "b"), (3, "ÉA", "c"), (4, "éA", "d"), (5, None, "e"), (6, "", "f"), (7, "x" * 200_000, "g"), (8, "X" * 200_000, "h"), (9, "solo", "i"), (9, "solo", "i"), (9, "other", "j"), (None, "abc", "k"), (None, "null id", "l"), (11, "abc", "m")]
@@ -54,3 +55,33 @@ def test_empty_and_documents_that_stay(spark):
     assert stay.columns == docs.columns
     kept = sorted([r[0] for r in brute(ROWS, max) if r[3]], key=repr)
     assert sorted([r.doc_id for r in stay.collect()], key=repr) == kept
+
+
+def test_several_memtables(spark):
+    docs = spark.createDataFrame(ROWS[:5], SCHEMA)
+    later = [spark.createDataFrame(x, SCHEMA) for x in (ROWS[5:10], [], ROWS[10:])]
+    assert got(resolve(docs, keep="largest", later=later)) == brute(ROWS, max)
+    weak = lambda t: F.substring(F.unhex(F.sha2(t, 256)), 1, 0)  # noqa: E731  all texts share it
+    found = [tuple(r)[:4] for r in resolve(docs, keep="largest", digest=weak, later=later).collect()]
+    assert sorted(found, key=repr) == sorted([(i, k, n, kept) for i, k, n, kept, _ in brute(ROWS, max)], key=repr)
+
+
+def test_an_index_of_two_flushes(spark):
+    docs = spark.createDataFrame(ROWS, SCHEMA).select(F.col("doc_id").alias("_id"), F.coalesce("text", F.lit("")).alias("_text"))
+    index = DigestIndex()
+    for part in (docs.where("_id < 5"), docs.where("_id >= 5"), docs.where("_id is null")):
+        index.flush(part)
+        index.compact()
+    assert index.rows().count() == len(ROWS)
+    assert index.level.agg(F.sum("size")).first()[0] == len(ROWS)
+    alone = dict(index.level.where("size > 1").select(F.hex("digest"), "size").collect())
+    assert set(alone.values()) == {2}
+
+
+def test_only_hits_pass_the_filter(spark):
+    docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), F.col("id") % 2999).alias("text"))
+    table, blocks = bloom.build(docs.where("doc_id in (0, 2999)"), "text")
+    rows = bloom.flagged(docs, F.col("text"), table, blocks, "maybe")
+    assert rows.count() == 3000 and {r.doc_id for r in rows.where("maybe").collect()} >= {0, 2999}
+    assert rows.where("maybe").count() < 100
+    assert resolve(docs).where("group_size > 1").count() == 2
