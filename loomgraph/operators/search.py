@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from loomgraph.session import written
+
 from loomgraph.functions.text import expanded, tokens
 
 #: Fixed values of the ranking formulas.
@@ -95,41 +97,48 @@ def search(index: TextIndex, queries: DataFrame, limit: int = 20) -> DataFrame:
 def vector_topk(vectors: DataFrame, queries: DataFrame, limit: int = 20, block: int = 1024) -> DataFrame:
     """(query_id, id, score, rank): the largest dot products of stated queries with all rows, exactly.
 
-    ``vectors`` (id, embedding), ``queries`` (query_id, embedding). Queries are taken
-    in blocks of a fixed number, each sent to all tasks; a task keeps the best of
-    its rows, and only those are shuffled.
+    ``vectors`` (id, embedding), ``queries`` (query_id, embedding). Queries are
+    written as blocks of at most a fixed number into the shared folder, where tasks
+    read them block by block; a task keeps the best of its rows, and only those are
+    shuffled. Neither the driver nor a task holds more than one block.
     """
-    numbered = queries.orderBy("query_id").toLocalIterator()
-    parts: list[DataFrame] = []
-    schema = "query_id long, id long, score double"
-
-    def best(names: list[int], matrix: np.ndarray) -> DataFrame:
-        def top(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for batch in batches:
-                if not len(batch):
-                    continue
-                ids = batch["id"].to_numpy()
-                scores = np.stack(batch["embedding"].to_numpy()).astype(np.float64) @ matrix.T
+    asked = queries.select(F.col("query_id").cast("long"), "embedding").where("embedding is not null")
+
+    def pack(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for i in range(0, len(batch), block):
+                some = batch.iloc[i : i + block]
+                yield pd.DataFrame({"names": [some["query_id"].to_numpy()], "matrix": [np.stack(some["embedding"].to_numpy()).astype(np.float64).tobytes()]})
+
+    n = max(1, -(-asked.count() // block))
+    blocks = written(asked.repartition(n).mapInPandas(pack, "names array<long>, matrix binary"), "queries").shared_path
+
+    def stored() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        from pyarrow import fs, parquet
+
+        store, where = fs.FileSystem.from_uri(blocks)
+        for info in store.get_file_info(fs.FileSelector(where)):
+            if info.path.endswith(".parquet"):
+                with store.open_input_file(info.path) as file:
+                    for rows in parquet.ParquetFile(file).iter_batches(batch_size=1):
+                        for names, matrix in zip(rows["names"], rows["matrix"], strict=True):
+                            ids = names.values.to_numpy()
+                            yield ids, np.frombuffer(matrix.as_py(), np.float64).reshape(len(ids), -1)
+
+    def top(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if not len(batch):
+                continue
+            ids = batch["id"].to_numpy()
+            rows = np.stack(batch["embedding"].to_numpy()).astype(np.float64)
+            for names, matrix in stored():
+                scores = rows @ matrix.T
                 order = np.lexsort((np.broadcast_to(ids[:, None], scores.shape), -scores), axis=0)[:limit]
                 k = len(order)
                 yield pd.DataFrame({"query_id": np.tile(names, k), "id": ids[order].ravel(), "score": np.take_along_axis(scores, order, 0).ravel()})
 
-        return vectors.select("id", "embedding").where("embedding is not null").mapInPandas(top, schema)
-
-    names: list[int] = []
-    rows: list[list[float]] = []
-    for q in numbered:
-        names.append(q["query_id"])
-        rows.append(q["embedding"])
-        if len(names) == block:
-            parts.append(best(names, np.array(rows, np.float64)))
-            names, rows = [], []
-    if names or not parts:
-        parts.append(best(names, np.array(rows, np.float64)) if names else vectors.sparkSession.createDataFrame([], schema))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return ranked(out, limit)
+    found = vectors.select("id", "embedding").where("embedding is not null").mapInPandas(top, "query_id long, id long, score double")
+    return ranked(found, limit)
 
 
 def fuse(*lists: DataFrame, limit: int = 20, k: int = RRF_K) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from loomgraph import schema
 from loomgraph.operators import changes, context, feeds, ranking, relational, resolve, search, traversal
@@ -162,3 +163,20 @@ def test_packs_look_beyond_the_millionth_symbol(spark, tmp_path):
     [got] = retrieval.context_pack_greedy(spark, str(tmp_path)).collect()
     assert got.kept.split(" ") == ["part::0", f"part::{n - 1}"]
     assert got.baseline > 100 * (n - 1)
+
+
+def test_vectors_in_blocks_without_the_driver(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    e = rng.integers(-9, 9, (90, 5)).astype(float)
+    rows = [(i, x.tolist()) for i, x in enumerate(e)]
+    vectors = spark.createDataFrame([*rows, (500, None)], "id long, embedding array<double>").repartition(3)
+    queries = vectors.where("id % 3 = 0").select(F.col("id").alias("query_id"), "embedding")
+    with monkeypatch.context() as m:
+        m.setattr(type(queries), "toLocalIterator", None)
+        m.setattr(type(queries), "collect", None)
+        found = search.vector_topk(vectors, queries, 4, block=7)
+    assert found._jdf.queryExecution().analyzed().toString().count("MapInPandas") == 1
+    got = sorted((r.query_id, r["rank"], r.id, r.score) for r in found.collect())
+    want = [(q, k + 1, i, -s) for q in range(0, 90, 3) for k, (s, i) in enumerate(sorted((-float(e[q] @ e[i]), i) for i in range(90))[:4])]
+    assert got == want
+    assert search.vector_topk(vectors, queries.limit(0)).count() == 0
