@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import string
+from collections.abc import Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -38,3 +40,8 @@ def read(spark, sf_dir: str, table: str) -> DataFrame:
 def remainder(doc_id: Column) -> Column:
     """crc32 of the identifier's text, mod 3; a null identifier counts as empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 3
+
+
+def row_slices(batches: Iterable[pa.RecordBatch], rows: int = 64) -> Iterator[pa.RecordBatch]:
+    """Arrow batches in slices of few rows, so that a worker never has more texts than these as Python strings."""
+    return (b.slice(i, rows) for b in batches for i in range(0, b.num_rows, rows))

@@ -1,44 +1,49 @@
 """SentencePiece encoding and decoding (operator 10) through a relational lattice.
 
-Texts are cut into words that no piece spans. For each distinct word its substrings
-of bounded length are exploded and equi-joined with the piece table; the hits are the
-edges of the word's lattice. Edges are grouped by word, and a higher-order aggregate
-folds them into the word's pieces:
-
-* ``unigram`` models: Viterbi, the path with the largest sum of scores;
-* ``bpe`` models: scores are merge ranks, and the path with the largest sum is not what
-  the model means; there the fold merges, again and again, the two neighbours whose
-  joint piece has the best score (the leftmost of equals).
-
-Documents are then encoded by looking their words up.
+1. Texts are cut into words at every place that no piece spans. A task does so for a
+   block of documents at a time: each document becomes codes of the block's words.
+2. The words of all blocks meet by shuffle, so that each is folded once for thousands of
+   blocks. Its substrings of bounded length are exploded and equi-joined with the piece
+   table; the hits, grouped by word and sorted by their ends, are the edges of its lattice.
+3. One higher-order aggregate runs Viterbi over the edges: it keeps, for each place of the
+   word, the best way to get there, and a second one walks back. For ``unigram`` models a
+   way is better if its sum of scores is larger. For ``bpe`` models, whose scores are merge
+   ranks and do not add up, a step from one piece to the next is either possible or not:
+   it is not if merging would have joined symbols across the place where they meet. Of all
+   ways just one is possible, and it is what merging gives.
+4. Identifiers go back to their blocks by shuffle, and documents look up their codes.
 """
 
 from __future__ import annotations
 
 import heapq
+import math
 import re
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
-from functools import lru_cache
-from itertools import islice
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import read
-from loomgraph.session import written
+from loomgraph.llm.common import read, row_slices
+from loomgraph.session import new_path, written
 
 SPACE = "▁"
-#: The fold keeps the places where pieces meet as bits of a long, so longer words are folded by ``merge_long``.
-LONG = 60
-#: Words that one task folds.
-WORDS_PER_TASK = 20_000
-#: Words that a task looks up at most (about 25 bytes each); corpora with more are taken in blocks of documents.
-MAX_WORDS = 8_000_000
-#: Documents that a task encodes at once, which bounds its memory.
-DOCS_AT_ONCE = 256
+#: Words over so many characters do not fit one row with all their edges; ``merge_long`` and ``best_long`` fold them by the same rule.
+LONG = 2_000
+#: A block of documents ends after the document with which it has so many distinct words.
+BLOCK_WORDS = 200_000
+#: Words in one row on their way to the lattice.
+WORDS_A_ROW = 1_024
+#: A word is folded once for so many blocks, which bounds the list of places that it came from.
+BLOCKS_TOGETHER = 4_096
+#: Documents that a task works on at once, which bounds its memory.
+DOCS_AT_ONCE = 64
 UNKNOWN_PENALTY = 10.0
 
 
@@ -48,6 +53,20 @@ def default_model() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+@dataclass(frozen=True)
+class Symbol:
+    """A symbol at one end of a piece while merging makes the piece, by the ranks of the piece's merges.
+
+    n: its characters; made, used: the worst rank so far when it is made and when it is
+    used up; peak: the worst rank after it is made, up to the merge that uses it up.
+    """
+
+    n: int
+    peak: float
+    made: float
+    used: float
+
+
 @dataclass(frozen=True)
 class Pieces:
     """The piece table of a model: pieces that text can become, their scores, and how to spell the rest."""
@@ -59,38 +78,65 @@ class Pieces:
     unknown: int
     names: tuple[str, ...]
 
-    @property
+    @cached_property
     def longest(self) -> int:
         return max(map(len, self.ids), default=1)
 
-    @property
+    @cached_property
     def least(self) -> float:
         return min(self.scores.values(), default=0.0)
 
-    def frame(self, spark: SparkSession) -> DataFrame:
-        return spark.createDataFrame([(p, i, float(self.scores[p]), self.late(p)) for p, i in self.ids.items()], "piece string, id int, score double, late boolean")
+    @cached_property
+    def spanned(self) -> frozenset[str]:
+        """Neighbouring characters that are in some piece; a text may be cut between all others."""
+        return frozenset(a + b for p in self.ids for a, b in zip(p, p[1:], strict=False))
+
+    def made(self, piece: str) -> tuple[bool, list[Symbol], list[Symbol]]:
+        """Whether merging makes the piece of its characters, and the symbols at its left and at its right end on the way."""
+        ends = list(range(1, len(piece) + 1))  # of the symbols so far; they start where the one before ends
+        born, died, ranks = {(i, i + 1): 0 for i in range(len(piece))}, {}, []
+        while len(ends) > 1:
+            starts = [0, *ends[:-1]]
+            able = [(-self.scores[piece[starts[k] : ends[k + 1]]], k) for k in range(len(ends) - 1) if piece[starts[k] : ends[k + 1]] in self.scores]
+            if not able:
+                break
+            rank, k = min(able)
+            ranks.append(rank)
+            died[starts[k], ends[k]] = died[ends[k], ends[k + 1]] = born[starts[k], ends[k + 1]] = len(ranks)
+            del ends[k]
+
+        def symbol(a: int, b: int) -> Symbol:
+            start, end = born[a, b], died.get((a, b))
+            used, peak = (max(ranks[:end]), max(ranks[start:end])) if end else (math.inf, math.inf)
+            return Symbol(b - a, peak, max(ranks[:start], default=-math.inf), used)
+
+        return len(ends) == 1, [symbol(a, b) for a, b in born if a == 0], [symbol(a, b) for a, b in born if b == len(piece)]
 
-    def late(self, piece: str) -> bool:
-        """Whether the piece can be made of two symbols of which one has a worse score than the piece itself."""
-        own = self.scores[piece]
-        halves = ((piece[:k], piece[k:]) for k in range(1, len(piece)))
-        whole = lambda h: len(h) == 1 or h in self.scores
-        return any(whole(a) and whole(b) and any(len(h) > 1 and self.scores[h] <= own for h in (a, b)) for a, b in halves)
+    def frame(self, spark: SparkSession) -> DataFrame:
+        """piece, id, score, usable (whether an encoding can have it), left and right (for bpe: its ends while it is made)."""
+        rows = []
+        for p, i in self.ids.items():
+            usable, left, right = self.made(p) if self.kind == "bpe" else (True, [], [])
+            rows.append((p, i, float(self.scores[p]), usable, *([(s.n, s.peak, s.made, s.used) for s in side] for side in (left, right))))
+        return spark.createDataFrame(rows, f"piece string, id int, score double, usable boolean, left {_SYMBOLS}, right {_SYMBOLS}")
 
     def alone(self) -> str:
         """White space that is in no longer piece."""
         return "".join(c for c in "\n\r\t\x0b\x0c" if not any(c in p for p in self.ids if len(p) > 1))
 
     def words(self) -> str:
-        """A pattern of the words that ``cuts`` leaves."""
+        """A pattern of words, which ``parts`` cuts further."""
         alone = self.alone()
         return f"{SPACE}+[^{SPACE}{alone}]*|[^{SPACE}{alone}]+" + (f"|[{alone}]" if alone else "")
 
-    def cuts(self) -> str:
-        """A pattern of places where words end: before a run of spaces, and around white space that stands alone."""
-        alone = self.alone()
-        around = f"|(?<=[{alone}])|(?=[{alone}])" if alone else ""
-        return f"(?<=[^{SPACE}])(?={SPACE}){around}"
+    def parts(self, word: str) -> list[str]:
+        """A word cut wherever no piece spans two neighbouring characters."""
+        spanned = self.spanned
+        cuts = [i for i, (a, b) in enumerate(zip(word, word[1:], strict=False), 1) if a + b not in spanned]
+        return [word[a:b] for a, b in zip([0, *cuts], [*cuts, len(word)], strict=True)] if cuts else [word]
+
+
+_SYMBOLS = "array<struct<n:int,peak:double,made:double,used:double>>"
 
 
 def load(path: str | None = None, kind: str = "bpe") -> Pieces:
@@ -107,12 +153,6 @@ def load(path: str | None = None, kind: str = "bpe") -> Pieces:
     return Pieces(kind, plain, {p: sp.get_score(i) for p, i in plain.items()}, byte_ids, sp.unk_id(), tuple(names))
 
 
-def prepared(text: Column) -> Column:
-    """What the model sees: spaces marked, and one before the text; an empty or null text stays empty."""
-    text = F.coalesce(text, F.lit(""))
-    return F.when(text == "", "").otherwise(F.concat(F.lit(SPACE), F.replace(text, F.lit(" "), F.lit(SPACE))))
-
-
 def _spelled(char: Column, pieces: Pieces) -> Column:
     """Identifiers of a character that is no piece: its bytes, or the unknown piece."""
     if not pieces.byte_ids:
@@ -123,73 +163,67 @@ def _spelled(char: Column, pieces: Pieces) -> Column:
     return F.transform(at, lambda k: F.get(table, F.conv(F.substr(code, k * 2 + 1, F.lit(2)), 16, 10).cast("int")))
 
 
-def _bit(at: Column) -> Column:
-    return F.call_function("shiftleft", F.lit(1).cast("long"), at)
-
-
-def _can(places: Column, e: Column) -> Column:
-    """Whether two neighbours can become this piece: its ends are places where pieces meet, and one such place is inside."""
-    return (places.bitwiseAND(e["ends"]) == e["ends"]) & (F.bit_count(places.bitwiseAND(e["inside"])) == 1)
-
-
-def _without(places: Column, inside: Column) -> Column:
-    return places.bitwiseAND(F.bitwise_not(inside))
+def _parted(last: Column, edge: Column, crossing: Column) -> Column:
+    """Whether merging keeps the last piece and the next one apart.
 
+    It does unless a piece that crosses the place between them is made of two symbols
+    that stand there. They must be there at once, and its rank must come up before one
+    of them is used up: the worst rank of the merges in between says whether it does.
+    Of equal ranks the leftmost merge goes first.
+    """
+    here = edge["start"]
 
-def _merged_once(longer: Column, late: Column, n: Column) -> Column:
-    """Places where the pieces of a word meet: best-scored neighbours merged until none is a piece.
+    def joins(c: Column) -> Column:
+        def left(x: Column) -> Column:
+            def right(y: Column) -> Column:
+                meet = (x["used"] > y["made"]) & (y["used"] >= x["made"])
+                first = c["rank"] < F.when(y["made"] < x["made"], x["peak"]).otherwise(x["used"])
+                second = c["rank"] <= F.when(y["made"] < x["made"], y["used"]).otherwise(y["peak"])
+                return (y["n"] == c["end"] - here) & meet & F.when(x["used"] <= y["used"], first).otherwise(second)
 
-    ``longer`` holds the pieces of two characters or more, best first (the leftmost of
-    equals), each with the bits of its two ends and of the places inside; ``late``
-    those of them that have a half of a worse score. One pass over the pieces, best
-    first, is right unless a merge makes a better piece possible that was passed by.
-    That piece must be a late one; then bit 0 is set.
-    """
+            return (x["n"] == here - c["start"]) & F.exists(edge["left"], right)
 
-    def once(places: Column, e: Column) -> Column:
-        after = _without(places, e["inside"])
-        doubt = F.exists(late, lambda f: (f["rank"] < e["rank"]) & _can(after, f))
-        return F.when(_can(places, e), F.when(doubt, after.bitwiseOR(F.lit(1).cast("long"))).otherwise(after)).otherwise(places)
+        return (c["start"] < here) & (c["end"] > here) & (c["end"] <= edge["end"]) & F.exists(last["right"], left)
 
-    return F.aggregate(longer, _bit(n + 2) - 2, once)
+    return ~F.exists(crossing, joins)
 
 
-def _settled(quick: Column, longer: Column, n: Column) -> Column:
-    """The same places, found anew for a word in doubt: the best piece is looked for at every merge."""
+def _merged(edges: Column, crossing: Column) -> Column:
+    """For each place of a word the piece that ends there when merging has encoded all before it."""
+    start = F.array(F.struct(F.lit(0).alias("start"), F.array().cast("array<int>").alias("ids"), F.array().cast(_SYMBOLS).alias("right")))
 
-    def slowly(places: Column, _: Column) -> Column:
-        best = F.get(F.filter(longer, lambda e: _can(places, e)), F.lit(0))
-        return _without(places, F.coalesce(best["inside"], F.lit(0).cast("long")))
+    def step(best: Column, e: Column) -> Column:
+        way = F.struct(e["start"].alias("start"), e["ids"].alias("ids"), e["right"].alias("right"))
+        return F.when((F.size(best) > e["end"]) | ~_parted(F.get(best, e["start"]), e, crossing), best).otherwise(F.array_append(best, way))
 
-    return F.when(quick.bitwiseAND(F.lit(1).cast("long")) == 0, quick).otherwise(F.aggregate(F.sequence(F.lit(1), n), _bit(n + 2) - 2, slowly))
+    return F.aggregate(edges, start, step)
 
 
-def _places(bits: Column, n: Column) -> Column:
-    return F.filter(F.sequence(F.lit(1), n + 1), lambda p: bits.bitwiseAND(_bit(p)) != 0)
+def _best(edges: Column) -> Column:
+    """For each place of a word the piece that ends there on the path with the largest sum of scores; of equal sums, the shortest."""
+    start = F.array(F.struct(F.lit(0).alias("start"), F.array().cast("array<int>").alias("ids"), F.lit(0.0).alias("score")))
 
+    def step(best: Column, e: Column) -> Column:
+        way = F.struct(e["start"].alias("start"), e["ids"].alias("ids"), (F.get(best, e["start"])["score"] - e["rank"]).alias("score"))
+        new = F.size(best) == e["end"]
+        return F.when(new, F.array_append(best, way)).when(way["score"] > F.get(best, e["end"])["score"], F.array_append(F.slice(best, F.lit(1), e["end"]), way)).otherwise(best)
 
-def _best_path(edges: Column, n: Column, least: float) -> Column:
-    """The same for the path with the largest sum of scores; of equal sums the one with the shorter last piece."""
-    start = F.array(F.struct(F.lit(0.0).alias("score"), F.lit(0).alias("from")))
-    miss = F.lit(least - UNKNOWN_PENALTY)
+    return F.aggregate(edges, start, step)
 
-    def step(best: Column, end: Column) -> Column:
-        ends = F.filter(edges, lambda e: e["at"] + e["len"] - 1 == end)
-        ways = F.transform(ends, lambda e: F.struct((F.get(best, e["at"] - 1)["score"] + e["score"]).alias("score"), e["at"].alias("from")))
-        spell = F.when(F.exists(ends, lambda e: e["len"] == 1), F.array()).otherwise(F.array(F.struct((F.get(best, end - 1)["score"] + miss).alias("score"), end.cast("int").alias("from"))))
-        return F.array_append(best, F.array_max(F.concat(ways, spell)))
 
-    best = F.aggregate(F.sequence(F.lit(1), n), start, step)
+def _walked_back(best: Column, n: Column) -> Column:
+    """Identifiers on the path that ends at the last place."""
+    start = F.struct(n.alias("at"), F.array().cast("array<int>").alias("ids"))
 
-    def back(starts: Column, _: Column) -> Column:
-        first = F.get(starts, F.lit(0))
-        return F.when(first <= 1, starts).otherwise(F.concat(F.array(F.get(best, first - 1)["from"]), starts))
+    def back(path: Column, _: Column) -> Column:
+        piece = F.get(best, path["at"])
+        return F.when(path["at"] == 0, path).otherwise(F.struct(piece["start"].alias("at"), F.concat(piece["ids"], path["ids"]).alias("ids")))
 
-    return F.aggregate(F.sequence(F.lit(1), n), F.array(n + 1), back)
+    return F.aggregate(F.sequence(F.lit(1), n), start, back)["ids"]
 
 
 def merge_long(word: str, pieces: Pieces) -> list[int]:
-    """The same merges for a long word, with a heap; the answer does not depend on the length."""
+    """The merges of a word of any length, with a heap."""
     n = len(word)
     left, right, end = list(range(-1, n - 1)), list(range(1, n + 1)), list(range(1, n + 1))
     alive = [True] * n
@@ -222,7 +256,7 @@ def merge_long(word: str, pieces: Pieces) -> list[int]:
 
 
 def best_long(word: str, pieces: Pieces) -> list[int]:
-    """The best path of a long word."""
+    """The best path of a word of any length."""
     best: list[tuple[float, int]] = [(0.0, 0)]
     for e in range(1, len(word) + 1):
         ways = [(best[i][0] + pieces.scores[word[i:e]], i) for i in range(max(0, e - pieces.longest), e) if word[i:e] in pieces.scores]
@@ -243,73 +277,121 @@ def spell(piece: str, pieces: Pieces) -> list[int]:
     return [pieces.byte_ids[b] for b in piece.encode()] if pieces.byte_ids else [pieces.unknown]
 
 
-def lattice(words: DataFrame, pieces: Pieces) -> DataFrame:
-    """(word, ids) of distinct words: substrings joined with the piece table, edges grouped and folded.
+def lattice(words: DataFrame, pieces: Pieces, keys: tuple[str, ...] = ("word",), carried: str | None = None) -> DataFrame:
+    """keys, ids (and a carried column) of distinct non-empty words: substrings joined with the piece table, edges grouped and folded.
 
-    Words are dealt out once; exploding and joining with the broadcast table leaves
-    them where they are, so grouping the edges moves nothing.
+    Where words are dealt out by their keys, exploding and joining with the broadcast
+    table leave them where they are, and grouping the edges moves nothing.
     """
     table = F.broadcast(pieces.frame(words.sparkSession))  # as large as the model
-    words = words.repartition(words.count() // WORDS_PER_TASK + 1, "word")
-    short = words.where(F.length("word") <= LONG)
-    at = short.select("word", F.explode(F.sequence(F.lit(1), F.length("word"))).alias("at"))
-    cut = at.select("word", "at", F.explode(F.sequence(F.lit(1), F.least(F.lit(pieces.longest), F.length("word") - F.col("at") + 1))).alias("len"))
-    cut = cut.withColumn("piece", F.substr("word", "at", "len"))
-    # the first character stays even if it is no piece, so that no word is lost
-    edges = cut.join(table, "piece", "left").where("id is not null or (at = 1 and len = 1)")
-    edge = F.when(F.col("id").isNotNull(), F.struct("at", "len", "score", "id", "late"))
-    grouped = edges.groupBy("word").agg(F.collect_list(edge).alias("edges")).withColumn("n", F.length("word"))
-    place = F.transform("edges", lambda e: e["at"] * 1024 + e["len"])
-    # these are columns of their own, used and passed on, so that they are made once for a word
-    known = F.map_from_arrays(place, F.transform("edges", lambda e: e["id"]))
-    inside = lambda e: _bit(e["at"] + e["len"]) - _bit(e["at"] + 1)
-    longer = F.sort_array(F.transform(F.filter("edges", lambda e: e["len"] > 1), lambda e: F.struct((-e["score"]).alias("rank"), e["at"].alias("at"), _bit(e["at"]).bitwiseOR(_bit(e["at"] + e["len"])).alias("ends"), inside(e).alias("inside"), e["late"].alias("late"))))
-    grouped = grouped.withColumns({"known": known, "longer": longer})
+    n = F.length("word")
+    others = [carried] if carried else []
+    at = words.where(n <= LONG).select(*keys, *others, F.explode(F.sequence(F.lit(0), n - 1)).alias("start"))
+    cut = at.select(*keys, *others, "start", F.explode(F.sequence(F.col("start") + 1, F.least(F.col("start") + pieces.longest, n))).alias("end"))
+    cut = cut.withColumn("piece", F.substr("word", F.col("start") + 1, F.col("end") - F.col("start")))
+    # a single character is an edge even if it is no piece
+    single = F.col("end") - F.col("start") == 1
+    edges = cut.join(table, "piece", "left").where(F.col("id").isNotNull() | single)
+    still = F.array(F.struct(F.lit(1).alias("n"), F.lit(math.inf).alias("peak"), F.lit(-math.inf).alias("made"), F.lit(math.inf).alias("used"))).cast(_SYMBOLS)
+    edge = F.struct(
+        "end", "start",
+        (-F.coalesce("score", F.lit(pieces.least - UNKNOWN_PENALTY))).alias("rank"),
+        F.when(F.col("id").isNull(), _spelled(F.col("piece"), pieces)).otherwise(F.array("id")).alias("ids"),
+        (F.coalesce("usable", F.lit(True)) | single).alias("usable"),
+        F.when(single, still).otherwise(F.col("left")).alias("left"),
+        F.when(single, still).otherwise(F.col("right")).alias("right"),
+    )
+    lists = [F.collect_list(edge).alias("edges")]
+    if carried:  # one of the edges carries it
+        lists.append(F.first(F.when(F.col("end") == 1, F.col(carried)), ignorenulls=True).alias(carried))
+    grouped = edges.groupBy(*keys).agg(*lists)
+    # edges by their ends, and of one end the shorter first
+    order = F.array_sort("edges", lambda a, b: F.when(a["end"] == b["end"], b["start"] - a["start"]).otherwise(a["end"] - b["end"]))
+    grouped = grouped.select(*keys, *others, order.alias("edges"), n.alias("n"))
     if pieces.kind == "bpe":
-        late = F.filter("longer", lambda e: e["late"])
-        quick = grouped.select("word", "known", "longer", "n", _merged_once(F.col("longer"), late, F.col("n")).alias("quick"))
-        bits = quick.select("word", "known", "n", _settled(F.col("quick"), F.col("longer"), F.col("n")).alias("bits"))
-        merged = bits.select("word", "known", _places(F.col("bits"), F.col("n")).alias("starts"))
+        ways = grouped.select(*keys, *others, "n", F.filter("edges", lambda e: e["usable"]).alias("edges"), F.filter("edges", lambda e: e["end"] - e["start"] > 1).alias("crossing"))
+        ways = ways.select(*keys, *others, "n", _merged(F.col("edges"), F.col("crossing")).alias("best"))
     else:
-        merged = grouped.select("word", "known", "longer", _best_path(F.col("edges"), F.col("n"), pieces.least).alias("starts"))
-    folded = merged.select("word", "known", "starts")
-    known = F.col("known")
-
-    def ids(j: Column) -> Column:
-        first, n = F.get("starts", j), F.get("starts", j + 1) - F.get("starts", j)
-        own = F.try_element_at(known, first * 1024 + n)
-        return F.coalesce(F.when(own.isNotNull(), F.array(own)), _spelled(F.substr("word", first, n), pieces))
-
-    done = folded.select("word", F.flatten(F.transform(F.sequence(F.lit(0), F.size("starts") - 2), ids)).alias("ids"))
+        ways = grouped.select(*keys, *others, "n", _best(F.col("edges")).alias("best"))
+    done = ways.select(*keys, *others, _walked_back(F.col("best"), F.col("n")).alias("ids"))
 
     def long(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         fold = merge_long if pieces.kind == "bpe" else best_long
         for batch in batches:
-            yield pd.DataFrame({"word": batch["word"], "ids": [fold(w, pieces) for w in batch["word"]]})
+            yield batch.assign(ids=[fold(w, pieces) for w in batch["word"]])
 
-    return done.unionByName(words.where(F.length("word") > LONG).mapInPandas(long, "word string, ids array<int>"))
+    rest = words.where(n > LONG).select(*keys, *others)
+    schema = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in rest.schema), "ids array<int>"])
+    return done.unionByName(rest.mapInPandas(long, schema))
 
 
-@lru_cache(maxsize=1)
-def _words_at(path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes (sorted), starts, sizes and identifiers of the encoded words in a shared folder; kept by a worker, so in small types."""
-    import pyarrow.dataset as ds
-    from pyarrow import fs
+class _Block:
+    """The words of a block of documents and their codes."""
 
-    store, where = fs.FileSystem.from_uri(path)
-    table = ds.dataset(where, filesystem=store, format="parquet").to_table(columns=["h", "ids"])
-    h = table["h"].to_numpy()
-    ids = table["ids"].combine_chunks()
-    if hasattr(ids, "chunks"):
-        import pyarrow as pa
-
-        ids = pa.concat_arrays(ids.chunks) if ids.num_chunks else pa.array([], pa.list_(pa.int32()))
-    del table
-    values = ids.values.to_numpy(zero_copy_only=False)
-    values = values.astype(np.uint16 if not len(values) or values.max() < 1 << 16 else np.int32)
-    offsets = ids.offsets.to_numpy()
-    order = np.argsort(h, kind="stable")
-    return h[order], offsets[:-1][order], np.diff(offsets)[order].astype(np.int32), values
+    def __init__(self, pieces: Pieces) -> None:
+        self.codes: dict[str, int] = {}
+        self.pieces, self.number = pieces, {}
+        self.flat: list[int] = []
+        self.first: list[int] = []
+        self.size: list[int] = []
+
+    def word(self, word: str) -> int:
+        """The number of a word, whose parts get codes."""
+        k = self.number.get(word)
+        if k is None:
+            k = self.number[word] = len(self.first)
+            parts = self.pieces.parts(word)
+            self.first.append(len(self.flat))
+            self.size.append(len(parts))
+            self.flat += [self.codes.setdefault(p, len(self.codes)) for p in parts]
+        return k
+
+    def texts(self, texts: list[str | None], find) -> list[np.ndarray]:
+        """Codes of whole texts."""
+        numbers = []
+        for text in texts:
+            words = find(SPACE + text.replace(" ", SPACE)) if text else []
+            numbers.append(np.fromiter(map(self.word, words), np.int64, len(words)))
+        first, size, flat = np.array(self.first, np.int64), np.array(self.size, np.int64), np.array(self.flat, np.uint32)
+        return [_gather(first[k], size[k], flat) for k in numbers]
+
+
+_CODED = "block long, id long, n int, digest binary, codes binary, first int, words array<string>"
+
+
+def _coded(docs: DataFrame, pieces: Pieces, block_words: int) -> DataFrame:
+    """For each block of documents: rows of documents (id, n codes, digest of the text), and rows of words (first code, words)."""
+
+    def code(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import hashlib
+
+        import zstandard
+
+        pack, find = zstandard.ZstdCompressor(level=1).compress, re.compile(pieces.words()).findall
+        at = TaskContext.get().partitionId() << 32
+        block = _Block(pieces)
+        schema = pa.schema([("block", pa.int64()), ("id", pa.int64()), ("n", pa.int32()), ("digest", pa.binary()), ("codes", pa.binary()), ("first", pa.int32()), ("words", pa.list_(pa.string()))])
+
+        def rows(**columns) -> pa.RecordBatch:
+            n = len(next(iter(columns.values())))
+            return pa.record_batch([x if isinstance(x := columns.get(f.name, [None] * n), pa.Array) else pa.array(x, f.type) for f in schema], schema=schema)
+
+        def words() -> Iterator[pa.RecordBatch]:
+            known = list(block.codes)
+            for i in range(0, len(known), WORDS_A_ROW):
+                yield rows(block=[at], first=[i], words=[known[i : i + WORDS_A_ROW]])
+
+        for batch in row_slices(batches, DOCS_AT_ONCE):
+            texts = batch.column("text").to_pylist()
+            codes = block.texts(texts, find)
+            digest = [hashlib.sha256((t or "").encode()).digest() for t in texts]
+            yield rows(block=[at] * len(codes), id=batch.column("id"), n=[len(c) for c in codes], digest=digest, codes=[pack(c.tobytes()) for c in codes])
+            if len(block.codes) >= block_words:
+                yield from words()
+                block, at = _Block(pieces), at + 1
+        yield from words()
+
+    return docs.mapInArrow(code, _CODED)
 
 
 def _gather(starts: np.ndarray, sizes: np.ndarray, values: np.ndarray) -> np.ndarray:
@@ -317,71 +399,75 @@ def _gather(starts: np.ndarray, sizes: np.ndarray, values: np.ndarray) -> np.nda
     if not len(sizes) or not sizes.sum():
         return values[:0]
     ends = np.cumsum(sizes)
-    at = np.arange(ends[-1]) - np.repeat(ends - sizes, sizes) + np.repeat(starts, sizes)
+    at = np.arange(ends[-1]) - np.repeat(ends - sizes - starts, sizes)
     return values[at]
 
 
-def encode(docs: DataFrame, pieces: Pieces, id_col: str = "doc_id", text_col: str = "text", max_words: int = MAX_WORDS) -> DataFrame:
+def _table(path: str, block: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """starts, sizes and identifiers of a block's words, by their codes."""
+    import pyarrow.parquet as pq
+    from pyarrow import fs
+
+    store, where = fs.FileSystem.from_uri(f"{path}/block={block}")
+    table = pq.read_table(where, filesystem=store, columns=["code", "ids"], partitioning=None).combine_chunks()
+    code, ids = table["code"].to_numpy(), table["ids"].combine_chunks()
+    ids = pa.concat_arrays(ids.chunks) if isinstance(ids, pa.ChunkedArray) else ids
+    if not np.array_equal(np.sort(code), np.arange(len(code))):
+        raise RuntimeError("a word was not encoded")
+    offsets = ids.offsets.to_numpy()
+    starts, sizes = np.empty(len(code), np.int64), np.empty(len(code), np.int64)
+    starts[code], sizes[code] = offsets[:-1], np.diff(offsets)
+    return starts, sizes, ids.values.to_numpy(zero_copy_only=False)
+
+
+def encode(docs: DataFrame, pieces: Pieces, id_col: str = "doc_id", text_col: str = "text", block_words: int = BLOCK_WORDS) -> DataFrame:
     """One row per document: id, ids, decoded (the text that the identifiers stand for), exact (whether it is the document's).
 
     The identifiers are those of the whole text, as the model's own library gives
     them. A null or empty text has none. Repeated rows are encoded alike, null
-    identifiers are kept, no documents give no rows. Other columns are not read.
+    identifiers are kept, no documents give no rows. A text of any length is encoded
+    whole. Other columns are not read.
     """
-    return _encoded(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), pieces, max_words).withColumnRenamed("id", id_col)
-
-
-def _encoded(docs: DataFrame, pieces: Pieces, max_words: int) -> DataFrame:
-    pattern = pieces.cuts()
-    words = docs.select(F.explode(F.split(prepared(F.col("text")), pattern)).alias("word")).where("word <> ''").distinct()
-    words = written(words, "vocabulary")
-    table = written(lattice(words, pieces).select(F.xxhash64("word").alias("h"), "ids"), "words")
-    n, names = table.agg(F.count("*"), F.count_distinct("h")).first()
-    if n != names:
-        raise RuntimeError("two words share a 64-bit hash; encode the documents in blocks")
-    if n > max_words:
-        blocks = 2 * -(-n // max_words)
-        at = F.pmod(F.xxhash64(F.lit(n), F.coalesce("text", F.lit(""))), F.lit(blocks))
-        out = None
-        for b in range(blocks):
-            part = _encoded(docs.where(at == b), pieces, max_words)
-            out = part if out is None else out.unionByName(part)
-        return out
-    path = table.shared_path
-
-    def look_up(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import xxhash
-
-        find, spelled = re.compile(pieces.words()).findall, _spelling(pieces)
-        hashes, first, length, values = _words_at(path)
-
-        class Codes(dict):
-            def __missing__(self, word: str) -> int:
-                self[word] = n = len(self)
-                return n
-
-        codes, starts, sizes = Codes(), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        for whole, lo in ((b, i) for b in batches for i in range(0, len(b), DOCS_AT_ONCE)):
-            batch = whole.iloc[lo : lo + DOCS_AT_ONCE]
-            if len(codes) > 200_000:
-                codes, starts, sizes = Codes(), starts[:0], sizes[:0]
-            old = len(codes)
-            lists = []
-            for text in batch["text"]:
-                parts = find(SPACE + text.replace(" ", SPACE)) if text else []
-                lists.append(np.fromiter(map(codes.__getitem__, parts), np.int64, len(parts)))
-            h = np.fromiter((xxhash.xxh64_intdigest(w.encode(), 42) for w in islice(codes, old, None)), np.uint64, len(codes) - old).view(np.int64)
-            if len(h):
-                at = np.searchsorted(hashes, h)
-                if not (hashes[np.minimum(at, len(hashes) - 1)] == h).all():
-                    raise RuntimeError("a word was not encoded")
-                starts, sizes = np.concatenate([starts, first[at]]), np.concatenate([sizes, length[at]])
-            ids = [_gather(starts[c], sizes[c], values).astype(np.int32) for c in lists]
-            decoded = [_text_of(x, spelled) for x in ids]
-            exact = [d == (t or "") for d, t in zip(decoded, batch["text"], strict=True)]
-            yield pd.DataFrame({"id": batch["id"].astype("Int64").array, "ids": ids, "decoded": decoded, "exact": exact})
-
-    return docs.mapInPandas(look_up, "id long, ids array<int>, decoded string, exact boolean")
+    spark = docs.sparkSession
+    coded = written(_coded(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")), pieces, block_words), "coded")
+    words = coded.where("words is not null").select("block", "first", F.posexplode("words").alias("at", "word"))
+    together = words.groupBy("word", F.floor(F.shiftright("block", 32) / BLOCKS_TOGETHER).alias("share"))
+    places = together.agg(F.collect_list(F.struct("block", (F.col("first") + F.col("at")).alias("code"))).alias("places"))
+    folded = lattice(places, pieces, ("word", "share"), "places")
+    back = folded.select("ids", F.explode("places").alias("p")).select("p.block", "p.code", "ids")
+    path = new_path(spark, "encoded")
+    back.repartition("block").sortWithinPartitions("block").write.partitionBy("block").parquet(path)
+    spelled = _spelling(pieces)
+
+    def look_up(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import hashlib
+
+        import zstandard
+
+        unpack = zstandard.ZstdDecompressor().decompress
+        block, starts, sizes, values, parts = None, None, None, None, []
+        for batch in row_slices(batches, DOCS_AT_ONCE):
+            ids, decoded, exact = [], [], []
+            for b, n, codes, digest in zip(*(batch.column(c).to_pylist() for c in ("block", "n", "codes", "digest")), strict=True):
+                if n and b != block:
+                    block, (starts, sizes, values) = b, _table(path, b)
+                    pieces_of = list(map(spelled.__getitem__, values.tolist()))
+                    parts = [b"".join(pieces_of[i : i + k]) for i, k in zip(starts.tolist(), sizes.tolist(), strict=True)]
+                if n:
+                    c = np.frombuffer(unpack(codes, max_output_size=4 * n), np.uint32)
+                    ids.append(_gather(starts[c], sizes[c], values))
+                    text = b"".join(map(parts.__getitem__, c.tolist())).decode("utf-8", "replace").removeprefix(" ")
+                else:
+                    ids.append(np.zeros(0, np.int32))
+                    text = ""
+                decoded.append(text)
+                exact.append(hashlib.sha256(text.encode()).digest() == digest)
+            offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.zeros(0, np.int32), *ids]), pa.int32()))
+            yield pa.record_batch({"id": batch.column("id"), "ids": lists, "decoded": pa.array(decoded, pa.string()), "exact": pa.array(exact, pa.bool_())})
+
+    rows = coded.where("words is null").select("block", "id", "n", "digest", "codes")
+    return rows.mapInArrow(look_up, "id long, ids array<int>, decoded string, exact boolean").withColumnRenamed("id", id_col)
 
 
 def _spelling(pieces: Pieces) -> list[bytes]:
