@@ -33,6 +33,16 @@ def maybe_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if small(df, rows) else df
 
 
+def without(docs: DataFrame, gone: DataFrame, *keys: str) -> DataFrame:
+    """Rows of docs whose keys (null is a key like any other) are not in ``gone``; docs may have columns of any names."""
+    names = {k: f"gone{i}" for i, k in enumerate(keys)}
+    gone = maybe_broadcast(gone.select(*[F.col(k).alias(n) for k, n in names.items()]))
+    match = F.lit(True)
+    for k, n in names.items():
+        match = match & docs[k].eqNullSafe(gone[n])
+    return docs.join(gone, match, "left_anti")
+
+
 def read(spark, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 

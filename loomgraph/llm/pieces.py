@@ -19,9 +19,11 @@ from __future__ import annotations
 import heapq
 import math
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 from functools import cached_property
+from itertools import chain, islice
+from operator import add
 
 import numpy as np
 import pandas as pd
@@ -40,6 +42,8 @@ LONG = 2_000
 BLOCK_WORDS = 200_000
 #: Words in one row on their way to the lattice.
 WORDS_A_ROW = 1_024
+#: Words of blocks that one task folds: their edges take some hundred times the space of the words.
+WORDS_A_TASK = 60_000
 #: A word is folded once for so many blocks, which bounds the list of places that it came from.
 BLOCKS_TOGETHER = 4_096
 #: Documents that a task works on at once, which bounds its memory.
@@ -132,8 +136,10 @@ class Pieces:
     def parts(self, word: str) -> list[str]:
         """A word cut wherever no piece spans two neighbouring characters."""
         spanned = self.spanned
+        if spanned.issuperset(map(add, word, word[1:])):
+            return [word]
         cuts = [i for i, (a, b) in enumerate(zip(word, word[1:], strict=False), 1) if a + b not in spanned]
-        return [word[a:b] for a, b in zip([0, *cuts], [*cuts, len(word)], strict=True)] if cuts else [word]
+        return [word[a:b] for a, b in zip([0, *cuts], [*cuts, len(word)], strict=True)]
 
 
 _SYMBOLS = "array<struct<n:int,peak:double,made:double,used:double>>"
@@ -163,6 +169,11 @@ def _spelled(char: Column, pieces: Pieces) -> Column:
     return F.transform(at, lambda k: F.get(table, F.conv(F.substr(code, k * 2 + 1, F.lit(2)), 16, 10).cast("int")))
 
 
+def _still() -> Column:
+    """The ends of a single character: it is there from the start, and nothing uses it up."""
+    return F.array(F.struct(F.lit(1).alias("n"), F.lit(math.inf).alias("peak"), F.lit(-math.inf).alias("made"), F.lit(math.inf).alias("used"))).cast(_SYMBOLS)
+
+
 def _parted(last: Column, edge: Column, crossing: Column) -> Column:
     """Whether merging keeps the last piece and the next one apart.
 
@@ -181,19 +192,23 @@ def _parted(last: Column, edge: Column, crossing: Column) -> Column:
                 second = c["rank"] <= F.when(y["made"] < x["made"], y["used"]).otherwise(y["peak"])
                 return (y["n"] == c["end"] - here) & meet & F.when(x["used"] <= y["used"], first).otherwise(second)
 
-            return (x["n"] == here - c["start"]) & F.exists(edge["left"], right)
+            return (x["n"] == here - c["start"]) & F.exists(F.coalesce(edge["left"], _still()), right)
 
-        return (c["start"] < here) & (c["end"] > here) & (c["end"] <= edge["end"]) & F.exists(last["right"], left)
+        return (c["start"] < here) & (c["end"] > here) & (c["end"] <= edge["end"]) & F.exists(F.coalesce(last["right"], _still()), left)
 
     return ~F.exists(crossing, joins)
 
 
+_NONE = "struct<start:int,id:int,spelled:array<int>,right:" + _SYMBOLS + ">"
+
+
 def _merged(edges: Column, crossing: Column) -> Column:
     """For each place of a word the piece that ends there when merging has encoded all before it."""
-    start = F.array(F.struct(F.lit(0).alias("start"), F.array().cast("array<int>").alias("ids"), F.array().cast(_SYMBOLS).alias("right")))
+    nothing = F.lit(None)
+    start = F.array(F.struct(F.lit(0).alias("start"), nothing.alias("id"), nothing.alias("spelled"), F.array().alias("right"))).cast(f"array<{_NONE}>")
 
     def step(best: Column, e: Column) -> Column:
-        way = F.struct(e["start"].alias("start"), e["ids"].alias("ids"), e["right"].alias("right"))
+        way = F.struct(e["start"].alias("start"), e["id"].alias("id"), e["spelled"].alias("spelled"), e["right"].alias("right"))
         return F.when((F.size(best) > e["end"]) | ~_parted(F.get(best, e["start"]), e, crossing), best).otherwise(F.array_append(best, way))
 
     return F.aggregate(edges, start, step)
@@ -201,23 +216,30 @@ def _merged(edges: Column, crossing: Column) -> Column:
 
 def _best(edges: Column) -> Column:
     """For each place of a word the piece that ends there on the path with the largest sum of scores; of equal sums, the shortest."""
-    start = F.array(F.struct(F.lit(0).alias("start"), F.array().cast("array<int>").alias("ids"), F.lit(0.0).alias("score")))
+    nothing = F.lit(None)
+    start = F.array(F.struct(F.lit(0).alias("start"), nothing.alias("id"), nothing.alias("spelled"), F.lit(0.0).alias("score"))).cast("array<struct<start:int,id:int,spelled:array<int>,score:double>>")
 
     def step(best: Column, e: Column) -> Column:
-        way = F.struct(e["start"].alias("start"), e["ids"].alias("ids"), (F.get(best, e["start"])["score"] - e["rank"]).alias("score"))
+        way = F.struct(e["start"].alias("start"), e["id"].alias("id"), e["spelled"].alias("spelled"), (F.get(best, e["start"])["score"] - e["rank"]).alias("score"))
         new = F.size(best) == e["end"]
-        return F.when(new, F.array_append(best, way)).when(way["score"] > F.get(best, e["end"])["score"], F.array_append(F.slice(best, F.lit(1), e["end"]), way)).otherwise(best)
+        return F.when(new, F.array_append(best, way)).when(way["score"] >= F.get(best, e["end"])["score"], F.array_append(F.slice(best, F.lit(1), e["end"]), way)).otherwise(best)
 
     return F.aggregate(edges, start, step)
 
 
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """What ``use`` makes of a value that is made once, however often a lambda in it needs the value."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def _walked_back(best: Column, n: Column) -> Column:
     """Identifiers on the path that ends at the last place."""
     start = F.struct(n.alias("at"), F.array().cast("array<int>").alias("ids"))
 
     def back(path: Column, _: Column) -> Column:
         piece = F.get(best, path["at"])
-        return F.when(path["at"] == 0, path).otherwise(F.struct(piece["start"].alias("at"), F.concat(piece["ids"], path["ids"]).alias("ids")))
+        own = F.coalesce(piece["spelled"], F.array(piece["id"]))
+        return F.when(path["at"] == 0, path).otherwise(F.struct(piece["start"].alias("at"), F.concat(own, path["ids"]).alias("ids")))
 
     return F.aggregate(F.sequence(F.lit(1), n), start, back)["ids"]
 
@@ -292,28 +314,23 @@ def lattice(words: DataFrame, pieces: Pieces, keys: tuple[str, ...] = ("word",),
     # a single character is an edge even if it is no piece
     single = F.col("end") - F.col("start") == 1
     edges = cut.join(table, "piece", "left").where(F.col("id").isNotNull() | single)
-    still = F.array(F.struct(F.lit(1).alias("n"), F.lit(math.inf).alias("peak"), F.lit(-math.inf).alias("made"), F.lit(math.inf).alias("used"))).cast(_SYMBOLS)
+    # ends come first, so that edges sort by them, and of one end the longest first
     edge = F.struct(
-        "end", "start",
+        "end", "start", "id",
         (-F.coalesce("score", F.lit(pieces.least - UNKNOWN_PENALTY))).alias("rank"),
-        F.when(F.col("id").isNull(), _spelled(F.col("piece"), pieces)).otherwise(F.array("id")).alias("ids"),
+        F.when(F.col("id").isNull(), _spelled(F.col("piece"), pieces)).alias("spelled"),
         (F.coalesce("usable", F.lit(True)) | single).alias("usable"),
-        F.when(single, still).otherwise(F.col("left")).alias("left"),
-        F.when(single, still).otherwise(F.col("right")).alias("right"),
+        F.when(~single, F.col("left")).alias("left"),
+        F.when(~single, F.col("right")).alias("right"),
     )
     lists = [F.collect_list(edge).alias("edges")]
     if carried:  # one of the edges carries it
         lists.append(F.first(F.when(F.col("end") == 1, F.col(carried)), ignorenulls=True).alias(carried))
     grouped = edges.groupBy(*keys).agg(*lists)
-    # edges by their ends, and of one end the shorter first
-    order = F.array_sort("edges", lambda a, b: F.when(a["end"] == b["end"], b["start"] - a["start"]).otherwise(a["end"] - b["end"]))
-    grouped = grouped.select(*keys, *others, order.alias("edges"), n.alias("n"))
-    if pieces.kind == "bpe":
-        ways = grouped.select(*keys, *others, "n", F.filter("edges", lambda e: e["usable"]).alias("edges"), F.filter("edges", lambda e: e["end"] - e["start"] > 1).alias("crossing"))
-        ways = ways.select(*keys, *others, "n", _merged(F.col("edges"), F.col("crossing")).alias("best"))
-    else:
-        ways = grouped.select(*keys, *others, "n", _best(F.col("edges")).alias("best"))
-    done = ways.select(*keys, *others, _walked_back(F.col("best"), F.col("n")).alias("ids"))
+    crossing = lambda es: F.filter(es, lambda e: e["end"] - e["start"] > 1)
+    ways = (lambda es: _let(crossing(es), lambda c: _merged(F.filter(es, lambda e: e["usable"]), c))) if pieces.kind == "bpe" else _best
+    ids = _let(F.sort_array("edges"), lambda es: _let(ways(es), lambda best: _walked_back(best, n)))
+    done = grouped.select(*keys, *others, ids.alias("ids"))
 
     def long(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         fold = merge_long if pieces.kind == "bpe" else best_long
@@ -325,35 +342,34 @@ def lattice(words: DataFrame, pieces: Pieces, keys: tuple[str, ...] = ("word",),
     return done.unionByName(rest.mapInPandas(long, schema))
 
 
+class _Numbers(dict):
+    """Numbers of words, in the order in which they are first asked for."""
+
+    def __missing__(self, word: str) -> int:
+        self[word] = n = len(self)
+        return n
+
+
 class _Block:
-    """The words of a block of documents and their codes."""
+    """The words of a block of documents, and the codes of their parts."""
 
     def __init__(self, pieces: Pieces) -> None:
-        self.codes: dict[str, int] = {}
-        self.pieces, self.number = pieces, {}
-        self.flat: list[int] = []
-        self.first: list[int] = []
-        self.size: list[int] = []
-
-    def word(self, word: str) -> int:
-        """The number of a word, whose parts get codes."""
-        k = self.number.get(word)
-        if k is None:
-            k = self.number[word] = len(self.first)
-            parts = self.pieces.parts(word)
-            self.first.append(len(self.flat))
-            self.size.append(len(parts))
-            self.flat += [self.codes.setdefault(p, len(self.codes)) for p in parts]
-        return k
-
-    def texts(self, texts: list[str | None], find) -> list[np.ndarray]:
+        self.pieces, self.words, self.codes = pieces, _Numbers(), _Numbers()
+        self.first, self.size, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+
+    def texts(self, texts: list[str | None], find: Callable[[str], list[str]]) -> list[np.ndarray]:
         """Codes of whole texts."""
+        old = len(self.words)
         numbers = []
         for text in texts:
             words = find(SPACE + text.replace(" ", SPACE)) if text else []
-            numbers.append(np.fromiter(map(self.word, words), np.int64, len(words)))
-        first, size, flat = np.array(self.first, np.int64), np.array(self.size, np.int64), np.array(self.flat, np.uint32)
-        return [_gather(first[k], size[k], flat) for k in numbers]
+            numbers.append(np.fromiter(map(self.words.__getitem__, words), np.int64, len(words)))
+        parts = list(map(self.pieces.parts, islice(self.words, old, None)))
+        size = np.fromiter(map(len, parts), np.int64, len(parts))
+        self.first = np.concatenate([self.first, np.cumsum(size) - size + len(self.flat)])
+        self.size = np.concatenate([self.size, size])
+        self.flat = np.concatenate([self.flat, np.fromiter(map(self.codes.__getitem__, chain.from_iterable(parts)), np.uint32, int(size.sum()))])
+        return [_gather(self.first[k], self.size[k], self.flat) for k in numbers]
 
 
 _CODED = "block long, id long, n int, digest binary, codes binary, first int, words array<string>"
@@ -431,10 +447,12 @@ def encode(docs: DataFrame, pieces: Pieces, id_col: str = "doc_id", text_col: st
     spark = docs.sparkSession
     coded = written(_coded(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")), pieces, block_words), "coded")
     words = coded.where("words is not null").select("block", "first", F.posexplode("words").alias("at", "word"))
-    together = words.groupBy("word", F.floor(F.shiftright("block", 32) / BLOCKS_TOGETHER).alias("share"))
-    places = together.agg(F.collect_list(F.struct("block", (F.col("first") + F.col("at")).alias("code"))).alias("places"))
+    many = coded.where("words is not null").agg(F.sum(F.size("words"))).first()[0] or 0
+    dealt = words.withColumn("share", F.floor(F.shiftright("block", 32) / BLOCKS_TOGETHER)).repartition(many // WORDS_A_TASK + 1, "word", "share")
+    places = dealt.groupBy("word", "share").agg(F.collect_list(F.struct("block", (F.col("first") + F.col("at")).alias("code"))).alias("places"))
     folded = lattice(places, pieces, ("word", "share"), "places")
-    back = folded.select("ids", F.explode("places").alias("p")).select("p.block", "p.code", "ids")
+    everywhere = _let(F.col("ids"), lambda ids: F.transform("places", lambda p: F.struct(p["block"].alias("block"), p["code"].alias("code"), ids.alias("ids"))))
+    back = folded.select(F.explode(everywhere).alias("p")).select("p.*")
     path = new_path(spark, "encoded")
     back.repartition("block").sortWithinPartitions("block").write.partitionBy("block").parquet(path)
     spelled = _spelling(pieces)
