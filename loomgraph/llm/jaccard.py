@@ -3,11 +3,15 @@
 1. Each set of shingle hashes is cut into hash ranges (parts), more than linked
    sets of its size can differ in. Two linked sets agree in a part exactly, so a
    join of part signatures finds all candidates; common passages alone rarely fill a part.
-2. Candidates fall into families. A family is laid out in tiles of similar size, and
-   tiles meet where their sizes allow a link.
-3. In a pair of tiles, hashed bitmaps bound the overlap from above by bit counts, and
-   what passes is intersected exactly, as sorted arrays. Pairs already joined by other
-   links are skipped: components do not need them.
+2. Candidates fall into families. A family is laid out in tiles of similar size, bounded
+   in rows and bytes, and tiles meet where their sizes allow a link.
+3. Only hashed bitmaps meet at first; they have two to four bits for an element, whatever the
+   size of the set. Their bit counts bound the overlap from above, and families part
+   where no pair passes. Sets are made for what is left, and intersected exactly as
+   sorted arrays. Pairs already joined by other links are skipped: components do not need them.
+4. Families in more than one tile are first linked within tiles, then by one member of
+   each group found so far. After that only tiles meet whose bitmaps let a pair of
+   different groups pass, so a large family of near copies costs little more than its size.
 """
 
 from __future__ import annotations
@@ -16,22 +20,22 @@ from collections.abc import Callable, Iterable, Iterator
 from functools import reduce
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
 from loomgraph.llm import bloom
-from loomgraph.llm.common import maybe_broadcast, read
+from loomgraph.llm.common import maybe_broadcast, read, row_slices, small, without
 from loomgraph.operators.components import connected_components
 from loomgraph.session import release, written
 
 BAND = 1.5
 SPARE_PARTS = 2
-BITMAP_WORDS = 32
+#: A tile has about so many rows and bytes at most (a larger set is a tile by itself).
 TILE = 512
+TILE_BYTES = 8 << 20
 #: Documents that a task works on at once, which bounds its memory.
-DOCS_AT_ONCE = 256
+DOCS_AT_ONCE = 64
 _MULTIPLY = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], np.uint64)
 
 
@@ -112,90 +116,92 @@ def signatures(s: np.ndarray, percent: int) -> np.ndarray:
 
 
 def bitmap(s: np.ndarray) -> np.ndarray:
-    bits = np.zeros(BITMAP_WORDS * 64, bool)
-    bits[(s >> np.uint64(11)) % np.uint64(BITMAP_WORDS * 64)] = True
+    """Bits of a set as 64-bit words: a power of two of them, two to four for each element."""
+    size = max(64, 1 << (2 * len(s) - 1).bit_length())
+    bits = np.zeros(size, bool)
+    bits[(s >> np.uint64(11)) & np.uint64(size - 1)] = True
     return np.packbits(bits).view(np.uint64)
 
 
-class _Roots:
-    """Union-find over the members of two tiles."""
+def _folded(words: np.ndarray, size: int) -> np.ndarray:
+    """The bitmap that the same set has with fewer words."""
+    return words if len(words) == size else np.bitwise_or.reduce(words.reshape(-1, size))
 
-    def __init__(self, n: int) -> None:
-        self.up = list(range(n))
 
-    def root(self, i: int) -> int:
-        while self.up[i] != i:
-            self.up[i] = self.up[self.up[i]]
-            i = self.up[i]
-        return i
+def tile_links(n: np.ndarray, labels: np.ndarray, maps: list[np.ndarray], sides: np.ndarray | None, percent: int, linked: Callable[[int, int], bool]) -> list[tuple[int, int]]:
+    """Pairs (positions) that join rows of different labels: sizes and bitmaps let them pass, and ``linked`` holds.
 
-    def join(self, i: int, j: int) -> None:
-        self.up[self.root(i)] = self.root(j)
+    With ``sides``, only rows of different sides are compared. A pair whose rows are
+    joined by others already is left out.
+    """
+    order = np.lexsort((np.arange(len(n)), n))
+    sizes, labels = n[order], np.unique(labels, return_inverse=True)[1]
+    last = np.searchsorted(sizes, 100 * sizes // percent, side="right")
+    levels: dict[int, tuple[int, np.ndarray]] = {}
+
+    def level(at: int) -> tuple[int, np.ndarray]:
+        """Bitmaps of the rows, by size, that rows with as many words meet; and the first of these rows."""
+        words = len(maps[order[at]])
+        if words not in levels:
+            top = at
+            while top < len(order) and len(maps[order[top]]) == words:
+                top += 1
+            levels[words] = (at, np.stack([_folded(maps[i], words) for i in order[at : last[top - 1]]]))
+        return levels[words]
+
+    out = []
+    for at, i in enumerate(order):
+        js = order[at + 1 : last[at]]
+        keep = labels[js] != labels[i]
+        if sides is not None:
+            keep &= sides[js] != sides[i]
+        if not keep.any():
+            continue
+        js, places = js[keep], np.flatnonzero(keep) + at + 1
+        first, rows = level(at)
+        apart = np.bitwise_count(rows[places - first] ^ rows[at - first]).sum(axis=1)
+        bound = (n[i] + n[js] - apart.astype(np.int64)) // 2
+        for j in js[100 * bound >= percent * (n[i] + n[js] - bound)]:
+            if labels[i] != labels[j] and linked(int(i), int(j)):
+                labels[labels == labels[j]] = labels[i]
+                out.append((int(i), int(j)))
+    return out
 
 
-def tile_links(nodes: np.ndarray, groups: np.ndarray, sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, percent: int) -> list[tuple[int, int]]:
-    """Links that join what is not joined yet, between members of the left and of the right tile (positions)."""
-    n = np.array([len(s) for s in sets])
-    maps = np.stack([bitmap(s) for s in sets]) if len(sets) else np.zeros((0, BITMAP_WORDS), np.uint64)
+def _overlap(sets: list[np.ndarray], percent: int) -> Callable[[int, int], bool]:
+    """Whether two sets, as sorted arrays, are linked."""
 
     def linked(i: int, j: int) -> bool:
-        a, b = (sets[i], sets[j]) if n[i] <= n[j] else (sets[j], sets[i])
+        a, b = (sets[i], sets[j]) if len(sets[i]) <= len(sets[j]) else (sets[j], sets[i])
         at = np.searchsorted(b, a)
         both = int((b[np.minimum(at, len(b) - 1)] == a).sum())
         return 100 * both >= percent * (len(a) + len(b) - both)
 
-    return _tile_pairs(nodes, groups, n, maps, left, right, percent, linked)
+    return linked
 
 
-def _tile_pairs(nodes: np.ndarray, groups: np.ndarray, n: np.ndarray, maps: np.ndarray, left: np.ndarray, right: np.ndarray, percent: int, linked: Callable[[int, int], bool]) -> list[tuple[int, int]]:
-    """The same for pairs that sizes and bitmaps let pass and for which ``linked`` holds."""
-    roots = _Roots(len(nodes))
-    first: dict[int, int] = {}
-    for i, g in enumerate(groups):
-        roots.join(i, first.setdefault(g, i))
-    out = []
-    for i in left:
-        js = right[right > i] if left is right else right
-        js = js[(100 * np.minimum(n[i], n[js]) >= percent * np.maximum(n[i], n[js]))]
-        if not len(js):
-            continue
-        apart = np.bitwise_count(maps[js] ^ maps[i]).sum(axis=1)
-        bound = (n[i] + n[js] - apart) // 2
-        for j in js[100 * bound >= percent * (n[i] + n[js] - bound)]:
-            if roots.root(i) == roots.root(j):
-                continue
-            if linked(int(i), int(j)):
-                roots.join(i, j)
-                out.append((int(nodes[i]), int(nodes[j])))
-    return out
-
+def _name(s: np.ndarray) -> tuple[int, int]:
+    import xxhash
 
-def _slices(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    return (b.iloc[i : i + DOCS_AT_ONCE] for b in batches for i in range(0, len(b), DOCS_AT_ONCE))
+    k1, k2 = np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), np.int64)
+    return int(k1), int(k2)
 
 
 def _profiles(docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """row, id, n, a 128-bit name of the set (k1, k2) and the signatures of its parts, for each document."""
+    """row, id, n, a 128-bit name of the set (k1, k2), the signatures of its parts and its bitmap, for each document."""
 
-    def profile(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def profile(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _Hashes()
-        for batch in _slices(batches):
-            out = []
-            for text in batch["text"]:
-                s = shingles(text, k, known)
-                out.append((len(s), *_name(s), signatures(s, percent).view(np.int64)))
-            frame = pd.DataFrame(out, columns=["n", "k1", "k2", "signatures"])
-            frame["id"] = batch["id"].astype("Int64").array
-            yield frame[["id", "n", "k1", "k2", "signatures"]]
-
-    return docs.mapInPandas(profile, "id long, n long, k1 long, k2 long, signatures array<long>").withColumn("row", F.monotonically_increasing_id())
-
+        for batch in row_slices(batches, DOCS_AT_ONCE):
+            sets = [shingles(text, k, known) for text in batch.column("text").to_pylist()]
+            names = np.array([_name(s) for s in sets], np.int64).reshape(-1, 2)
+            parts = [signatures(s, percent).view(np.int64) for s in sets]
+            offsets = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.zeros(0, np.int64), *parts])))
+            n = pa.array([len(s) for s in sets], pa.int64())
+            yield pa.record_batch({"id": batch.column("id"), "n": n, "k1": pa.array(names[:, 0]), "k2": pa.array(names[:, 1]), "signatures": lists, "bits": pa.array([bitmap(s).tobytes() for s in sets], pa.binary())})
 
-def _name(s: np.ndarray) -> tuple[int, int]:
-    import xxhash
-
-    k1, k2 = np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), np.int64)
-    return int(k1), int(k2)
+    return docs.mapInArrow(profile, "id long, n long, k1 long, k2 long, signatures array<long>, bits binary").withColumn("row", F.monotonically_increasing_id())
 
 
 def _families(profiles: DataFrame, copies: DataFrame) -> DataFrame:
@@ -216,130 +222,148 @@ def _families(profiles: DataFrame, copies: DataFrame) -> DataFrame:
     return connected_components(pairs.unionByName(members), "a", "b").select("node", F.col("component").alias("family"))
 
 
-def _sets(docs: DataFrame, classes: DataFrame, families: DataFrame, k: int) -> DataFrame:
-    """node, family, n, set (bytes) of each member of a family, from the text of one document."""
-    reps = written(classes.join(families, "node").select("node", "family", "rep", "k1", "k2"), "members")
-    texts = docs.join(maybe_broadcast(reps), docs["id"].eqNullSafe(reps["rep"])).select("node", "family", "k1", "k2", "text")
+def _sets(docs: DataFrame, members: DataFrame, k: int) -> DataFrame:
+    """node, family, n, bits, set (bytes) of each member (node, family, n, bits, rep, k1, k2), from the text of one document."""
+    if small(members):
+        texts = docs.join(F.broadcast(members), docs["id"].eqNullSafe(members["rep"]))
+    else:  # a filter keeps other documents out of the shuffle of texts
+        table, blocks = bloom.build(members.select(F.coalesce("rep", F.lit(0)).alias("rep")), "rep")
+        texts = bloom.possible(docs, F.coalesce("id", F.lit(0)), table, blocks).join(members, docs["id"].eqNullSafe(members["rep"]))
+    texts = texts.select("node", "family", "n", "bits", "k1", "k2", "text")
 
-    def cut(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _Hashes()
-        for batch in _slices(batches):
-            out = []
-            for node, family, k1, k2, text in zip(batch["node"], batch["family"], batch["k1"], batch["k2"], batch["text"], strict=True):
-                s = shingles(text, k, known)
-                if _name(s) == (k1, k2):  # not another text of that identifier
-                    out.append((node, family, len(s), s.tobytes()))
-            yield pd.DataFrame(out, columns=["node", "family", "n", "set"])
-
-    return written(texts.mapInPandas(cut, "node long, family long, n long, set binary"), "sets")
-
-
-LINKS = "a long, b long"
-
-
-def _whole(percent: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
-    """Links within one group of rows (node, n, set)."""
-
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.drop_duplicates("node").sort_values(["n", "node"])
-        nodes, every = frame["node"].to_numpy(), np.arange(len(frame))
-        return pd.DataFrame(tile_links(nodes, nodes, [np.frombuffer(x, np.uint64) for x in frame["set"]], every, every, percent), columns=["a", "b"])
-
-    return run
-
-
-def _tiled(rows: DataFrame) -> DataFrame:
-    """Add slice (of similar sizes) and tile (of at most ``TILE`` rows) within each family."""
-    slices = rows.withColumn("slice", F.floor(F.log(F.col("n").cast("double")) * 8).cast("int"))
-    place = Window.partitionBy("family", "slice").orderBy("n", "node")
-    return slices.withColumn("tile", F.floor((F.row_number().over(place) - 1) / TILE).cast("int"))
+        for batch in row_slices(batches, DOCS_AT_ONCE):
+            sets = [shingles(text, k, known) for text in batch.column("text").to_pylist()]
+            own = [_name(s) == (k1, k2) for s, k1, k2 in zip(sets, batch.column("k1").to_pylist(), batch.column("k2").to_pylist(), strict=True)]  # else another text of that identifier
+            rows = batch.select(["node", "family", "n", "bits"]).append_column("set", pa.array([s.tobytes() for s in sets], pa.binary()))
+            yield rows.filter(pa.array(own, pa.bool_()))
+
+    return written(texts.mapInArrow(cut, "node long, family long, n long, bits binary, set binary").dropDuplicates(["node"]), "sets")
+
+
+def _groups(batches: Iterable[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
+    """Rows that follow each other and have one key."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        keys = batch.column(key).to_numpy()
+        cuts = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist(), len(keys)]
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            if held and a < b and held[-1].column(key)[0].as_py() != keys[a]:
+                yield pa.Table.from_batches(held)
+                held = []
+            if a < b:
+                held.append(batch.slice(a, b - a))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _compared(rows: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) among rows (node, n, bits) of one key that may have a label, a side and a set; without sets all that bitmaps let pass."""
+
+    def compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in _groups(batches, "key"):
+            if group.num_rows < 2:
+                continue
+            nodes = group["node"].to_numpy()
+            column = lambda name: group[name].to_numpy() if name in group.column_names else None  # noqa: B023, E731
+            labels = column("label")
+            maps = [np.frombuffer(x.as_buffer(), np.uint64) for x in group["bits"]]
+            linked = lambda i, j: True
+            if "set" in group.column_names:
+                linked = _overlap([np.frombuffer(x.as_buffer(), np.uint64) for x in group["set"]], percent)
+            found = tile_links(column("n"), nodes if labels is None else labels, maps, column("side"), percent, linked)
+            if found:
+                at = nodes[np.array(found)]
+                yield pa.record_batch({"a": pa.array(at[:, 0]), "b": pa.array(at[:, 1]), "key": pa.array(np.full(len(at), group["key"][0].as_py()))})
+
+    dealt = rows.repartition("key").sortWithinPartitions("key")
+    return dealt.mapInArrow(compare, "a long, b long, key long")
+
+
+def _tiled(rows: DataFrame, size: Column, tile: int) -> DataFrame:
+    """Add key (of a tile), and spread: whether the family has more than one tile.
+
+    Tiles of one family have rows of similar sizes, dealt out by hash, unless all of
+    it fits one. ``family`` and ``pool`` part rows that need not share a tile.
+    """
+    rows = rows.withColumns({"slice": F.floor(F.log(F.col("n").cast("double")) * 8).cast("int"), "_size": size})
+    slices = written(rows.groupBy("family", "pool", "slice").agg(F.count("*").alias("rows"), F.sum("_size").alias("bytes")), "slices")
+    needed = lambda count, sums: F.greatest(F.ceil(count / tile), F.ceil(sums / TILE_BYTES))
+    families = slices.groupBy("family").agg((needed(F.sum("rows"), F.sum("bytes")) > 1).alias("spread"))
+    large = slices.join(families.where("spread"), "family").select("family", "pool", "slice", needed(F.col("rows"), F.col("bytes")).alias("tiles"))
+    placed = rows.join(maybe_broadcast(written(large, "large")), ["family", "pool", "slice"], "left")
+    own = F.xxhash64("family", "pool", "slice", F.pmod(F.xxhash64("node"), F.col("tiles")))
+    return placed.withColumns({"spread": F.col("tiles").isNotNull(), "key": F.when(F.col("tiles").isNotNull(), own).otherwise(F.xxhash64("family"))}).drop("_size", "tiles", "slice")
 
 
 def _meetings(tiles: DataFrame, percent: int) -> DataFrame:
-    """Rows of pairs of tiles whose sizes allow a link, each with its side; pairs all in one group are left out."""
-    spans = written(tiles.groupBy("family", "slice", "tile").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.min("group").alias("g1"), F.max("group").alias("g2")), "spans")
+    """Pairs of tiles (l, r, key) of a family whose sizes allow a link; pairs all of one label are left out."""
+    spans = tiles.groupBy("family", "key").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.min("label").alias("g1"), F.max("label").alias("g2"))
+    spans = written(spans, "spans")
     l, r = spans.alias("l"), spans.alias("r")
-    after = (F.col("l.slice") < F.col("r.slice")) | ((F.col("l.slice") == F.col("r.slice")) & (F.col("l.tile") < F.col("r.tile")))
-    meets = (100 * F.least("l.hi", "r.hi") >= percent * F.greatest("l.lo", "r.lo")) & ~((F.col("l.g1") == F.col("l.g2")) & (F.col("r.g1") == F.col("r.g2")) & (F.col("l.g1") == F.col("r.g1")))
-    pairs = l.join(r, (F.col("l.family") == F.col("r.family")) & after & meets)
-    pairs = pairs.select(F.col("l.family").alias("family"), F.struct("l.slice", "l.tile").alias("left"), F.struct("r.slice", "r.tile").alias("right"))
-    sides = pairs.select("family", "left", "right", F.explode(F.array(F.struct("left.*", F.lit(0).alias("side")), F.struct("right.*", F.lit(1).alias("side")))).alias("s"))
-    sides = sides.select("family", "left", "right", F.col("s.slice").alias("slice"), F.col("s.tile").alias("tile"), F.col("s.side").alias("side"))
-    return tiles.join(sides, ["family", "slice", "tile"])
+    sizes = 100 * F.least("l.hi", "r.hi") >= percent * F.greatest("l.lo", "r.lo")
+    one = (F.col("l.g1") == F.col("l.g2")) & (F.col("r.g1") == F.col("r.g2")) & (F.col("l.g1") == F.col("r.g1"))
+    pairs = l.join(r, (F.col("l.family") == F.col("r.family")) & (F.col("l.key") < F.col("r.key")) & sizes & ~one)
+    return pairs.select(F.col("l.key").alias("l"), F.col("r.key").alias("r"), F.xxhash64("l.key", "r.key").alias("key"))
 
 
-def _closer(sets: DataFrame, percent: int) -> DataFrame:
-    """(node, family) with large families parted where no bitmap lets a pair pass: linked sets stay together.
+def _across(tiles: DataFrame, meetings: DataFrame) -> DataFrame:
+    """Rows of tiles for each pair that they are in, with their side."""
+    sides = meetings.select("key", F.explode(F.array(F.struct(F.col("l").alias("tile"), F.lit(0).alias("side")), F.struct(F.col("r").alias("tile"), F.lit(1).alias("side")))).alias("s"))
+    sides = sides.select("key", F.col("s.tile").alias("tile"), F.col("s.side").alias("side"))
+    return tiles.withColumnRenamed("key", "tile").join(sides, "tile")
 
-    Only sizes and bitmaps are moved. Sets that met through a common passage alone
-    part here, so what is left of a family are near copies.
-    """
 
-    def draw(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in _slices(batches):
-            yield pd.DataFrame({"node": batch["node"].array, "family": batch["family"].array, "n": batch["n"].array, "bits": [bitmap(np.frombuffer(x, np.uint64)).tobytes() for x in batch["set"]]})
+def _closer(rows: DataFrame, percent: int, tile: int) -> DataFrame:
+    """(node, family) of rows (node, family, n, bits) that bitmaps let pass with another: linked sets stay together."""
+    tiles = written(_tiled(rows.withColumns({"pool": F.lit(0).cast("long"), "label": F.col("node")}), F.length("bits"), tile), "maps")
+    bits = tiles.select("node", "n", "bits", "key")
+    across = _across(bits, _meetings(tiles.where("spread"), percent))
+    edges = _compared(bits, percent).unionByName(_compared(across.select("node", "n", "bits", "key", "side"), percent))
+    return connected_components(edges, "a", "b").select("node", F.col("component").alias("family"))
 
-    maps = sets.mapInPandas(draw, "node long, family long, n long, bits binary").dropDuplicates(["node"])
-    tiles = written(_tiled(maps).withColumn("group", F.col("node")), "maps")
 
-    def pairs(frame: pd.DataFrame, left: np.ndarray, right: np.ndarray) -> pd.DataFrame:
-        nodes = frame["node"].to_numpy()
-        bits = np.frombuffer(b"".join(frame["bits"]), np.uint64).reshape(len(frame), BITMAP_WORDS)
-        return pd.DataFrame(_tile_pairs(nodes, nodes, frame["n"].to_numpy(), bits, left, right, percent, lambda i, j: True), columns=["a", "b"])
+def _labelled(rows: DataFrame, links: DataFrame) -> DataFrame:
+    """Rows with the group that links have joined them to."""
+    groups = connected_components(links, "a", "b")
+    return rows.drop("label").join(maybe_broadcast(groups), "node", "left").withColumn("label", F.coalesce("component", "node")).drop("component")
 
-    def within(frame: pd.DataFrame) -> pd.DataFrame:
-        every = np.arange(len(frame))
-        return pairs(frame, every, every)
 
-    def across(frame: pd.DataFrame) -> pd.DataFrame:
-        side = frame["side"].to_numpy()
-        return pairs(frame, np.flatnonzero(side == 0), np.flatnonzero(side == 1))
-
-    own = tiles.groupBy("family", "slice", "tile").applyInPandas(within, LINKS)
-    crossed = _meetings(tiles, percent).groupBy("family", "left", "right").applyInPandas(across, LINKS)
-    joined = connected_components(own.unionByName(crossed), "a", "b")
-    return tiles.select("node").join(joined, "node", "left").select("node", F.coalesce("component", "node").alias("family"))
-
-
-def _links(sets: DataFrame, percent: int) -> DataFrame:
+def _links(sets: DataFrame, percent: int, tile: int) -> DataFrame:
     """Links that connect all linked members of each family."""
-
-    def sized(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-        large = rows.groupBy("family").agg(F.count("*").alias("size")).where(F.col("size") > TILE).select("family")
-        large = maybe_broadcast(written(large, "large"))
-        return rows.join(large, "family", "left_anti"), rows.join(large, "family", "left_semi")
-
-    small, large = sized(sets)
-    found = [written(small.groupBy("family").applyInPandas(_whole(percent), LINKS), "links")]
+    exact = ("node", "n", "bits", "set", "key", "label")
+    alone = F.lit(0).cast("long")
+    tiles = written(_tiled(sets.withColumns({"pool": alone, "label": F.col("node")}), F.length("set"), tile), "tiles")
+    found = [written(_compared(tiles.select(*exact), percent), "links")]
+    large = tiles.where("spread").select("node", "family", "n", "bits", "set")
     if not large.head(1):
         return found[0]
-    parted = written(_closer(large, percent), "parted")
-    # what parted from all others is linked with nothing
-    together = parted.groupBy("family").agg(F.count("*").alias("size")).where("size > 1").select("family")
-    parted = written(parted.join(together, "family", "left_semi"), "together")
-    small, large = sized(large.drop("family").join(maybe_broadcast(parted), "node").dropDuplicates(["node"]))
-    found.append(written(small.groupBy("family").applyInPandas(_whole(percent), LINKS), "links"))
-    if large.head(1):
-        found += _across_tiles(large, percent)
-    return reduce(DataFrame.unionByName, found)
-
-
-def _across_tiles(sets: DataFrame, percent: int) -> list[DataFrame]:
-    """Links of families too large for one task: within each tile, then between tiles that are not yet in one group."""
-    tiles = written(_tiled(sets), "tiles")
-    own = written(tiles.groupBy("family", "slice", "tile").applyInPandas(_whole(percent), LINKS), "links")
-    grouped = tiles.join(connected_components(own, "a", "b"), "node", "left").withColumn("group", F.coalesce("component", "node")).drop("component")
-
-    def across(frame: pd.DataFrame) -> pd.DataFrame:
-        side = frame["side"].to_numpy()
-        found = tile_links(frame["node"].to_numpy(), frame["group"].to_numpy(), [np.frombuffer(x, np.uint64) for x in frame["set"]], np.flatnonzero(side == 0), np.flatnonzero(side == 1), percent)
-        return pd.DataFrame(found, columns=["a", "b"])
-
-    crossed = _meetings(grouped, percent).groupBy("family", "left", "right").applyInPandas(across, LINKS)
-    return [own, written(crossed, "links")]
-
-
-def join(docs: DataFrame, k: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    every = lambda: reduce(DataFrame.unionByName, found)
+    before = None
+    while True:  # one member stands for its group
+        grouped = written(_labelled(large, every()), "grouped")
+        heads = written(grouped.groupBy("family", "label").agg(F.min("node").alias("node")), "heads")
+        n = heads.count()
+        if before is not None and 2 * n > before:
+            break
+        before = n
+        rows = grouped.join(maybe_broadcast(heads.select("node")), "node", "left_semi").withColumn("pool", alone)
+        found.append(written(_compared(_tiled(rows, F.length("set"), tile).select(*exact), percent), "links"))
+    # large groups have tiles of their own, which do not meet
+    large_groups = grouped.groupBy("family", "label").count().where(F.col("count") >= tile // 4).select("family", "label", F.col("label").alias("pool"))
+    pooled = grouped.join(maybe_broadcast(large_groups), ["family", "label"], "left").withColumn("pool", F.coalesce("pool", F.lit(-1).cast("long")))
+    tiles = written(_tiled(pooled, F.length("set"), tile), "tiles")
+    found.append(written(_compared(tiles.select(*exact), percent), "links"))
+    meetings = written(_meetings(tiles.where("spread"), percent), "meetings")
+    bits = _across(tiles.select("node", "n", "bits", "label", "key"), meetings)
+    passing = _compared(bits.select("node", "n", "bits", "label", "side", "key"), percent).select("key").distinct()
+    meetings = meetings.join(maybe_broadcast(written(passing, "passing")), "key", "left_semi")
+    found.append(written(_compared(_across(tiles.select(*exact), meetings).select(*exact, "side"), percent), "links"))
+    return every()
+
+
+def join(docs: DataFrame, k: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text", tile: int = TILE) -> DataFrame:
     """One row per document: id, n_shingles, component_id, node.
 
     Sets a and b of k-word shingles link when 100 |a & b| >= percent |a | b|, for
@@ -359,9 +383,13 @@ def join(docs: DataFrame, k: int = 4, percent: int = 85, id_col: str = "doc_id",
     classes = written(some.groupBy("k1", "k2").agg(F.min("row").alias("node"), F.min("id").alias("low"), F.min_by("id", "row").alias("rep")), "classes")
     rows = written(profiles.select("row", "id", "n", "k1", "k2").join(classes.select("k1", "k2", "node"), ["k1", "k2"], "left").select("row", "id", "n", F.when(F.col("n") > 0, F.col("node")).alias("node")), "rows")
     families = written(_families(profiles, rows.where("row <> node").select("row")), "families")
+    maps = profiles.select(F.col("row").alias("node"), "n", "bits")
+    parted = written(_closer(maps.join(maybe_broadcast(families), "node"), percent, tile), "parted")
+    members = maps.join(maybe_broadcast(parted), "node").join(classes.drop("low"), "node")
+    members = written(members, "members")
     release(profiles)
-    sets = _sets(docs, classes, families, k)
-    parts = connected_components(_links(sets, percent), "a", "b")
+    sets = _sets(docs, members, k)
+    parts = connected_components(_links(sets, percent, tile).select("a", "b"), "a", "b")
     named = classes.select("node", "low").join(parts, "node", "left").withColumn("part", F.coalesce("component", "node"))
     names = named.groupBy("part").agg(F.min("low").alias("component_id"))
     out = rows.join(named.join(names, "part").select("node", "component_id"), "node", "left")
@@ -372,10 +400,9 @@ def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """Documents with all their columns, less all but the smallest identifier of each component of near copies."""
     found = written(join(docs, k, percent), "components")
     # rows of one identifier and different texts may be in different components: the set decides
-    gone = found.where("n_shingles > 0 and not (doc_id <=> component_id)").select(F.col("doc_id").alias("_gone_id")).distinct()
-    stay = found.where("n_shingles = 0 or doc_id <=> component_id").select(F.col("doc_id").alias("_gone_id"))
-    gone = maybe_broadcast(written(gone.join(stay, "_gone_id", "left_anti"), "gone"))
-    return docs.join(gone, docs["doc_id"].eqNullSafe(F.col("_gone_id")), "left_anti")
+    gone = found.where("n_shingles > 0 and not (doc_id <=> component_id)").select("doc_id").distinct()
+    stay = found.where("n_shingles = 0 or doc_id <=> component_id").select("doc_id")
+    return without(docs, written(gone.join(stay, "doc_id", "left_anti"), "gone"), "doc_id")
 
 
 def op7_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

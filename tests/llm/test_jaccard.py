@@ -3,8 +3,7 @@ import re
 
 import numpy as np
 import pytest
-from loomgraph.llm import jaccard
-from loomgraph.llm.jaccard import bitmap, differing, join, keep_one, signatures
+from loomgraph.llm.jaccard import _folded, bitmap, differing, join, keep_one, signatures
 
 
 def brute(docs, k, percent):
@@ -56,14 +55,28 @@ def corpus():
 
 
 @pytest.mark.parametrize(("k", "percent", "tile"), [(4, 85, 512), (5, 80, 512), (4, 85, 3)])
-def test_against_brute_force(spark, monkeypatch, k, percent, tile):
-    monkeypatch.setattr(jaccard, "TILE", tile)
+def test_against_brute_force(spark, k, percent, tile):
     docs = corpus()
     frame = spark.createDataFrame([(d, t, 7) for d, t in docs], "doc_id long, text string, node int")
-    got = sorted([(r.doc_id, r.n_shingles, r.component_id) for r in join(frame, k, percent).collect()], key=repr)
+    got = sorted([(r.doc_id, r.n_shingles, r.component_id) for r in join(frame, k, percent, tile=tile).collect()], key=repr)
     assert got == brute(docs, k, percent)
 
 
+def test_large_family_against_brute_force(spark):
+    """Copies with more and more edits of one text, whose links form chains over several tiles, and one very long text."""
+    rng = random.Random(11)
+    base = [f"w{rng.randrange(3000)}" for _ in range(300)]
+    docs = [(900, " ".join(f"x{i}" for i in range(200_000)))]
+    for i in range(240):
+        w = list(base)
+        for _ in range(i // 12):
+            w[rng.randrange(len(w))] = f"u{rng.randrange(10**6)}"
+        docs.append((i, " ".join(w)))
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    got = sorted([(r.doc_id, r.n_shingles, r.component_id) for r in join(frame, 4, 85, tile=16).collect()], key=repr)
+    assert got == brute(docs, 4, 85)
+
+
 def test_linked_sets_share_a_signature():
     rng = np.random.default_rng(4)
     for percent in (85, 80):
@@ -76,11 +89,13 @@ def test_linked_sets_share_a_signature():
                 both = len(np.intersect1d(a, b))
                 if 100 * both >= percent * (len(a) + len(b) - both) and not np.array_equal(a, b):
                     assert len(np.intersect1d(signatures(a, percent), signatures(b, percent)))
-                    assert both <= (len(a) + len(b) - np.bitwise_count(bitmap(a) ^ bitmap(b)).sum()) // 2
+                    x, y = bitmap(a), bitmap(b)
+                    words = min(len(x), len(y))
+                    assert both <= (len(a) + len(b) - np.bitwise_count(_folded(x, words) ^ _folded(y, words)).sum()) // 2
 
 
 def test_none_and_documents_that_stay(spark):
-    docs = spark.createDataFrame(corpus(), "doc_id long, text string")
+    docs = spark.createDataFrame([(*r, 1, 2) for r in corpus()], "doc_id long, text string, gone0 int, _gone_id int")
     assert join(docs.limit(0)).count() == 0
     kept = keep_one(docs)
     assert kept.columns == docs.columns
