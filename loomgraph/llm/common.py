@@ -33,13 +33,16 @@ def maybe_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if small(df, rows) else df
 
 
-def without(docs: DataFrame, gone: DataFrame, *keys: str) -> DataFrame:
-    """Rows of docs whose keys (null is a key like any other) are not in ``gone``; docs may have columns of any names."""
-    names = {k: f"gone{i}" for i, k in enumerate(keys)}
-    gone = maybe_broadcast(gone.select(*[F.col(k).alias(n) for k, n in names.items()]))
+def without(docs: DataFrame, gone: DataFrame, **keys: Column) -> DataFrame:
+    """Rows of docs for which no row of ``gone`` has the same keys (null is a key like any other).
+
+    Keys are columns of ``gone`` by name, with what they mean in docs, whose own
+    columns may have any names.
+    """
+    gone = maybe_broadcast(gone.select(*keys))
     match = F.lit(True)
-    for k, n in names.items():
-        match = match & docs[k].eqNullSafe(gone[n])
+    for name, own in keys.items():
+        match = match & own.eqNullSafe(gone[name])
     return docs.join(gone, match, "left_anti")
 
 

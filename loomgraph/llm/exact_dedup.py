@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph.llm import bloom
-from loomgraph.llm.common import lower_az, maybe_broadcast, read
+from loomgraph.llm.common import lower_az, read, without
 from loomgraph.session import release, written
 
 
@@ -131,16 +131,16 @@ def resolve(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", kee
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "smallest") -> DataFrame:
     """The documents that stay, with all their columns: one row of each group of equal texts."""
     found = written(resolve(docs, id_col, text_col, keep), "decisions")
-    key = [F.col(id_col), sha256(lower_az(F.col(text_col)))]
-    again = found.groupBy(id_col, "digest").agg(F.max("kept").alias("_keeps"), F.count("*").alias("_n")).where("_n > 1 or not _keeps")
+    digest = sha256(lower_az(docs[text_col]))
+    again = found.groupBy(F.col(id_col).alias("id"), "digest").agg(F.max("kept").alias("keeps"), F.count("*").alias("n")).where("n > 1 or not keeps")
     again = written(again, "again")
-    gone = maybe_broadcast(again.select(F.col(id_col).alias("_gone_id"), F.col("digest").alias("_gone_digest")))
-    match = key[0].eqNullSafe(F.col("_gone_id")) & (key[1] == F.col("_gone_digest"))
-    stay = docs.join(gone, match, "left_anti")
-    if again.where("_keeps").head(1):  # repeated rows of one identifier and text
-        repeated = again.where("_keeps").select(F.col(id_col).alias("_gone_id"), F.col("digest").alias("_gone_digest"))
-        rows = docs.join(repeated, match, "left_semi").withColumn("_digest", key[1])
-        stay = stay.unionByName(rows.dropDuplicates([id_col, "_digest"]).select(*docs.columns))
+    stay = without(docs, again, id=docs[id_col], digest=digest)
+    if again.where("keeps").head(1):  # repeated rows of one identifier and text: the first of those that a task meets, then of all
+        repeated = again.where("keeps")
+        rows = docs.join(repeated.select("id", "digest"), docs[id_col].eqNullSafe(repeated["id"]) & (digest == repeated["digest"]), "left_semi")
+        whole = F.struct(*[docs[c].alias(f"c{i}") for i, c in enumerate(docs.columns)])
+        one = rows.select(docs[id_col].alias("id"), digest.alias("digest"), whole.alias("row")).dropDuplicates(["id", "digest"])
+        stay = stay.unionByName(one.select(*[F.col(f"row.c{i}").alias(c) for i, c in enumerate(docs.columns)]))
     return stay
 
 

@@ -402,7 +402,7 @@ def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     # rows of one identifier and different texts may be in different components: the set decides
     gone = found.where("n_shingles > 0 and not (doc_id <=> component_id)").select("doc_id").distinct()
     stay = found.where("n_shingles = 0 or doc_id <=> component_id").select("doc_id")
-    return without(docs, written(gone.join(stay, "doc_id", "left_anti"), "gone"), "doc_id")
+    return without(docs, written(gone.join(stay, "doc_id", "left_anti"), "gone"), doc_id=docs["doc_id"])
 
 
 def op7_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,7 +18,7 @@ def training_labels(labels: DataFrame, label: str, rows: int = SAMPLE_ROWS) -> D
     counts. Beyond ``rows`` a share of the identifiers is taken by hash, so about
     that many remain and the table can be broadcast.
     """
-    known = labels.select("doc_id", F.col(label).cast("int").alias("label")).where("doc_id is not null and label in (0, 1)").where(remainder(F.col("doc_id")) != 1)
+    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label")).where("doc_id is not null and label in (0, 1)").where(remainder(F.col("doc_id")) != 1)
     known = known.groupBy("doc_id").agg(F.max("label").alias("label"))
     n = known.count()
     if n > rows:
@@ -29,4 +29,4 @@ def training_labels(labels: DataFrame, label: str, rows: int = SAMPLE_ROWS) -> D
 def labelled_texts(docs: DataFrame, labels: DataFrame, label: str, rows: int = SAMPLE_ROWS) -> DataFrame:
     """doc_id, text, label of the sample; texts are filtered in the scan, not shuffled."""
     known = F.broadcast(training_labels(labels, label, rows))
-    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(known, "doc_id")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).join(known, "doc_id")

@@ -13,11 +13,11 @@ from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import maybe_broadcast, read, remainder
+from loomgraph.llm.common import read, remainder, row_slices, without
 from loomgraph.llm.labelled import SAMPLE_ROWS, labelled_texts
 from loomgraph.session import written
 
@@ -167,15 +167,20 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int
     """Fit on at most about ``rows`` labelled documents; only their features reach the driver."""
     sample = labelled_texts(docs, labels, label, rows)
 
-    def measure(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield pd.DataFrame({"x": [features(t) for t in batch["text"]], "label": batch["label"], "doc_id": batch["doc_id"]})
+    def measure(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in row_slices(batches):
+            x = pa.array([features(t) for t in batch.column("text").to_pylist()], pa.list_(pa.float64()))
+            yield pa.record_batch({"x": x, "label": batch.column("label"), "doc_id": batch.column("doc_id")})
 
-    got = sample.mapInPandas(measure, "x array<double>, label int, doc_id long").toPandas().sort_values("doc_id", kind="stable")
+    got = sample.mapInArrow(measure, "x array<double>, label int, doc_id long").toPandas().sort_values("doc_id", kind="stable")
     x = np.array(got["x"].tolist(), float).reshape(len(got), len(FEATURES))
     return fit(x, got["label"].to_numpy())
 
 
+def _scores(model: Additive, batch: pa.RecordBatch) -> np.ndarray:
+    return model.score(np.array([features(t) for t in batch.column("text").to_pylist()], float).reshape(-1, len(FEATURES)))
+
+
 def score(docs: DataFrame, model: Additive, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, score and predicted for each row, by its whole text.
 
@@ -184,14 +189,13 @@ def score(docs: DataFrame, model: Additive, threshold: float = THRESHOLD, id_col
     not read.
     """
 
-    def rate(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            x = np.array([features(t) for t in batch["text"]], float).reshape(len(batch), len(FEATURES))
-            s = model.score(x)
-            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "score": s, "predicted": (s >= threshold).astype("int32")})
+    def rate(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in row_slices(batches):
+            s = _scores(model, batch)
+            yield pa.record_batch({"doc_id": batch.column("doc_id"), "score": pa.array(s), "predicted": pa.array((s >= threshold).astype(np.int32))})
 
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return rows.mapInPandas(rate, "doc_id long, score double, predicted int")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    return rows.mapInArrow(rate, "doc_id long, score double, predicted int")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -201,18 +205,16 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD)
     are judged each by its own text.
     """
     model = train(docs, labels)
-    key = F.struct(F.col("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("h"))
-
-    def rate(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            x = np.array([features(t) for t in batch["text"]], float).reshape(len(batch), len(FEATURES))
-            low = model.score(x) < threshold
-            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "h": batch["h"]})[low]
-
-    rows = docs.select("doc_id", key["h"].alias("h"), F.coalesce("text", F.lit("")).alias("text"))
-    rejected = written(rows.mapInPandas(rate, "doc_id long, h long"), "rejected").distinct()
-    gone = maybe_broadcast(rejected.select(F.col("doc_id").alias("_gone_id"), F.col("h").alias("_gone_h")))
-    return docs.join(gone, docs["doc_id"].eqNullSafe(F.col("_gone_id")) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == F.col("_gone_h")), "left_anti")
+    h = F.xxhash64(F.coalesce(docs["text"], F.lit("")))
+
+    def rate(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in row_slices(batches):
+            low = _scores(model, batch) < threshold
+            yield batch.select(["doc_id", "h"]).filter(pa.array(low))
+
+    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), h.alias("h"), F.coalesce(docs["text"], F.lit("")).alias("text"))
+    rejected = written(rows.mapInArrow(rate, "doc_id long, h long"), "rejected").distinct()
+    return without(docs, rejected, doc_id=docs["doc_id"], h=h)
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

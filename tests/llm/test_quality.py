@@ -36,7 +36,7 @@ def test_held_out_accuracy(spark):
 def test_odd_rows(spark):
     labels = spark.createDataFrame([(i, i % 2, "x") for i in range(60)] + [(None, 1, "x"), (3, None, "x")], "doc_id long, quality int, text string")
     rows = [(i, "good words here and there" if i % 2 else "### ### ###", 9.0) for i in range(60)] + [(None, None, 1.0), (61, "", 2.0), (1, "good words here and there", 9.0)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, score double")
+    docs = spark.createDataFrame([(*r, 1, 2, 3) for r in rows], "doc_id long, text string, score double, _gone_id int, h int, label int")
     m = train(docs, labels)
     got = score(docs, m).collect()
     assert len(got) == len(rows) and all(0 <= r.score <= 1 for r in got)
