@@ -1,8 +1,9 @@
 """Benchmark decontamination (operator 4): winnowing, in DataFrame functions only.
 
-Of every ten consecutive words the smallest hash of their five-word grams is the
-fingerprint. Ten equal words have equal fingerprints, so a join of fingerprints finds
-every shared span of ten words; hits are extended over the window word by word.
+Of every ten consecutive words the smallest hash of their six five-word grams is kept,
+once with its place however many windows it is the smallest of. Ten equal words keep the
+same gram, so a join of kept grams meets every shared span of ten words; hits are then
+extended to both sides word by word, and spans of ten words or more stay.
 """
 
 from __future__ import annotations
@@ -12,13 +13,16 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import lower_az, maybe_broadcast, read
+from loomgraph.llm import bloom
+from loomgraph.llm.common import lower_az, maybe_broadcast, read, small, without
 from loomgraph.session import written
 
 WINDOW = 10
 GRAM = 5
-#: Windows of benchmark items to broadcast at once; more are taken in blocks of this many.
-BLOCK_WINDOWS = 200_000
+#: Grams on one side of another that share a window with it.
+REACH = WINDOW - GRAM
+#: Kept grams of items are broadcast up to this many (of at most fifteen words each).
+BROADCAST_PRINTS = 100_000
 #: What separates words (after lower-casing A-Z): ASCII other than digits and letters.
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -27,78 +31,132 @@ def words(text: Column) -> Column:
     return F.filter(F.split(lower_az(text), SEPARATORS), lambda w: w != "")
 
 
-def _hash_at(hashes: Column, i: Column, first: int, n: int) -> Column:
-    return F.xxhash64(*[F.get(hashes, i + F.lit(first + k)) for k in range(n)])
+def _grams(w: Column) -> Column:
+    """Hashes of the five-word grams of a list of words, by their first word."""
+    h = F.transform(w, lambda x: F.xxhash64(x))
+    return F.transform(F.sequence(F.lit(0), F.size(w) - GRAM), lambda i: F.xxhash64(*[F.get(h, i + k) for k in range(GRAM)]))
 
 
-def _fingerprint(hashes: Column, i: Column) -> Column:
-    """The smallest gram hash of the window at i: ``WINDOW`` words have ``WINDOW - GRAM + 1`` grams."""
-    return F.least(*[_hash_at(hashes, i, k, GRAM) for k in range(WINDOW - GRAM + 1)])
+def _reach(grams: Column, at: Column, step: int) -> Column:
+    """How many grams in a row, up to a window's, are there on one side and not smaller than the one at a place."""
+    own, out = F.get(grams, at), F.lit(REACH)
+    for k in reversed(range(REACH)):
+        near = at + F.lit(step * (k + 1))
+        ends = ~F.coalesce((near >= 0) & (F.get(grams, F.greatest(near, F.lit(0))) >= own), F.lit(False))
+        out = F.when(ends, F.lit(k)).otherwise(out)
+    return out
 
 
-def _windows(items: DataFrame) -> DataFrame:
-    """Distinct windows of items: fingerprint, n, words, and the item_ids they occur in.
+def _selected(grams: Column, at: Column) -> Column:
+    """Whether the gram is a smallest one in some window of ten words: among equal ones all are."""
+    return _reach(grams, at, -1) + _reach(grams, at, 1) >= REACH
+
+
+def _around(w: Column, at: Column) -> list[Column]:
+    """The words of a gram, those before it from the nearest one, and those after it, as far as one window reaches."""
+    before = F.reverse(F.slice(w, F.greatest(at - REACH, F.lit(0)) + 1, F.least(at, F.lit(REACH))))
+    return [F.slice(w, at + 1, F.lit(GRAM)).alias("gram"), before.alias("before"), F.slice(w, at + GRAM + 1, F.lit(REACH)).alias("after")]
+
+
+def _same(a: Column, b: Column) -> Column:
+    """How many first words of two lists are equal, up to a window's reach."""
+    out = F.lit(REACH)
+    for k in reversed(range(REACH)):
+        out = F.when(F.coalesce(F.get(a, F.lit(k)) == F.get(b, F.lit(k)), F.lit(False)), out).otherwise(F.lit(k))
+    return out
+
+
+def _fingerprints(items: DataFrame) -> DataFrame:
+    """item_id, print, gram, before, after: the winnowed grams of items of ten words or more."""
+    rows = items.select("item_id", words(F.col("text")).alias("w")).where(F.size("w") >= WINDOW).withColumn("g", _grams(F.col("w")))
+    rows = rows.withColumn("i", F.explode(F.sequence(F.lit(0), F.size("g") - 1))).where(_selected(F.col("g"), F.col("i")))
+    return rows.select("item_id", F.get("g", F.col("i")).alias("print"), *_around(F.col("w"), F.col("i")))
 
-    Items of fewer than ten words, but not none, are one window each; its
-    fingerprint is the hash of all its words.
-    """
-    rows = items.select("item_id", words(F.col("text")).alias("w")).where(F.size("w") > 0)
-    rows = rows.withColumns({"h": F.transform("w", lambda x: F.xxhash64(x)), "n": F.least(F.size("w"), F.lit(WINDOW))})
-    rows = rows.withColumn("i", F.explode(F.sequence(F.lit(0), F.size("w") - F.col("n"))))
-    short = reduce(lambda out, n: F.when(F.col("n") == n, _hash_at(F.col("h"), F.col("i"), 0, n)).otherwise(out), range(1, WINDOW), F.lit(None).cast("long"))
-    rows = rows.select("item_id", "n", F.slice("w", F.col("i") + 1, F.col("n")).alias("win"), F.when(F.col("n") == WINDOW, _fingerprint(F.col("h"), F.col("i"))).otherwise(short).alias("print"))
-    return rows.groupBy("print", "n", "win").agg(F.collect_set("item_id").alias("items"))
+
+def _short(items: DataFrame) -> DataFrame:
+    """item_id, print, n, win: items of fewer than ten words, but not none, as one window each."""
+    rows = items.select("item_id", words(F.col("text")).alias("win")).where(F.size("win").between(1, WINDOW - 1)).withColumn("n", F.size("win"))
+    return rows.select("item_id", "n", "win", F.xxhash64(F.transform("win", lambda x: F.xxhash64(x))).alias("print"))
+
+
+def _numbered(rows: DataFrame, *key: str) -> tuple[DataFrame, DataFrame]:
+    """The distinct keys with a number, and (number, item_id): what many items share is one row for documents to meet."""
+    keys = written(rows.select(*key).distinct().withColumn("number", F.monotonically_increasing_id()), "keys")
+    same = reduce(lambda a, b: a & b, [rows[k] == keys[k] for k in key])
+    return keys, written(rows.join(keys, same).select(keys["number"], "item_id").distinct(), "items")
+
+
+def _met(rows: DataFrame, keys: DataFrame, match: Column) -> DataFrame:
+    """Rows with a print, joined with keys: by broadcast if these are few, else by shuffle of what a filter lets pass."""
+    if small(keys, BROADCAST_PRINTS):
+        return rows.join(F.broadcast(keys), match)
+    table, blocks = bloom.build(keys, "print")
+    return bloom.possible(rows, rows["own_print"], table, blocks).join(keys, match)
 
 
 def find(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id, text_hash, n_words, n_hit, item_ids (sorted as strings), spans.
 
     A document word inside any occurrence of an item's window is hit; ``spans`` are
-    the (start, end) of occurrences. Null has no words, as has a text of separators
+    the (start, end) of matches, which may overlap. Null has no words, as has a text of separators
     only, and neither is hit. Null item identifiers are left out of the list, though
     their windows hit. Repeated rows are reported as often. No documents: no rows;
-    no items: no hits. Other columns are not read.
+    no items: no hits. Very long texts are read whole. Other columns are not read.
     """
-    windows = written(_windows(items.select("item_id", "text")), "windows")
-    shape = windows.agg(F.count("*").alias("n"), F.collect_set(F.when(F.col("n") < WINDOW, F.col("n"))).alias("short")).first()
-    short = sorted(shape["short"])  # nine lengths at most
-    blocks = max(1, -(-shape["n"] // BLOCK_WINDOWS))
-
+    items = items.select("item_id", "text")
+    keys, of_items = _numbered(written(_fingerprints(items), "prints"), "print", "gram", "before", "after")
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("text_hash"), words(F.col(text_col)).alias("w"))
-    rows = rows.select("*", F.transform("w", lambda x: F.xxhash64(x)).alias("h"), F.size("w").alias("len"))
-    # a row for each place, and one (-1) that stands for the document itself
-    rows = rows.withColumn("i", F.explode(F.sequence(F.lit(-1), F.col("len") - 1)))
-    full = F.when((F.col("i") >= 0) & (F.col("i") + WINDOW <= F.col("len")), _fingerprint(F.col("h"), F.col("i")))
-    if short:
-        keys = [F.struct(F.lit(WINDOW).alias("n"), full.alias("print"))]
-        keys += [F.struct(F.lit(n).alias("n"), F.when((F.col("i") >= 0) & (F.col("i") + n <= F.col("len")), _hash_at(F.col("h"), F.col("i"), 0, n)).alias("print")) for n in short]
-        rows = rows.withColumn("k", F.explode(F.array(*keys))).select("id", "text_hash", "w", "len", "i", F.col("k.n").alias("wn"), F.col("k.print").alias("print"))
+    rows = rows.withColumns({"g": F.when(F.size("w") >= WINDOW, _grams(F.col("w"))), "len": F.size("w")})
+    # a row for each gram that winnowing selects, and one (-1) that stands for the document itself
+    places = rows.withColumn("i", F.explode(F.sequence(F.lit(-1), F.coalesce(F.size("g"), F.lit(0)) - 1)))
+    places = places.where((F.col("i") < 0) | _selected(F.col("g"), F.col("i")))
+    places = places.withColumn("own_print", F.when(F.col("i") >= 0, F.get("g", F.greatest(F.col("i"), F.lit(0))))).drop("g")
+    match = F.col("own_print") == F.col("print")
+    if small(keys, BROADCAST_PRINTS):
+        joined = places.join(F.broadcast(keys), match, "left").where((F.col("i") < 0) | F.col("number").isNotNull())
+    else:
+        joined = places.where("i < 0").unionByName(_met(places.where("i >= 0"), keys, match), allowMissingColumns=True)
+    # a match of grams is extended to both sides; ten words in a row are an occurrence
+    gram, before, after = _around(F.col("w"), F.greatest(F.col("i"), F.lit(0)))
+    left, right = _same(before, F.col("before")), _same(after, F.col("after"))
+    extended = joined.select("id", "text_hash", "len", "i", "number", F.when(gram == F.col("gram"), left).alias("l"), F.when(gram == F.col("gram"), right).alias("r"))
+    span = F.struct((F.col("i") - F.col("l")).alias("start"), (F.col("i") + GRAM + F.col("r")).alias("end"))
+    extended = extended.where((F.col("i") < 0) | (F.col("l") + F.col("r") + GRAM >= WINDOW))
+    found = extended.select("id", "text_hash", "len", F.when(F.col("i") >= 0, F.col("number")).alias("number"), F.lit(0).alias("kind"), F.when(F.col("i") >= 0, span).alias("span"), F.col("i") < 0)
+    found = found.toDF("id", "text_hash", "len", "number", "kind", "span", "own")
+
+    short = _short(items)
+    lengths = sorted(r.n for r in short.select("n").distinct().collect())  # nine at most
+    if lengths:
+        short_keys, of_short = _numbered(written(short, "short"), "print", "n", "win")
+        of_items = of_items.withColumn("kind", F.lit(0)).unionByName(of_short.withColumn("kind", F.lit(1)))
+        every = rows.where("len > 0").select("id", "text_hash", "w", "len", F.explode(F.sequence(F.lit(0), F.col("len") - 1)).alias("i"), F.transform("w", lambda x: F.xxhash64(x)).alias("h"))
+        every = every.withColumn("own_n", F.explode(F.array(*map(F.lit, lengths)))).where(F.col("i") + F.col("own_n") <= F.col("len"))
+        every = every.withColumn("own_print", F.xxhash64(F.slice("h", F.col("i") + 1, F.col("own_n")))).drop("h")
+        equal = (F.col("own_print") == F.col("print")) & (F.col("own_n") == F.col("n")) & (F.slice("w", F.col("i") + 1, F.col("own_n")) == F.col("win"))
+        hits = _met(every, short_keys, equal)
+        found = found.unionByName(hits.select("id", "text_hash", "len", "number", F.lit(1).alias("kind"), F.struct(F.col("i").alias("start"), (F.col("i") + F.col("n")).alias("end")).alias("span"), F.lit(False).alias("own")))
     else:
-        rows = rows.select("id", "text_hash", "w", "len", "i", F.lit(WINDOW).alias("wn"), full.alias("print"))
-
-    parts = []
-    for block in range(blocks):
-        side = windows if blocks == 1 else windows.where(F.pmod(F.xxhash64("print", "n"), F.lit(blocks)) == block)
-        side = side.select(F.col("print").alias("_print"), F.col("n").alias("_n"), "win", "items")
-        match = (F.col("print") == F.col("_print")) & (F.col("wn") == F.col("_n")) & (F.slice("w", F.greatest(F.col("i"), F.lit(0)) + 1, F.col("_n")) == F.col("win"))
-        own = (F.col("i") == -1) & (F.col("wn") == WINDOW) if block == 0 else F.lit(False)
-        joined = rows.join(F.broadcast(side), match, "left").where(own | F.col("win").isNotNull())
-        parts.append(joined.select("id", "text_hash", "len", "i", F.col("_n").alias("n"), "items"))
-    found = reduce(DataFrame.unionByName, parts)
-    span = F.when(F.col("n").isNotNull(), F.struct(F.col("i").alias("start"), (F.col("i") + F.col("n")).alias("end")))
-    by = found.groupBy("id", "text_hash").agg(F.max("len").alias("n_words"), F.count(F.when(F.col("i") == -1, 1)).alias("copies"), F.sort_array(F.collect_set(span)).alias("spans"), F.collect_set("items").alias("lists"))
+        of_items = of_items.withColumn("kind", F.lit(0))
+
+    number = F.when(F.col("number").isNotNull(), F.struct("kind", "number"))
+    by = found.groupBy("id", "text_hash").agg(F.max("len").alias("n_words"), F.count_if("own").alias("copies"), F.sort_array(F.collect_set("span")).alias("spans"), F.collect_set(number).alias("numbers"))
+    by = written(by, "matches")
+    named = by.where("size(numbers) > 0").select("id", "text_hash", F.explode("numbers").alias("k")).select("id", "text_hash", "k.kind", "k.number").join(of_items, ["kind", "number"])
+    named = named.groupBy("id", "text_hash").agg(F.array_sort(F.collect_set(F.col("item_id").cast("string"))).alias("item_ids"))
+    named = named.select(F.col("id").alias("hit_id"), F.col("text_hash").alias("hit_hash"), "item_ids")
+    both = by.join(maybe_broadcast(named), by["id"].eqNullSafe(F.col("hit_id")) & (by["text_hash"] == F.col("hit_hash")), "left")
     start = F.struct(F.lit(0).cast("long").alias("hit"), F.lit(0).alias("reach"))
     step = lambda a, s: F.struct((a["hit"] + F.greatest(F.lit(0), s["end"] - F.greatest(s["start"], a["reach"]))).alias("hit"), F.greatest(a["reach"], s["end"]).alias("reach"))
-    ids = F.array_sort(F.transform(F.array_distinct(F.flatten("lists")), lambda x: x.cast("string")))
-    out = by.select("id", "text_hash", F.col("n_words").cast("long").alias("n_words"), F.aggregate("spans", start, step, lambda a: a["hit"]).alias("n_hit"), ids.alias("item_ids"), "spans", F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("_copy"))
+    none = F.array().cast("array<string>")
+    out = both.select("id", "text_hash", F.col("n_words").cast("long").alias("n_words"), F.aggregate("spans", start, step, lambda a: a["hit"]).alias("n_hit"), F.coalesce("item_ids", none).alias("item_ids"), "spans", F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("copy"))
     return out.select(F.col("id").alias(id_col), "text_hash", "n_words", "n_hit", "item_ids", "spans")
 
 
 def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The documents without any hit, with all their columns; rows that share an identifier are judged each by its own text."""
     hit = written(find(docs, items).where("n_hit > 0").select("doc_id", "text_hash").distinct(), "contaminated")
-    gone = maybe_broadcast(hit.select(F.col("doc_id").alias("_gone_id"), F.col("text_hash").alias("_gone_hash")))
-    return docs.join(gone, docs["doc_id"].eqNullSafe(F.col("_gone_id")) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == F.col("_gone_hash")), "left_anti")
+    return without(docs, hit, doc_id=docs["doc_id"], text_hash=F.xxhash64(F.coalesce(docs["text"], F.lit(""))))
 
 
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

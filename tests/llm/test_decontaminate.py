@@ -3,6 +3,7 @@ import re
 
 from loomgraph.llm import decontaminate
 from loomgraph.llm.decontaminate import clean, find
+from pyspark.sql import functions as F
 
 WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
 
@@ -48,15 +49,30 @@ def test_against_brute_force(spark):
     assert got == brute(docs, items)
 
 
-def test_blocks_of_windows_give_the_same(spark, monkeypatch):
+def test_keys_too_many_to_broadcast_give_the_same(spark, monkeypatch):
     docs, items, d, b = frames(spark)
-    monkeypatch.setattr(decontaminate, "BLOCK_WINDOWS", 4)
+    monkeypatch.setattr(decontaminate, "BROADCAST_PRINTS", 0)
     got = sorted([(r.doc_id, r.n_words, r.n_hit, list(r.item_ids)) for r in find(d, b).collect()], key=repr)
     assert got == brute(docs, items)
 
 
+def test_winnowing_keeps_few_grams_and_one_of_each_window(spark):
+    rng = random.Random(9)
+    texts = [(i, " ".join(f"w{rng.randrange(5000)}" for _ in range(400))) for i in range(20)] + [(20, "a " * 100), (21, "short text"), (22, " ".join(map(str, range(10))))]
+    rows = spark.createDataFrame(texts, "id long, text string").select("id", decontaminate.words(F.col("text")).alias("w")).where(F.size("w") >= 10)
+    rows = rows.withColumn("g", decontaminate._grams(F.col("w"))).withColumn("i", F.explode(F.sequence(F.lit(0), F.size("g") - 1)))
+    kept = {}
+    for r in rows.where(decontaminate._selected(F.col("g"), F.col("i"))).select("id", "i").collect():
+        kept.setdefault(r.id, set()).add(r.i)
+    assert sum(len(kept[i]) for i in range(20)) < 0.35 * 20 * 391
+    for i, text in texts:
+        for start in range(len(text.split()) - 9):
+            assert kept[i] & set(range(start, start + 6))
+
+
 def test_clean_and_empty(spark):
     docs, items, d, b = frames(spark)
+    d = d.withColumns({"_gone_id": F.lit(1), "text_hash": F.lit("x")})
     kept = clean(d, b)
     assert kept.columns == d.columns
     assert sorted((r.doc_id for r in kept.collect()), key=repr) == sorted((x[0] for x in brute(docs, items) if not x[2]), key=repr)
