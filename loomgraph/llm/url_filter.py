@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph.llm import bloom
-from loomgraph.llm.common import lower_az, read
+from loomgraph.llm.common import lower_az, maybe_broadcast, read
 
 
 @dataclass(frozen=True)
@@ -68,27 +68,37 @@ def judge(pages: DataFrame, rules: DataFrame, listed: DataFrame, url: str = "url
     rules = rules.groupBy("_rh", "_rp").agg(F.max("verdict").alias("_verdict")).withColumn("_key", F.concat(F.lit("r"), F.col("_rh"), F.lit("\n"), F.col("_rp")))
     at = F.struct(host_of(F.col("url")), path_of(F.col("url")))
     exact = listed.select(at.alias("at")).where("at.col1 != ''").select(F.concat(F.lit("u"), F.col("at.col1"), F.lit("\n"), F.col("at.col2")).alias("_key")).distinct()
-    keys = rules.select("_key", "_rh", "_rp", "_verdict").unionByName(exact.select("_key", F.lit(None).cast("string").alias("_rh"), F.lit(None).cast("string").alias("_rp"), F.lit("block").alias("_verdict")))
+    rules = rules.select("_key", "_rh", "_rp", "_verdict")
+    exact = exact.select("_key", F.lit(None).cast("string").alias("_rh"), F.lit(None).cast("string").alias("_rp"), F.lit("block").alias("_verdict"))
     # the lengths of rule paths: at most a few hundred numbers, however many rules there are
     lengths = F.array(*[F.lit(r.n) for r in rules.select(F.length("_rp").alias("n")).distinct().collect()]).cast("array<int>")
 
-    parted = pages.drop("host", "path", "rule", "verdict").withColumns({"host": host_of(F.col(url)), "path": path_of(F.col(url))})
+    # other columns of pages are in a struct meanwhile, so that they may have any names
+    own = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict")]
+    parted = pages.select(F.struct(*[pages[c].alias(f"c{i}") for i, c in enumerate(own)]).alias("row"), host_of(pages[url]).alias("host"), path_of(pages[url]).alias("path"))
     places = parted.select("host", "path").where("host != ''").distinct()
     labels = F.split("host", r"\.")
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
     starts = F.transform(F.filter(lengths, lambda n: n <= F.length("path")), lambda n: F.col("path").substr(F.lit(1), n))
     of_rules = F.flatten(F.transform(suffixes, lambda h: F.transform(starts, lambda p: F.concat(F.lit("r"), h, F.lit("\n"), p))))
-    probes = places.select("host", "path", F.explode(F.array_append(of_rules, F.concat(F.lit("u"), F.col("host"), F.lit("\n"), F.col("path")))).alias("_key"))
-    table, blocks = bloom.build(keys, "_key")
-    hits = bloom.possible(probes, F.col("_key"), table, blocks).join(keys, "_key")
+    of_url = F.concat(F.lit("u"), F.col("host"), F.lit("\n"), F.col("path"))
+
+    def hits(probes: DataFrame, keys: DataFrame) -> DataFrame:
+        """Possible hits of the filter, joined with the keys; rules and URLs apart, since a rule's key is that of many URLs."""
+        table, blocks = bloom.build(keys, "_key")
+        return bloom.possible(probes, F.col("_key"), table, blocks).join(maybe_broadcast(keys), "_key")
+
+    found = hits(places.select("host", "path", F.explode(of_rules).alias("_key")), rules).unionByName(hits(places.select("host", "path", of_url.alias("_key")), exact))
     rank = F.struct(F.col("_rh").isNotNull().alias("is_rule"), F.coalesce(F.length("_rh") + F.length("_rp"), F.lit(0)).alias("n"), F.coalesce(F.length("_rh"), F.lit(0)).alias("h"))
-    best = hits.groupBy("host", "path").agg(F.max_by(F.struct(F.concat("_rh", "_rp").alias("rule"), F.col("_verdict").alias("verdict")), rank).alias("_best"))
-    return parted.join(best, ["host", "path"], "left").select(
-        *[c for c in parted.columns if c not in ("host", "path")],
+    best = found.groupBy("host", "path").agg(F.max_by(F.struct(F.concat("_rh", "_rp").alias("rule"), F.col("_verdict").alias("verdict")), rank).alias("best"))
+    # pages without a host, however many, fit nothing and are not joined
+    out = parted.where("host != ''").join(best, ["host", "path"], "left").unionByName(parted.where("host = ''").withColumn("best", F.lit(None).cast(best.schema["best"].dataType)))
+    return out.select(
+        *[F.col(f"row.c{i}").alias(c) for i, c in enumerate(own)],
         "host",
         "path",
-        F.col("_best.rule").alias("rule"),
-        F.coalesce("_best.verdict", F.lit("allow")).alias("verdict"),
+        F.col("best.rule").alias("rule"),
+        F.coalesce("best.verdict", F.lit("allow")).alias("verdict"),
     )
 
 

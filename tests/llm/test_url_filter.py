@@ -25,10 +25,10 @@ URLS = ["http://a.example.com/en/x?q", "https://www.EXAMPLE.com/en/", "http://ex
 
 def test_against_brute_force(spark):
     rules = [(r["host"], r["path"], r["verdict"]) for r in rules_frame(spark).collect()]
-    pages = spark.createDataFrame([(i if i != 3 else None, u, "old", "keep") for i, u in enumerate(URLS)], "page_id long, url string, verdict string, _key2 string")
+    pages = spark.createDataFrame([(i if i != 3 else None, u, "old", "keep", 1, 2, 3, 4, 5, 6) for i, u in enumerate(URLS)], "page_id long, url string, verdict string, _key2 string, _best int, best int, row int, _key int, _block int, _w0 int")
     listed = ["http://x.org/dead#x", None, "bad"]
     got = judge(pages, rules_frame(spark), spark.createDataFrame([(u,) for u in listed], "url string"))
-    assert sorted(got.columns) == sorted(["page_id", "url", "_key2", "host", "path", "rule", "verdict"])
+    assert sorted(got.columns) == sorted(["page_id", "url", "_key2", "_best", "best", "row", "_key", "_block", "_w0", "host", "path", "rule", "verdict"])
     rows = got.collect()
     assert len(rows) == len(URLS)
     for r in rows:
