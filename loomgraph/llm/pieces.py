@@ -6,7 +6,7 @@
    blocks. Its substrings of bounded length are exploded and equi-joined with the piece
    table; the hits, grouped by word and sorted by their ends, are the edges of its lattice.
 3. One higher-order aggregate runs Viterbi over the edges: it keeps, for each place of the
-   word, the best way to get there, and a second one walks back. For ``unigram`` models a
+   word, the best way to get there. For ``unigram`` models a
    way is better if its sum of scores is larger. For ``bpe`` models, whose scores are merge
    ranks and do not add up, a step from one piece to the next is either possible or not:
    it is not if merging would have joined symbols across the place where they meet. Of all
@@ -19,6 +19,7 @@ from __future__ import annotations
 import heapq
 import math
 import re
+import string
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 from functools import cached_property
@@ -39,7 +40,7 @@ SPACE = "▁"
 #: Words over so many characters do not fit one row with all their edges; ``merge_long`` and ``best_long`` fold them by the same rule.
 LONG = 2_000
 #: A block of documents ends after the document with which it has so many distinct words.
-BLOCK_WORDS = 200_000
+BLOCK_WORDS = 400_000
 #: Words in one row on their way to the lattice.
 WORDS_A_ROW = 1_024
 #: Words of blocks that one task folds: their edges take some hundred times the space of the words.
@@ -90,11 +91,6 @@ class Pieces:
     def least(self) -> float:
         return min(self.scores.values(), default=0.0)
 
-    @cached_property
-    def spanned(self) -> frozenset[str]:
-        """Neighbouring characters that are in some piece; a text may be cut between all others."""
-        return frozenset(a + b for p in self.ids for a, b in zip(p, p[1:], strict=False))
-
     def made(self, piece: str) -> tuple[bool, list[Symbol], list[Symbol]]:
         """Whether merging makes the piece of its characters, and the symbols at its left and at its right end on the way."""
         ends = list(range(1, len(piece) + 1))  # of the symbols so far; they start where the one before ends
@@ -124,21 +120,28 @@ class Pieces:
             rows.append((p, i, float(self.scores[p]), usable, *([(s.n, s.peak, s.made, s.used) for s in side] for side in (left, right))))
         return spark.createDataFrame(rows, f"piece string, id int, score double, usable boolean, left {_SYMBOLS}, right {_SYMBOLS}")
 
-    def alone(self) -> str:
-        """White space that is in no longer piece."""
-        return "".join(c for c in "\n\r\t\x0b\x0c" if not any(c in p for p in self.ids if len(p) > 1))
+    def apart(self) -> str:
+        """ASCII white space and punctuation that no piece has beside another character, but for a space before it."""
+        beside = {c for p in self.ids if len(p.lstrip(SPACE)) > 1 for c in p}
+        return "".join(c for c in "\n\r\t\x0b\x0c" + string.punctuation if c not in beside)
 
     def words(self) -> str:
-        """A pattern of words, which ``parts`` cuts further."""
-        alone = self.alone()
-        return f"{SPACE}+[^{SPACE}{alone}]*|[^{SPACE}{alone}]+" + (f"|[{alone}]" if alone else "")
+        """A pattern that cuts prepared texts into words which no piece spans."""
+        apart = re.escape(self.apart())
+        own = f"[{apart}]" if apart else "(?!)"
+        return f"{SPACE}+(?:{own}|[^{SPACE}{apart}]*)|[^{SPACE}{apart}]+|{own}"
+
+    @cached_property
+    def spanned(self) -> frozenset[str]:
+        """Neighbouring characters that are in some piece."""
+        return frozenset(a + b for p in self.ids for a, b in zip(p, p[1:], strict=False))
 
     def parts(self, word: str) -> list[str]:
-        """A word cut wherever no piece spans two neighbouring characters."""
+        """A word cut between all neighbours that no piece spans."""
         spanned = self.spanned
         if spanned.issuperset(map(add, word, word[1:])):
             return [word]
-        cuts = [i for i, (a, b) in enumerate(zip(word, word[1:], strict=False), 1) if a + b not in spanned]
+        cuts = [i for i in range(1, len(word)) if word[i - 1 : i + 1] not in spanned]
         return [word[a:b] for a, b in zip([0, *cuts], [*cuts, len(word)], strict=True)]
 
 
@@ -194,37 +197,34 @@ def _parted(last: Column, edge: Column, crossing: Column) -> Column:
 
             return (x["n"] == here - c["start"]) & F.exists(F.coalesce(edge["left"], _still()), right)
 
-        return (c["start"] < here) & (c["end"] > here) & (c["end"] <= edge["end"]) & F.exists(F.coalesce(last["right"], _still()), left)
-
-    return ~F.exists(crossing, joins)
+        return (c["end"] <= edge["end"]) & F.exists(F.coalesce(last["right"], _still()), left)
 
-
-_NONE = "struct<start:int,id:int,spelled:array<int>,right:" + _SYMBOLS + ">"
+    return ~F.exists(F.get(crossing, here), joins)
 
 
 def _merged(edges: Column, crossing: Column) -> Column:
-    """For each place of a word the piece that ends there when merging has encoded all before it."""
-    nothing = F.lit(None)
-    start = F.array(F.struct(F.lit(0).alias("start"), nothing.alias("id"), nothing.alias("spelled"), F.array().alias("right"))).cast(f"array<{_NONE}>")
+    """For each place of a word what merging makes of all before it (identifiers), and the right end of its last piece."""
+    start = F.array(F.struct(F.array().alias("ids"), F.array().alias("right"))).cast(f"array<struct<ids:array<int>,right:{_SYMBOLS}>>")
 
     def step(best: Column, e: Column) -> Column:
-        way = F.struct(e["start"].alias("start"), e["id"].alias("id"), e["spelled"].alias("spelled"), e["right"].alias("right"))
-        return F.when((F.size(best) > e["end"]) | ~_parted(F.get(best, e["start"]), e, crossing), best).otherwise(F.array_append(best, way))
+        before = F.get(best, e["start"])
+        way = F.struct(F.concat(before["ids"], e["ids"]).alias("ids"), e["right"].alias("right"))
+        return F.when((F.size(best) > e["end"]) | ~_parted(before, e, crossing), best).otherwise(F.array_append(best, way))
 
-    return F.aggregate(edges, start, step)
+    return F.element_at(F.aggregate(edges, start, step), -1)["ids"]
 
 
 def _best(edges: Column) -> Column:
-    """For each place of a word the piece that ends there on the path with the largest sum of scores; of equal sums, the shortest."""
-    nothing = F.lit(None)
-    start = F.array(F.struct(F.lit(0).alias("start"), nothing.alias("id"), nothing.alias("spelled"), F.lit(0.0).alias("score"))).cast("array<struct<start:int,id:int,spelled:array<int>,score:double>>")
+    """Identifiers on the path with the largest sum of scores; of equal sums the one with the shorter last piece."""
+    start = F.array(F.struct(F.array().alias("ids"), F.lit(0.0).alias("score"))).cast("array<struct<ids:array<int>,score:double>>")
 
     def step(best: Column, e: Column) -> Column:
-        way = F.struct(e["start"].alias("start"), e["id"].alias("id"), e["spelled"].alias("spelled"), (F.get(best, e["start"])["score"] - e["rank"]).alias("score"))
+        before = F.get(best, e["start"])
+        way = F.struct(F.concat(before["ids"], e["ids"]).alias("ids"), (before["score"] - e["rank"]).alias("score"))
         new = F.size(best) == e["end"]
         return F.when(new, F.array_append(best, way)).when(way["score"] >= F.get(best, e["end"])["score"], F.array_append(F.slice(best, F.lit(1), e["end"]), way)).otherwise(best)
 
-    return F.aggregate(edges, start, step)
+    return F.element_at(F.aggregate(edges, start, step), -1)["ids"]
 
 
 def _let(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -232,18 +232,6 @@ def _let(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
-def _walked_back(best: Column, n: Column) -> Column:
-    """Identifiers on the path that ends at the last place."""
-    start = F.struct(n.alias("at"), F.array().cast("array<int>").alias("ids"))
-
-    def back(path: Column, _: Column) -> Column:
-        piece = F.get(best, path["at"])
-        own = F.coalesce(piece["spelled"], F.array(piece["id"]))
-        return F.when(path["at"] == 0, path).otherwise(F.struct(piece["start"].alias("at"), F.concat(own, path["ids"]).alias("ids")))
-
-    return F.aggregate(F.sequence(F.lit(1), n), start, back)["ids"]
-
-
 def merge_long(word: str, pieces: Pieces) -> list[int]:
     """The merges of a word of any length, with a heap."""
     n = len(word)
@@ -316,9 +304,9 @@ def lattice(words: DataFrame, pieces: Pieces, keys: tuple[str, ...] = ("word",),
     edges = cut.join(table, "piece", "left").where(F.col("id").isNotNull() | single)
     # ends come first, so that edges sort by them, and of one end the longest first
     edge = F.struct(
-        "end", "start", "id",
+        "end", "start",
         (-F.coalesce("score", F.lit(pieces.least - UNKNOWN_PENALTY))).alias("rank"),
-        F.when(F.col("id").isNull(), _spelled(F.col("piece"), pieces)).alias("spelled"),
+        F.when(F.col("id").isNull(), _spelled(F.col("piece"), pieces)).otherwise(F.array("id")).alias("ids"),
         (F.coalesce("usable", F.lit(True)) | single).alias("usable"),
         F.when(~single, F.col("left")).alias("left"),
         F.when(~single, F.col("right")).alias("right"),
@@ -327,9 +315,10 @@ def lattice(words: DataFrame, pieces: Pieces, keys: tuple[str, ...] = ("word",),
     if carried:  # one of the edges carries it
         lists.append(F.first(F.when(F.col("end") == 1, F.col(carried)), ignorenulls=True).alias(carried))
     grouped = edges.groupBy(*keys).agg(*lists)
-    crossing = lambda es: F.filter(es, lambda e: e["end"] - e["start"] > 1)
+    longer = lambda es: F.filter(es, lambda e: e["end"] - e["start"] > 1)
+    crossing = lambda es: _let(longer(es), lambda c: F.transform(F.sequence(F.lit(0), n), lambda p: F.filter(c, lambda e: (e["start"] < p) & (e["end"] > p))))
     ways = (lambda es: _let(crossing(es), lambda c: _merged(F.filter(es, lambda e: e["usable"]), c))) if pieces.kind == "bpe" else _best
-    ids = _let(F.sort_array("edges"), lambda es: _let(ways(es), lambda best: _walked_back(best, n)))
+    ids = _let(F.sort_array("edges"), ways)
     done = grouped.select(*keys, *others, ids.alias("ids"))
 
     def long(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -342,8 +331,8 @@ def lattice(words: DataFrame, pieces: Pieces, keys: tuple[str, ...] = ("word",),
     return done.unionByName(rest.mapInPandas(long, schema))
 
 
-class _Numbers(dict):
-    """Numbers of words, in the order in which they are first asked for."""
+class _Codes(dict):
+    """Codes of words, in the order in which they are first asked for."""
 
     def __missing__(self, word: str) -> int:
         self[word] = n = len(self)
@@ -354,16 +343,13 @@ class _Block:
     """The words of a block of documents, and the codes of their parts."""
 
     def __init__(self, pieces: Pieces) -> None:
-        self.pieces, self.words, self.codes = pieces, _Numbers(), _Numbers()
+        self.pieces, self.words, self.codes = pieces, _Codes(), _Codes()
         self.first, self.size, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
 
-    def texts(self, texts: list[str | None], find: Callable[[str], list[str]]) -> list[np.ndarray]:
-        """Codes of whole texts."""
+    def texts(self, found: list[list[str]]) -> list[np.ndarray]:
+        """Codes of whole texts, given as words."""
         old = len(self.words)
-        numbers = []
-        for text in texts:
-            words = find(SPACE + text.replace(" ", SPACE)) if text else []
-            numbers.append(np.fromiter(map(self.words.__getitem__, words), np.int64, len(words)))
+        numbers = [np.fromiter(map(self.words.__getitem__, words), np.int64, len(words)) for words in found]
         parts = list(map(self.pieces.parts, islice(self.words, old, None)))
         size = np.fromiter(map(len, parts), np.int64, len(parts))
         self.first = np.concatenate([self.first, np.cumsum(size) - size + len(self.flat)])
@@ -399,9 +385,10 @@ def _coded(docs: DataFrame, pieces: Pieces, block_words: int) -> DataFrame:
 
         for batch in row_slices(batches, DOCS_AT_ONCE):
             texts = batch.column("text").to_pylist()
-            codes = block.texts(texts, find)
+            found = [find(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts]
+            codes = block.texts(found)
             digest = [hashlib.sha256((t or "").encode()).digest() for t in texts]
-            yield rows(block=[at] * len(codes), id=batch.column("id"), n=[len(c) for c in codes], digest=digest, codes=[pack(c.tobytes()) for c in codes])
+            yield rows(block=[at] * len(codes), id=batch.column("id"), n=[len(c) for c in codes], digest=digest, codes=[pack(_planes(c)) for c in codes])
             if len(block.codes) >= block_words:
                 yield from words()
                 block, at = _Block(pieces), at + 1
@@ -410,6 +397,15 @@ def _coded(docs: DataFrame, pieces: Pieces, block_words: int) -> DataFrame:
     return docs.mapInArrow(code, _CODED)
 
 
+def _planes(codes: np.ndarray) -> bytes:
+    """The first bytes of all codes, then the second ones, and so on: these pack better."""
+    return codes.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def _from_planes(data: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(data, np.uint8).reshape(4, n).T.copy().view("<u4").ravel()
+
+
 def _gather(starts: np.ndarray, sizes: np.ndarray, values: np.ndarray) -> np.ndarray:
     """The values of several runs, one after another."""
     if not len(sizes) or not sizes.sum():
@@ -472,7 +468,7 @@ def encode(docs: DataFrame, pieces: Pieces, id_col: str = "doc_id", text_col: st
                     pieces_of = list(map(spelled.__getitem__, values.tolist()))
                     parts = [b"".join(pieces_of[i : i + k]) for i, k in zip(starts.tolist(), sizes.tolist(), strict=True)]
                 if n:
-                    c = np.frombuffer(unpack(codes, max_output_size=4 * n), np.uint32)
+                    c = _from_planes(unpack(codes, max_output_size=4 * n), n)
                     ids.append(_gather(starts[c], sizes[c], values))
                     text = b"".join(map(parts.__getitem__, c.tolist())).decode("utf-8", "replace").removeprefix(" ")
                 else:
