@@ -27,16 +27,18 @@ def pagerank(g: GraphTables, damping: float = 0.85, max_iter: int = 50, tol: flo
     n = ids.count()
     base = ids.join(out.select(F.col("source_id").alias("id"), F.lit(False).alias("dangling")), "id", "left").select("id", F.coalesce("dangling", F.lit(True)).alias("dangling"))
     ranks = written(base.withColumns({"rank": F.lit(1.0 / n), "change": F.lit(1.0)}), "ranks")
-    for _ in range(max_iter):
-        lost = ranks.where("dangling").agg(F.coalesce(F.sum("rank"), F.lit(0.0))).first()[0]
+    totals = F.coalesce(F.sum(F.when(F.col("dangling"), F.col("rank"))), F.lit(0.0)).alias("lost"), F.sum("change").alias("change")
+    for i in range(max_iter):
+        lost, change = ranks.agg(*totals).first()
+        if i and tol > 0 and change < tol:
+            break
         given = edges.join(ranks.select(F.col("id").alias("source_id"), "rank"), "source_id").groupBy("id").agg(F.sum(F.col("rank") * F.col("share")).alias("got"))
         rank = F.lit((1 - damping) / n) + damping * (F.coalesce("got", F.lit(0.0)) + F.lit(lost / n))
         after = ranks.drop("change").join(given, "id", "left").select("id", "dangling", rank.alias("rank"), F.abs(rank - F.col("rank")).alias("change"))
         after = written(after, "ranks")
         release(ranks)
         ranks = after
-        if tol > 0 and ranks.agg(F.sum("change")).first()[0] < tol:
-            break
+    release(counted, edges)
     return ranks.select("id", "rank")
 
 

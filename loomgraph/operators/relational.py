@@ -213,6 +213,11 @@ def symbol_source(g: GraphTables, files: DataFrame, name: str, around: int = 5,
     found = symbols_by_name(g, name).join(files.select(F.col("path").alias("file_path"), "text"), "file_path")
     first = F.greatest(F.lit(1), F.col("start_line") + 1 - around)
     lines = F.slice(F.split("text", "\n"), first, F.col("end_line") + 1 + around - first + 1)
-    out = g.relationships.select(F.col("source_id").alias("id"), F.struct("kind", "target_id").alias("e")).groupBy("id").agg(F.slice(F.array_sort(F.collect_list("e")), 1, limit).alias("outgoing"))
-    into = g.relationships.select(F.col("target_id").alias("id"), F.struct("kind", "source_id").alias("e")).groupBy("id").agg(F.slice(F.array_sort(F.collect_list("e")), 1, limit).alias("incoming"))
+    ids = found.select("id").distinct()
+
+    def side(own: str, other: str, name: str) -> DataFrame:
+        edges = g.relationships.select(F.col(own).alias("id"), "kind", other).join(ids, "id", "left_semi")
+        return top_samples(edges, "id", ["kind", other], limit).groupBy("id").agg(F.array_sort(F.collect_list(F.struct("kind", other))).alias(name))
+
+    out, into = side("source_id", "target_id", "outgoing"), side("target_id", "source_id", "incoming")
     return found.join(out, "id", "left").join(into, "id", "left").select("id", "file_path", first.alias("first_line"), lines.alias("lines"), "outgoing", "incoming")

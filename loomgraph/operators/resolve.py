@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window
 
 from loomgraph.schema import EXTERNAL, UNRESOLVED, GraphTables, is_sentinel, last_part, parent_dir
 
@@ -44,11 +45,18 @@ def resolve(g: GraphTables) -> DataFrame:
     via = via.where("_own or _end").select(*keys, F.lit(2).alias("rule"), F.when(F.col("_own"), F.col("ref")).otherwise(F.col("last")).alias("name"))
     some = asked.join(counts.select(F.col("name").alias("ref"), F.lit(True).alias("_own")), "ref", "left")
     free = some.select(*keys, F.lit(4).alias("rule"), F.when(F.col("_own"), F.col("ref")).otherwise(F.col("last")).alias("name"))
-    candidates = via.unionByName(free).join(known.select("name", "file_path", "start_line", "id"), "name")
-    nearest = F.min(F.struct(~F.col("file_path").startswith(F.col("dir")), "file_path", "start_line", "id"))
-    picked = candidates.groupBy("file", "ref", "rule").agg(nearest["id"].alias("target"), F.count("*").alias("n"))
-
-    found = exact.unionByName(tail).unionByName(picked.select("file", "ref", "rule", "target", "n"))
+    looked = via.unionByName(free)
+    # homonyms are cut down before any reference meets them: to one a file, then to the first of all and the first of each directory
+    per_file = known.groupBy("name", "file_path").agg(F.min(F.struct("file_path", "start_line", "id")).alias("s"), F.count("*").alias("n"))
+    per_name = per_file.groupBy("name").agg(F.min("s").alias("first"), F.sum("n").alias("n"))
+    dirs = looked.select("name", "dir").distinct()
+    # in order of paths, the first file at or after a directory's name is in it, or else none is
+    places = per_file.select("name", F.col("file_path").alias("at"), F.lit(None).cast("string").alias("dir"), "s").unionByName(dirs.select("name", F.col("dir").alias("at"), "dir", F.lit(None).cast(per_file.schema["s"].dataType).alias("s")))
+    behind = Window.partitionBy("name").orderBy(F.desc("at"), F.col("dir").isNotNull()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    near = places.withColumn("near", F.min("s").over(behind)).where("dir is not null").where(F.col("near.file_path").startswith(F.col("dir"))).select("name", "dir", "near")
+    picked = looked.join(per_name, "name").join(near, ["name", "dir"], "left").select("file", "ref", "rule", F.coalesce("near", "first")["id"].alias("target"), "n")
+
+    found = exact.unionByName(tail).unionByName(picked)
     best = found.groupBy("file", "ref").agg(F.min(F.struct("rule", "target", "n")).alias("m"))
     named_last = counts.select(F.col("name").alias("last"), F.col("n").alias("same"))
     out = wanted.join(best, ["file", "ref"], "left").join(named_last, "last", "left")

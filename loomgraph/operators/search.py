@@ -24,32 +24,35 @@ def symbol_text(s: DataFrame) -> DataFrame:
 
 
 class TextIndex:
-    """Postings (term, id, tf), document lengths, and the corpus' size and mean length."""
+    """Postings (term, id, tf) and document lengths, both written once to the shared folder, and the corpus' size and mean length."""
 
     def __init__(self, texts: DataFrame) -> None:
-        self.tokens = texts.select("id", F.explode(tokens(F.col("text"))).alias("term"))
-        self.postings = self.tokens.groupBy("term", "id").agg(F.count("*").alias("tf"))
-        self.lengths = self.tokens.groupBy("id").agg(F.count("*").alias("dl"))
-        self.size = texts.agg(F.count("*").alias("n_docs"))
-        self.totals = self.lengths.agg(F.sum("dl").alias("total"))
+        counted = texts.select("id", F.explode(tokens(F.col("text"))).alias("term")).groupBy("term", "id").agg(F.count("*").alias("tf"))
+        self.postings = written(counted, "postings")
+        self.lengths = written(self.postings.groupBy("id").agg(F.sum("tf").alias("dl")), "lengths")
+        self.n_docs = texts.count()
+        self.mean_length = (self.lengths.agg(F.sum("dl")).first()[0] or 0) / max(self.n_docs, 1)
+
+    def _part(self) -> Column:
+        """What a term adds to a document's score, from tf, df and dl."""
+        idf = F.greatest(F.lit(LEAST_IDF), F.log((self.n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5)))
+        return idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(self.mean_length)))
 
     def score(self, terms: DataFrame) -> DataFrame:
         """(query_id, id, score) of documents that hold all terms (query_id, term) of a query.
 
-        Postings are first cut down to the queries' terms, so the join with document
-        lengths meets only those.
+        Postings are first cut down to the queries' terms, and to the documents that
+        hold all terms of some query, so lengths meet only those.
         """
         asked = terms.distinct()
         wanted = asked.groupBy("query_id").agg(F.count("*").alias("n_terms"))
         own = self.postings.join(asked.select("term").distinct(), "term", "left_semi")
         df = own.groupBy("term").agg(F.count("*").alias("df"))
-        stats = self.size.join(F.broadcast(self.totals))  # two single rows
-        idf = F.greatest(F.lit(LEAST_IDF), F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
-        idf_table = df.join(F.broadcast(stats)).select("term", idf.alias("idf"), (F.col("total") / F.col("n_docs")).alias("avgdl"))
-        part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-        rows = own.join(idf_table, "term").join(self.lengths, "id").join(asked, "term")
-        summed = rows.groupBy("query_id", "id").agg(F.round(F.sum(part), 6).alias("score"), F.count("*").alias("n"))
-        return summed.join(wanted, "query_id").where(F.col("n") == F.col("n_terms")).select("query_id", "id", "score")
+        rows = own.join(df, "term").join(asked, "term")
+        held = rows.groupBy("query_id", "id").agg(F.count("*").alias("n"), F.collect_list(F.struct("tf", "df")).alias("terms"))  # a query has few terms
+        held = held.join(wanted, "query_id").where(F.col("n") == F.col("n_terms")).join(self.lengths, "id")
+        parts = held.select("query_id", "id", "dl", F.explode("terms").alias("t")).select("query_id", "id", "dl", "t.*")
+        return parts.groupBy("query_id", "id").agg(F.round(F.sum(self._part()), 6).alias("score"))
 
     def prefix_terms(self, prefixes: DataFrame) -> DataFrame:
         """(query_id, term) of the index's terms that begin with a query's prefix; the first letter is the join key."""
@@ -61,11 +64,7 @@ class TextIndex:
         """The same for documents that hold any one of the terms, counted as a single term."""
         own = self.postings.join(terms.distinct(), "term").groupBy("query_id", "id").agg(F.sum("tf").alias("tf"))
         df = own.groupBy("query_id").agg(F.count("*").alias("df"))
-        stats = self.size.join(F.broadcast(self.totals))
-        idf = F.greatest(F.lit(LEAST_IDF), F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
-        table = df.join(F.broadcast(stats)).select("query_id", idf.alias("idf"), (F.col("total") / F.col("n_docs")).alias("avgdl"))
-        part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-        return own.join(table, "query_id").join(self.lengths, "id").select("query_id", "id", F.round(part, 6).alias("score"))
+        return own.join(df, "query_id").join(self.lengths, "id").select("query_id", "id", F.round(self._part(), 6).alias("score"))
 
 
 def ranked(scores: DataFrame, limit: int) -> DataFrame:
@@ -146,7 +145,7 @@ def fuse(*lists: DataFrame, limit: int = 20, k: int = RRF_K) -> DataFrame:
     rows = lists[0].select("query_id", "id", "rank")
     for other in lists[1:]:
         rows = rows.unionByName(other.select("query_id", "id", "rank"))
-    return ranked(rows.groupBy("query_id", "id").agg(F.sum(1.0 / (k + F.col("rank"))).alias("score")), limit)
+    return ranked(rows.groupBy("query_id", "id").agg(F.round(F.sum(1.0 / (k + F.col("rank"))), 9).alias("score")), limit)
 
 
 def trace(final: DataFrame, **stages: DataFrame) -> DataFrame:

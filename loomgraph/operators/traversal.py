@@ -34,6 +34,25 @@ def walk(edges: DataFrame, seeds: DataFrame, max_depth: int, reverse: bool = Fal
     return reduce(DataFrame.unionByName, levels) if levels else edges.sparkSession.createDataFrame([], STEPS)
 
 
+def distances(edges: DataFrame, seeds: DataFrame, max_depth: int, reverse: bool = False) -> DataFrame:
+    """(id, depth) of what is met from the seeds (id), at its smallest depth; a seed only if it is met again.
+
+    What was met before is left out of the next level, so each edge is followed once.
+    """
+    near, far = ("target_id", "source_id") if reverse else ("source_id", "target_id")
+    pairs = edges.select(F.col(near).alias("near"), F.col(far).alias("id")).distinct()
+    frontier, found = seeds.select(F.col("id").alias("near")).distinct(), None
+    for depth in range(1, max_depth + 1):
+        step = pairs.join(frontier, "near").select("id").distinct()
+        step = step if found is None else step.join(found, "id", "left_anti")
+        level = written(step.withColumn("depth", F.lit(depth)), "level")
+        if not level.head(1):
+            break
+        found = level if found is None else found.unionByName(level)
+        frontier = level.select(F.col("id").alias("near"))
+    return found if found is not None else edges.sparkSession.createDataFrame([], "id string, depth int")
+
+
 def call_chain(g: GraphTables, seeds: DataFrame, max_depth: int = 10) -> DataFrame:
     return walk(g.relationships.where("kind = 'calls'"), seeds, max_depth)
 
@@ -44,7 +63,7 @@ def impact(g: GraphTables, seeds: DataFrame, max_depth: int = 10) -> DataFrame:
 
 def impact_by_depth(g: GraphTables, seeds: DataFrame, max_depth: int = 5) -> DataFrame:
     """Symbols that depend on the seeds, counted by their smallest depth."""
-    first = impact(g, seeds, max_depth).groupBy(F.col("source_id").alias("id")).agg(F.min("depth").alias("depth"))
+    first = distances(g.relationships, seeds, max_depth, reverse=True)
     first = first.join(seeds, "id", "left_anti").join(g.symbols.select("id", "file_path"), "id")
     return first.groupBy("depth").agg(F.count("*").alias("n"), F.count_distinct("file_path").alias("n_files")).orderBy("depth")
 
@@ -59,12 +78,15 @@ def changed_symbols(g: GraphTables, changed: DataFrame) -> DataFrame:
 def change_impact(g: GraphTables, changed: DataFrame, max_depth: int = 3) -> DataFrame:
     """Symbols that depend on changed ones, which are left out, with their smallest depth."""
     seeds = written(changed_symbols(g, changed), "changed")
-    first = impact(g, seeds, max_depth).groupBy(F.col("source_id").alias("id")).agg(F.min("depth").alias("depth"))
+    first = distances(g.relationships, seeds, max_depth, reverse=True)
     return first.join(seeds, "id", "left_anti")
 
 
-def shortest_paths(g: GraphTables, source: str, max_depth: int = 10) -> DataFrame:
-    """(id, length, path) of all that a symbol reaches, over known ends; of equally short paths the smallest."""
+def shortest_paths(g: GraphTables, source: str, max_depth: int = 10, target: str | None = None) -> DataFrame:
+    """(id, length, path) of all that a symbol reaches, over known ends; of equally short paths the smallest.
+
+    With a target, the search ends at the level on which it is met.
+    """
     spark = g.symbols.sparkSession
     edges = g.relationships.where(~is_sentinel(F.col("target_id"))).select("source_id", "target_id").distinct()
     start = spark.createDataFrame([(source, 0, [source])], "id string, length int, path array<string>")
@@ -77,16 +99,21 @@ def shortest_paths(g: GraphTables, source: str, max_depth: int = 10) -> DataFram
         if not frontier.head(1):
             break
         seen = seen.unionByName(frontier)
+        if target is not None and frontier.where(F.col("id") == target).head(1):
+            break
     return seen
 
 
 def find_path(g: GraphTables, source: str, target: str, max_depth: int = 10) -> DataFrame:
     """One row, or none where the target is not reached: from a symbol to itself it is a path of length 0."""
-    return shortest_paths(g, source, max_depth).where(F.col("id") == target)
+    return shortest_paths(g, source, max_depth if source != target else 0, target).where(F.col("id") == target)
 
 
 def cycles(g: GraphTables, kinds: tuple[str, ...] = ("calls", "imports"), longest: int = 3) -> DataFrame:
-    """Elementary cycles of up to ``longest`` symbols, each once, from its smallest id."""
+    """Elementary cycles of up to ``longest`` symbols, each once, from its smallest id.
+
+    All paths of fewer symbols are built first, so the work grows with the mean degree to the power of ``longest``.
+    """
     edges = g.relationships.where(F.col("kind").isin(*kinds) & ~is_sentinel(F.col("target_id")) & (F.col("source_id") != F.col("target_id")))
     edges = edges.select(F.col("source_id").alias("a"), F.col("target_id").alias("b")).distinct()
     paths, found = edges.where("a < b").select(F.array("a", "b").alias("path"), F.col("b").alias("end"), F.col("a").alias("first")), []
@@ -108,18 +135,7 @@ def lineage_impact(edges: DataFrame, nodes: DataFrame, query: str, max_depth: in
     """
     exact = nodes.where(F.lower("id") == query.lower())
     seeds = exact if exact.head(1) else nodes.where(F.lower("id").contains(query.lower()))
-    pairs = edges.select("source", "target").distinct()
-    frontier = seeds.select(F.col("id").alias("source")).distinct()
-    found: DataFrame | None = None
-    for depth in range(1, max_depth + 1):
-        step = pairs.join(frontier, "source").select(F.col("target").alias("id")).distinct()
-        step = step if found is None else step.join(found, "id", "left_anti")
-        level = written(step.withColumn("depth", F.lit(depth)), "downstream")
-        if not level.head(1):
-            break
-        found = level if found is None else found.unionByName(level)
-        frontier = level.select(F.col("id").alias("source"))
-    return found if found is not None else nodes.sparkSession.createDataFrame([], "id string, depth int")
+    return distances(edges.select(F.col("source").alias("source_id"), F.col("target").alias("target_id")), seeds, max_depth)
 
 
 def seeds_of(spark: SparkSession, *ids: str) -> DataFrame:

@@ -31,7 +31,7 @@ WITH RECURSIVE symbols AS (
          '/src/' || p_brand || '/' || p_type || '.py' AS file_path, a.l_linenumber::INT AS start_line,
          CASE WHEN a.l_linestatus = 'O' THEN 'extracted' ELSE 'inferred' END AS confidence
   FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1 JOIN part ON a.l_partkey = p_partkey
-  WHERE a.l_partkey <> b.l_partkey AND a.l_orderkey % 6 = 0
+  WHERE a.l_partkey <> b.l_partkey
 ), degrees AS (
   SELECT s.id, any_value(name) AS name, any_value(qualified_name) AS qualified_name, any_value(kind) AS kind, any_value(file_path) AS file_path,
          coalesce(any_value(o.n), 0)::BIGINT AS out_degree, coalesce(any_value(i.n), 0)::BIGINT AS in_degree, (coalesce(any_value(o.n), 0) + coalesce(any_value(i.n), 0))::BIGINT AS total
@@ -145,15 +145,15 @@ def module_overview(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "hotspots",
-    """, commits AS (SELECT l_orderkey AS sha, p_type || '.py' AS file FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_orderkey % 50 = 0 AND p_brand = 'Brand#1'),
+    """, commits AS (SELECT l_orderkey AS sha, p_type || '.py' AS file FROM lineitem JOIN part ON l_partkey = p_partkey),
 churn AS (SELECT file, count(*) AS commits FROM commits GROUP BY 1 ORDER BY commits DESC, file LIMIT 200),
 known AS (SELECT file_path, count(DISTINCT id) AS symbols, sum(in_degree) AS in_degree FROM degrees GROUP BY 1)
 SELECT file, file_path, commits, symbols, in_degree::BIGINT AS in_degree, (commits * (1 + in_degree))::BIGINT AS score FROM churn JOIN known ON file_path = file OR ends_with(file_path, '/' || file)
 ORDER BY score DESC, file, file_path LIMIT 20""",
 )
 def hotspots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts = warehouse.table(spark, sf_dir, "part").where("p_brand = 'Brand#1'").select(F.col("p_partkey").alias("l_partkey"), F.concat("p_type", F.lit(".py")).alias("file"))
-    lines = warehouse.table(spark, sf_dir, "lineitem").where("l_orderkey % 50 = 0")
+    parts = warehouse.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), F.concat("p_type", F.lit(".py")).alias("file"))
+    lines = warehouse.table(spark, sf_dir, "lineitem")
     return relational.hotspots(graph(spark, sf_dir), lines.join(parts, "l_partkey").select(F.col("l_orderkey").alias("sha"), "file"))
 
 

@@ -1,8 +1,7 @@
 """The graph tables seen over a parts-and-orders warehouse.
 
-Parts are symbols. Consecutive lines of an order relate their parts; only every
-sixth order counts, which gives a graph as sparse as those of programs. Every
-seventh order names parts that are yet to be resolved.
+Parts are symbols. Consecutive lines of an order relate their parts. For resolution,
+the first part of an order names the others, which are yet to be found.
 """
 
 from __future__ import annotations
@@ -52,12 +51,12 @@ def symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _lines(spark: SparkSession, sf_dir: str, every: int) -> DataFrame:
-    return table(spark, sf_dir, "lineitem").where(F.col("l_orderkey") % every == 0).select("l_orderkey", "l_linenumber", "l_partkey", "l_returnflag", "l_linestatus")
+def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_returnflag", "l_linestatus")
 
 
-def relationships(spark: SparkSession, sf_dir: str, every: int = 6) -> DataFrame:
-    a = _lines(spark, sf_dir, every)
+def relationships(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = _lines(spark, sf_dir)
     b = a.select("l_orderkey", (F.col("l_linenumber") - 1).alias("l_linenumber"), F.col("l_partkey").alias("to"))
     files = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), _file_of().alias("file_path"))
     pairs = a.join(b, ["l_orderkey", "l_linenumber"]).where(F.col("l_partkey") != F.col("to")).join(files, "l_partkey")
@@ -71,9 +70,9 @@ def relationships(spark: SparkSession, sf_dir: str, every: int = 6) -> DataFrame
     )
 
 
-def unresolved(spark: SparkSession, sf_dir: str, every: int = 7) -> DataFrame:
+def unresolved(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Edges from the first part of an order to the names of its other parts."""
-    a = _lines(spark, sf_dir, every)
+    a = _lines(spark, sf_dir)
     first = a.where("l_linenumber = 1").select("l_orderkey", F.col("l_partkey").alias("from"))
     p = table(spark, sf_dir, "part")
     named = a.where("l_linenumber > 1").join(p.select(F.col("p_partkey").alias("l_partkey"), "p_name", "p_brand"), "l_partkey")
