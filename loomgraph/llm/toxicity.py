@@ -12,19 +12,20 @@ import re
 from collections.abc import Iterable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.regression import IsotonicRegression
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import read, remainder
+from loomgraph.llm.common import read, remainder, row_slices
 from loomgraph.llm.labelled import SAMPLE_ROWS, labelled_texts
 from loomgraph.session import written
 
 THRESHOLD = 0.7
-#: The lexicon holds at most this many entries, so it can go to every task.
-LEXICON_ROWS = 4_000
+#: The share of the trees' probability in a score, which only orders scores that are equal otherwise.
+TIES = 1e-6
 #: Documents of each class that an entry must occur in, at least, to be listed.
 LEAST_DOCS = 3
 LEAST_WEIGHT = 1.5
@@ -112,9 +113,9 @@ def features(text: str, weights: dict[str, float] | Known) -> list[float]:
         best[0] if best else 0.0,
         best[1] if len(best) > 1 else 0.0,
         100 * sum(best) / n,
-        float(min(len(hits), 50)),
+        float(len(hits)),
         100 * len(hits) / n,
-        float(min(len({w for _, w, _ in hits}), 50)),
+        float(len({w for _, w, _ in hits})),
         near / n * 100,
         100 * len(you) / n,
         len(re.findall(r"[A-ZÀ-ÖØ-Þ]", text)) / max(letters, 1),
@@ -130,7 +131,7 @@ def features(text: str, weights: dict[str, float] | Known) -> list[float]:
 def build_lexicon(sample: DataFrame) -> tuple[dict[str, tuple[int, int]], int, int]:
     """Entries with the numbers of toxic and other documents that hold them, and both totals.
 
-    Counted over all documents of the sample; the ``LEXICON_ROWS`` heaviest stay.
+    Counted over all documents of the sample; entries that chance does not explain stay.
     """
 
     def explode(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -150,7 +151,7 @@ def build_lexicon(sample: DataFrame) -> tuple[dict[str, tuple[int, int]], int, i
     surprise = F.col("t") * F.log(F.col("t") / held / base) + F.when(F.col("c") > 0, F.col("c") * F.log(F.col("c") / held / (1 - base))).otherwise(0.0)
     top = counted.where(F.col("t") >= LEAST_DOCS).withColumn("w", weight).where(F.col("w") >= LEAST_WEIGHT)
     top = top.where(surprise >= LEAST_SURPRISE) if toxic and clean else top.limit(0)
-    top = top.orderBy((F.col("w") * F.log1p("t")).desc(), "entry").limit(LEXICON_ROWS).collect()
+    top = top.orderBy("entry").collect()  # of a bounded sample
     return {r["entry"]: (int(r["t"]), int(r["c"])) for r in top}, toxic, clean
 
 
@@ -161,31 +162,18 @@ def weigh(t: float, c: float, toxic: int, clean: int) -> float:
 class Toxicity:
     """A lexicon, boosted trees and a calibration; or one constant where there is nothing to learn from."""
 
-    def __init__(self, weights: dict[str, float], trees: GBTClassificationModel | None, knots: tuple[list[float], list[float]], constant: float) -> None:
-        self.weights, self.trees, self.knots, self.constant = weights, trees, knots, constant
+    def __init__(self, weights: dict[str, float], trees: GBTClassificationModel | None, calibration: IsotonicRegressionModel | None, constant: float) -> None:
+        self.weights, self.trees, self.calibration, self.constant = weights, trees, calibration, constant
 
     def raw(self, rows: DataFrame) -> DataFrame:
         """Add the trees' probability to rows with the array ``x``."""
         out = self.trees.transform(rows.withColumn("features", array_to_vector("x")))
         return out.withColumn("raw", vector_to_array("probability")[1])
 
-    def calibrated(self, raw: Column) -> Column:
-        """Linear between the knots of the isotonic fit, constant beyond; a tiny slope keeps the order of equal steps."""
-        at, value = self.knots
-        out = F.lit(float(value[-1]))
-        for i in range(len(at) - 2, -1, -1):
-            slope = (value[i + 1] - value[i]) / (at[i + 1] - at[i]) if at[i + 1] > at[i] else 0.0
-            out = F.when(raw < at[i + 1], F.lit(float(value[i])) + (raw - at[i]) * slope).otherwise(out)
-        out = F.when(raw <= at[0], F.lit(float(value[0]))).otherwise(out)
-        return F.greatest(F.lit(0.0), F.least(F.lit(1.0), out * 0.98 + raw * 0.02))
-
-
-def _thin(at: list[float], value: list[float], most: int = 64) -> tuple[list[float], list[float]]:
-    """Evenly chosen knots, first and last included, so the calibration stays a short expression."""
-    if len(at) > most:
-        keep = sorted({round(i * (len(at) - 1) / (most - 1)) for i in range(most)})
-        at, value = [at[i] for i in keep], [value[i] for i in keep]
-    return at, value
+    def calibrated(self, rows: DataFrame) -> DataFrame:
+        """Add the score: the isotonic fit, and a millionth of the trees' probability to order what it makes equal."""
+        out = self.calibration.transform(rows)
+        return out.withColumn("score", F.col("fitted") * (1 - TIES) + F.col("raw") * TIES)
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = SAMPLE_ROWS) -> Toxicity:
@@ -199,7 +187,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int =
     n = toxic + clean
     constant = toxic / n if n else 0.5
     if not toxic or not clean:
-        return Toxicity({}, None, ([], []), constant)
+        return Toxicity({}, None, None, constant)
 
     def measure(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         full = {e: weigh(t, c, toxic, clean) for e, (t, c) in counts.items()}
@@ -220,9 +208,8 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int =
     share = n / (2 * toxic), n / (2 * clean)
     grow = grow.withColumn("weight", F.when(F.col("label") == 1, share[0]).otherwise(share[1])).withColumn("features", array_to_vector("x"))
     trees = GBTClassifier(featuresCol="features", labelCol="label", weightCol="weight", maxDepth=3, maxIter=20, stepSize=0.3, seed=7, minInstancesPerNode=2).fit(grow)
-    model = Toxicity({e: weigh(t, c, toxic, clean) for e, (t, c) in counts.items()}, trees, ([0.0], [constant]), constant)
-    fitted = IsotonicRegression(featuresCol="raw", labelCol="label").fit(model.raw(hold).select("raw", "label"))
-    model.knots = _thin([float(v) for v in fitted.boundaries], [float(v) for v in fitted.predictions])
+    model = Toxicity({e: weigh(t, c, toxic, clean) for e, (t, c) in counts.items()}, trees, None, constant)
+    model.calibration = IsotonicRegression(featuresCol="raw", labelCol="label", predictionCol="fitted").fit(model.raw(hold).select("raw", "label"))
     return model
 
 
@@ -234,18 +221,18 @@ def score(docs: DataFrame, model: Toxicity, threshold: float = THRESHOLD, id_col
     Repeated rows are scored alike; null identifiers are kept; no rows give none.
     Other columns are not read.
     """
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     if model.trees is None:
         scored = rows.select("doc_id", F.lit(float(model.constant)).alias("score"))
     else:
         weights = model.weights
 
-        def measure(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def measure(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             known = Known(weights)
-            for batch in batches:
-                yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "x": [features(t, known) for t in batch["text"]]})
+            for batch in row_slices(batches):
+                yield pa.record_batch({"doc_id": batch.column("doc_id"), "x": pa.array([features(t, known) for t in batch.column("text").to_pylist()], pa.list_(pa.float64()))})
 
-        scored = model.raw(rows.mapInPandas(measure, "doc_id long, x array<double>")).select("doc_id", model.calibrated(F.col("raw")).alias("score"))
+        scored = model.calibrated(model.raw(rows.mapInArrow(measure, "doc_id long, x array<double>")).select("doc_id", "raw")).select("doc_id", "score")
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 

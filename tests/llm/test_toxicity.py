@@ -1,3 +1,4 @@
+import pytest
 import math
 
 from loomgraph.llm.toxicity import FEATURES, features, op2_toxicity, score, train, words_of
@@ -14,11 +15,12 @@ def test_words_and_features():
         assert len(got) == len(FEATURES) and all(map(math.isfinite, got))
 
 
-def test_held_out_accuracy(spark):
-    sf = "/root/testdata/sf0.1"
+@pytest.mark.parametrize(("sf", "least_recall"), [("/root/testdata/sf0.01", 0.6), ("/root/testdata/sf0.1", 0.85)])
+def test_held_out_recall_and_precision(spark, sf, least_recall):
     got = op2_toxicity(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").where("held_out")
-    right, n = got.agg(F.avg((F.col("predicted") == F.col("toxic")).cast("int")), F.count("*")).first()
-    assert n > 500 and right > 0.95
+    hit, said, toxic, clean_right, clean = got.agg(F.count_if(F.expr("predicted = 1 and toxic = 1")), F.count_if(F.expr("predicted = 1")), F.count_if(F.expr("toxic = 1")), F.count_if(F.expr("predicted = 0 and toxic = 0")), F.count_if(F.expr("toxic = 0"))).first()
+    assert toxic > 10 and hit / toxic >= least_recall and hit / max(said, 1) >= 0.9 and clean_right / clean >= 0.98
+
 
 
 def test_odd_rows(spark):
