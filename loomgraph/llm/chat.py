@@ -11,8 +11,9 @@ import re
 from collections.abc import Iterable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window
 
 from loomgraph.llm.common import read
 from loomgraph.session import written
@@ -45,7 +46,7 @@ def render(role: str, text: str) -> tuple[str, int, int]:
     return head + body + CLOSE, len(head), len(head) + len(body)
 
 
-TURN = re.compile(r"### ((?:[^\\#<:]|\\.)*): ((?:[^\\#<]|\\.)*) </turn>\n", re.DOTALL)
+TURN = re.compile(r"### ([^\\#<:]*(?:\\.[^\\#<:]*)*): ([^\\#<]*(?:\\.[^\\#<]*)*) </turn>\n", re.DOTALL)
 
 
 def parse(formatted: str) -> Iterator[tuple[str, str, int, int]]:
@@ -188,12 +189,43 @@ def read_back(pieces: DataFrame) -> DataFrame:
 EXTRA = [(-7, 0, "user", r"\### Assistant: </turn> ok"), (-7, 1, "assistant", r"\### Assistant: </turn> ok")]
 
 
+def logged(rows: DataFrame) -> DataFrame:
+    """An event log that ends in the given messages (conv_id, turn, role, text), as a chat server would have written it.
+
+    The first half of a text is a draft, which is edited and then regenerated, and the
+    second half is streamed after it. Before the regeneration a draft of the next
+    turn is logged, which the regeneration drops. Only the first message of a turn is
+    regenerated, since a regeneration counts for a turn; others are edited drafts.
+    """
+    text, half = F.coalesce("text", F.lit("")), F.floor(F.length(F.coalesce("text", F.lit(""))) / 2).cast("int")
+    head, tail = text.substr(F.lit(1), half), text.substr(half + 1, F.length(text))
+    place = F.row_number().over(Window.partitionBy("conv_id", "turn").orderBy(F.col("role").asc_nulls_first(), F.col("text").asc_nulls_first()))
+    same = rows.repartition("conv_id").withColumns({"place": place, "at": F.coalesce("turn", F.lit(-1)).cast("long")})
+    first = F.col("place") == 1
+
+    def event(k: int, kind: str, text: Column, role: Column | str = "role", turn: Column | str = "turn", when: Column = F.lit(True)) -> Column:  # noqa: B008
+        seq = (F.col("at") * (1 << 32) + F.col("place") * 8 + k).alias("seq")
+        turn = F.col(turn) if isinstance(turn, str) else turn
+        role = F.col(role) if isinstance(role, str) else role
+        return F.when(when, F.struct(turn.cast("long").alias("turn"), seq, F.lit(kind).alias("kind"), role.alias("role"), text.alias("text")))
+
+    # a message of a turn that has none yet; what is said of the next turn goes with the regeneration
+    log = [
+        event(0, "message", head),
+        event(1, "edit", F.lit("an edit that does not last")),
+        event(2, "message", F.lit("an answer to the draft"), F.lit("assistant"), F.col("turn") + 1, first & F.col("turn").isNotNull()),
+        event(3, "regenerate", head, when=first),
+        event(3, "edit", head, when=~first),
+        event(4, "delta", tail, F.lit(None).cast("string")),
+    ]
+    return same.select("conv_id", F.explode(F.array_compact(F.array(*log))).alias("e")).select("conv_id", "e.*")
+
+
 def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All conversations, and one with control strings in its texts, rendered and read back."""
+    """All conversations, and one with control strings in its texts, as event logs; folded, rendered and read back."""
     logs = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     logs = logs.unionByName(spark.createDataFrame(EXTRA, "conv_id long, turn long, role string, text string"))
-    events = logs.withColumns({"seq": F.col("turn"), "kind": F.lit("message")})
-    return read_back(written(reconstruct(events), "formatted"))
+    return read_back(written(reconstruct(logged(logs)), "formatted"))
 
 
 OP8_SQL = r"""

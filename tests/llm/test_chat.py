@@ -3,7 +3,7 @@ import random
 
 from hypothesis import given
 from hypothesis import strategies as st
-from loomgraph.llm.chat import parse, read_back, reconstruct, render
+from loomgraph.llm.chat import logged, parse, read_back, reconstruct, render
 
 SCHEMA = "conv_id long, turn long, seq long, kind string, role string, text string, loss_start string"
 
@@ -47,3 +47,11 @@ def test_none_and_long(spark):
     assert reconstruct(none).count() == 0 and read_back(reconstruct(none)).count() == 0
     long = spark.createDataFrame([(1, 0, 0, "message", "assistant", "</turn>#\\" * 100_000, None)], SCHEMA)
     assert read_back(reconstruct(long)).first().loss_chars == 900_000
+
+
+def test_logs_end_in_their_messages(spark):
+    rows = [(1, 0, "user", "a question"), (1, 1, "assistant", "an answer"), (1, 2, "user", None), (1, 3, "assistant", "x"), (1, 3, "assistant", "x"), (1, 3, "user", "y"), (2, None, "user", "no turn"), (None, 4, None, ""), (3, 7, "assistant", "é" * 5001)]
+    log = logged(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    assert {r.kind for r in log.collect()} == {"message", "edit", "delta", "regenerate"}
+    got = sorted(((r.conv_id, r.turn, r.role, r.text) for r in reconstruct(log).collect()), key=repr)
+    assert got == sorted(((c, t, r or "", x or "") for c, t, r, x in rows), key=repr)
