@@ -7,7 +7,9 @@ frame of its own, compressed with that dictionary.
 
 from __future__ import annotations
 
+import datetime
 import hashlib
+import json
 import re
 import struct
 import uuid
@@ -35,16 +37,37 @@ SLICE_BYTES = 2048
 REVISIT_LEAST = 100
 
 
-def warc_record(kind: str, page_id: object, url: str, digest: str, size: int, payload: bytes, refers_to: object = None) -> bytes:
-    """One record: header lines, a blank line, the block, two line ends."""
-    head = [VERSION, f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:page:{'null' if page_id is None else page_id}>", f"WARC-Target-URI: {re.sub(r'[\r\n]+', ' ', url or '')}", f"WARC-Payload-Digest: sha256:{digest}", f"X-Payload-Length: {size}"]
+def _record(kind: str, fields: list[str], block: bytes) -> bytes:
+    head = [VERSION, f"WARC-Type: {kind}", *fields, f"Content-Length: {len(block)}"]
+    return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+
+
+def warcinfo(date: str) -> bytes:
+    """The record that every archive begins with."""
+    return _record("warcinfo", [f"WARC-Record-ID: <urn:uuid:{uuid.uuid4()}>", f"WARC-Date: {date}", "Content-Type: application/warc-fields"], b"format: WARC File Format 1.1\r\n")
+
+
+def warc_record(kind: str, page_id: object, url: str | None, digest: str, size: int, payload: bytes, date: str, refers_to: object = None) -> bytes:
+    """One record: header lines, a blank line, the block, two line ends.
+
+    The block is an HTTP answer, a head and the payload; a revisit has the head alone.
+    Digest and X-Payload-Length are those of the full payload, without the head.
+    """
+    name = lambda x: f"<urn:page:{'null' if x is None else x}>"
+    fields = [f"WARC-Record-ID: {name(page_id)}", f"WARC-Date: {date}", "Content-Type: application/http;msgtype=response"]
+    if url is not None:
+        target = re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", url)
+        fields.append(f"WARC-Target-URI: {target}")
+        if target != url:  # as it was, with what a header line cannot have
+            fields.append(f"X-Target-URI: {json.dumps(url)}")
+    fields += [f"WARC-Payload-Digest: sha256:{digest}", f"X-Payload-Length: {size}"]
     if kind == "revisit":
-        head += [f"WARC-Refers-To: <urn:page:{refers_to}>", f"WARC-Profile: {REVISIT_PROFILE}"]
-    head += [f"Content-Length: {len(payload)}"]
-    return "\r\n".join(head).encode() + b"\r\n\r\n" + payload + b"\r\n\r\n"
+        fields += [f"WARC-Refers-To: {name(refers_to)}", f"WARC-Profile: {REVISIT_PROFILE}"]
+    return _record(kind, fields, f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {size}\r\n\r\n".encode() + payload)
 
 
 def parse_record(data: bytes) -> tuple[dict[str, str], bytes]:
+    """Header fields and payload of a record; that of warcinfo is its block."""
     head, _, rest = data.partition(b"\r\n\r\n")
     lines = head.decode().split("\r\n")
     if lines[0] != VERSION:
@@ -53,7 +76,8 @@ def parse_record(data: bytes) -> tuple[dict[str, str], bytes]:
     size = int(fields["Content-Length"])
     if rest[size:] != b"\r\n\r\n":
         raise ValueError("a record is cut short")
-    return fields, rest[:size]
+    block = rest[:size]
+    return fields, block if fields["WARC-Type"] == "warcinfo" else block.partition(b"\r\n\r\n")[2]
 
 
 def train_dictionary(records: list[bytes], size: int = DICTIONARY_BYTES) -> bytes:
@@ -119,6 +143,8 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
     tasks = max(1, (base.agg(F.sum("size")).first()[0] or 0) // ARCHIVE_BYTES)
     judged = base.join(first, "digest", "left").withColumn("refers_to", F.when(F.col("first").isNotNull() & ~F.col("id").eqNullSafe(F.col("first")), F.col("first")))
 
+    date = datetime.datetime.now(datetime.UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
+
     def write(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyarrow import fs
 
@@ -126,10 +152,11 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
         store.create_dir(where, recursive=True)
         held: list[bytes] = []
         size = 0
+        info = warcinfo(date)
 
         def close() -> pd.DataFrame:
             name = f"{where}/{uuid.uuid4().hex}.warc.zst"
-            data = pack(held)
+            data = pack([info, *held])
             with store.open_output_stream(name, compression=None) as out:
                 out.write(data)
             return pd.DataFrame({"path": [name], "records": [len(held)], "bytes": [len(data)]})
@@ -138,7 +165,7 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
             for i, url, payload, digest, n, ref in zip(batch["id"], batch["url"], batch["payload"], batch["digest"], batch["size"], batch["refers_to"], strict=True):
                 own, old = (None if pd.isna(x) else int(x) for x in (i, ref))
                 body = payload.encode() if old is None else b""
-                one = warc_record("response" if old is None else "revisit", own, url, digest, int(n), body, old)
+                one = warc_record("response" if old is None else "revisit", own, url, digest, int(n), body, date, old)
                 if held and size + len(one) > ARCHIVE_BYTES:
                     yield close()
                     held.clear()
@@ -178,11 +205,14 @@ def read_archives(spark: SparkSession, folder: str, manifest: DataFrame | None =
                 rows, size = [], 0
                 for one in unpack(archive.as_py()):
                     fields, body = parse_record(one)
+                    if fields["WARC-Type"] == "warcinfo":
+                        continue
+                    url = json.loads(fields["X-Target-URI"]) if "X-Target-URI" in fields else fields.get("WARC-Target-URI")
                     digest, kind = fields["WARC-Payload-Digest"].removeprefix("sha256:"), fields["WARC-Type"]
                     if kind == "response" and (hashlib.sha256(body).hexdigest() != digest or len(body) != int(fields["X-Payload-Length"])):
                         raise ValueError("a payload differs from its digest")
                     refers = page(fields["WARC-Refers-To"]) if kind == "revisit" else None
-                    rows.append((page(fields["WARC-Record-ID"]), fields["WARC-Target-URI"], body if payloads else None, int(fields["X-Payload-Length"]), digest, kind, refers))
+                    rows.append((page(fields["WARC-Record-ID"]), url, body if payloads else None, int(fields["X-Payload-Length"]), digest, kind, refers))
                     size += len(body) * payloads
                     if size > 4 << 20 or len(rows) >= 5000:
                         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)

@@ -1,14 +1,16 @@
 import hashlib
 import random
 
-from loomgraph.llm.warc import pack, parse_record, read_archives, unpack, warc_record, write_archives
+from loomgraph.llm.warc import op6_warc, pack, parse_record, read_archives, unpack, warc_record, write_archives
 from loomgraph.session import new_path
 
+DATE = "2024-01-02T03:04:05Z"
+
 
 def test_archive_round_trip():
     rng = random.Random(1)
     words = ["<p>", "</p>", "alpha", "beta", "gamma", "<div class='x'>"]
-    records = [warc_record("response", i, f"http://a/{i}", "d", 5, " ".join(rng.choices(words, k=300)).encode()) for i in range(200)]
+    records = [warc_record("response", i, f"http://a/{i}", "d", 5, " ".join(rng.choices(words, k=300)).encode(), DATE) for i in range(200)]
     for some in (records, records[:2], []):
         assert list(unpack(pack(some))) == some
     data = pack(records)
@@ -17,6 +19,7 @@ def test_archive_round_trip():
     assert len(data) < sum(map(len, records)) // 3
     fields, body = parse_record(records[3])
     assert fields["WARC-Target-URI"] == "http://a/3" and len(body) > 100
+    assert records[3].startswith(b"WARC/1.1\r\n") and fields["WARC-Date"] == DATE and b"\r\n\r\nHTTP/1.1 200 OK\r\n" in records[3]
 
 
 def test_pages(spark):
@@ -35,18 +38,22 @@ def test_pages(spark):
         want.append((i, len(data), hashlib.sha256(data).hexdigest(), "response" if ref is None else "revisit", ref, b"" if ref else data))
     found = [(r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to, bytes(r.payload)) for r in got]
     assert sorted(found, key=repr) == sorted(want, key=repr)
+    assert sorted((r.url for r in got), key=repr) == sorted((u for _, u, _, _ in rows), key=repr)
 
 
 def test_no_pages(spark):
     none = spark.createDataFrame([], "page_id long, url string, html string")
     assert write_archives(none, new_path(spark, "warc-test")).count() == 0
+    where = new_path(spark, "pages")
+    none.write.parquet(f"{where}/pages.parquet")
+    assert op6_warc(spark, where).count() == 0
 
 
 def test_every_archive_has_a_dictionary():
     rng = random.Random(2)
     page = lambda n: " ".join(str(rng.random()) for _ in range(n // 19)).encode()
     for count, size in ((40, 200_000), (1, 9_000_000), (1, 100), (1, 0), (20, 1000), (300, 500)):
-        records = [warc_record("response", i, "", "d", size, page(size)) for i in range(count)]
+        records = [warc_record("response", i, "", "d", size, page(size), DATE) for i in range(count)]
         data = pack(records)
         assert 0 < int.from_bytes(data[4:8], "little") <= 32 << 10
         assert list(unpack(data)) == records
