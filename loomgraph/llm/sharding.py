@@ -15,10 +15,35 @@ from pyspark.sql import Window
 from loomgraph.llm.common import read
 from loomgraph.session import release, written
 
+#: A key of more than this part of all linked rows is hot.
+HOT_SHARE = 1_000
 #: Rows to number in one task in the last step.
 ROWS_PER_BUCKET = 100_000
 
 
+def joined(rows: DataFrame, table: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """Join rows with a written table of one row a key, which has in n how many rows it meets.
+
+    Keys that meet more than a thousandth of all these are a thousand at most: they are
+    broadcast, so that no task gets the rows of a large group. The others are shuffled.
+    """
+    total = table.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
+    large = F.col("n") * HOT_SHARE > total
+    hot = table.where(large)
+    some = F.broadcast(hot.select(F.col(key).alias("hot_key"), F.struct(*[c for c in hot.columns if c != key]).alias("hot")))
+    marked = rows.join(some, F.col(key) == F.col("hot_key"), "left").drop("hot_key")
+    apart = marked.where("hot is not null").select(*rows.columns, "hot.*")
+    return apart.unionByName(marked.where("hot is null").drop("hot").join(table.where(~large), key, how).select(*apart.columns))
+
+
+def edges_cut(placed: DataFrame) -> DataFrame:
+    """One row: pairs of rows (key, shard) with one key, and how many of them are in different shards."""
+    inside = placed.groupBy("key", "shard").agg(F.count("*").alias("n"))
+    pairs = lambda n: n * (n - 1) / 2
+    groups = inside.groupBy("key").agg(pairs(F.sum("n").cast("double")).alias("edges"), F.sum(pairs(F.col("n").cast("double"))).alias("kept"))
+    return groups.agg(F.coalesce(F.sum("edges"), F.lit(0.0)).cast("long").alias("edges"), F.coalesce(F.sum(F.col("edges") - F.col("kept")), F.lit(0.0)).cast("long").alias("cut"))
+
+
 def _loads(placed: DataFrame, shards: int) -> list[int]:
     got = {r["shard"]: r["n"] for r in placed.groupBy("shard").agg(F.count("*").alias("n")).collect()}
     return [got.get(s, 0) for s in range(shards)]
@@ -28,7 +53,8 @@ def propagate(nodes: DataFrame, shards: int, rounds: int = 6, slack: float = 0.2
     """Rounds of label propagation over nodes (row, key, linked), with column shard added.
 
     Shards may hold up to ``1 + slack`` of the mean while rounds last; the last step
-    takes back what is over, nodes without links first. Only linked nodes take part. Nodes move
+    takes back what is over, nodes without links first. It ends before ``rounds`` where no
+    node wants to move; ``edges_cut`` tells what is left. Only linked nodes take part. Nodes move
     towards the shard with room that holds most nodes with their key (ties: by hash).
     """
     start = nodes.withColumn("shard", F.pmod(F.xxhash64(F.lit("start"), "row"), F.lit(shards)).cast("int"))
@@ -39,8 +65,8 @@ def propagate(nodes: DataFrame, shards: int, rounds: int = 6, slack: float = 0.2
         quota = [max(0, int(sum(loads) / shards * (1 + slack)) - n) for n in loads]
         votes = placed.groupBy("key", "shard").agg(F.count("*").alias("n"))
         open_ = F.col("shard").isin([s for s in range(shards) if quota[s] > 0])
-        wish = votes.groupBy("key").agg(F.max_by("shard", F.struct(open_, "n", F.xxhash64("key", "shard"))).alias("to"), (F.sum("n") - F.max("n")).alias("away"))
-        asks = placed.join(wish, "key").where("to <> shard").select("row", "key", "to", "away")
+        wish = votes.groupBy("key").agg(F.max_by("shard", F.struct(open_, "n", F.xxhash64("key", "shard"))).alias("to"), (F.sum("n") - F.max("n")).alias("away"), F.sum("n").alias("n"))
+        asks = joined(placed, written(wish, "wish"), "key").where("to <> shard").select("row", "key", "to", "away")
         asked = {r["to"]: r["n"] for r in asks.groupBy("to").agg(F.count("*").alias("n")).collect()}
         if not asked:
             break
@@ -110,10 +136,9 @@ def shard(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", text_col: s
     text = F.coalesce(F.col(text_col), F.lit(""))
     base = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), (F.octet_length(text) + F.lit(1)).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.xxhash64(text).alias("hash"))
     base = written(base, "base")
-    key = F.struct("hash", "text_crc32", "size")
-    linked = base.groupBy("hash", "text_crc32", "size").agg(F.count("*").alias("n")).where("n > 1").select(key.alias("_k"))
-    nodes = base.join(linked.withColumnRenamed("_k", "_many"), key == F.col("_many"), "left")
-    nodes = nodes.select("row", "id", "size", "text_crc32", F.xxhash64("hash", "text_crc32", "size").alias("key"), F.col("_many").isNotNull().alias("linked"))
+    base = base.withColumn("key", F.xxhash64("hash", "text_crc32", "size"))
+    linked = written(base.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "groups")
+    nodes = joined(base, linked, "key", "left").select("row", "id", "size", "text_crc32", "key", F.col("n").isNotNull().alias("linked"))
     placed = _evened(propagate(nodes, shards, rounds), shards)
     return placed.select(F.col("id").alias(id_col), "size", "text_crc32", F.col("shard").cast("int").alias("shard"), F.col("slot").cast("long").alias("slot"))
 
