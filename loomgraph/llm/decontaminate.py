@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph.llm import bloom
-from loomgraph.llm.common import lower_az, maybe_broadcast, read, small, without
+from loomgraph.llm.common import let, lower_az, maybe_broadcast, read, small, without
 from loomgraph.session import written
 
 WINDOW = 10
@@ -33,8 +33,8 @@ def words(text: Column) -> Column:
 
 def _grams(w: Column) -> Column:
     """Hashes of the five-word grams of a list of words, by their first word."""
-    h = F.transform(w, lambda x: F.xxhash64(x))
-    return F.transform(F.sequence(F.lit(0), F.size(w) - GRAM), lambda i: F.xxhash64(*[F.get(h, i + k) for k in range(GRAM)]))
+    places = F.sequence(F.lit(0), F.size(w) - GRAM)
+    return let(F.transform(w, lambda x: F.xxhash64(x)), lambda h: F.transform(places, lambda i: F.xxhash64(*[F.get(h, i + k) for k in range(GRAM)])))
 
 
 def _reach(grams: Column, at: Column, step: int) -> Column:

@@ -3,12 +3,11 @@
 1. Each set of shingle hashes is cut into hash ranges (parts), more than linked
    sets of its size can differ in. Two linked sets agree in a part exactly, so a
    join of part signatures finds all candidates; common passages alone rarely fill a part.
-2. Candidates fall into families. A family is laid out in tiles of similar size, bounded
-   in rows and bytes, and tiles meet where their sizes allow a link.
+2. Sets that agree in a part are a family. A family is laid out in tiles of similar size,
+   bounded in rows and bytes, and tiles meet where their sizes allow a link.
 3. Only hashed bitmaps meet at first; they have two to four bits for an element, whatever the
-   size of the set. Their bit counts bound the overlap from above, and families part
-   where no pair passes. Sets are made for what is left, and intersected exactly as
-   sorted arrays. Pairs already joined by other links are skipped: components do not need them.
+   size of the set. Their bit counts bound the overlap from above, and what passes falls into
+   closer families. Sets are made for these, and intersected exactly as sorted arrays. Pairs already joined by other links are skipped: components do not need them.
 4. Families in more than one tile are first linked within tiles, then by one member of
    each group found so far. After that only tiles meet whose bitmaps let a pair of
    different groups pass, so a large family of near copies costs little more than its size.
@@ -134,6 +133,13 @@ def tile_links(n: np.ndarray, labels: np.ndarray, maps: list[np.ndarray], sides:
     With ``sides``, only rows of different sides are compared. A pair whose rows are
     joined by others already is left out.
     """
+    if len(n) == 2:
+        low, high = sorted(n.tolist())
+        words = min(map(len, maps))
+        apart = int(np.bitwise_count(_folded(maps[0], words) ^ _folded(maps[1], words)).sum())
+        bound = (low + high - apart) // 2
+        passes = labels[0] != labels[1] and (sides is None or sides[0] != sides[1]) and 100 * low >= percent * high and 100 * bound >= percent * (low + high - bound)
+        return [(0, 1)] if passes and linked(0, 1) else []
     order = np.lexsort((np.arange(len(n)), n))
     sizes, labels = n[order], np.unique(labels, return_inverse=True)[1]
     last = np.searchsorted(sizes, 100 * sizes // percent, side="right")
@@ -204,22 +210,24 @@ def _profiles(docs: DataFrame, k: int, percent: int) -> DataFrame:
     return docs.mapInArrow(profile, "id long, n long, k1 long, k2 long, signatures array<long>, bits binary").withColumn("row", F.monotonically_increasing_id())
 
 
-def _families(profiles: DataFrame, copies: DataFrame) -> DataFrame:
-    """(node, family) of the sets that agree with another in a part; ``copies`` (row) of an equal set are left out.
+def _candidates(profiles: DataFrame, copies: DataFrame) -> DataFrame:
+    """(node, family) of sets that agree in a part, which is a family; a node is in several. ``copies`` (row) of an equal set are left out.
 
-    Rows of one document follow each other and rows are numbered in order, so what is
-    shuffled is little more than the signatures.
+    Parts in which the same sets agree are one family: near copies agree in most of
+    their parts. Rows of one document follow each other and rows are numbered in
+    order, so what is shuffled is little more than the signatures.
     """
     own = profiles.where("size(signatures) > 0").select(F.col("row").alias("node"), "signatures").join(maybe_broadcast(copies.withColumnRenamed("row", "node")), "node", "left_anti")
     tiles = own.select("node", F.explode("signatures").alias("signature"))
-    heads = tiles.groupBy("signature").agg(F.min("node").alias("a"), F.max("node").alias("b"), F.count("*").alias("c")).where("a < b")
-    heads = written(heads, "heads")
-    pairs = heads.select("a", "b").distinct()
-    # members of larger tiles are found by a join; a filter of the tiles' signatures keeps all others out of its shuffle
-    more = heads.where("c > 2").select("signature", "a")
+    members = [F.min("node").alias("a"), F.max("node").alias("b"), F.count("*").alias("c"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64(F.lit("again"), "node")).alias("y")]
+    agreed = tiles.groupBy("signature").agg(*members).where("a < b").groupBy("a", "b", "c", "x", "y").agg(F.min("signature").alias("signature"))
+    agreed = written(agreed, "agreed")
+    pairs = agreed.where("c = 2").select(F.explode(F.array("a", "b")).alias("node"), F.col("signature").alias("family"))
+    # members of larger families are found by a join; a filter of the families' signatures keeps all others out of its shuffle
+    more = agreed.where("c > 2").select("signature")
     table, blocks = bloom.build(more, "signature")
-    members = bloom.possible(tiles, F.col("signature"), table, blocks).join(more, "signature").where("node <> a").select("a", F.col("node").alias("b")).distinct()
-    return connected_components(pairs.unionByName(members), "a", "b").select("node", F.col("component").alias("family"))
+    found = bloom.possible(tiles, F.col("signature"), table, blocks).join(more, "signature").select("node", F.col("signature").alias("family"))
+    return pairs.unionByName(found)
 
 
 def _sets(docs: DataFrame, members: DataFrame, k: int) -> DataFrame:
@@ -242,40 +250,60 @@ def _sets(docs: DataFrame, members: DataFrame, k: int) -> DataFrame:
     return written(texts.mapInArrow(cut, "node long, family long, n long, bits binary, set binary").dropDuplicates(["node"]), "sets")
 
 
-def _groups(batches: Iterable[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
-    """Rows that follow each other and have one key."""
+_Group = tuple[np.ndarray, np.ndarray, list, np.ndarray | None, np.ndarray | None, list | None, int]
+
+
+def _groups(batches: Iterable[pa.RecordBatch], key: str) -> Iterator[list[_Group]]:
+    """Groups of two rows or more that follow each other and have one key, a batch at a time: nodes, n, bits, labels, sides, sets, key."""
+
+    def read(rows: pa.RecordBatch | pa.Table, cuts: list[int]) -> list[_Group]:
+        column = lambda name: rows.column(name).to_numpy() if name in rows.schema.names else None
+        keys, nodes, n, labels, sides = (column(c) for c in (key, "node", "n", "label", "side"))
+        out = []
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            if b - a > 1:
+                some = rows.slice(a, b - a)
+                sets = some.column("set").to_pylist() if "set" in some.schema.names else None
+                out.append((nodes[a:b], n[a:b], some.column("bits").to_pylist(), None if labels is None else labels[a:b], None if sides is None else sides[a:b], sets, int(keys[a])))
+        return out
+
     held: list[pa.RecordBatch] = []
     for batch in batches:
+        if not batch.num_rows:
+            continue
         keys = batch.column(key).to_numpy()
         cuts = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist(), len(keys)]
-        for a, b in zip(cuts, cuts[1:], strict=False):
-            if held and a < b and held[-1].column(key)[0].as_py() != keys[a]:
-                yield pa.Table.from_batches(held)
-                held = []
-            if a < b:
-                held.append(batch.slice(a, b - a))
+        if held and held[0].column(key)[0].as_py() == keys[0]:
+            held.append(batch.slice(0, cuts[1]))
+            cuts = cuts[1:]
+            if len(cuts) == 1:
+                continue
+        if held:
+            whole = pa.Table.from_batches(held)
+            yield read(whole, [0, whole.num_rows])
+        held = [batch.slice(cuts[-2])]
+        yield read(batch, cuts[:-1])
     if held:
-        yield pa.Table.from_batches(held)
+        whole = pa.Table.from_batches(held)
+        yield read(whole, [0, whole.num_rows])
+
+
+def _always(i: int, j: int) -> bool:
+    return True
 
 
 def _compared(rows: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) among rows (node, n, bits) of one key that may have a label, a side and a set; without sets all that bitmaps let pass."""
 
     def compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in _groups(batches, "key"):
-            if group.num_rows < 2:
-                continue
-            nodes = group["node"].to_numpy()
-            column = lambda name: group[name].to_numpy() if name in group.column_names else None  # noqa: B023, E731
-            labels = column("label")
-            maps = [np.frombuffer(x.as_buffer(), np.uint64) for x in group["bits"]]
-            linked = lambda i, j: True
-            if "set" in group.column_names:
-                linked = _overlap([np.frombuffer(x.as_buffer(), np.uint64) for x in group["set"]], percent)
-            found = tile_links(column("n"), nodes if labels is None else labels, maps, column("side"), percent, linked)
-            if found:
-                at = nodes[np.array(found)]
-                yield pa.record_batch({"a": pa.array(at[:, 0]), "b": pa.array(at[:, 1]), "key": pa.array(np.full(len(at), group["key"][0].as_py()))})
+        for groups in _groups(batches, "key"):
+            out: list[tuple[int, int, int]] = []
+            for nodes, n, bits, labels, sides, sets, key in groups:
+                maps = [np.frombuffer(x, np.uint64) for x in bits]
+                linked = _always if sets is None else _overlap([np.frombuffer(x, np.uint64) for x in sets], percent)
+                out += [(nodes[i], nodes[j], key) for i, j in tile_links(n, nodes if labels is None else labels, maps, sides, percent, linked)]
+            if out:
+                yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["a", "b", "key"])
 
     dealt = rows.repartition("key").sortWithinPartitions("key")
     return dealt.mapInArrow(compare, "a long, b long, key long")
@@ -382,9 +410,9 @@ def join(docs: DataFrame, k: int = 4, percent: int = 85, id_col: str = "doc_id",
     some = profiles.where("n > 0").select("row", "id", "k1", "k2")
     classes = written(some.groupBy("k1", "k2").agg(F.min("row").alias("node"), F.min("id").alias("low"), F.min_by("id", "row").alias("rep")), "classes")
     rows = written(profiles.select("row", "id", "n", "k1", "k2").join(classes.select("k1", "k2", "node"), ["k1", "k2"], "left").select("row", "id", "n", F.when(F.col("n") > 0, F.col("node")).alias("node")), "rows")
-    families = written(_families(profiles, rows.where("row <> node").select("row")), "families")
+    candidates = _candidates(profiles, rows.where("row <> node").select("row"))
     maps = profiles.select(F.col("row").alias("node"), "n", "bits")
-    parted = written(_closer(maps.join(maybe_broadcast(families), "node"), percent, tile), "parted")
+    parted = written(_closer(maps.join(candidates, "node"), percent, tile), "parted")
     members = maps.join(maybe_broadcast(parted), "node").join(classes.drop("low"), "node")
     members = written(members, "members")
     release(profiles)

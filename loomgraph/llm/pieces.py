@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import read, row_slices
+from loomgraph.llm.common import let, read, row_slices
 from loomgraph.session import new_path, written
 
 SPACE = "▁"
@@ -227,11 +227,6 @@ def _best(edges: Column) -> Column:
     return F.element_at(F.aggregate(edges, start, step), -1)["ids"]
 
 
-def _let(value: Column, use: Callable[[Column], Column]) -> Column:
-    """What ``use`` makes of a value that is made once, however often a lambda in it needs the value."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
 def merge_long(word: str, pieces: Pieces) -> list[int]:
     """The merges of a word of any length, with a heap."""
     n = len(word)
@@ -316,9 +311,9 @@ def lattice(words: DataFrame, pieces: Pieces, keys: tuple[str, ...] = ("word",),
         lists.append(F.first(F.when(F.col("end") == 1, F.col(carried)), ignorenulls=True).alias(carried))
     grouped = edges.groupBy(*keys).agg(*lists)
     longer = lambda es: F.filter(es, lambda e: e["end"] - e["start"] > 1)
-    crossing = lambda es: _let(longer(es), lambda c: F.transform(F.sequence(F.lit(0), n), lambda p: F.filter(c, lambda e: (e["start"] < p) & (e["end"] > p))))
-    ways = (lambda es: _let(crossing(es), lambda c: _merged(F.filter(es, lambda e: e["usable"]), c))) if pieces.kind == "bpe" else _best
-    ids = _let(F.sort_array("edges"), ways)
+    crossing = lambda es: let(longer(es), lambda c: F.transform(F.sequence(F.lit(0), n), lambda p: F.filter(c, lambda e: (e["start"] < p) & (e["end"] > p))))
+    ways = (lambda es: let(crossing(es), lambda c: _merged(F.filter(es, lambda e: e["usable"]), c))) if pieces.kind == "bpe" else _best
+    ids = let(F.sort_array("edges"), ways)
     done = grouped.select(*keys, *others, ids.alias("ids"))
 
     def long(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -447,7 +442,7 @@ def encode(docs: DataFrame, pieces: Pieces, id_col: str = "doc_id", text_col: st
     dealt = words.withColumn("share", F.floor(F.shiftright("block", 32) / BLOCKS_TOGETHER)).repartition(many // WORDS_A_TASK + 1, "word", "share")
     places = dealt.groupBy("word", "share").agg(F.collect_list(F.struct("block", (F.col("first") + F.col("at")).alias("code"))).alias("places"))
     folded = lattice(places, pieces, ("word", "share"), "places")
-    everywhere = _let(F.col("ids"), lambda ids: F.transform("places", lambda p: F.struct(p["block"].alias("block"), p["code"].alias("code"), ids.alias("ids"))))
+    everywhere = let(F.col("ids"), lambda ids: F.transform("places", lambda p: F.struct(p["block"].alias("block"), p["code"].alias("code"), ids.alias("ids"))))
     back = folded.select(F.explode(everywhere).alias("p")).select("p.*")
     path = new_path(spark, "encoded")
     back.repartition("block").sortWithinPartitions("block").write.partitionBy("block").parquet(path)
