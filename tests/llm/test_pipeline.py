@@ -1,6 +1,7 @@
 import corpus_pipeline
 import sentencepiece
 from loomgraph.llm.pieces import default_model
+from loomgraph.session import new_path
 
 from tests.llm.test_decontaminate import brute as contaminated
 from tests.llm.test_exact_dedup import norm
@@ -11,7 +12,7 @@ def test_stages_against_brute_force(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
     labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
-    path = "file:///tmp/spark-pipeline-test"
+    path = new_path(spark, "pipeline-test")
     for name, stage in corpus_pipeline.STAGES:
         before = {r.doc_id: r.text for r in docs.collect()}
         got = stage(spark, docs, sf)
