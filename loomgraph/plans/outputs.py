@@ -30,12 +30,27 @@ def export_dot(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sinks.dot(graph(spark, sf_dir))
 
 
-@query("export_graphml")
+_X = "replace(replace(replace(replace({0}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;')"
+
+
+@query(
+    "export_graphml",
+    """ SELECT 0 AS section, array_to_string(['<?xml version="1.0" encoding="UTF-8"?>', '<graphml xmlns="http://graphml.graphdrawing.org/xmlns">',
+  '  <key id="name" for="node" attr.name="name" attr.type="string"/>', '  <key id="kind" for="node" attr.name="kind" attr.type="string"/>', '  <key id="file" for="node" attr.name="file" attr.type="string"/>', '  <key id="relation" for="edge" attr.name="relation" attr.type="string"/>',
+  '  <graph edgedefault="directed">'], chr(10)) AS line
+UNION ALL SELECT 1, '    <node id="' || {id} || '"><data key="name">' || {name} || '</data><data key="kind">' || {kind} || '</data><data key="file">' || {file_path} || '</data></node>' FROM symbols
+UNION ALL SELECT 2, '    <edge source="' || {source_id} || '" target="' || {target_id} || '"><data key="relation">' || {kind} || '</data></edge>' FROM relationships
+UNION ALL SELECT 3, '  </graph>' || chr(10) || '</graphml>'""".format(**{c: _X.format(c) for c in ("id", "name", "kind", "file_path", "source_id", "target_id")}),
+)
 def export_graphml(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sinks.graphml(graph(spark, sf_dir))
 
 
-@query("export_json")
+@query(
+    "export_json",
+    f""" SELECT 1 AS section, '{{"type":"node","id":' || to_json(id)::VARCHAR || ',"name":' || to_json(name)::VARCHAR || ',"kind":' || to_json(kind)::VARCHAR || ',"file":' || to_json(file_path)::VARCHAR || ',"color":"{sinks.COLOURS[0]}"}}' AS line FROM symbols
+UNION ALL SELECT 2, '{{"type":"link","source":' || to_json(source_id)::VARCHAR || ',"target":' || to_json(target_id)::VARCHAR || ',"kind":' || to_json(kind)::VARCHAR || ',"confidence":' || to_json(confidence)::VARCHAR || '}}' FROM relationships""",
+)
 def export_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sinks.json_lines(graph(spark, sf_dir))
 
@@ -59,7 +74,15 @@ def sarif_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sinks.sarif(context.findings(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("location"), "text")))
 
 
-@query("safety_report")
+_SECRETS = [(p.removeprefix("(?i)"), "i" if p.startswith("(?i)") else "") for p in context.SECRET_PATTERNS]
+_LEFT, _COUNT = "coalesce(text, '')", "0"
+for _p, _f in _SECRETS:
+    _COUNT += f" + len(regexp_extract_all({_LEFT}, '{_p}', 0, '{_f}'))"
+    _LEFT = f"regexp_replace({_LEFT}, '{_p}', '{context.REDACTION}', 'g{_f}')"
+_DENIED = r"regexp_matches(path, '(^|/)(node_modules|vendor|dist|build|\.venv|__pycache__|\.next)(/|$)|(^|/)(\.env(\..*)?|id_rsa|id_ed25519)$|\.(pem|key|p12|pfx|tfvars)$|(^|/)secrets/')"
+
+
+@query("safety_report", f"WITH f AS (SELECT 'docs/' || source || '/' || doc_id AS path, ({_COUNT})::BIGINT AS n FROM documents) SELECT count(*) AS files, count(*) FILTER ({_DENIED}) AS denied, count(*) FILTER (n > 0) AS with_secrets, coalesce(sum(n), 0)::BIGINT AS redactions FROM f", graph=False)
 def safety_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = table(spark, sf_dir, "documents").select(F.concat(F.lit("docs/"), "source", F.lit("/"), F.col("doc_id").cast("string")).alias("path"), "text")
     return context.safety_report(files)

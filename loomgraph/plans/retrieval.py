@@ -382,6 +382,15 @@ def state_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return feeds.changes_only(table(spark, sf_dir, "events"), "user_id", "event_type").select("user_id", "event_id", "event_type")
 
 
-@query("token_bucket")
+@query(
+    "token_bucket",
+    """WITH RECURSIVE e AS (SELECT event_id, user_id, epoch_us(ts) / 1e6 AS sec, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
+b(event_id, user_id, k, sec, allowed, left_) AS (
+  SELECT event_id, user_id, k, sec, true, 2.0::DOUBLE FROM e WHERE k = 1
+  UNION ALL SELECT e.event_id, e.user_id, e.k, e.sec, least(3.0, left_ + (e.sec - b.sec) * (1.0::DOUBLE / 7200)) >= 1, least(3.0, left_ + (e.sec - b.sec) * (1.0::DOUBLE / 7200)) - (least(3.0, left_ + (e.sec - b.sec) * (1.0::DOUBLE / 7200)) >= 1)::INT
+  FROM b JOIN e ON e.user_id = b.user_id AND e.k = b.k + 1
+) SELECT event_id, user_id, allowed, round(left_, 6) AS "left" FROM b""",
+    graph=False,
+)
 def token_bucket(spark: SparkSession, sf_dir: str) -> DataFrame:
     return feeds.token_bucket(table(spark, sf_dir, "events"), "user_id", 3.0, 1 / 7200).withColumn("left", F.round("left", 6))
