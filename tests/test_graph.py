@@ -5,7 +5,7 @@ import random
 import numpy as np
 import pytest
 from loomgraph import schema
-from loomgraph.operators import changes, context, feeds, ranking, relational, resolve, search, traversal
+from loomgraph.operators import changes, context, evaluate, feeds, ranking, relational, resolve, search, traversal
 from loomgraph.operators.components import connected_components
 from loomgraph.plans import retrieval
 from pyspark.sql import functions as F
@@ -180,3 +180,30 @@ def test_vectors_in_blocks_without_the_driver(spark, monkeypatch):
     want = [(q, k + 1, i, -s) for q in range(0, 90, 3) for k, (s, i) in enumerate(sorted((-float(e[q] @ e[i]), i) for i in range(90))[:4])]
     assert got == want
     assert search.vector_topk(vectors, queries.limit(0)).count() == 0
+
+
+def test_failure_classes(spark):
+    rows = [("a", "fts", ["x"], [], ["x"], []), ("b", "fts", [], [], ["x"], []), ("c", "fts", ["x"], [], ["x", "y"], []), ("d", "semantic-fallback", ["x"], [], ["x"], []), ("e", "fts", ["x"], ["f"], ["x"], ["g"]), ("f", "fts", ["x"], ["f"], ["x"], ["f", "g"]), ("g", "fts", [], [], [], [])]
+    schema = "id string, mode string, hits array<string>, hit_files array<string>, expected_symbols array<string>, expected_files array<string>"
+    found = evaluate.evaluate(spark.createDataFrame(rows, schema).withColumns({"k": F.lit(5), "task_type": F.lit("t")}))
+    got = {r.id: r.failure_class for r in found.collect()}
+    assert got == {"a": "matched", "b": "ranking_gap", "c": "insufficient_budget", "d": "stale_or_missing_index", "e": "edit_localization_gap", "f": "insufficient_budget", "g": "matched"}
+    assert {r.id: r.reason for r in found.collect()}["c"] == evaluate.REASONS["insufficient_budget"]
+    assert evaluate.misses_by_type(found).first().misses == 5
+
+
+def test_homonyms_in_directories(spark):
+    """The nearest of several symbols of a name, against a loop over all of them."""
+    rng = random.Random(4)
+    dirs = ["/a", "/a/b", "/ab", "/c", "/c/d/e"]
+    symbols = [(f"s{i}", rng.choice("xyz"), f"q{i}", rng.choice(["function", "class", "import"]), f"{rng.choice(dirs)}/f{rng.randrange(4)}.py", rng.randrange(30)) for i in range(120)]
+    edges = [(f"s{rng.randrange(120)}", schema.UNRESOLVED + rng.choice("xyzw")) for _ in range(80)]
+    s = spark.createDataFrame(symbols, "id string, name string, qualified_name string, kind string, file_path string, start_line int")
+    r = spark.createDataFrame(edges, "source_id string, target_id string")
+    got = {(x.source_id, x.ref): x.target_id for x in resolve.resolve(schema.GraphTables(s, r, None)).collect()}
+    files = {x[0]: x[4] for x in symbols}
+    for source, ref in got:
+        own = [x for x in symbols if x[1] == ref and x[3] != "import"]
+        near = files[source].rsplit("/", 1)[0]
+        best = min(own, key=lambda x: (not x[4].startswith(near), x[4], x[5], x[0]), default=None)
+        assert got[source, ref] == (best and best[0])
