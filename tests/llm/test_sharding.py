@@ -1,7 +1,9 @@
 import zlib
 from collections import Counter, defaultdict
 
-from loomgraph.llm.sharding import shard
+from loomgraph.llm.sharding import edges_cut, joined, op9_sharding, shard
+from loomgraph.session import written
+from pyspark.sql import functions as F
 
 
 def test_counts_slots_and_groups(spark):
@@ -28,3 +30,26 @@ def test_empty_and_few(spark):
     docs = spark.createDataFrame([(1, "a"), (2, "a")], "doc_id long, text string")
     assert shard(docs.limit(0), 16).count() == 0
     assert sorted(r.slot for r in shard(docs, 16).collect()) == [0, 0]
+
+
+def test_large_groups_meet_their_wish_like_others(spark):
+    rows = spark.createDataFrame([(i, 7 if i < 60 else i % 40 + 100) for i in range(300)], "row long, key long")
+    table = written(rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 6").withColumn("to", F.col("key") + 1), "table")
+    want = sorted((r.row, r.key, r.n, r.to) for r in rows.join(table, "key").collect())
+    assert sorted((r.row, r.key, r.n, r.to) for r in joined(rows, table, "key").collect()) == want
+    left = joined(rows, table, "key", "left")
+    assert left.count() == 300 and left.where("n is not null").count() == len(want)
+
+
+def test_edges_cut(spark):
+    placed = spark.createDataFrame([(1, 0), (1, 0), (1, 1), (2, 5), (2, 5), (3, 4)], "key long, shard int")
+    assert tuple(edges_cut(placed).first()) == (4, 2)
+    assert tuple(edges_cut(placed.limit(0)).first()) == (0, 0)
+
+
+def test_query_places_every_document(spark, sf):
+    got = op9_sharding(spark, sf).collect()
+    assert {r.doc_id for r in got} == {r.doc_id for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    sizes = Counter(r.shard for r in got)
+    assert max(sizes.values()) - min(sizes.values()) <= 1 and {r.law for r in got} == {"rows"}
+    assert all(sorted(r.slot for r in got if r.shard == s) == list(range(n)) for s, n in sizes.items())
