@@ -59,11 +59,14 @@ def _around(w: Column, at: Column) -> list[Column]:
 
 
 def _same(a: Column, b: Column) -> Column:
-    """How many first words of two lists are equal, up to a window's reach."""
-    out = F.lit(REACH)
-    for k in reversed(range(REACH)):
-        out = F.when(F.coalesce(F.get(a, F.lit(k)) == F.get(b, F.lit(k)), F.lit(False)), out).otherwise(F.lit(k))
-    return out
+    """How many first words of two short lists are equal."""
+
+    def run(equal: Column) -> Column:
+        first = F.array_position(equal, F.lit(False)).cast("int")
+        return F.when(first > 0, first - 1).otherwise(F.size(equal))
+
+    # a lambda, since it keeps the code that is made for the loop over all words small
+    return let(F.zip_with(a, b, lambda x, y: F.coalesce(x == y, F.lit(False))), run)
 
 
 def _fingerprints(items: DataFrame) -> DataFrame:
