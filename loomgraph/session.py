@@ -47,3 +47,8 @@ def release_path(spark: SparkSession, path: str) -> None:
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
     where = jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(conf).delete(where, True)
+
+
+def sweep(spark: SparkSession) -> None:
+    """Have the driver collect its garbage: shuffle files that no table needs any more are then deleted on all executors."""
+    spark._jvm.System.gc()
