@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loomgraph.llm import chat, decontaminate, exact_dedup, jaccard, pieces, quality, sharding, toxicity, url_filter, warc
+from loomgraph.llm import chat, decontaminate, exact_dedup, jaccard, merkle, pieces, quality, sharding, toxicity, url_filter, warc
 
 QUERIES = {
     "op1_url_filter": url_filter.op1_url_filter,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_chat_format": chat.op8_chat_format,
     "op9_sharding": sharding.op9_sharding,
     "op10_pieces": pieces.op10_pieces,
+    "op11_manifest": merkle.op11_manifest,
 }
 SQL = {
     "op1_url_filter": url_filter.OP1_SQL,
@@ -22,4 +23,5 @@ SQL = {
     "op6_warc": warc.OP6_SQL,
     "op4_decontaminate": decontaminate.OP4_SQL,
     "op8_chat_format": chat.OP8_SQL,
+    "op11_manifest": merkle.OP11_SQL,
 }
