@@ -22,9 +22,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
-from loomgraph.llm.common import maybe_broadcast, read, row_slices
+from loomgraph.llm.common import maybe_broadcast, placed, read, row_slices
 from loomgraph.session import written
 
 ARITY = 3
@@ -285,24 +284,6 @@ def _folded(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def placed(rows: DataFrame, *order: str) -> DataFrame:
-    """Rows of trees, with their place ``at`` from 0 in the order of the tree and with n, the rows of the tree.
-
-    Rows are sorted in ranges, so a large tree is spread over many tasks; the counts of
-    its ranges, a small table, are summed up. Rows that are equal in all of ``order``
-    may take each other's places.
-    """
-    ranged = rows.withColumn("_tie", F.monotonically_increasing_id())
-    ranged = ranged.repartitionByRange("tree", *order, "_tie").sortWithinPartitions("tree", *order, "_tie").drop("_tie")
-    table = written(ranged.withColumn("_row", F.monotonically_increasing_id()), "sorted")
-    table = table.withColumn("_range", F.shiftright("_row", 33))
-    of_tree = Window.partitionBy("tree")
-    runs = table.groupBy("tree", "_range").agg(F.min("_row").alias("_first"), F.count("*").alias("_rows"))
-    runs = runs.select("tree", "_range", (F.sum("_rows").over(of_tree.orderBy("_range")) - F.col("_rows") - F.col("_first")).alias("_shift"), F.sum("_rows").over(of_tree).alias("n"))
-    runs = written(runs, "ranges")
-    return table.join(maybe_broadcast(runs), ["tree", "_range"]).withColumn("at", F.col("_row") + F.col("_shift")).drop("_row", "_shift", "_range")
-
-
 @dataclass
 class Forest:
     """Layers of pages, from the leaves up."""
