@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loomgraph.llm import chat, decontaminate, exact_dedup, jaccard, merkle, pieces, prefix_trie, quality, sharding, toxicity, url_filter, warc
+from loomgraph.llm import chat, decontaminate, exact_dedup, jaccard, lsh_forest, merkle, pieces, prefix_trie, quality, sharding, toxicity, url_filter, warc
 
 QUERIES = {
     "op1_url_filter": url_filter.op1_url_filter,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_sharding": sharding.op9_sharding,
     "op10_pieces": pieces.op10_pieces,
     "op11_manifest": merkle.op11_manifest,
+    "op12_minhash": lsh_forest.op12_minhash,
     "op13_prefix_trie": prefix_trie.op13_prefix_trie,
 }
 SQL = {
