@@ -13,6 +13,7 @@ from pyspark.sql import Window
 from loomgraph.session import written
 
 from loomgraph.functions.text import expanded, tokens
+from loomgraph.operators import positions
 
 #: Fixed values of the ranking formulas.
 K1, B, LEAST_IDF, RRF_K = 1.2, 0.75, 1e-6, 60
@@ -24,11 +25,11 @@ def symbol_text(s: DataFrame) -> DataFrame:
 
 
 class TextIndex:
-    """Postings (term, id, tf) and document lengths, both written once to the shared folder, and the corpus' size and mean length."""
+    """Postings (term, id, tf) with their places and document lengths, both written once to the shared folder, and the corpus' size and mean length."""
 
     def __init__(self, texts: DataFrame) -> None:
-        counted = texts.select("id", F.explode(tokens(F.col("text"))).alias("term")).groupBy("term", "id").agg(F.count("*").alias("tf"))
-        self.postings = written(counted, "postings")
+        self.places = positions.PositionalIndex(texts)
+        self.postings = self.places.postings.select("term", "id", "tf")
         self.lengths = written(self.postings.groupBy("id").agg(F.sum("tf").alias("dl")), "lengths")
         self.n_docs = texts.count()
         self.mean_length = (self.lengths.agg(F.sum("dl")).first()[0] or 0) / max(self.n_docs, 1)
@@ -77,15 +78,25 @@ def terms_of(queries: DataFrame, text: Column) -> DataFrame:
     return queries.select("query_id", F.explode(tokens(text)).alias("term"))
 
 
+def _all_words(index: TextIndex, queries: DataFrame, text: Column) -> DataFrame:
+    """Scores of documents that hold all words of a query; what is written without a space between, such as ``get_user``, must follow each other there."""
+    scores = index.score(terms_of(queries, text))
+    pieces = queries.select("query_id", F.posexplode(F.split(F.trim(text), r"\s+")).alias("part", "piece")).where(F.size(tokens(F.col("piece"))) > 1)
+    found = index.places.phrases(positions.asked(pieces, F.col("piece"))).groupBy("query_id", "id").agg(F.countDistinct("part").alias("held"))
+    wanted = pieces.groupBy("query_id").agg(F.count("*").alias("pieces"))
+    rows = scores.join(wanted, "query_id", "left").join(found, ["query_id", "id"], "left")
+    return rows.where("pieces is null or pieces = held").select(*scores.columns)
+
+
 def search(index: TextIndex, queries: DataFrame, limit: int = 20) -> DataFrame:
     """(query_id, stage, id, score, rank) for queries (query_id, query).
 
     Of three stages the first with hits counts: all words as written (1), the words
     of the expanded identifier (2), the first word as a prefix (3).
     """
-    raw = index.score(terms_of(queries, F.col("query"))).withColumn("stage", F.lit(1))
+    raw = _all_words(index, queries, F.col("query")).withColumn("stage", F.lit(1))
     wide = queries.where(expanded(F.col("query")) != F.lower("query"))
-    apart = index.score(terms_of(wide, expanded(F.col("query")))).withColumn("stage", F.lit(2))
+    apart = _all_words(index, wide, expanded(F.col("query"))).withColumn("stage", F.lit(2))
     first = queries.select("query_id", F.get(tokens(expanded(F.col("query"))), F.lit(0)).alias("prefix")).where("prefix is not null")
     begins = index.score_any(index.prefix_terms(first)).withColumn("stage", F.lit(3))
     found = raw.unionByName(apart).unionByName(begins)

@@ -59,7 +59,10 @@ pre AS (SELECT query_id, {_TOKENS.format('wide')}[1] AS prefix FROM x),
 own AS (SELECT query_id, id, sum(tf) AS tf FROM pre JOIN post ON starts_with(term, prefix) GROUP BY 1, 2),
 pdf AS (SELECT query_id, count(*) AS df FROM own GROUP BY 1),
 pf AS (SELECT query_id, id, round({_PART}, 6) AS score FROM own JOIN pdf USING (query_id) JOIN len USING (id), stat),
-allst AS (SELECT s.stage, s.query_id, id, score FROM s JOIN wanted w ON w.stage = s.stage AND w.query_id = s.query_id AND w.n = s.n UNION ALL SELECT 3, query_id, id, score FROM pf),
+pieces AS (SELECT stage, query_id, array_to_string({_TOKENS.format('piece')}, ' ') AS phrase FROM (
+  SELECT 1 AS stage, query_id, unnest(regexp_split_to_array(trim(query), '\\s+')) AS piece FROM x UNION ALL SELECT 2, query_id, unnest(regexp_split_to_array(wide, '\\s+')) FROM x WHERE wide <> lower(query)) WHERE len({_TOKENS.format('piece')}) > 1),
+lacking AS (SELECT DISTINCT stage, query_id, id FROM pieces, (SELECT id, ' ' || array_to_string({_TOKENS.format('text')}, ' ') || ' ' AS words FROM ({_TEXT})) WHERE NOT contains(words, ' ' || phrase || ' ')),
+allst AS (SELECT s.stage, s.query_id, id, score FROM s JOIN wanted w ON w.stage = s.stage AND w.query_id = s.query_id AND w.n = s.n WHERE (s.stage, s.query_id, id) NOT IN (SELECT stage, query_id, id FROM lacking) UNION ALL SELECT 3, query_id, id, score FROM pf),
 found AS (SELECT query_id, stage, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM (SELECT * FROM allst QUALIFY stage = min(stage) OVER (PARTITION BY query_id)) QUALIFY rank <= 20)"""
 )
 
