@@ -3,15 +3,16 @@
 1. A set's signature is its smallest hash in each of ``BINS`` ranges of hashes (one
    permutation; an empty range takes the value of another). An order sorts the sets by
    some of these values, one after the other: sets that are alike share long prefixes.
-2. A region of an order is a prefix of two values or more. Where more than ``REGION`` sets
-   share a prefix, the region is cut one value deeper, as often as needed. Sets in
-   deep regions miss each other more often, so they take part in more orders:
-   as many as make the chance to miss a linked pair less than ``MISS``.
-3. In a region, neighbours in the order meet first, since they share the longest
-   prefixes, then all that these have not joined. They meet as hashed bitmaps, whose
-   bit counts bound the overlap from above, so no linked pair that meets is lost.
-4. What bitmaps let pass falls into families, and within these links are confirmed on
-   the full sets, as sorted arrays.
+2. In the first orders only neighbours meet, which share the longest prefixes. That joins
+   most near copies at the price of a sort.
+3. In the other orders sets of one region meet that nothing has joined yet. A region is a
+   prefix of two values or more: where more than ``REGION`` sets share a prefix, the
+   region is cut one value deeper, as often as needed, unless nearly all of it is joined
+   already. Sets in deep regions miss each other more often, so they take part in more
+   orders: as many as make the chance to miss a linked pair less than ``MISS``.
+4. Sets meet as hashed bitmaps, whose bit counts bound the overlap from above, so no linked
+   pair that meets is lost. What bitmaps let pass falls into families, and within
+   these links are confirmed on the full sets, as sorted arrays.
 """
 
 from __future__ import annotations
@@ -37,8 +38,10 @@ LEAST_DEPTH = 2
 REGION = 1024
 #: Chance that a pair at the threshold shares no region.
 MISS = 1e-6
-#: Orders of the first two waves and of each later one: what the first joins, later ones need not compare.
-WAVES = (2, 12, 7)
+#: Orders in which neighbours meet, before all others.
+FIRST = 2
+#: Orders of a later wave, after those that all sets take part in.
+WAVE = 12
 
 _EDGES = (np.arange(BINS, dtype=np.uint64) << np.uint64(64 - 7)).astype(np.uint64)
 #: Where an empty bin looks for a value, in this order.
@@ -97,14 +100,22 @@ def _ordered(sets: DataFrame, orders: range) -> DataFrame:
     return sets.select("node", F.explode(F.array(*[one(t, order_bins(t)) for t in orders])).alias("o")).select("node", "o.key", "o.rest")
 
 
+def _shared(rows: DataFrame, exact: bool = True) -> DataFrame:
+    """Rows whose key others have too; or, if not exact, some more rows."""
+    heads = written(rows.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key"), "heads")
+    table, blocks = bloom.build(heads, "key")  # keeps most sets that are alone out of a join's shuffle
+    some = bloom.possible(rows, F.col("key"), table, blocks)
+    return some.join(heads, "key", "left_semi") if exact else some
+
+
 def _regions(rows: DataFrame, labels: DataFrame | None, region: int) -> tuple[DataFrame, DataFrame]:
     """Rows (node, key, rest) of regions in which sets of different labels meet, with label, depth and whether the region is large.
 
-    The second table says how deep regions of a node were cut.
+    A region of more than ``region`` sets, most of which have one label, is laid out in
+    parts of the sets with this label, each with all the others. The second table says
+    how deep regions of a node were cut.
     """
-    heads = written(rows.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key"), "heads")
-    table, blocks = bloom.build(heads, "key")  # keeps most sets that are alone out of the join's shuffle
-    met = bloom.possible(rows, F.col("key"), table, blocks).join(heads, "key", "left_semi")
+    met = _shared(rows)
     label: Column = F.col("node")
     if labels is not None:
         met = met.join(maybe_broadcast(labels), "node", "left")
@@ -112,12 +123,17 @@ def _regions(rows: DataFrame, labels: DataFrame | None, region: int) -> tuple[Da
     now = written(met.select("node", "key", "rest", label.alias("label"), F.lit(LEAST_DEPTH).alias("depth")), "met")
     done: list[DataFrame] = []
     while True:
-        sizes = now.groupBy("key").agg(F.count("*").alias("c"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi")
-        cut = F.col("c") > region
-        marked = written(now.join(sizes.select("key", cut.alias("large")), "key").select(*now.columns, "large"), "regions")
+        own = now.columns
+        sizes = now.groupBy("key", "label").agg(F.count("*").alias("m")).groupBy("key").agg(F.sum("m").alias("c"), F.max("m").alias("m"), F.max_by("label", "m").alias("top")).where("m < c")
+        half = region // 2
+        parts = F.when(F.col("c") <= region, 1).when(F.col("c") - F.col("m") <= half, F.ceil(F.col("m") / half)).cast("int")
+        marked = written(now.join(sizes.select("key", "top", parts.alias("parts")), "key").select(*own, "top", "parts"), "regions")
         release(now)
-        deeper = marked.where(F.col("large") & (F.col("depth") < DEPTH))
-        done.append(marked.where(~F.col("large") | (F.col("depth") == DEPTH)))
+        which = F.when(F.col("label") == F.col("top"), F.array(F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))).otherwise(F.sequence(F.lit(0), F.col("parts") - 1))
+        laid = marked.where("parts > 1").withColumn("part", F.explode(which)).withColumn("key", F.xxhash64("key", "part"))
+        whole = marked.where("parts = 1").unionByName(laid.drop("part"))
+        deeper = marked.where(F.col("parts").isNull() & (F.col("depth") < DEPTH))
+        done += [whole.select(*own, F.lit(False).alias("large")), marked.where(F.col("parts").isNull() & (F.col("depth") == DEPTH)).select(*own, F.lit(True).alias("large"))]
         if not deeper.head(1):
             break
         now = written(deeper.select("node", F.xxhash64("key", F.get("rest", F.col("depth") - LEAST_DEPTH)).alias("key"), "rest", "label", (F.col("depth") + 1).alias("depth")), "deeper")
@@ -125,6 +141,26 @@ def _regions(rows: DataFrame, labels: DataFrame | None, region: int) -> tuple[Da
     return every, every.where(F.col("depth") > LEAST_DEPTH).groupBy("node").agg(F.max("depth").alias("depth"))
 
 
+def _neighbours(rows: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of neighbours in the orders of rows (node, n, bits, key, rest) that share a key, if bitmaps let them pass."""
+
+    def compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before = None
+        apart = np.arange(2)
+        for batch in batches:
+            out: list[tuple[int, int]] = []
+            columns = (batch.column(c).to_pylist() for c in ("key", "node", "n", "bits"))
+            for key, node, n, bits in zip(*columns, strict=True):
+                bitmap = np.frombuffer(bits, np.uint64)
+                if before is not None and before[0] == key and jaccard.tile_links(np.array([before[2], n]), apart, [before[3], bitmap], None, percent, jaccard._always):
+                    out.append((before[1], node))
+                before = (key, node, n, bitmap)
+            if out:
+                yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["a", "b"])
+
+    return rows.repartitionByRange("key", "rest", "node").sortWithinPartitions("key", "rest", "node").drop("rest").mapInArrow(compare, "a long, b long")
+
+
 def _met(rows: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of rows (node, n, bits, label, key, rest) that join different labels of a region, if bitmaps let them pass."""
 
@@ -161,15 +197,18 @@ def families(profiles: DataFrame, copies: DataFrame, percent: int, region: int =
             release(labels)
         return fresh
 
-    at, wave = 0, 0
+    some = _shared(_ordered(sets, range(FIRST)), exact=False)
+    edges.append(written(_neighbours(some.join(maps, "node").select("node", "n", "bits", "key", "rest"), percent), "found"))
+    labels = relabel()
+    at, width = FIRST, orders_needed(LEAST_DEPTH, percent)
     while True:
-        orders = range(at, at + WAVES[min(wave, len(WAVES) - 1)])
+        orders = range(at, at + width)
         some = sets
-        if at >= orders_needed(LEAST_DEPTH, percent):  # only sets from deep regions need more orders
+        if cuts:  # only sets from deep regions need more orders
             needed = F.lit(0)
             for depth in range(LEAST_DEPTH + 1, DEPTH + 1):
                 needed = F.when(F.col("depth") == depth, orders_needed(depth, percent)).otherwise(needed)
-            left = written(reduce(DataFrame.unionByName, cuts).groupBy("node").agg(F.max("depth").alias("depth")).where(needed > at).select("node"), "left")
+            left = written(reduce(DataFrame.unionByName, cuts).groupBy("node").agg(F.max("depth").alias("depth")).where(needed > at - FIRST).select("node"), "left")
             if not left.head(1):
                 break
             some = sets.join(maybe_broadcast(left), "node", "left_semi")
@@ -193,9 +232,7 @@ def families(profiles: DataFrame, copies: DataFrame, percent: int, region: int =
         if fresh:
             edges += fresh
             labels = relabel()
-        at, wave = orders.stop, wave + 1
-    if labels is None:
-        return profiles.select(F.col("row").alias("node"), F.col("row").alias("family")).limit(0)
+        at, width = orders.stop, WAVE
     return labels.select("node", F.col("component").alias("family"))
 
 

@@ -38,14 +38,14 @@ def test_orders():
 @pytest.mark.parametrize(("k", "percent", "region"), [(4, 80, 1024), (5, 80, 5)])
 def test_against_brute_force(spark, k, percent, region, monkeypatch):
     """With small regions all orders are needed; here they are one wave."""
-    monkeypatch.setattr(lsh_forest, "WAVES", (2, 12, 70))
+    monkeypatch.setattr(lsh_forest, "WAVE", 70)
     docs = corpus()
     assert found(spark, docs, k, percent, region) == brute(docs, k, percent)
 
 
 def test_deep_regions_and_tiles(spark, monkeypatch):
     """Many near copies of one text in steps, whose regions are cut to the full depth and laid out in tiles, beside texts that share a passage."""
-    monkeypatch.setattr(lsh_forest, "WAVES", (2, 12, 70))
+    monkeypatch.setattr(lsh_forest, "WAVE", 70)
     rng = random.Random(12)
     base = [f"w{rng.randrange(3000)}" for _ in range(250)]
     docs = [(900, " ".join(f"x{i}" for i in range(200_000)))]
