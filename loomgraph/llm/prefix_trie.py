@@ -29,7 +29,7 @@ from loomgraph.session import release, written
 HASH = 16
 WIDTH = HASH + 4
 #: A part of more keys than this is parted again.
-KEYS = 2_000
+KEYS = 250
 #: Identifiers that are joined to one text before they are hashed.
 IDS_AT_ONCE = 10_000
 
