@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from loomgraph.session import new_path
+from loomgraph.sources.snapshots import SnapshotTable
 
 
 def debounced(events: DataFrame, key: str, gap: str = "500 milliseconds", late: str = "1 minute", at: str = "ts", op: str = "op") -> DataFrame:
@@ -28,35 +29,25 @@ def windowed(events: DataFrame, window: str = "5 minutes", slide: str | None = N
     return events.withWatermark(at, late).groupBy(w.alias("w"), by).agg(F.count("*").alias("n"), F.sum("value").alias("value")).select(F.col("w.start").alias("start"), by, "n", "value")
 
 
-def into_table(changes: DataFrame, table: str, key: str, checkpoint: str, order: str = "ts"):  # noqa: ANN201
-    """Apply changes (key, op, columns) to a Parquet table, batch by batch: the last change of a key in a batch counts, ``delete`` removes it.
+def into_table(changes: DataFrame, table: str, key: str, checkpoint: str, order: str | tuple[str, ...] = "ts", buckets: int = 64, keep: int = 2):  # noqa: ANN201
+    """Apply changes (key, op, order, columns) to a ``SnapshotTable``, batch by batch; ``delete`` removes a key.
 
-    A batch makes a new snapshot beside the table and then points to it, so a batch
-    that is run again gives the same table.
+    A batch rewrites the buckets of its keys only. A batch that is run again gives the
+    same version; versions before the last ones are deleted.
     """
+    order = (order,) if isinstance(order, str) else order
 
     def apply(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        columns = [c for c in batch.columns if c not in (key, "op", order)]
-        last = batch.groupBy(key).agg(F.max_by(F.struct("op", *columns), order).alias("x")).select(key, "x.*")
-        new = last.where("op <> 'delete'").select(key, *columns)
-        before = current(spark, table, number)
-        if before is not None:
-            new = before.join(last.select(key), key, "left_anti").select(key, *columns).unionByName(new)
-        new.write.mode("overwrite").parquet(f"{table}/v={number:012d}")
+        snapshots = SnapshotTable(batch.sparkSession, table, key, order, buckets)
+        snapshots.apply(batch, number)
+        snapshots.expire(keep)
 
     return changes.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def current(spark, table: str, before: int | None = None) -> DataFrame | None:  # noqa: ANN001
-    """The newest snapshot of a table (older than a batch, if given), or None."""
-    where = spark._jvm.org.apache.hadoop.fs.Path(table)
-    store = where.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not store.exists(where):
-        return None
-    names = [f.getPath().getName() for f in store.listStatus(where)]
-    versions = sorted(int(n[2:]) for n in names if n.startswith("v=") and (before is None or int(n[2:]) < before) and store.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{table}/{n}/_SUCCESS")))
-    return spark.read.parquet(f"{table}/v={versions[-1]:012d}") if versions else None
+def current(spark, table: str, key: str, order: str | tuple[str, ...] = "ts") -> DataFrame | None:  # noqa: ANN001
+    """The newest version of a table, or None."""
+    return SnapshotTable(spark, table, key, (order,) if isinstance(order, str) else order).read()
 
 
 def token_bucket(requests: DataFrame, key: str, capacity: float, per_second: float, cost: float = 1.0, at: str = "ts", tie: str = "id") -> DataFrame:

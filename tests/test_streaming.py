@@ -42,7 +42,7 @@ def test_upserts(spark):
     s = stream(spark, rows, "k string, op string, v int, ts string", 1)
     table = new_path(spark, "table")
     feeds.into_table(s, table, "k", new_path(spark, "state")).awaitTermination()
-    assert {(r.k, r.v) for r in feeds.current(spark, table).collect()} == {("a", 2), ("c", 7)}
+    assert {(r.k, r.v) for r in feeds.current(spark, table, "k").collect()} == {("a", 2), ("c", 7)}
 
 
 def test_buckets_and_lifecycle(spark):
