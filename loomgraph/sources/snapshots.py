@@ -63,10 +63,12 @@ class SnapshotTable:
     Rows keep when they were changed last (``_at``), and deleted keys stay as marks (``_gone``), so
     that a change that arrives late is told from a newer one: batches may come in
     any order and be cut anywhere. ``forget`` drops marks that no change can be older than.
+    Buckets are by hash of the key, or else the values of a column ``by`` of whole
+    numbers, where a key may have a row in each.
     """
 
-    def __init__(self, spark: SparkSession, path: str, key: str, order: tuple[str, ...], buckets: int = 64) -> None:
-        self.spark, self.key, self.order = spark, key, order
+    def __init__(self, spark: SparkSession, path: str, key: str, order: tuple[str, ...], buckets: int = 64, by: str | None = None) -> None:
+        self.spark, self.key, self.order, self.by = spark, key, order, by
         self.store = _Store(spark, path)
         found = self.versions()
         self.buckets = self._manifest(found[-1])["buckets"] if found else buckets
@@ -87,13 +89,14 @@ class SnapshotTable:
             return self.spark.createDataFrame([], schema)
         return self.spark.read.schema(schema).parquet(*[f"{self.store.root}/{f}" for f in sorted(set(folders))])
 
-    def read(self, version: int | None = None) -> DataFrame | None:
-        """The rows of a version (the newest), without deleted keys; None if there is none."""
+    def read(self, version: int | None = None, buckets: list[int] | None = None) -> DataFrame | None:
+        """The rows of a version (the newest), without deleted keys, of all or some buckets; None if there is none."""
         found = [v for v in self.versions() if version is None or v <= version]
         if not found:
             return None
         manifest = self._manifest(found[-1])
-        return self._folders(manifest, list(manifest["folders"].values())).where("not _gone").drop("_gone", "_at", "_bucket")
+        folders = [f for b, f in manifest["folders"].items() if buckets is None or int(b) in buckets]
+        return self._folders(manifest, folders).where("not _gone").drop("_gone", "_at", "_bucket")
 
     def apply(self, changes: DataFrame, version: int | None = None, op: str = "op") -> list[int]:
         """Apply changes (key, op, order columns, values); the buckets that were written.
@@ -110,7 +113,7 @@ class SnapshotTable:
             return self._manifest(version)["written"]
         values = [c for c in changes.columns if c not in (self.key, op)]
         gone = F.coalesce(F.col(op) == DELETE, F.lit(False))
-        bucket = F.pmod(F.xxhash64(F.col(self.key)), F.lit(self.buckets)).cast("int")
+        bucket = (F.pmod(F.xxhash64(F.col(self.key)), F.lit(self.buckets)) if self.by is None else F.col(self.by)).cast("int")
         new = changes.select(self.key, *values, F.struct(*self.order, gone.alias("gone"), F.xxhash64(*values).alias("tie")).alias("_at"), gone.alias("_gone"), bucket.alias("_bucket"))
         new = new.groupBy(self.key, "_bucket").agg(F.max_by(F.struct(*values, "_at", "_gone"), "_at").alias("x")).select(self.key, "x.*", "_bucket")
         new = new.select(self.key, *values, "_at", "_gone", "_bucket")
