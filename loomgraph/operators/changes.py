@@ -33,6 +33,13 @@ def diff_lines(diffs: DataFrame) -> DataFrame:
     return spans.select("file", F.explode(F.sequence(F.col("start"), F.col("start") + F.col("count") - 1)).alias("line")).distinct()
 
 
+def changed_lines_of(g: GraphTables, changes: DataFrame) -> DataFrame:
+    """(set, id) of the symbols that change sets (set, file, line) touch; lines count from 1, and a null line is the whole file."""
+    spans = g.symbols.select("id", F.col("file_path").alias("file"), "start_line", "end_line")
+    hit = changes.select("set", "file", "line").distinct().join(spans, "file")
+    return hit.where(F.col("line").isNull() | F.col("line").between(F.col("start_line") + 1, F.col("end_line") + 1)).select("set", "id").distinct()
+
+
 def risk_score(changed: Column, impacted: Column, high: Column, untested: Column) -> Column:
     """0 to 10, to one decimal."""
     score = F.least(F.lit(4.0), changed * 0.3) + F.least(F.lit(3.0), impacted * 0.2) + F.least(F.lit(2.0), high * 1.0) + F.when(untested, 1.0).otherwise(0.0)

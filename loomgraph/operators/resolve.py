@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from loomgraph.schema import EXTERNAL, UNRESOLVED, GraphTables, is_sentinel, last_part, parent_dir
+from loomgraph.session import written
 
 
 def resolve(g: GraphTables) -> DataFrame:
@@ -64,6 +65,49 @@ def resolve(g: GraphTables) -> DataFrame:
     return out.select("source_id", "file", "ref", F.col("m.target").alias("target_id"), F.when(F.col("m.target").isNotNull(), F.when(several, "ambiguous").otherwise("inferred")).alias("confidence"))
 
 
+def touched_refs(old: DataFrame, new: DataFrame, paths: DataFrame) -> DataFrame:
+    """(name) of all that symbols of changed files (path) are or were called, by which a reference can find them.
+
+    Imports are no candidates; they count in their own file, which has changed itself.
+    """
+    own = paths.select(F.col("path").alias("file_path")).distinct()
+    both = old.select("file_path", "name", "qualified_name", "kind").unionByName(new.select("file_path", "name", "qualified_name", "kind"))
+    inside = both.where("kind <> 'import'").join(own, "file_path", "left_semi")
+    return inside.select(F.explode(F.array("name", "qualified_name")).alias("name")).where("name is not null").distinct()
+
+
+def resolve_again(found: DataFrame, old: DataFrame, g: GraphTables, paths: DataFrame) -> DataFrame:
+    """What ``resolve`` gives for g, from what it gave before (found) with the symbols of then (old).
+
+    ``paths`` (path) are the files that were added, changed or removed since. A reference
+    is looked up again if its own file is one of these, or if it or its last part is a name that
+    symbols of these files have or had. All others keep what they had. Only symbols
+    that these references can meet take part.
+    """
+    names = written(touched_refs(old, g.symbols, paths), "names")
+    changed = paths.select(F.col("path").alias("file")).distinct()
+    hit = lambda rows: rows.join(names.withColumnRenamed("name", "ref"), "ref", "left_semi")
+    tail = lambda rows: rows.withColumn("_last", last_part(F.col("ref"))).join(names.withColumnRenamed("name", "_last"), "_last", "left_semi").drop("_last")
+
+    kept = found.join(changed, "file", "left_anti")
+    stale = written(hit(kept).unionByName(tail(kept)).select("source_id", "ref").distinct(), "stale")
+    kept = kept.join(stale, ["source_id", "ref"], "left_anti")
+    # references to look up: all of changed files, and those of others that the names touch
+    refs = g.relationships.where(is_sentinel(F.col("target_id"))).withColumn("ref", F.regexp_replace("target_id", f"^({EXTERNAL}|{UNRESOLVED})", ""))
+    sources = g.symbols.select(F.col("id").alias("source_id"), F.col("file_path").alias("file"))
+    of_changed = refs.join(sources.join(changed, "file", "left_semi").select("source_id"), "source_id", "left_semi")
+    again = of_changed.select(*g.relationships.columns).unionByName(refs.join(stale, ["source_id", "ref"], "left_semi").select(*g.relationships.columns))
+    again = written(again, "again")
+    asked = again.select(F.regexp_replace("target_id", f"^({EXTERNAL}|{UNRESOLVED})", "").alias("ref"))
+    wanted = written(asked.select(F.explode(F.array("ref", last_part(F.col("ref")))).alias("name")).distinct(), "wanted")
+    owners = again.select(F.col("source_id").alias("id")).distinct()
+    asking = written(g.symbols.select("id", "file_path").join(owners, "id", "left_semi"), "asking")
+    some = g.symbols.join(wanted, "name", "left_semi").unionByName(g.symbols.join(wanted.withColumnRenamed("name", "qualified_name"), "qualified_name", "left_semi"))
+    some = some.unionByName(g.symbols.join(asking.select("id"), "id", "left_semi")).unionByName(g.symbols.where("kind = 'import'").join(asking.select("file_path"), "file_path", "left_semi"))
+    fresh = resolve(GraphTables(written(some.dropDuplicates(["id"]), "some"), again, g.files))
+    return kept.select(*fresh.columns).unionByName(fresh)
+
+
 def resolved(g: GraphTables, found: DataFrame) -> DataFrame:
     """All edges, with targets that were found in place of their names."""
     names = found.where("target_id is not null").select("source_id", "ref", F.col("target_id").alias("_to"), F.col("confidence").alias("_confidence"))

@@ -55,6 +55,13 @@ def changed(files: DataFrame, indexed: DataFrame) -> DataFrame:
     return files.join(old, "path", "left").where(F.col("_old").isNull() | (F.sha2("text", 256) != F.col("_old"))).drop("_old")
 
 
+def changed_paths(indexed: DataFrame, files: DataFrame) -> DataFrame:
+    """(path, change) of files (path, content_hash) against what is indexed: added, modified or removed."""
+    both = indexed.select("path", F.col("content_hash").alias("_old"), F.lit(True).alias("_was")).join(files.select("path", F.col("content_hash").alias("_new"), F.lit(True).alias("_is")), "path", "full_outer")
+    change = F.when(F.col("_was").isNull(), "added").when(F.col("_is").isNull(), "removed").when(~F.col("_old").eqNullSafe(F.col("_new")), "modified")
+    return both.select("path", change.alias("change")).where("change is not null")
+
+
 def delete(g: GraphTables, paths: DataFrame) -> GraphTables:
     """The tables without some files (path) and all that was extracted from them."""
     gone = paths.select("path").distinct()
