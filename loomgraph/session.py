@@ -8,16 +8,25 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Folders of applications whose session names none.
+_OWN: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share.
+    """The folder that the driver and all executors share, as a URI.
 
     It is ``spark.checkpoint.dir`` of the session. Only where that is unset, as
-    in tests on one machine, a temporary folder is made and set for the session.
+    in tests on one machine, a temporary folder is made for the application.
     """
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
-        where = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
-        spark.conf.set("spark.checkpoint.dir", where)
+        app = spark.sparkContext.applicationId
+        if app not in _OWN:
+            _OWN[app] = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
+        where = _OWN[app]
+    if "://" not in where:  # a path of the default file system: others than Spark read it too
+        path = spark._jvm.org.apache.hadoop.fs.Path(where)
+        where = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString().replace("file:/", "file:///", 1)
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
         spark.sparkContext.setCheckpointDir(where)
     return where.rstrip("/")
