@@ -41,7 +41,7 @@ MISS = 1e-6
 #: Orders in which neighbours meet, before all others.
 FIRST = 2
 #: Orders of a later wave, after those that all sets take part in.
-WAVE = 12
+WAVE = 31
 
 _EDGES = (np.arange(BINS, dtype=np.uint64) << np.uint64(64 - 7)).astype(np.uint64)
 #: Where an empty bin looks for a value, in this order.
@@ -187,7 +187,7 @@ def families(profiles: DataFrame, copies: DataFrame, percent: int, region: int =
     """(node, family) of the sets that bitmaps let pass with another one of a region; ``copies`` (row) of equal sets are left out."""
     sets = profiles.where("n > 0").select(F.col("row").alias("node"), "mins").join(maybe_broadcast(copies.withColumnRenamed("row", "node")), "node", "left_anti")
     maps = profiles.select(F.col("row").alias("node"), "n", "bits")
-    edges: list[DataFrame] = []
+    edges: list[DataFrame] = []  # found so far: stars of all before, and what is new
     cuts: list[DataFrame] = []
     labels: DataFrame | None = None
 
@@ -195,6 +195,7 @@ def families(profiles: DataFrame, copies: DataFrame, percent: int, region: int =
         fresh = written(connected_components(reduce(DataFrame.unionByName, edges), "a", "b").select("node", "component"), "labels")
         if labels is not None:
             release(labels)
+        edges[:] = [fresh.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))]
         return fresh
 
     some = _shared(_ordered(sets, range(FIRST)), exact=False)
