@@ -64,6 +64,11 @@ def _value(x: object) -> object:
     return None if x is None or x is pd.NaT or x != x else x
 
 
+def _texts(*names: str) -> list[Column]:
+    """Whole numbers that may be null, as texts: in pandas they would be floats, which have 53 bits."""
+    return [F.col(c).cast("string").alias(c) for c in names]
+
+
 class _Fold:
     """State of the turn that is being folded, and of its conversation."""
 
@@ -129,8 +134,8 @@ def reconstruct(events: DataFrame) -> DataFrame:
             return (*x, text, start if loss else None, end if loss else None)
 
         def frame(found: list[tuple]) -> pd.DataFrame:
-            out = pd.DataFrame(found, columns=[c.split()[0] for c in PIECES.split(", ")])
-            return out.astype({"conv_id": "Int64", "turn": "Int64", "loss_start": "Int64", "loss_end": "Int64"})
+            columns = zip((c.split() for c in PIECES.split(", ")), zip(*found, strict=True), strict=True)
+            return pd.DataFrame({name: pd.array([None if x is None else int(x) for x in values], "Int64") if kind == "long" else list(values) for (name, kind), values in columns})
 
         for batch in batches:
             found = []
@@ -141,7 +146,7 @@ def reconstruct(events: DataFrame) -> DataFrame:
         if last := state.end():
             yield frame([piece(last)])
 
-    return rows.drop("rank").mapInPandas(fold, PIECES)
+    return rows.select(*_texts("conv_id", "turn"), "seq", "kind", "role", "text").mapInPandas(fold, PIECES)
 
 
 DIGESTS = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
@@ -162,7 +167,7 @@ def read_back(pieces: DataFrame) -> DataFrame:
         n = chars = total = 0
 
         def row() -> pd.DataFrame:
-            return pd.DataFrame({"conv_id": pd.array([conv], "Int64"), "n_turns": [n], "turns_sha256": [turns.hexdigest()], "loss_chars": [chars], "loss_sha256": [loss.hexdigest()], "formatted_chars": [total]})
+            return pd.DataFrame({"conv_id": pd.array([None if conv is None else int(conv)], "Int64"), "n_turns": [n], "turns_sha256": [turns.hexdigest()], "loss_chars": [chars], "loss_sha256": [loss.hexdigest()], "formatted_chars": [total]})
 
         for batch in batches:
             for c, formatted, start, end in zip(batch["conv_id"], batch["formatted"], batch["loss_start"], batch["loss_end"], strict=True):
@@ -182,7 +187,7 @@ def read_back(pieces: DataFrame) -> DataFrame:
         if conv is not nobody:
             yield row()
 
-    return rows.mapInPandas(digest, DIGESTS)
+    return rows.select(*_texts("conv_id"), "formatted", "loss_start", "loss_end").mapInPandas(digest, DIGESTS)
 
 
 #: A conversation whose texts hold the template's own control strings.
@@ -200,7 +205,8 @@ def logged(rows: DataFrame) -> DataFrame:
     text, half = F.coalesce("text", F.lit("")), F.floor(F.length(F.coalesce("text", F.lit(""))) / 2).cast("int")
     head, tail = text.substr(F.lit(1), half), text.substr(half + 1, F.length(text))
     place = F.row_number().over(Window.partitionBy("conv_id", "turn").orderBy(F.col("role").asc_nulls_first(), F.col("text").asc_nulls_first()))
-    same = rows.repartition("conv_id").withColumns({"place": place, "at": F.coalesce("turn", F.lit(-1)).cast("long")})
+    turns = F.dense_rank().over(Window.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_first())).cast("long")
+    same = rows.repartition("conv_id").withColumns({"place": place, "at": turns})
     first = F.col("place") == 1
 
     def event(k: int, kind: str, text: Column, role: Column | str = "role", turn: Column | str = "turn", when: Column = F.lit(True)) -> Column:  # noqa: B008
@@ -213,7 +219,7 @@ def logged(rows: DataFrame) -> DataFrame:
     log = [
         event(0, "message", head),
         event(1, "edit", F.lit("an edit that does not last")),
-        event(2, "message", F.lit("an answer to the draft"), F.lit("assistant"), F.col("turn") + 1, first & F.col("turn").isNotNull()),
+        event(2, "message", F.lit("an answer to the draft"), F.lit("assistant"), F.try_add("turn", F.lit(1)), first & F.try_add("turn", F.lit(1)).isNotNull()),
         event(3, "regenerate", head, when=first),
         event(3, "edit", head, when=~first),
         event(4, "delta", tail, F.lit(None).cast("string")),

@@ -163,7 +163,7 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
 
         for batch in batches:
             for i, url, payload, digest, n, ref in zip(batch["id"], batch["url"], batch["payload"], batch["digest"], batch["size"], batch["refers_to"], strict=True):
-                own, old = (None if pd.isna(x) else int(x) for x in (i, ref))
+                own, old = (None if x is None else int(x) for x in (i, ref))
                 body = payload.encode() if old is None else b""
                 one = warc_record("response" if old is None else "revisit", own, url, digest, int(n), body, date, old)
                 if held and size + len(one) > ARCHIVE_BYTES:
@@ -175,7 +175,7 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
         if held:
             yield close()
 
-    return written(judged.select("id", "url", "payload", "digest", "size", "refers_to").coalesce(tasks).mapInPandas(write, MANIFEST), "manifest")
+    return written(judged.select(F.col("id").cast("string"), "url", "payload", "digest", "size", F.col("refers_to").cast("string")).coalesce(tasks).mapInPandas(write, MANIFEST), "manifest")
 
 
 RECORDS = "page_id long, url string, payload binary, payload_bytes long, payload_digest string, record_type string, refers_to long"
