@@ -55,3 +55,12 @@ def test_logs_end_in_their_messages(spark):
     assert {r.kind for r in log.collect()} == {"message", "edit", "delta", "regenerate"}
     got = sorted(((r.conv_id, r.turn, r.role, r.text) for r in reconstruct(log).collect()), key=repr)
     assert got == sorted(((c, t, r or "", x or "") for c, t, r, x in rows), key=repr)
+
+
+def test_large_identifiers_and_turns(spark):
+    big = 2**53 + 1
+    rows = [(big, 2**40, "user", "a"), (big, 2**40 + 1, "assistant", "b"), (big, 2**63 - 1, "user", "last"), (None, 0, "user", "n"), (big - 1, None, "user", "other"), (big - 1, big, "assistant", "x"), (big - 1, big + 1, "assistant", "y")]
+    frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").coalesce(1)
+    pieces = reconstruct(logged(frame))
+    assert sorted(((r.conv_id, r.turn, r.role, r.text) for r in pieces.collect()), key=repr) == sorted(rows, key=repr)
+    assert {(r.conv_id, r.n_turns) for r in read_back(pieces).collect()} == {(big, 3), (None, 1), (big - 1, 3)}

@@ -66,3 +66,12 @@ def test_small_partitions_share_archives(spark):
     manifest = write_archives(pages, folder)
     assert [r.records for r in manifest.collect()] == [64]
     assert {(r.page_id, bytes(r.payload).decode()) for r in read_archives(spark, folder, manifest).collect()} == {(i, html) for i, _, html in rows}
+
+
+def test_large_identifiers(spark):
+    big = 2**53 + 1
+    rows = [(big, "u", "x" * 200), (big + 2, "v", "x" * 200), (None, "w", "x" * 200), (2**63 - 1, "z", "short")]
+    folder = new_path(spark, "warc-test")
+    manifest = write_archives(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1), folder)
+    got = {(r.page_id, r.record_type, r.refers_to) for r in read_archives(spark, folder, manifest).collect()}
+    assert got == {(big, "response", None), (big + 2, "revisit", big), (None, "revisit", big), (2**63 - 1, "response", None)}
