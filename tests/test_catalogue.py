@@ -1,8 +1,14 @@
 """Every registered query of the graph catalogue against its SQL in DuckDB."""
 
 import duckdb
+import loomgraph.plans.change_sets
+import loomgraph.plans.deltas
+import loomgraph.plans.ordered
 import loomgraph.plans.outputs
-import loomgraph.plans.retrieval  # noqa: F401  register their queries
+import loomgraph.plans.phrases
+import loomgraph.plans.retrieval
+import loomgraph.plans.streams
+import loomgraph.plans.vector_cells  # noqa: F401  register their queries
 import pytest
 from loomgraph.plans import catalogue
 
