@@ -96,6 +96,37 @@ def greedy_fill(entries: DataFrame, budget: int, limit: int) -> DataFrame:
     return packed.withColumn("fill", F.aggregate("rows", start, step)).select("query_id", "fill.used", "fill.kept", "baseline")
 
 
+def file_summaries(g: GraphTables, symbols: int = 25) -> DataFrame:
+    """(path, summary, tokens): each file's number of symbols and the first of them in order of line, as JSON."""
+    place = F.row_number().over(Window.partitionBy("file_path").orderBy("start_line", "id"))
+    first = g.symbols.withColumn("place", place).where(F.col("place") <= symbols)
+    one = F.struct("place", "name", "qualified_name", "kind", (F.col("start_line") + 1).alias("line"))
+    lists = first.groupBy("file_path").agg(F.array_sort(F.collect_list(one)).alias("symbols"))
+    counts = g.symbols.groupBy("file_path").agg(F.count("*").alias("symbol_count"))
+    rows = lists.join(counts, "file_path").withColumn("symbols", F.transform("symbols", lambda x: x.dropFields("place")))
+    rows = rows.select(F.col("file_path").alias("path"), F.to_json(F.struct(F.col("file_path").alias("file"), "symbol_count", "symbols")).alias("summary"))
+    return rows.withColumn("tokens", token_estimate(F.col("summary")))
+
+
+def with_summaries(filled: DataFrame, files: DataFrame, sizes: DataFrame, budget: int) -> DataFrame:
+    """Packs of ``greedy_fill`` with ``summaries``: the files (id, path) of kept entries whose summaries (path, tokens) still fit.
+
+    In order of path, a summary that would exceed what is left of the budget is
+    skipped, and smaller ones after it may still enter. The baseline is what was used at least.
+    """
+    own = filled.select("query_id", F.explode("kept").alias("id")).join(files, "id").select("query_id", "path").distinct()
+    lists = own.join(sizes.select("path", F.col("tokens").cast("long").alias("tokens")), "path").groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("path", "tokens"))).alias("files"))  # no more files than entries
+    start = F.struct(F.col("used").alias("used"), F.array().cast("array<string>").alias("summaries"))
+
+    def step(acc: Column, f: Column) -> Column:
+        fits = acc["used"] + f["tokens"] <= budget
+        return F.when(fits, F.struct((acc["used"] + f["tokens"]).alias("used"), F.array_append(acc["summaries"], f["path"]).alias("summaries"))).otherwise(acc)
+
+    none = F.array().cast("array<struct<path:string,tokens:bigint>>")
+    out = filled.join(lists, "query_id", "left").withColumn("fill", F.aggregate(F.coalesce("files", none), start, step))
+    return out.select(*[c for c in filled.columns if c not in ("used", "baseline")], F.col("fill.used").alias("used"), F.greatest("baseline", "fill.used").alias("baseline"), F.col("fill.summaries").alias("summaries"))
+
+
 def savings(used: Column, baseline: Column) -> Column:
     """The share of the baseline's tokens that a pack leaves out."""
     whole = F.greatest(used, baseline)
@@ -119,8 +150,8 @@ def entry_text(g: GraphTables, candidates: DataFrame, relations: int = 6) -> Dat
     return rows.withColumn("entry", entry).withColumn("tokens", token_estimate(entry))
 
 
-def context_pack(g: GraphTables, candidates: DataFrame, budget: int = 2000, limit: int = 10, relations: int = 6, policy: Policy | None = None) -> DataFrame:
-    """One row a query: used, kept (ids), baseline, savings, excluded (files that the policy denies)."""
+def context_pack(g: GraphTables, candidates: DataFrame, budget: int = 2000, limit: int = 10, relations: int = 6, policy: Policy | None = None, summaries: bool = False) -> DataFrame:
+    """One row a query: used, kept (ids), baseline, savings, excluded (files that the policy denies); with summaries those of files that still fit."""
     rows = candidates
     if policy is not None:
         rows = rows.withColumn("denied", is_denied(F.col("file_path"), policy) | (F.lit(not policy.allow_tests) & F.col("is_test")))
@@ -130,6 +161,8 @@ def context_pack(g: GraphTables, candidates: DataFrame, budget: int = 2000, limi
         rows = rows.where("not denied")
     entries = written(entry_text(g, rows, relations).select("query_id", "rank", "id", "tokens"), "entries")
     filled = greedy_fill(entries, budget, limit)
+    if summaries:
+        filled = with_summaries(filled, g.symbols.select("id", F.col("file_path").alias("path")), file_summaries(g), budget)
     filled = filled.withColumn("savings", savings(F.col("used"), F.col("baseline")))
     return filled.join(gone, "query_id", "left").na.fill(0, ["excluded"]) if policy is not None else filled
 

@@ -161,6 +161,33 @@ def context_pack_greedy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filled.withColumns({"kept": F.array_join("kept", " "), "savings": context.savings(F.col("used"), F.col("baseline"))})
 
 
+@query(
+    "pack_summaries",
+    """, e AS (SELECT split_part(file_path, '/', 3) AS query_id, row_number() OVER (PARTITION BY split_part(file_path, '/', 3) ORDER BY start_line, id) AS rank, id, file_path, (length(qualified_name) * 2)::BIGINT AS tokens FROM symbols),
+f(query_id, rank, used, n, kept) AS (
+  SELECT query_id, 1, tokens, 1, [id] FROM e WHERE rank = 1
+  UNION ALL
+  SELECT f.query_id, e.rank, CASE WHEN n < 8 AND used + tokens <= 900 THEN used + tokens ELSE used END, CASE WHEN n < 8 AND used + tokens <= 900 THEN n + 1 ELSE n END, CASE WHEN n < 8 AND used + tokens <= 900 THEN list_append(kept, id) ELSE kept END
+  FROM f JOIN e ON e.query_id = f.query_id AND e.rank = f.rank + 1
+), packs AS (SELECT query_id, used, kept FROM f QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY rank DESC) = 1),
+sizes AS (SELECT file_path, sum(length(name) + 6)::BIGINT AS tokens FROM symbols GROUP BY 1),
+own AS (SELECT query_id, file_path, tokens, row_number() OVER (PARTITION BY query_id ORDER BY file_path) AS place FROM (SELECT DISTINCT p.query_id, s.file_path FROM (SELECT query_id, unnest(kept) AS id FROM packs) p JOIN symbols s USING (id)) JOIN sizes USING (file_path)),
+g(query_id, place, used, summaries) AS (
+  SELECT query_id, 0, used, []::VARCHAR[] FROM packs
+  UNION ALL
+  SELECT g.query_id, own.place, CASE WHEN used + tokens <= 900 THEN used + tokens ELSE used END, CASE WHEN used + tokens <= 900 THEN list_append(summaries, file_path) ELSE summaries END FROM g JOIN own ON own.query_id = g.query_id AND own.place = g.place + 1
+), b AS (SELECT query_id, sum(tokens)::BIGINT AS baseline FROM e GROUP BY 1)
+SELECT g.query_id, g.used::BIGINT AS used, greatest(baseline, g.used)::BIGINT AS baseline, len(kept) AS n_kept, summaries FROM g JOIN b USING (query_id) JOIN packs USING (query_id) QUALIFY row_number() OVER (PARTITION BY g.query_id ORDER BY place DESC) = 1""",
+)
+def pack_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A pack of each brand's symbols, and summaries of their files from the budget left."""
+    s = graph(spark, sf_dir).symbols
+    entries = s.select(F.split_part("file_path", F.lit("/"), F.lit(3)).alias("query_id"), F.struct("start_line", "id").alias("rank"), "id", (F.length("qualified_name") * 2).alias("tokens"))
+    sizes = s.groupBy(F.col("file_path").alias("path")).agg(F.sum(F.length("name") + 6).alias("tokens"))
+    filled = context.with_summaries(context.greedy_fill(entries, 900, 8), s.select("id", F.col("file_path").alias("path")), sizes, 900)
+    return filled.select("query_id", "used", "baseline", F.size("kept").cast("long").alias("n_kept"), "summaries")
+
+
 @query("context_pack")
 def context_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = graph(spark, sf_dir)
