@@ -243,10 +243,10 @@ def path_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select(name.alias("path")).groupBy("path").agg(F.count("*").alias("n")).withColumn("denied", context.is_denied(F.col("path")))
 
 
-# evaluation: for each brand, what one file of a kind holds is expected, and a ranking of the brand's parts is judged
-_EVAL = """, h AS (SELECT split_part(qualified_name, '.', 1) AS id, qualified_name, row_number() OVER (PARTITION BY split_part(qualified_name, '.', 1) ORDER BY start_line, id) AS rank, kind FROM symbols),
-hits AS (SELECT id, rank, qualified_name FROM h WHERE rank <= 10),
-exp AS (SELECT id, qualified_name FROM h WHERE kind = 'class' AND rank <= 25),
+# evaluation: each order is a task; its parts on odd lines are what was found, in order of line, and its classes and functions are expected
+_EVAL = """, h AS (SELECT l_orderkey AS id, qualified_name, kind, min(l_linenumber) AS line FROM lineitem JOIN symbols s ON s.id = 'part::' || l_partkey GROUP BY ALL),
+hits AS (SELECT id, qualified_name, row_number() OVER (PARTITION BY id ORDER BY line, qualified_name) AS rank FROM h WHERE line % 2 = 1),
+exp AS (SELECT id, qualified_name FROM h WHERE kind IN ('class', 'function')),
 per AS (SELECT id, (SELECT count(*) FROM exp e WHERE e.id = t.id) AS n_exp, (SELECT count(*) FROM exp e JOIN hits x USING (id, qualified_name) WHERE e.id = t.id) AS n_hit,
   (SELECT min(rank) FROM exp e JOIN hits x USING (id, qualified_name) WHERE e.id = t.id) AS first, (SELECT count(*) FROM hits x WHERE x.id = t.id) AS n_hits,
   (SELECT sum(1 / log2(rank + 1)) FROM exp e JOIN hits x USING (id, qualified_name) WHERE e.id = t.id) AS dcg FROM (SELECT DISTINCT id FROM h) t),
@@ -255,12 +255,13 @@ m AS (SELECT id, n_exp, CASE WHEN n_exp > 0 THEN n_hit / n_exp ELSE 0 END AS rec
 
 
 def _tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = graph(spark, sf_dir).symbols.withColumn("brand", F.substring_index("qualified_name", ".", 1))
-    rows = relational.top_samples(s, "brand", ["start_line", "id"], 25)  # hits are the first 10, what is expected is among the first 25
-    hit = F.when(F.col("rank") <= 10, F.struct("rank", "qualified_name"))
-    want = F.when((F.col("rank") <= 25) & (F.col("kind") == "class"), F.struct("rank", "qualified_name"))
-    names = lambda c: F.transform(F.array_sort(F.collect_list(c)), lambda x: x["qualified_name"])
-    return rows.groupBy(F.col("brand").alias("id")).agg(names(hit).alias("hits"), names(want).alias("expected_symbols"))
+    parts = graph(spark, sf_dir).symbols.select("id", "qualified_name", "kind")
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.concat(F.lit("part::"), "l_partkey").alias("id"))
+    rows = lines.join(parts, "id").groupBy("l_orderkey", "qualified_name", "kind").agg(F.min("l_linenumber").alias("line"))
+    row = F.struct("line", "qualified_name")
+    names = lambda c: F.transform(F.array_sort(F.collect_list(c)), lambda x: x["qualified_name"])  # noqa: E731  an order has few lines
+    found, wanted = F.when(F.col("line") % 2 == 1, row), F.when(F.col("kind").isin("class", "function"), row)
+    return rows.groupBy(F.col("l_orderkey").alias("id")).agg(names(found).alias("hits"), names(wanted).alias("expected_symbols"))
 
 
 def _measure(name: str, column: str, f) -> None:  # noqa: ANN001
