@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph.schema import GraphTables, is_sentinel
-from loomgraph.session import written
+from loomgraph.session import release, written
 
 STEPS = "source_id string, target_id string, depth int"
 
@@ -23,7 +23,7 @@ def walk(edges: DataFrame, seeds: DataFrame, max_depth: int, reverse: bool = Fal
     An edge is listed once for each depth at which it is met, as cycles make it.
     """
     near, far = ("target_id", "source_id") if reverse else ("source_id", "target_id")
-    pairs = edges.select("source_id", "target_id").distinct()
+    pairs = written(edges.select("source_id", "target_id").distinct(), "pairs")  # made once, read at each level
     frontier, levels = seeds.select(F.col("id").alias(near)).distinct(), []
     for depth in range(1, max_depth + 1):
         level = written(pairs.join(frontier, near).select("source_id", "target_id", F.lit(depth).alias("depth")), "level")
@@ -31,6 +31,7 @@ def walk(edges: DataFrame, seeds: DataFrame, max_depth: int, reverse: bool = Fal
             break
         levels.append(level)
         frontier = level.select(F.col(far).alias(near)).distinct()
+    release(pairs)
     return reduce(DataFrame.unionByName, levels) if levels else edges.sparkSession.createDataFrame([], STEPS)
 
 
@@ -40,7 +41,7 @@ def distances(edges: DataFrame, seeds: DataFrame, max_depth: int, reverse: bool
     What was met before is left out of the next level, so each edge is followed once.
     """
     near, far = ("target_id", "source_id") if reverse else ("source_id", "target_id")
-    pairs = edges.select(F.col(near).alias("near"), F.col(far).alias("id")).distinct()
+    pairs = written(edges.select(F.col(near).alias("near"), F.col(far).alias("id")).distinct(), "pairs")
     frontier, found = seeds.select(F.col("id").alias("near")).distinct(), None
     for depth in range(1, max_depth + 1):
         step = pairs.join(frontier, "near").select("id").distinct()
@@ -50,6 +51,7 @@ def distances(edges: DataFrame, seeds: DataFrame, max_depth: int, reverse: bool
             break
         found = level if found is None else found.unionByName(level)
         frontier = level.select(F.col("id").alias("near"))
+    release(pairs)
     return found if found is not None else edges.sparkSession.createDataFrame([], "id string, depth int")
 
 
@@ -88,7 +90,7 @@ def shortest_paths(g: GraphTables, source: str, max_depth: int = 10, target: str
     With a target, the search ends at the level on which it is met.
     """
     spark = g.symbols.sparkSession
-    edges = g.relationships.where(~is_sentinel(F.col("target_id"))).select("source_id", "target_id").distinct()
+    edges = written(g.relationships.where(~is_sentinel(F.col("target_id"))).select("source_id", "target_id").distinct(), "pairs")
     start = spark.createDataFrame([(source, 0, [source])], "id string, length int, path array<string>")
     seen, frontier = start, start
     for length in range(1, max_depth + 1):
@@ -115,7 +117,7 @@ def cycles(g: GraphTables, kinds: tuple[str, ...] = ("calls", "imports"), longes
     All paths of fewer symbols are built first, so the work grows with the mean degree to the power of ``longest``.
     """
     edges = g.relationships.where(F.col("kind").isin(*kinds) & ~is_sentinel(F.col("target_id")) & (F.col("source_id") != F.col("target_id")))
-    edges = edges.select(F.col("source_id").alias("a"), F.col("target_id").alias("b")).distinct()
+    edges = written(edges.select(F.col("source_id").alias("a"), F.col("target_id").alias("b")).distinct(), "pairs")
     paths, found = edges.where("a < b").select(F.array("a", "b").alias("path"), F.col("b").alias("end"), F.col("a").alias("first")), []
     for _ in range(2, longest + 1):
         closing = edges.select(F.col("a").alias("end"), F.col("b").alias("first"))
