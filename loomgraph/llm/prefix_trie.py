@@ -396,8 +396,8 @@ WITH RECURSIVE crc AS (
 ), heads AS (
   SELECT conv_id, conv_id - conv_id % 100 AS base, xor(c, 4294967295) % 6 AS h FROM sums WHERE i = length(name)
 ), own AS (
-  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS p, {'r': coalesce(role, ''), 't': coalesce(text, '')} AS t
-  FROM conversations WHERE conv_id IS NOT NULL
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, sha256(octet_length(encode(r)) || ':' || r || octet_length(encode(t)) || ':' || t)) AS p, {'r': r, 't': t} AS t
+  FROM (SELECT conv_id, turn, coalesce(role, '') AS r, coalesce(text, '') AS t FROM conversations WHERE conv_id IS NOT NULL)
 ), parts AS (
   SELECT conv_id, p, t FROM own JOIN heads USING (conv_id) WHERE p > h
   UNION ALL

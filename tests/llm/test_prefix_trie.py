@@ -121,3 +121,18 @@ def test_none_and_other_columns(spark, tmp_path):
     assert ran(spark, tmp_path / "a", []) == []
     rows = [(1, 0, "user", "x"), (2, 0, "user", "x")]
     assert ran(spark, tmp_path / "b", [(*r, 4, b"k") for r in rows], SCHEMA + ", at int, key binary") == sorted(brute(rows), key=repr)
+
+
+def test_query_against_its_sql(spark, tmp_path):
+    """Ties of one turn are taken in one order by both."""
+    import duckdb
+
+    rows = ROWS + OTHER + [(31, 1, r, t) for r in ("user", "assistant", "é") for t in ("x", "y", None)]
+    frame = spark.createDataFrame(rows, SCHEMA)
+    got = ran(spark, tmp_path, rows)
+    con = duckdb.connect()
+    con.register("conversations", frame.toArrow())
+    found = con.execute(prefix_trie.OP13_SQL)
+    names = [d[0] for d in found.description]
+    order = ["conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256"]
+    assert sorted((tuple(r[names.index(c)] for c in order) for r in found.fetchall()), key=repr) == got == sorted(brute(rows), key=repr)
