@@ -69,7 +69,22 @@ def export_mermaid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sinks.mermaid(graph(spark, sf_dir))
 
 
-@query("sarif_findings")
+def _found_sql(rule: str, severity: str, message: str, pattern: str) -> str:
+    """Findings of one rule: up to 32 characters to both sides of the first match, and its line."""
+    return f"""SELECT doc_id AS location, '{rule}' AS rule_id, '{severity}' AS severity, '{message}' AS message,
+  substring(replace(regexp_extract(text, '(?s)(.{{0,32}})((?-s){pattern})(.{{0,32}})', 0), chr(10), ' '), 1, 160) AS snippet,
+  1 + length(regexp_replace(regexp_extract(text, '(?s)^(.*?)((?-s){pattern})', 1), '[^\n]', '', 'g')) AS line FROM documents WHERE regexp_matches(text, '{pattern}')"""
+
+
+_LEVEL = "CASE severity WHEN 'high' THEN 'error' WHEN 'medium' THEN 'warning' ELSE 'note' END"
+_SARIF = f"""WITH f AS ({" UNION ALL ".join(_found_sql(*r) for r in context.RULES)}),
+m AS (SELECT *, {_LEVEL} AS level, substring(sha256(rule_id || chr(0) || location || chr(0) || snippet), 1, 32) AS mark FROM f)
+SELECT location, rule_id, level, mark AS fingerprint, CASE severity WHEN 'high' THEN 3 WHEN 'medium' THEN 2 ELSE 1 END AS "order",
+  to_json({{'ruleId': rule_id, 'level': level, 'message': {{'text': message}}, 'locations': [{{'physicalLocation': {{'artifactLocation': {{'uri': location::VARCHAR}}, 'region': {{'startLine': line}}}}}}],
+    'partialFingerprints': {{'primary': mark}}}})::VARCHAR AS result FROM m"""
+
+
+@query("sarif_findings", _SARIF, graph=False)
 def sarif_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sinks.sarif(context.findings(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("location"), "text")))
 
