@@ -52,10 +52,11 @@ def _selected(grams: Column, at: Column) -> Column:
     return _reach(grams, at, -1) + _reach(grams, at, 1) >= REACH
 
 
-def _around(w: Column, at: Column) -> list[Column]:
+def _around(w: Column, at: Column, prefix: str = "") -> list[Column]:
     """The words of a gram, those before it from the nearest one, and those after it, as far as one window reaches."""
     before = F.reverse(F.slice(w, F.greatest(at - REACH, F.lit(0)) + 1, F.least(at, F.lit(REACH))))
-    return [F.slice(w, at + 1, F.lit(GRAM)).alias("gram"), before.alias("before"), F.slice(w, at + GRAM + 1, F.lit(REACH)).alias("after")]
+    parts = {"gram": F.slice(w, at + 1, F.lit(GRAM)), "before": before, "after": F.slice(w, at + GRAM + 1, F.lit(REACH))}
+    return [part.alias(prefix + name) for name, part in parts.items()]
 
 
 def _same(a: Column, b: Column) -> Column:
@@ -113,30 +114,32 @@ def find(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: st
     # a row for each gram that winnowing selects, and one (-1) that stands for the document itself
     places = rows.withColumn("i", F.explode(F.sequence(F.lit(-1), F.coalesce(F.size("g"), F.lit(0)) - 1)))
     places = places.where((F.col("i") < 0) | _selected(F.col("g"), F.col("i")))
-    places = places.withColumn("own_print", F.when(F.col("i") >= 0, F.get("g", F.greatest(F.col("i"), F.lit(0))))).drop("g")
+    # its own words and those near it, so that no row after this has the words of the whole text
+    print_ = F.when(F.col("i") >= 0, F.get("g", F.greatest(F.col("i"), F.lit(0)))).alias("own_print")
+    places = places.select("id", "text_hash", "len", "i", print_, *_around(F.col("w"), F.greatest(F.col("i"), F.lit(0)), "own_"))
     match = F.col("own_print") == F.col("print")
     if small(keys, BROADCAST_PRINTS):
         joined = places.join(F.broadcast(keys), match, "left").where((F.col("i") < 0) | F.col("number").isNotNull())
     else:
         joined = places.where("i < 0").unionByName(_met(places.where("i >= 0"), keys, match), allowMissingColumns=True)
     # a match of grams is extended to both sides; ten words in a row are an occurrence
-    gram, before, after = _around(F.col("w"), F.greatest(F.col("i"), F.lit(0)))
-    left, right = _same(before, F.col("before")), _same(after, F.col("after"))
-    extended = joined.select("id", "text_hash", "len", "i", "number", F.when(gram == F.col("gram"), left).alias("l"), F.when(gram == F.col("gram"), right).alias("r"))
+    same, n = F.col("own_gram") == F.col("gram"), F.lit(GRAM) + F.col("l") + F.col("r")
+    extended = joined.withColumns({"l": F.when(same, _same(F.col("own_before"), F.col("before"))), "r": F.when(same, _same(F.col("own_after"), F.col("after")))})
+    # not a filter: one with lambdas would be joined with the filter of the places, and stop it from running where they are made
+    occurs = (F.col("i") >= 0) & (n >= WINDOW)
     span = F.struct((F.col("i") - F.col("l")).alias("start"), (F.col("i") + GRAM + F.col("r")).alias("end"))
-    extended = extended.where((F.col("i") < 0) | (F.col("l") + F.col("r") + GRAM >= WINDOW))
-    found = extended.select("id", "text_hash", "len", F.when(F.col("i") >= 0, F.col("number")).alias("number"), F.lit(0).alias("kind"), F.when(F.col("i") >= 0, span).alias("span"), F.col("i") < 0)
-    found = found.toDF("id", "text_hash", "len", "number", "kind", "span", "own")
+    found = extended.select("id", "text_hash", "len", F.when(occurs, F.col("number")).alias("number"), F.lit(0).alias("kind"), F.when(occurs, span).alias("span"), (F.col("i") < 0).alias("own"))
 
     short = _short(items)
     lengths = sorted(r.n for r in short.select("n").distinct().collect())  # nine at most
     if lengths:
         short_keys, of_short = _numbered(written(short, "short"), "print", "n", "win")
         of_items = of_items.withColumn("kind", F.lit(0)).unionByName(of_short.withColumn("kind", F.lit(1)))
-        every = rows.where("len > 0").select("id", "text_hash", "w", "len", F.explode(F.sequence(F.lit(0), F.col("len") - 1)).alias("i"), F.transform("w", lambda x: F.xxhash64(x)).alias("h"))
-        every = every.withColumn("own_n", F.explode(F.array(*map(F.lit, lengths)))).where(F.col("i") + F.col("own_n") <= F.col("len"))
-        every = every.withColumn("own_print", F.xxhash64(F.slice("h", F.col("i") + 1, F.col("own_n")))).drop("h")
-        equal = (F.col("own_print") == F.col("print")) & (F.col("own_n") == F.col("n")) & (F.slice("w", F.col("i") + 1, F.col("own_n")) == F.col("win"))
+        hashed = rows.where("len > 0").select("id", "text_hash", "len", "w", F.transform("w", lambda x: F.xxhash64(x)).alias("h"))
+        every = hashed.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("len") - 1))).withColumn("own_n", F.explode(F.array(*map(F.lit, lengths))))
+        here = lambda c: F.slice(c, F.col("i") + 1, F.col("own_n"))
+        every = every.where(F.col("i") + F.col("own_n") <= F.col("len")).select("id", "text_hash", "len", "i", "own_n", F.xxhash64(here("h")).alias("own_print"), here("w").alias("own_win"))
+        equal = (F.col("own_print") == F.col("print")) & (F.col("own_n") == F.col("n")) & (F.col("own_win") == F.col("win"))
         hits = _met(every, short_keys, equal)
         found = found.unionByName(hits.select("id", "text_hash", "len", "number", F.lit(1).alias("kind"), F.struct(F.col("i").alias("start"), (F.col("i") + F.col("n")).alias("end")).alias("span"), F.lit(False).alias("own")))
     else:

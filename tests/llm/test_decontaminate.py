@@ -78,3 +78,13 @@ def test_clean_and_empty(spark):
     assert sorted((r.doc_id for r in kept.collect()), key=repr) == sorted((x[0] for x in brute(docs, items) if not x[2]), key=repr)
     assert find(d.limit(0), b).count() == 0
     assert all(r.n_hit == 0 for r in find(d, b.limit(0)).collect())
+
+
+def test_a_long_text_is_not_copied_for_each_of_its_grams(spark):
+    rng = random.Random(3)
+    own = [f"word{rng.randrange(10**6):06d}" for _ in range(60_000)]
+    own[30_000:30_002] = ["solo", "words"]
+    docs = spark.createDataFrame([(1, " ".join(own)), (2, "solo"), (3, " ".join(own[100:112]))], "doc_id long, text string")
+    items = spark.createDataFrame([(1, " ".join(own[100:115])), (2, " ".join(own[-10:])), (3, "Solo words")], "item_id long, text string")
+    got = {r.doc_id: (r.n_words, r.n_hit, list(r.item_ids)) for r in find(docs, items).collect()}
+    assert got == {1: (60_000, 27, ["1", "2", "3"]), 2: (1, 0, []), 3: (12, 12, ["1"])}
