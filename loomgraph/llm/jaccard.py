@@ -29,7 +29,9 @@ from loomgraph.operators.components import connected_components
 from loomgraph.session import release, sweep, written
 
 BAND = 1.5
+#: Parts beyond those that linked sets can differ in, at least and for each of these: a set may leave out so many.
 SPARE_PARTS = 2
+SPARE_SHARE = 0.1
 #: A tile has about so many rows and bytes at most (a larger set is a tile by itself).
 TILE = 512
 TILE_BYTES = 8 << 20
@@ -100,7 +102,8 @@ def signatures(s: np.ndarray, percent: int) -> np.ndarray:
             most = differing(_top(band), percent)
             if most < 1:
                 continue  # only equal sets are linked
-            parts = most + 1 + SPARE_PARTS
+            spare = SPARE_PARTS + int(SPARE_SHARE * most)
+            parts = most + 1 + spare
             edges = (np.arange(1, parts, dtype=np.float64) * (2.0**64 / parts)).astype(np.uint64)
             at = np.concatenate([[0], np.searchsorted(s, edges), [n]])
             sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((s ^ (s >> np.uint64(31))) * _MULTIPLY[1])])
@@ -108,9 +111,9 @@ def signatures(s: np.ndarray, percent: int) -> np.ndarray:
             count = np.diff(at)
             sig = (sig ^ (np.uint64(band) << np.uint64(48)) ^ (np.arange(parts, dtype=np.uint64) << np.uint64(20)) ^ count.astype(np.uint64)) * _MULTIPLY[2]
             sig ^= sig >> np.uint64(33)
-            empty = count == 0
-            # as many parts as are spare may be empty without being needed
-            out.append(sig[~empty] if empty.sum() <= SPARE_PARTS else sig)
+            # Linked sets agree in more parts than are spare, so parts with few elements, which unlike sets share,
+            # are left out as long as there are no more of them; by whole counts, so that two sets leave out the same ones
+            out.append(sig[count >= np.partition(count, spare)[spare]])
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 

@@ -126,3 +126,25 @@ def test_percents_out_of_range(spark):
     for percent in (0, 101):
         with pytest.raises(ValueError):
             join(spark.createDataFrame([(1, "a")], "doc_id long, text string"), 4, percent)
+
+
+def test_unlike_sets_share_no_signature_for_want_of_elements():
+    rng = np.random.default_rng(4)
+    found = [set(signatures(np.unique(rng.integers(0, 2**64, 320, np.uint64)), 80).tolist()) for _ in range(200)]
+    assert not any(a & b for i, a in enumerate(found) for b in found[:i])
+
+
+@pytest.mark.parametrize("percent", [50, 80, 85, 97])
+def test_sets_at_the_limit_share_a_signature_wherever_they_differ(percent):
+    rng = np.random.default_rng(5)
+    for n in (20, 60, 150, 320, 449, 1000):
+        for way in range(20):
+            both = np.unique(rng.integers(0, 2**64, n, np.uint64))
+            apart = len(both) * (100 - percent) // percent
+            # all differences on one side or on both, at random or next to as many different elements as can be
+            near = both[rng.permutation(len(both))[:apart]] + np.uint64(1) if way % 2 else rng.integers(0, 2**64, apart, np.uint64)
+            cut = apart if way % 4 < 2 else apart // 2
+            a, b = np.union1d(both, near[:cut]), np.union1d(both, near[cut:])
+            assert 100 * len(np.intersect1d(a, b)) >= percent * len(np.union1d(a, b))
+            # equal sets are one class before signatures are made
+            assert np.array_equal(a, b) or set(signatures(a, percent).tolist()) & set(signatures(b, percent).tolist())
