@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph.llm.common import let, read, row_slices
-from loomgraph.session import new_path, written
+from loomgraph.session import new_path, settings, written
 
 SPACE = "▁"
 #: Words over so many characters do not fit one row with all their edges; ``merge_long`` and ``best_long`` fold them by the same rule.
@@ -49,6 +49,8 @@ WORDS_A_TASK = 60_000
 BLOCKS_TOGETHER = 4_096
 #: Documents that a task works on at once, which bounds its memory.
 DOCS_AT_ONCE = 64
+#: Documents in a batch on its way to a task's Python worker; JVM and worker each hold two batches of whole texts beside a block's words.
+DOCS_A_BATCH = 256
 UNKNOWN_PENALTY = 10.0
 
 
@@ -91,10 +93,10 @@ class Pieces:
     def least(self) -> float:
         return min(self.scores.values(), default=0.0)
 
-    def made(self, piece: str) -> tuple[bool, list[Symbol], list[Symbol]]:
-        """Whether merging makes the piece of its characters, and the symbols at its left and at its right end on the way."""
+    def made(self, piece: str) -> tuple[int, list[Symbol], list[Symbol]]:
+        """Where the last of the merges that make the piece joins it (0 if none make it), and the symbols at its left and at its right end on the way."""
         ends = list(range(1, len(piece) + 1))  # of the symbols so far; they start where the one before ends
-        born, died, ranks = {(i, i + 1): 0 for i in range(len(piece))}, {}, []
+        born, died, ranks, split = {(i, i + 1): 0 for i in range(len(piece))}, {}, [], 0
         while len(ends) > 1:
             starts = [0, *ends[:-1]]
             able = [(-self.scores[piece[starts[k] : ends[k + 1]]], k) for k in range(len(ends) - 1) if piece[starts[k] : ends[k + 1]] in self.scores]
@@ -102,6 +104,7 @@ class Pieces:
                 break
             rank, k = min(able)
             ranks.append(rank)
+            split = ends[k]
             died[starts[k], ends[k]] = died[ends[k], ends[k + 1]] = born[starts[k], ends[k + 1]] = len(ranks)
             del ends[k]
 
@@ -110,15 +113,24 @@ class Pieces:
             used, peak = (max(ranks[:end]), max(ranks[start:end])) if end else (math.inf, math.inf)
             return Symbol(b - a, peak, max(ranks[:start], default=-math.inf), used)
 
-        return len(ends) == 1, [symbol(a, b) for a, b in born if a == 0], [symbol(a, b) for a, b in born if b == len(piece)]
+        return split if len(ends) == 1 else 0, [symbol(a, b) for a, b in born if a == 0], [symbol(a, b) for a, b in born if b == len(piece)]
 
     def frame(self, spark: SparkSession) -> DataFrame:
-        """piece, id, score, usable (whether an encoding can have it), left and right (for bpe: its ends while it is made)."""
-        rows = []
-        for p, i in self.ids.items():
-            usable, left, right = self.made(p) if self.kind == "bpe" else (True, [], [])
-            rows.append((p, i, float(self.scores[p]), usable, *([(s.n, s.peak, s.made, s.used) for s in side] for side in (left, right))))
-        return spark.createDataFrame(rows, f"piece string, id int, score double, usable boolean, left {_SYMBOLS}, right {_SYMBOLS}")
+        """piece, id, score, split, left and right of the pieces that an encoding can have.
+
+        For bpe: the last merge of a piece joins it at split, and left and right are the
+        symbols at its ends while it is made, but only those that a last merge of some
+        piece joins to a symbol beside them.
+        """
+        if self.kind == "bpe":
+            made = {p: self.made(p) for p in self.ids}
+            made = {p: m for p, m in made.items() if m[0] or len(p) == 1}
+            firsts, seconds = {p[: m[0]] for p, m in made.items() if m[0]}, {p[m[0] :] for p, m in made.items() if m[0]}
+            ends = {p: (split, [s for s in left if p[: s.n] in seconds], [s for s in right if p[len(p) - s.n :] in firsts]) for p, (split, left, right) in made.items()}
+        else:
+            ends = dict.fromkeys(self.ids, (0, [], []))
+        rows = [(p, self.ids[p], float(self.scores[p]), split, *([(s.n, s.peak, s.made, s.used) for s in side] for side in sides)) for p, (split, *sides) in ends.items()]
+        return spark.createDataFrame(rows, f"piece string, id int, score double, split int, left {_SYMBOLS}, right {_SYMBOLS}")
 
     def apart(self) -> str:
         """ASCII white space and punctuation that no piece has beside another character, but for a space before it."""
@@ -131,6 +143,22 @@ class Pieces:
         own = f"[{apart}]" if apart else "(?!)"
         return f"{SPACE}+(?:{own}|[^{SPACE}{apart}]*)|[^{SPACE}{apart}]+|{own}"
 
+    def cutter(self) -> Callable[[str], list[str]]:
+        """Cuts a text as the pattern does. Few texts need the pattern itself, which takes longer than splitting at spaces."""
+        find, own = re.compile(self.words()).findall, self.apart()
+        runs = ["  ", SPACE, *(" " + c for c in own)]
+
+        def cut(text: str) -> list[str]:
+            spaced = " " + text
+            if any(map(spaced.__contains__, runs)):
+                return find(spaced.replace(" ", SPACE))
+            spaced = spaced.replace(" ", " " + SPACE)
+            for c in own:
+                spaced = spaced.replace(c, f" {c} ")
+            return list(filter(None, spaced.split(" ")))
+
+        return cut
+
     @cached_property
     def spanned(self) -> frozenset[str]:
         """Neighbouring characters that are in some piece."""
@@ -180,10 +208,12 @@ def _still() -> Column:
 def _parted(last: Column, edge: Column, crossing: Column) -> Column:
     """Whether merging keeps the last piece and the next one apart.
 
-    It does unless a piece that crosses the place between them is made of two symbols
-    that stand there. They must be there at once, and its rank must come up before one
-    of them is used up: the worst rank of the merges in between says whether it does.
-    Of equal ranks the leftmost merge goes first.
+    It does unless a piece whose last merge is at the place between them is made of two
+    symbols that stand there. They must be there at once, and its rank must come up before
+    one of them is used up: the worst rank of the merges in between says whether it does.
+    Of equal ranks the leftmost merge goes first. Other pieces that cross the place do not
+    count: merging makes a piece in the same way wherever it makes it, and the first merge
+    across a place is the last one of the piece that it makes.
     """
     here = edge["start"]
 
@@ -302,17 +332,18 @@ def lattice(words: DataFrame, pieces: Pieces, keys: tuple[str, ...] = ("word",),
         "end", "start",
         (-F.coalesce("score", F.lit(pieces.least - UNKNOWN_PENALTY))).alias("rank"),
         F.when(F.col("id").isNull(), _spelled(F.col("piece"), pieces)).otherwise(F.array("id")).alias("ids"),
-        (F.coalesce("usable", F.lit(True)) | single).alias("usable"),
+        (F.col("start") + F.col("split")).alias("middle"),
         F.when(~single, F.col("left")).alias("left"),
         F.when(~single, F.col("right")).alias("right"),
     )
     lists = [F.collect_list(edge).alias("edges")]
-    if carried:  # one of the edges carries it
-        lists.append(F.first(F.when(F.col("end") == 1, F.col(carried)), ignorenulls=True).alias(carried))
+    if carried:  # one of the edges carries it, and only that one is grouped with it
+        edges = edges.withColumn(carried, F.when(F.col("end") == 1, F.col(carried)))
+        lists.append(F.first(carried, ignorenulls=True).alias(carried))
     grouped = edges.groupBy(*keys).agg(*lists)
-    longer = lambda es: F.filter(es, lambda e: e["end"] - e["start"] > 1)
-    crossing = lambda es: let(longer(es), lambda c: F.transform(F.sequence(F.lit(0), n), lambda p: F.filter(c, lambda e: (e["start"] < p) & (e["end"] > p))))
-    ways = (lambda es: let(crossing(es), lambda c: _merged(F.filter(es, lambda e: e["usable"]), c))) if pieces.kind == "bpe" else _best
+    longer = lambda es: F.transform(F.filter(es, lambda e: e["end"] - e["start"] > 1), lambda e: F.struct(e["start"].alias("start"), e["end"].alias("end"), e["rank"].alias("rank"), e["middle"].alias("middle")))
+    crossing = lambda es: let(longer(es), lambda c: F.transform(F.sequence(F.lit(0), n), lambda p: F.filter(c, lambda e: e["middle"] == p)))
+    ways = (lambda es: let(crossing(es), lambda c: _merged(es, c))) if pieces.kind == "bpe" else _best
     ids = let(F.sort_array("edges"), ways)
     done = grouped.select(*keys, *others, ids.alias("ids"))
 
@@ -364,7 +395,7 @@ def _coded(docs: DataFrame, pieces: Pieces, block_words: int) -> DataFrame:
 
         import zstandard
 
-        pack, find = zstandard.ZstdCompressor(level=1).compress, re.compile(pieces.words()).findall
+        pack, cut = zstandard.ZstdCompressor(level=1).compress, pieces.cutter()
         at = TaskContext.get().partitionId() << 32
         block = _Block(pieces)
         schema = pa.schema([("block", pa.int64()), ("id", pa.int64()), ("n", pa.int32()), ("digest", pa.binary()), ("codes", pa.binary()), ("first", pa.int32()), ("words", pa.list_(pa.string()))])
@@ -380,7 +411,7 @@ def _coded(docs: DataFrame, pieces: Pieces, block_words: int) -> DataFrame:
 
         for batch in row_slices(batches, DOCS_AT_ONCE):
             texts = batch.column("text").to_pylist()
-            found = [find(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts]
+            found = [cut(t) if t else [] for t in texts]
             codes = block.texts(found)
             digest = [hashlib.sha256((t or "").encode()).digest() for t in texts]
             yield rows(block=[at] * len(codes), id=batch.column("id"), n=[len(c) for c in codes], digest=digest, codes=[pack(_planes(c)) for c in codes])
@@ -436,7 +467,8 @@ def encode(docs: DataFrame, pieces: Pieces, id_col: str = "doc_id", text_col: st
     whole. Other columns are not read.
     """
     spark = docs.sparkSession
-    coded = written(_coded(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")), pieces, block_words), "coded")
+    with settings(spark, **{"spark.sql.execution.arrow.maxRecordsPerBatch": str(DOCS_A_BATCH)}):
+        coded = written(_coded(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")), pieces, block_words), "coded")
     words = coded.where("words is not null").select("block", "first", F.posexplode("words").alias("at", "word"))
     many = coded.where("words is not null").agg(F.sum(F.size("words"))).first()[0] or 0
     dealt = words.withColumn("share", F.floor(F.shiftright("block", 32) / BLOCKS_TOGETHER)).repartition(many // WORDS_A_TASK + 1, "word", "share")

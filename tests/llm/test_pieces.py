@@ -1,8 +1,10 @@
 import itertools
 import random
+import re
 
 import pytest
 from loomgraph.llm import pieces as P
+from loomgraph.session import written
 
 
 @pytest.fixture(scope="module")
@@ -91,3 +93,32 @@ def test_merges_that_make_a_better_piece_possible(spark):
 
         got = {r.word: list(r.ids) for r in P.lattice(spark.createDataFrame([(w,) for w in words], "word string"), toy).collect()}
         assert got == {w: plain(w) for w in words} == {w: P.merge_long(w, toy) for w in words}
+
+
+def test_texts_reach_the_workers_in_small_batches(spark, model, monkeypatch):
+    """F: at 10,000 whole texts a batch an executor with two workers took more than its memory."""
+    name, seen = "spark.sql.execution.arrow.maxRecordsPerBatch", []
+    before = spark.conf.get(name)
+    monkeypatch.setattr(P, "written", lambda df, tag: seen.append(int(spark.conf.get(name))) or written(df, tag))
+    docs = spark.createDataFrame(rows(spark), "doc_id long, text string, ids array<int>")
+    assert P.encode(docs, model).count() == len(TEXTS) + 2
+    assert seen and max(seen) <= 256
+    assert spark.conf.get(name) == before
+
+
+def test_cut_like_the_pattern(model):
+    find, cut = re.compile(model.words()).findall, model.cutter()
+    rng = random.Random(3)
+    texts = [t for t in TEXTS if t] + ["".join(rng.choices("ab \n\t▁.é\r\x0b", k=rng.randint(1, 12))) for _ in range(20_000)]
+    assert all(cut(t) == find(P.SPACE + t.replace(" ", P.SPACE)) for t in texts)
+
+
+def test_pieces_have_no_symbols_that_nothing_joins(spark):
+    """abc is made as a+bc, so only where a ends does it keep its neighbours together; no merges make abd."""
+    table = {"a": -9.0, "b": -9.0, "c": -9.0, "d": -9.0, "bc": -1.0, "abc": -2.0, "abd": -3.0}
+    toy = P.Pieces("bpe", {p: i for i, p in enumerate(table)}, table, (), 99, tuple(table))
+    got = {r.piece: r for r in toy.frame(spark).collect()}
+    assert "abd" not in got
+    assert {p: r.split for p, r in got.items()} == {"a": 0, "b": 0, "c": 0, "d": 0, "bc": 1, "abc": 1}
+    assert [s.n for s in got["abc"].left] == [] and [s.n for s in got["abc"].right] == []
+    assert [r.ids for r in P.lattice(spark.createDataFrame([("abcabd",)], "word string"), toy).collect()] == [[5, 0, 1, 3]]
