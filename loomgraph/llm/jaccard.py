@@ -3,8 +3,9 @@
 1. Each set of shingle hashes is cut into hash ranges (parts), more than linked
    sets of its size can differ in. Two linked sets agree in a part exactly, so a
    join of part signatures finds all candidates; common passages alone rarely fill a part.
-2. Candidates fall into families. A family is laid out in tiles of similar size, bounded
-   in rows and bytes, and tiles meet where their sizes allow a link.
+2. Candidates fall into families. Sets that share passages with many others chain into large
+   ones; the members of these are parted again by their rarest shingles, of which linked sets share one.
+   A family is laid out in tiles of similar size, bounded in rows and bytes, and tiles meet where their sizes allow a link.
 3. Only hashed bitmaps meet at first; they have two to four bits for an element, whatever the
    size of the set. Their bit counts bound the overlap from above, and what passes falls into
    closer families. Sets are made for these, and intersected exactly as sorted arrays. Pairs already joined by other links are skipped: components do not need them.
@@ -22,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window
 
 from loomgraph.llm import bloom
 from loomgraph.llm.common import maybe_broadcast, read, row_slices, small, without
@@ -232,22 +234,62 @@ def _families(profiles: DataFrame, copies: DataFrame) -> DataFrame:
     return connected_components(pairs.unionByName(members), "a", "b").select("node", F.col("component").alias("family"))
 
 
-def _sets(docs: DataFrame, members: DataFrame, k: int) -> DataFrame:
-    """node, family, n, bits, set (bytes) of each member (node, family, n, bits, rep, k1, k2), from the text of one document."""
+def _texts(docs: DataFrame, members: DataFrame, *columns: str) -> DataFrame:
+    """These columns of members (rep, ...) with the text of each document of that identifier."""
     if small(members):
         texts = docs.join(F.broadcast(members), docs["id"].eqNullSafe(members["rep"]))
     else:  # a filter keeps other documents out of the shuffle of texts
         table, blocks = bloom.build(members.select(F.coalesce("rep", F.lit(0)).alias("rep")), "rep")
         texts = bloom.possible(docs, F.coalesce("id", F.lit(0)), table, blocks).join(members, docs["id"].eqNullSafe(members["rep"]))
-    texts = texts.select("node", "family", "n", "bits", "k1", "k2", "text")
+    return texts.select(*columns, "text")
+
+
+def _own(sets: list[np.ndarray], batch: pa.RecordBatch) -> list[bool]:
+    """Whether a set has the name of its row: else it is of another text of that identifier."""
+    return [_name(s) == (k1, k2) for s, k1, k2 in zip(sets, batch.column("k1").to_pylist(), batch.column("k2").to_pylist(), strict=True)]
+
+
+def _rare(docs: DataFrame, members: DataFrame, k: int, percent: int) -> DataFrame:
+    """(node, family) of the members (node, n, rep, k1, k2) of large families that share a rare shingle with another.
+
+    All shingles have one order, from the rarest to the most frequent among these sets.
+    A linked set has at least percent n / 100 of its n shingles in common with the other; the rarest
+    of these is among the first shingles of both, however few of the last ones, less one, are left out.
+    So passages that many sets have do not make a family, unless sets have little else.
+    """
+
+    def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = _Hashes()
+        for batch in row_slices(batches, DOCS_AT_ONCE):
+            sets = [shingles(text, k, known) for text in batch.column("text").to_pylist()]
+            offsets = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.zeros(0, np.uint64), *sets]).view(np.int64)))
+            yield batch.select(["node", "n"]).append_column("shingles", lists).filter(pa.array(_own(sets, batch), pa.bool_()))
+
+    spark = docs.sparkSession
+    rows = _texts(docs, members, "node", "n", "k1", "k2").mapInArrow(cut, "node long, n long, shingles array<long>").select("node", "n", F.explode("shingles").alias("shingle"))
+    shared = written(rows.withColumn("sets", F.count("*").over(Window.partitionBy("shingle"))).where("sets > 1"), "shared")
+    sweep(spark)
+    # repeated documents have one rank for a shingle; shingles of one set only would come after all these
+    last = F.dense_rank().over(Window.partitionBy("node").orderBy(F.desc("sets"), "shingle"))
+    first = written(shared.withColumn("last", last).where(F.col("last") * 100 >= F.col("n") * percent).select("node", "shingle"), "rare")
+    release(shared)
+    sweep(spark)
+    heads = first.groupBy("shingle").agg(F.min("node").alias("head"))
+    edges = first.join(heads, "shingle").where("node <> head").select("head", "node").distinct()
+    return connected_components(edges, "head", "node").select("node", F.col("component").alias("family"))
+
+
+def _sets(docs: DataFrame, members: DataFrame, k: int) -> DataFrame:
+    """node, family, n, bits, set (bytes) of each member (node, family, n, bits, rep, k1, k2), from the text of one document."""
+    texts = _texts(docs, members, "node", "family", "n", "bits", "k1", "k2")
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _Hashes()
         for batch in row_slices(batches, DOCS_AT_ONCE):
             sets = [shingles(text, k, known) for text in batch.column("text").to_pylist()]
-            own = [_name(s) == (k1, k2) for s, k1, k2 in zip(sets, batch.column("k1").to_pylist(), batch.column("k2").to_pylist(), strict=True)]  # else another text of that identifier
             rows = batch.select(["node", "family", "n", "bits"]).append_column("set", pa.array([s.tobytes() for s in sets], pa.binary()))
-            yield rows.filter(pa.array(own, pa.bool_()))
+            yield rows.filter(pa.array(_own(sets, batch), pa.bool_()))
 
     return written(texts.mapInArrow(cut, "node long, family long, n long, bits binary, set binary").dropDuplicates(["node"]), "sets")
 
@@ -414,11 +456,18 @@ def join(docs: DataFrame, k: int = 4, percent: int = 85, id_col: str = "doc_id",
     rows = written(profiles.select("row", "id", "n", "k1", "k2").join(classes.select("k1", "k2", "node"), ["k1", "k2"], "left").select("row", "id", "n", F.when(F.col("n") > 0, F.col("node")).alias("node")), "rows")
     families = written(_families(profiles, rows.where("row <> node").select("row")), "families")
     sweep(docs.sparkSession)
-    maps = profiles.select(F.col("row").alias("node"), "n", "bits")
+    maps = written(profiles.select(F.col("row").alias("node"), "n", "bits"), "maps")
+    release(profiles)  # signatures are most of it
+    large = written(families.groupBy("family").count().where(F.col("count") > tile).select("family"), "large")
+    if large.head(1):
+        many = families.join(maybe_broadcast(large), "family", "left_semi").select("node").join(classes.select("node", "rep", "k1", "k2"), "node")
+        many = written(many.join(maps.select("node", "n"), "node"), "many")
+        families = written(families.join(maybe_broadcast(large), "family", "left_anti").select("node", "family").unionByName(_rare(docs, many, k, percent)), "families")
+        sweep(docs.sparkSession)
     parted = written(_closer(maps.join(maybe_broadcast(families), "node"), percent, tile), "parted")
     members = maps.join(maybe_broadcast(parted), "node").join(classes.drop("low"), "node")
     members = written(members, "members")
-    release(profiles)
+    release(maps)
     sweep(docs.sparkSession)
     sets = _sets(docs, members, k)
     parts = connected_components(_links(sets, percent, tile).select("a", "b"), "a", "b")

@@ -3,7 +3,9 @@ import re
 
 import numpy as np
 import pytest
+from loomgraph.llm import jaccard
 from loomgraph.llm.jaccard import _folded, bitmap, differing, join, keep_one, signatures
+from pyspark.sql import functions as F
 
 
 def brute(docs, k, percent):
@@ -148,3 +150,22 @@ def test_sets_at_the_limit_share_a_signature_wherever_they_differ(percent):
             assert 100 * len(np.intersect1d(a, b)) >= percent * len(np.union1d(a, b))
             # equal sets are one class before signatures are made
             assert np.array_equal(a, b) or set(signatures(a, percent).tolist()) & set(signatures(b, percent).tolist())
+
+
+def test_common_passages_make_no_large_family(spark, monkeypatch):
+    """Unlike texts that share half of their words with all others are not compared with each other."""
+    rng = random.Random(8)
+    passage = [f"p{i}" for i in range(60)]
+    docs = [(i, " ".join([*passage, *(f"v{rng.randrange(10**6)}" for _ in range(60))])) for i in range(90)]
+    docs += [(100 + i, f"{t} more") for i, t in docs[:40]] + [(7, docs[7][1])]
+    seen = []
+
+    def closer(rows, percent, tile, plain=jaccard._closer):
+        seen.append(rows.groupBy("family").count().agg(F.max("count")).first()[0])
+        return plain(rows, percent, tile)
+
+    monkeypatch.setattr(jaccard, "_closer", closer)
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    got = sorted([(r.doc_id, r.n_shingles, r.component_id) for r in join(frame, 5, 80, tile=16).collect()], key=repr)
+    assert got == brute(docs, 5, 80)
+    assert seen == [2]
