@@ -62,3 +62,17 @@ def test_best_rows():
             assert row[query == q].tolist() == np.lexsort((ids, -s))[:limit].tolist() and score[query == q].tolist() == s[row[query == q]].tolist()
     rows[7] = np.inf
     assert 7 in search.best_rows(np.ones((1, 4)), rows, np.arange(n), 20)[1]
+
+
+def test_trace_makes_each_list_once(spark, sf, monkeypatch):
+    made = spark.sparkContext.accumulator(0)
+    lists = retrieval._vectors(spark, sf)
+
+    def counted(batches):
+        for batch in batches:
+            made.add(batch.num_rows)
+            yield batch
+
+    monkeypatch.setattr(retrieval, "_vectors", lambda *_: lists.mapInArrow(counted, lists.schema))
+    retrieval.retrieval_trace(spark, sf).collect()
+    assert made.value == lists.count()
