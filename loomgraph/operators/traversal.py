@@ -11,8 +11,9 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomgraph.operators import closing
 from loomgraph.schema import GraphTables, is_sentinel
-from loomgraph.session import release, written
+from loomgraph.session import release, sweep, written
 
 STEPS = "source_id string, target_id string, depth int"
 
@@ -114,17 +115,29 @@ def find_path(g: GraphTables, source: str, target: str, max_depth: int = 10) ->
 def cycles(g: GraphTables, kinds: tuple[str, ...] = ("calls", "imports"), longest: int = 3) -> DataFrame:
     """Elementary cycles of up to ``longest`` symbols, each once, from its smallest id.
 
-    All paths of fewer symbols are built first, so the work grows with the mean degree to the power of ``longest``.
+    Paths of fewer than ``longest`` symbols are written. Where they close, directly or by one more
+    symbol, is found on labels, and only those that do are joined with edges by identifier.
+    So the work grows with the mean degree to the power of ``longest``, but what is written with one power less.
     """
     edges = g.relationships.where(F.col("kind").isin(*kinds) & ~is_sentinel(F.col("target_id")) & (F.col("source_id") != F.col("target_id")))
     edges = written(edges.select(F.col("source_id").alias("a"), F.col("target_id").alias("b")).distinct(), "pairs")
+    sweep(edges.sparkSession)
     paths, found = edges.where("a < b").select(F.array("a", "b").alias("path"), F.col("b").alias("end"), F.col("a").alias("first")), []
-    for _ in range(2, longest + 1):
-        closing = edges.select(F.col("a").alias("end"), F.col("b").alias("first"))
-        found.append(paths.join(closing, ["end", "first"], "left_semi").select("path"))
-        onward = edges.select(F.col("a").alias("end"), F.col("b").alias("next"))
-        more = paths.join(onward, "end").where((F.col("next") > F.col("first")) & ~F.array_contains("path", F.col("next")))
-        paths = written(more.select(F.array_append("path", F.col("next")).alias("path"), F.col("next").alias("end"), "first"), "paths")
+    few = lambda df: F.broadcast(df) if df.limit(100_001).count() <= 100_000 else df
+    named = lambda df, **columns: df.join(few(labels.select(*[F.col(c).alias(f"_{c}") for c in columns]).distinct()), [closing.label(F.col(own)) == F.col(f"_{c}") for c, own in columns.items()], "left_semi")
+    for n in range(2, max(longest, 3)):
+        onward = n == longest - 1
+        labels = closing.closed(paths.select(F.col("first").alias("a"), F.col("end").alias("b")), edges, onward)
+        sweep(edges.sparkSession)
+        closable = written(named(paths, first="first", end="end"), "closable")
+        steps = written(named(edges, end="a", first="b").unionByName(named(edges, end="a", next="b")).unionByName(named(edges, next="a", first="b")).distinct(), "steps")
+        back = steps.select(F.col("a").alias("end"), F.col("b").alias("first"))
+        more = lambda known, by: known.join(by.select(F.col("a").alias("end"), F.col("b").alias("next")), "end").where((F.col("next") > F.col("first")) & ~F.array_contains("path", F.col("next"))).select(F.array_append("path", F.col("next")).alias("path"), F.col("next").alias("end"), "first")
+        found.append(closable.join(back, ["end", "first"], "left_semi").select("path"))
+        if onward:
+            found.append(more(closable, steps).join(back, ["end", "first"], "left_semi").select("path"))
+        elif n + 1 < longest:
+            paths = written(more(paths, edges), "paths")
     out = reduce(DataFrame.unionByName, found)
     return out.select(F.size("path").alias("length"), F.array_join("path", " ").alias("cycle"))
 
