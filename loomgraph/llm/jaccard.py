@@ -4,7 +4,7 @@
    sets of its size can differ in. Two linked sets agree in a part exactly, so a
    join of part signatures finds all candidates; common passages alone rarely fill a part.
 2. Candidates fall into families. Sets that share passages with many others chain into large
-   ones; the members of these are parted again by their rarest shingles, of which linked sets share one.
+   ones; families of more than two are parted again by the rarest shingles, of which linked sets share one.
    A family is laid out in tiles of similar size, bounded in rows and bytes, and tiles meet where their sizes allow a link.
 3. Only hashed bitmaps meet at first; they have two to four bits for an element, whatever the
    size of the set. Their bit counts bound the overlap from above, and what passes falls into
@@ -250,7 +250,7 @@ def _own(sets: list[np.ndarray], batch: pa.RecordBatch) -> list[bool]:
 
 
 def _rare(docs: DataFrame, members: DataFrame, k: int, percent: int) -> DataFrame:
-    """(node, family) of the members (node, n, rep, k1, k2) of large families that share a rare shingle with another.
+    """(node, family) of the members (node, n, rep, k1, k2) of families that share a rare shingle with another.
 
     All shingles have one order, from the rarest to the most frequent among these sets.
     A linked set has at least percent n / 100 of its n shingles in common with the other; the rarest
@@ -458,7 +458,7 @@ def join(docs: DataFrame, k: int = 4, percent: int = 85, id_col: str = "doc_id",
     sweep(docs.sparkSession)
     maps = written(profiles.select(F.col("row").alias("node"), "n", "bits"), "maps")
     release(profiles)  # signatures are most of it
-    large = written(families.groupBy("family").count().where(F.col("count") > tile).select("family"), "large")
+    large = written(families.groupBy("family").count().where("count > 2").select("family"), "large")  # two are one pair
     if large.head(1):
         many = families.join(maybe_broadcast(large), "family", "left_semi").select("node").join(classes.select("node", "rep", "k1", "k2"), "node")
         many = written(many.join(maps.select("node", "n"), "node"), "many")
